@@ -39,6 +39,8 @@ NOT_ALNUM = byte_set(bytes(b for b in range(128) if not chr(b).isalnum()))
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _BYTE_VALUE = mix64(LOWER.astype(np.uint64) + np.uint64(1 << 32))
+#: Values that tell all bytes apart, for work on exact bytes.
+EXACT = mix64(np.arange(256, dtype=np.uint64) + np.uint64(1 << 33))
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -94,12 +96,12 @@ def word_bounds(offsets: np.ndarray, data: np.ndarray, separators: np.ndarray) -
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of lower-cased (A-Z) byte spans, from one running sum."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = _BYTE_VALUE) -> np.ndarray:
+    """64-bit hashes of byte spans, from one running sum; lower-cased (A-Z) but with EXACT."""
     up, down = powers(len(data))
     sums = np.empty(len(data) + 1, np.uint64)
     sums[0] = 0
-    np.cumsum(_BYTE_VALUE[data] * up[: len(data)], out=sums[1:])
+    np.cumsum(values[data] * up[: len(data)], out=sums[1:])
     return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
