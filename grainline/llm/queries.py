@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_extract, mixing, near_dedup, quality, substring_dedup, toxicity
+from . import decontaminate, exact_dedup, html_extract, licenses, mixing, near_dedup, quality, substring_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(_table(spark, sf_dir, "documents"))
+    names = F.concat_ws(",", F.array_sort(F.array_distinct(F.col("matches.template"))))
+    return found.select("doc_id", "n_words", F.size("matches").cast("long").alias("n_matches"), names.alias("templates"), F.coalesce(F.array_max("matches.coverage"), F.lit(0.0)).alias("best_coverage"), "matches")
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -53,6 +59,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op3_near_dedup": op3_near_dedup,
     "op4_quality": op4_quality,
     "op5_decontamination": op5_decontamination,
