@@ -13,7 +13,7 @@ from .bytetext import NOT_ALNUM, blocks, gram_hashes, span_hashes, word_bounds
 
 #: Words of a fingerprint, fingerprints of a winnowing window, half width of the
 #: alignment band, least share of a template's words that must match.
-GRAM, WINNOW, BAND, COVERAGE = 2, 2, 8, 0.8
+GRAM, WINNOW, BAND, COVERAGE = 3, 2, 8, 0.8
 
 # Fixed template texts (public licence notices).
 TEMPLATES = {
@@ -70,6 +70,10 @@ class Index:
         self.hashes = np.array([r[0] for r in rows], np.uint64)
         self.template = np.array([r[1] for r in rows], np.int64)
         self.place = np.array([r[2] for r in rows], np.int64)
+        # templates shorter than a winnowing window and its gram are looked up at every place
+        short = np.isin(self.template, [k for k, w in enumerate(self.words) if len(w) < GRAM + WINNOW])
+        self.short = np.zeros(1 << 16, bool)
+        self.short[(self.hashes[short] & np.uint64(65535)).astype(int)] = True
         self.seen = np.zeros(1 << 16, bool)
         self.seen[(self.hashes & np.uint64(65535)).astype(int)] = True
 
@@ -110,8 +114,9 @@ def scan_words(index: Index, words: np.ndarray, first: np.ndarray) -> list[list[
     """(template, start, end, matched) of each row's matches, by place."""
     found: list[list] = [[] for _ in range(len(first) - 1)]
     grams, gram_first = gram_hashes(words, first, GRAM)
+    slots = (grams & np.uint64(65535)).astype(int)
     places = winnow(grams, gram_first)
-    places = places[index.seen[(grams[places] & np.uint64(65535)).astype(int)]]
+    places = np.union1d(places[index.seen[slots[places]]], np.flatnonzero(index.short[slots]))
     low, high = np.searchsorted(index.hashes, grams[places], "left"), np.searchsorted(index.hashes, grams[places], "right")
     rows = np.searchsorted(gram_first, places, "right") - 1
     done: dict[tuple[int, int], list] = {}
