@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_extract, licenses, mixing, near_dedup, quality, substring_dedup, toxicity
+from . import decontaminate, exact_dedup, html_extract, licenses, line_dedup, mixing, near_dedup, quality, substring_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,11 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", F.size("matches").cast("long").alias("n_matches"), names.alias("templates"), F.coalesce(F.array_max("matches.coverage"), F.lit(0.0)).alias("best_coverage"), "matches")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.repeated_lines(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.sha2(F.array_join("removed", ","), 256).alias("removed_sha256"))
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -60,6 +65,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
+    "op2_line_dedup": op2_line_dedup,
     "op3_near_dedup": op3_near_dedup,
     "op4_quality": op4_quality,
     "op5_decontamination": op5_decontamination,
