@@ -260,7 +260,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     every = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text"))
     texts = every.filter("_id is not null").repartition(n, "_id")
     firsts = texts.select("_id", F.unhex(F.sha2("_text", 256)).alias("_sha")).groupBy("_sha").agg(F.min("_id").alias("_id")).select("_id").distinct()
-    marked = texts.join(firsts, "_id", "left_semi").select("_id", "_text").mapInArrow(_winnow, "_hash long, _id long, _at long")
+    marked = texts.join(firsts, "_id").select("_id", "_text").mapInArrow(_winnow, "_hash long, _id long, _at long")
     counted = marked.withColumn("_n", F.count("*").over(Window.partitionBy("_hash")))
     counted = counted.filter((F.col("_n") > 1) | (F.col("_at").bitwiseAND(F.lit(REPEATS | SETTLED)) > 0))
     by_doc = counted.groupBy("_id").agg(F.collect_list(F.struct("_hash", "_at")).alias("_list"))
