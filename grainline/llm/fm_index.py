@@ -20,7 +20,8 @@ def suffix_order(text: np.ndarray, top: int) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for k in range(span):
         key <<= bits
-        key[: n - k] |= text[k:].astype(np.int64) + 1
+        if k < n:
+            key[: n - k] |= text[k:].astype(np.int64) + 1
     order = np.argsort(key, kind="stable")
     sorted_key = key[order]
     fresh = np.concatenate(([True], sorted_key[1:] != sorted_key[:-1]))

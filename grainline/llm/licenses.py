@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from .bytetext import NOT_ALNUM, blocks, gram_hashes, span_hashes, word_bounds
 
 #: Words of a fingerprint, fingerprints of a winnowing window, half width of the
-#: alignment band, least share of a template's words that must match.
+#: alignment band (a quarter of a shorter template), least share of a template's words that must match.
 GRAM, WINNOW, BAND, COVERAGE = 3, 2, 8, 0.8
 
 # Fixed template texts (public licence notices).
@@ -126,13 +126,14 @@ def scan_words(index: Index, words: np.ndarray, first: np.ndarray) -> list[list[
         for k in range(a, b):
             t, shift = int(index.template[k]), at - int(index.place[k])
             tried = done.setdefault((row, t), [])
-            if any(abs(shift - s) <= BAND // 2 for s in tried):
+            size = len(index.words[t])
+            band = min(BAND, max(1, size // 4))
+            if any(abs(shift - s) <= band // 2 for s in tried):
                 continue
             tried.append(shift)
-            size = len(index.words[t])
-            begin = max(0, shift - BAND)
-            part = own[begin : shift + size + BAND + 1]
-            matched, start, end = banded_alignment(index.words[t], part, shift - begin)
+            begin = max(0, shift - band)
+            part = own[begin : shift + size + band + 1]
+            matched, start, end = banded_alignment(index.words[t], part, shift - begin, band)
             if matched >= COVERAGE * size:
                 found[row].append((t, begin + start, begin + end, matched))
     for matches in found:

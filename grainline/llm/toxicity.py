@@ -16,7 +16,7 @@ from .training import held_out, sample
 
 #: Documents learned from at most, and the longest of them in bytes.
 SAMPLE_ROWS, SAMPLE_BYTES = 12_000, 32_768
-MIN_ROOT, MAX_ROOT = 5, 8
+MIN_ROOT, MAX_ROOT, ROOT_WORDS = 4, 8, 6
 CLAUSE_END = byte_set(b".!?;\n\r")
 QUOTE = byte_set(b'"')
 
@@ -247,8 +247,8 @@ def learn_lexicon(toxic: pa.Array, clean: pa.Array) -> Lexicon:
     Contexts are distinct preceding words, so copies of one document count once.
     Of a word's contexts, toxic ones would be a share like that of toxic
     documents by chance; the bar is the logarithm of the number of words tried
-    plus 3. A root counts when three such words, or eight rarer ones, begin
-    with it and clean documents have no word that does.
+    plus 3. A root (4 to 8 leading bytes) counts when ROOT_WORDS different longer
+    words of toxic documents begin with it and no word of a clean one does.
     """
     rate = max(len(toxic), 1) / max(len(toxic) + len(clean), 2)
     support = _support(toxic)
@@ -264,7 +264,7 @@ def learn_lexicon(toxic: pa.Array, clean: pa.Array) -> Lexicon:
     roots = []
     for size in range(MIN_ROOT, MAX_ROOT + 1):
         spread = _support(toxic, size)
-        tried = np.array(sorted(w for w, n in spread.items() if n >= 8), np.uint64)
+        tried = np.array(sorted(w for w, n in spread.items() if n >= ROOT_WORDS), np.uint64)
         clean_roots = _present(clean, tried, size)
         roots += [w for w in tried.tolist() if not clean_roots[w]]
     seeds = _hashes(INSULTS.split())
