@@ -167,13 +167,13 @@ def roster_reservation(spark: SparkSession, sf_dir: str) -> DataFrame:
 TURNS_SQL = "c AS (SELECT conv_id AS doc_id, turn AS ordinal, conv_id * 100 + turn AS chunk_id, role FROM conversations)"
 
 
-@query(f"""WITH {TURNS_SQL}, a AS (SELECT chunk_id AS query_id, doc_id, ordinal FROM c WHERE ordinal % 3 = 1),
+@query(f"""WITH {TURNS_SQL}, a AS (SELECT chunk_id AS query_id, doc_id, ordinal FROM c),
     near AS (SELECT a.query_id, c.chunk_id, c.doc_id, c.ordinal, min(abs(c.ordinal - a.ordinal)) AS distance FROM a JOIN c ON a.doc_id = c.doc_id AND c.ordinal BETWEEN a.ordinal - 2 AND a.ordinal + 2 GROUP BY ALL)
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, ordinal, chunk_id) AS n FROM near QUALIFY n <= 50""")
 def surrounding_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns of a conversation play a document's chunks."""
+    """Turns of a conversation play a document's chunks; each is an anchor."""
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ordinal"), (F.col("conv_id") * 100 + F.col("turn")).alias("chunk_id"), F.lit(None).cast("string").alias("generation"))
-    anchors = turns.filter("ordinal % 3 = 1").select(F.col("chunk_id").alias("query_id"), "doc_id", "generation", "ordinal")
+    anchors = turns.select(F.col("chunk_id").alias("query_id"), "doc_id", "generation", "ordinal")
     return search.surrounding(anchors, turns, 2)
 
 

@@ -104,13 +104,13 @@ def page_bounding_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.bounding_boxes(table(spark, sf_dir, "lineitem").select("l_orderkey", q.alias("x0"), d.alias("y0"), q.alias("x1"), d.alias("y1")), ["l_orderkey"])
 
 
-REGIONS_SQL = "r AS (SELECT l_suppkey AS page, l_orderkey * 10 + l_linenumber AS region_id, l_quantity AS x0, l_quantity + 10 AS x1, l_discount * 100 AS y0, l_discount * 100 + l_tax * 100 AS y1 FROM lineitem WHERE l_linenumber = 1), p AS (SELECT s_suppkey AS page, s_suppkey AS point_id, 25.5 AS x, 5.25 AS y FROM supplier)"
+REGIONS_SQL = "r AS (SELECT l_suppkey AS page, l_orderkey * 10 + l_linenumber AS region_id, l_quantity AS x0, l_quantity + 10 AS x1, l_discount * 100 AS y0, l_discount * 100 + l_tax * 100 AS y1 FROM lineitem), p AS (SELECT s_suppkey AS page, s_suppkey AS point_id, 25.5 AS x, 5.25 AS y FROM supplier)"
 
 
 @query(f"WITH {REGIONS_SQL} SELECT page, point_id, min_by(region_id, [round((x1 - x0) * (y1 - y0), 6), region_id]) AS region_id FROM p JOIN r USING (page) WHERE x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 GROUP BY ALL")
 def smallest_container(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, d = F.col("l_quantity"), F.col("l_discount") * 100
-    regions = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select(F.col("l_suppkey").alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("region_id"), q.alias("x0"), (q + 10).alias("x1"), d.alias("y0"), (d + F.col("l_tax") * 100).alias("y1"))
+    regions = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("region_id"), q.alias("x0"), (q + 10).alias("x1"), d.alias("y0"), (d + F.col("l_tax") * 100).alias("y1"))
     points = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("page"), F.col("s_suppkey").alias("point_id"), F.lit(25.5).alias("x"), F.lit(5.25).alias("y"))
     inside = points.join(regions, "page").filter("x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1")
     area = F.round((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")), 6)
