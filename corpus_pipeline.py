@@ -58,4 +58,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if before is not None:
             before.drop()
         docs, before = stored.df, stored
-    return STAGES[-1][1](spark, docs, sf_dir)
+    mixed = STAGES[-1][1](spark, docs, sf_dir)  # rests on checkpoints of its own
+    before.drop()
+    return mixed
