@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import SPACE, blocks, gram_hashes, mix64, span_hashes, word_bounds
-from .common import settle
+from .common import Stored, settle
 from .components import components
 
 #: A signature is SYMBOLS minima of BITS bits each, cut into CHUNKS chunks. Within
@@ -21,6 +21,8 @@ SYMBOLS, BITS, CHUNKS, WORDS = 48, 20, 12, 5
 #: Jaccard 0.75 exceeds it with a probability of about 1e-7.
 FAR = 27
 PACKED = SYMBOLS // 3
+#: Keys of more rows count as hot in the last step; slots of its table of shared shingles.
+HOT, SLOTS = 16, 1 << 22
 _MASK = sum(((1 << BITS) - 1) << (21 * i) for i in range(3))
 _TOP = sum(1 << (21 * i + BITS) for i in range(3))
 
@@ -108,6 +110,51 @@ def _confirm(num: int, den: int):
     return run
 
 
+def _slots(members: np.ndarray) -> np.ndarray:
+    return (members >> np.uint64(20)).astype(np.int64) & (SLOTS - 1)
+
+
+def _count_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        used = [np.unique(_slots(members)) for members in shingle_sets(batch.column(1))]
+        slots, counts = np.unique(np.concatenate(used) if used else np.empty(0, np.int64), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(counts.astype(np.int64))], names=["_slot", "_docs"])
+
+
+def rare_prefixes(texts: DataFrame, num: int, den: int) -> DataFrame:
+    """``_token, _id, _n, _place``: the rarest shingles of each set that a linked partner must meet.
+
+    A set of n has to share ``num / den`` of n, so it shares one of its
+    n - that + 1 first shingles in any common order; here by how many documents
+    hold them. Counts come from a table of SLOTS slots of one byte, which is what
+    is broadcast whatever the input; shingles that meet in a slot only look more
+    frequent. Shingles that no other set has are left out, but keep their place.
+    """
+    slots = texts.select("_id", "_text").mapInArrow(_count_slots, "_slot long, _docs long").groupBy("_slot").agg(F.sum("_docs").alias("_docs"))
+    found = slots.filter("_docs > 1").select("_slot", F.least("_docs", F.lit(255)).cast("int").alias("_docs")).toArrow()
+    counts = np.zeros(SLOTS, np.uint8)
+    counts[np.asarray(found.column(0), np.int64)] = np.asarray(found.column(1), np.uint8)
+    shared = texts.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        for batch in batches:
+            tokens, ids, sizes, places = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for own, members in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1)), strict=True):
+                n = len(members)
+                often = table[_slots(members)]
+                order = np.lexsort((members, often))[: n - -(-num * n // den) + 1]
+                kept = np.flatnonzero(often[order] > 0)
+                tokens.append(members[order[kept]])
+                places.append(kept)
+                ids.append(np.full(len(kept), own))
+                sizes.append(np.full(len(kept), n))
+            columns = [np.concatenate(tokens).view(np.int64), *(np.concatenate(x) for x in (ids, sizes, places))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["_token", "_id", "_n", "_place"])
+
+    return texts.select("_id", "_text").mapInArrow(run, "_token long, _id long, _n long, _place long")
+
+
 def confirm(texts: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets overlap enough. ``texts``: _id, _text."""
     left = texts.select(F.col("_id").alias("a"), F.col("_text").alias("_ta"))
@@ -126,9 +173,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        for keys that hold several components, the document that meets most
        others. Pairs are confirmed on full shingle sets. This takes as many pairs
        as rows, so a group of thousands of near copies costs no more.
-    3. In keys that still hold several components, all pairs of documents of
-       different components within the signature distance FAR are confirmed,
-       so that no link between components is lost.
+    3. In keys that still hold several components, pairs of documents of different
+       components are confirmed: in keys of at most HOT rows all those within the
+       signature distance FAR; the documents of hotter keys are joined on their
+       rarest shingles instead (``rare_prefixes``), with the positional filter. A
+       heap of copies edited so much that they are no longer near each other
+       shares no rare shingles, so it makes hardly any pair.
     4. Components come from star contraction on the confirmed links.
 
     Returns ``doc_id, n_shingles, component_id, kept`` for each row. Null and
@@ -144,7 +194,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = reps.select("_id", F.explode("_keys").alias("_key"))
     centres = keys.groupBy("_key").agg(F.min("_id").alias("_centre"), F.count("*").alias("_c")).filter("_c > 1")
     shared = settle(keys.join(centres, "_key"))
-    texts = source.filter("_id is not null and _text is not null")
+    stored = Stored(source.filter("_text is not null").join(shared.select("_id").distinct(), "_id", "left_semi"))
+    texts = stored.df
 
     pairs = shared.filter("_id <> _centre").select(F.col("_centre").alias("a"), F.col("_id").alias("b")).distinct()
     links = settle(confirm(texts, pairs, num, den))
@@ -161,16 +212,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         groups = components(links)
         still = settle(_open_keys(still.drop("_group"), groups))
     if not still.isEmpty():
-        packed = reps.select("_id", "_n", "_sig")
-        rows = still.select("_key", "_id", "_group").join(packed, "_id")
-        rows = rows.select("_key", *[F.col(c).alias(f"{c}_a") for c in ("_id", "_group", "_n", "_sig")])
-        other = rows.select("_key", *[F.col(f"{c}_a").alias(f"{c}_b") for c in ("_id", "_group", "_n", "_sig")])
-        fits = (F.col("_n_a") * den >= F.col("_n_b") * num) & (F.col("_n_b") * den >= F.col("_n_a") * num)
-        joined = rows.join(other, (rows["_key"] == other["_key"]) & (F.col("_group_a") < F.col("_group_b")) & fits & (distance("_sig_a", "_sig_b") <= FAR))
-        pairs = joined.select(F.least("_id_a", "_id_b").alias("a"), F.greatest("_id_a", "_id_b").alias("b")).distinct()
+        sizes = still.groupBy("_key").count()
+        hot = still.join(sizes.filter(F.col("count") > HOT), "_key", "left_semi").select("_id", "_group").distinct()
+        fewer = (F.col("_n_a") + F.col("_n_b")) * num
+        ends = lambda rows, names: (rows.select(F.col(names[0]).alias("_on"), *[F.col(c).alias(c + x) for c in names[1:]]) for x in ("_a", "_b"))
+        apart = F.col("_group_a") < F.col("_group_b")
+        pair = (F.least("_id_a", "_id_b").alias("a"), F.greatest("_id_a", "_id_b").alias("b"))
+
+        cold = still.join(sizes.filter(F.col("count") <= HOT), "_key", "left_semi").join(reps.select("_id", "_n", "_sig"), "_id")
+        left, right = ends(settle(cold), ("_key", "_id", "_group", "_n", "_sig"))
+        fits = (F.least("_n_a", "_n_b") * (num + den) >= fewer) & (distance("_sig_a", "_sig_b") <= FAR)
+        pairs = left.join(right, (left["_on"] == right["_on"]) & apart & fits).select(*pair)
+
+        prefixes = rare_prefixes(texts.join(hot, "_id", "left_semi"), num, den).join(hot, "_id")
+        left, right = ends(settle(prefixes), ("_token", "_id", "_group", "_n", "_place"))
+        rest = F.least(F.col("_n_a") - F.col("_place_a"), F.col("_n_b") - F.col("_place_b"))
+        pairs = pairs.union(left.join(right, (left["_on"] == right["_on"]) & apart & (rest * (num + den) >= fewer)).select(*pair)).distinct()
         last = settle(confirm(texts, pairs, num, den))
         if not last.isEmpty():
             groups = components(links.union(last))
+    stored.drop()
     named = sets.join(groups, F.col("_rep") == F.col("node"), "left").select(*same, F.coalesce("component", "_rep").alias("_component"))
     result = signed.select("_id", *same).join(named, same, "left")
     component = F.when(F.col("_n") > 0, F.col("_component")).otherwise(F.col("_id"))
