@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytetext import SPACE, blocks, byte_set, gram_hashes, mix64, rows_bytes, span_hashes, word_bounds
-from .common import settle
+from .common import Stored, settle
 
 #: Lines are sets of word pairs (of their only word, if one), alike from NUM / DEN on.
 NUM, DEN, PAIR = 85, 100, 2
@@ -149,10 +149,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["_doc", "_line"]).filter(pa.array(keep, pa.bool_()))
 
 
-def alike(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def alike(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """Of pairs (_doc, _line, _odoc, _oline), the (_doc, _line) whose token sets are alike."""
-    needed = pairs.select("_doc", "_line").union(pairs.select("_odoc", "_oline")).groupBy("_doc").agg(F.collect_set("_line").alias("_list"))
-    texts = docs.join(needed, "_doc").select("_doc", "_text", "_list").mapInArrow(_lines, "_doc long, _line long, _text binary")
     other = texts.select(F.col("_doc").alias("_odoc"), F.col("_line").alias("_oline"), F.col("_text").alias("_otext"))
     rows = pairs.join(texts, ["_doc", "_line"]).join(other, ["_odoc", "_oline"]).select("_doc", "_line", "_text", "_otext")
     return rows.mapInArrow(_verify, "_doc long, _line long").distinct()
@@ -173,9 +171,10 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     1. Word counts (a table of fixed size) order the pairs of a line by rarity.
     2. Each line's rarest pairs, as many as two alike lines can't both miss, are
        dealt out by pair. Lines equal to one of the same batch are settled before.
-    3. Each line is held against the earliest line of its pairs, within the length
-       and positional filters, and verified on the lines' texts. This settles
-       large groups in as many steps as they have lines.
+    3. The texts of lines that share a pair are written out, in one join with the
+       documents. Each such line is held against the earliest line of its pairs,
+       within the length and positional filters, and verified on its text. This
+       settles large groups in as many steps as they have lines.
     4. Lines that are still unsettled are held against all earlier ones.
 
     Returns ``doc_id, n_lines, removed`` for each row, the removed line numbers from
@@ -194,7 +193,9 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     live = rows.filter("_n > 0 and _on > 0")
     apart = (F.col("_doc") != F.col("_odoc")) | (F.col("_line") != F.col("_oline"))
     pairs = live.filter(apart & fits(F.col("_n"), F.col("_on"), F.col("_place"), F.col("_oplace"))).select("_doc", "_line", "_odoc", "_oline").distinct()
-    once = settle(alike(texts, settle(pairs)))
+    needed = live.select("_doc", "_line").union(live.select("_odoc", "_oline")).groupBy("_doc").agg(F.collect_set("_line").alias("_list"))
+    stored = Stored(texts.join(needed, "_doc").select("_doc", "_text", "_list").mapInArrow(_lines, "_doc long, _line long, _text binary"))
+    once = settle(alike(stored.df, pairs))
     open_rows = live.filter(apart).join(once, ["_doc", "_line"], "left_anti").select("_token", "_doc", "_line", "_place", "_n", "_odoc", "_oline")
     earlier = live.filter(apart).select(F.col("_token").alias("_t"), F.col("_doc").alias("_d"), F.col("_line").alias("_l"), F.col("_place").alias("_p"), F.col("_n").alias("_m"))
     before = (F.col("_d") < F.col("_doc")) | ((F.col("_d") == F.col("_doc")) & (F.col("_l") < F.col("_line")))
@@ -202,7 +203,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     more = settle(more.select("_doc", "_line", F.col("_d").alias("_odoc"), F.col("_l").alias("_oline")).distinct())
     found = removed.union(once)
     if not more.isEmpty():
-        found = found.union(alike(texts, more))
+        found = found.union(settle(alike(stored.df, more)))
+    stored.drop()
     by_doc = found.groupBy("_doc").agg(F.array_sort(F.collect_set("_line")).alias("removed"))
     counts = every.select("_doc", (F.length("_text") - F.length(F.replace("_text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"))
     return counts.join(by_doc, "_doc", "left").select(F.col("_doc").alias(id_col), "n_lines", F.coalesce("removed", F.array().cast("array<bigint>")).alias("removed"))
