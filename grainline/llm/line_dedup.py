@@ -13,15 +13,15 @@ from pyspark.sql import functions as F
 from .bytetext import SPACE, blocks, byte_set, gram_hashes, mix64, rows_bytes, span_hashes, word_bounds
 from .common import Stored, settle
 
-#: Lines are sets of word pairs (of their only word, if one), alike from NUM / DEN on.
-NUM, DEN, PAIR = 85, 100, 2
+#: Lines are sets of words or of word pairs (of their only word, if one), alike from NUM / DEN on.
+NUM, DEN, WORD, PAIR = 85, 100, 1, 2
 #: Slots of the table of word counts: one byte each is broadcast, whatever the input.
 SLOTS = 1 << 22
 BREAK = byte_set(b"\n")
 
 
-def line_sets(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of a block: row, line number and size of each line with words, its first token, tokens, first words.
+def line_sets(offsets: np.ndarray, data: np.ndarray, gram: int) -> tuple[np.ndarray, ...]:
+    """Of a block: row, line number and size of each line with words, its tokens, first words, words, its tokens' lines.
 
     Tokens of a line are distinct and sorted; with each comes the place of its first word.
     """
@@ -32,7 +32,7 @@ def line_sets(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, ...]:
     new = np.concatenate(([True], (row[1:] != row[:-1]) | (line[1:] != line[:-1])))[: len(starts)]
     first = np.concatenate((np.flatnonzero(new), [len(starts)]))
     words = span_hashes(data, starts, ends)
-    grams, gram_first = gram_hashes(words, first, PAIR)
+    grams, gram_first = gram_hashes(words, first, gram)
     which = np.repeat(np.arange(len(first) - 1), np.diff(gram_first))
     at = np.arange(len(grams)) - gram_first[which] + first[which]
     order = np.lexsort((grams, which))
@@ -67,7 +67,7 @@ def word_rarity(docs: DataFrame) -> np.ndarray:
     return table
 
 
-def _prefixes(shared):
+def _prefixes(shared, gram: int):
     """(_doc, _text) -> the rarest tokens of each line. A line whose set an earlier one of the
     batch has is settled here: it comes once, with size 0 and a token of its own."""
 
@@ -77,12 +77,12 @@ def _prefixes(shared):
             docs = batch.column(0).to_numpy(zero_copy_only=False)
             parts = []
             for first_row, _, offsets, data in blocks(batch.column(1)):
-                row, line, sizes, grams, at, words, which = line_sets(offsets, data)
+                row, line, sizes, grams, at, words, which = line_sets(offsets, data, gram)
                 level = rarity[_slots(words)].astype(np.int64)
-                partner = np.minimum(at + 1, len(words) - 1)
-                pair = np.where(sizes[which] > 0, level[at] + level[partner], 0)
-                # a line of one word has no partner; its order only has to be its own
-                rank = (pair.astype(np.uint64) << np.uint64(40)) | (mix64(grams) >> np.uint64(24))
+                # a pair's order is by both words; a line of one word has no partner, its order only has to be its own
+                if gram == PAIR:
+                    level = level + level[np.minimum(np.arange(1, len(words) + 1), len(words) - 1)]
+                rank = (level[at].astype(np.uint64) << np.uint64(40)) | (mix64(grams) >> np.uint64(24))
                 key = np.stack([np.add.reduceat(mix64(grams ^ np.uint64(s)), np.cumsum(sizes) - sizes) for s in (17, 71)]) if len(sizes) else np.zeros((2, 0), np.uint64)
                 order = np.lexsort((rank, which))
                 begin = np.cumsum(sizes) - sizes
@@ -131,29 +131,32 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(parents)), pa.array(numbers), pa.array(texts, pa.binary())], names=["_doc", "_line", "_text"])
 
 
-def _token_sets(texts: pa.Array) -> list[np.ndarray]:
+def _token_sets(texts: pa.Array, gram: int) -> list[np.ndarray]:
     found = [np.empty(0, np.uint64)] * len(texts)
     for first, _, offsets, data in blocks(texts):
-        row, _, sizes, grams, *_ = line_sets(offsets, data)
+        row, _, sizes, grams, *_ = line_sets(offsets, data, gram)
         for r, a, b in zip(row.tolist(), (np.cumsum(sizes) - sizes).tolist(), np.cumsum(sizes).tolist(), strict=True):
             found[first + r] = grams[a:b]
     return found
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = []
-        for x, y in zip(_token_sets(batch.column(2)), _token_sets(batch.column(3)), strict=True):
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(DEN * both >= NUM * (len(x) + len(y) - both))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["_doc", "_line"]).filter(pa.array(keep, pa.bool_()))
+def _verify(gram: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(_token_sets(batch.column(2), gram), _token_sets(batch.column(3), gram), strict=True):
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(DEN * both >= NUM * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["_doc", "_line"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
 
 
-def alike(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+def alike(texts: DataFrame, pairs: DataFrame, gram: int) -> DataFrame:
     """Of pairs (_doc, _line, _odoc, _oline), the (_doc, _line) whose token sets are alike."""
     other = texts.select(F.col("_doc").alias("_odoc"), F.col("_line").alias("_oline"), F.col("_text").alias("_otext"))
     rows = pairs.join(texts, ["_doc", "_line"]).join(other, ["_odoc", "_oline"]).select("_doc", "_line", "_text", "_otext")
-    return rows.mapInArrow(_verify, "_doc long, _line long").distinct()
+    return rows.mapInArrow(_verify(gram), "_doc long, _line long").distinct()
 
 
 def fits(n: Column, other: Column, place: Column, other_place: Column) -> Column:
@@ -161,18 +164,22 @@ def fits(n: Column, other: Column, place: Column, other_place: Column) -> Column
     return F.least(n - place, other - other_place) * (NUM + DEN) >= (n + other) * NUM
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Lines that are like an earlier one: Jaccard of their word pairs of at least NUM / DEN.
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = PAIR) -> DataFrame:
+    """Lines that are like an earlier one: Jaccard of their distinct tokens of at least NUM / DEN.
+
+    Tokens are words (``gram`` is WORD), so that order and repeats don't count, or word pairs.
 
     Earlier means a smaller id, or the same id and a smaller line number; lines are
     judged on the input, not on what is left. Words are parted by white space and
     lower-cased A-Z.
 
-    1. Word counts (a table of fixed size) order the pairs of a line by rarity.
-    2. Each line's rarest pairs, as many as two alike lines can't both miss, are
-       dealt out by pair. Lines equal to one of the same batch are settled before.
-    3. The texts of lines that share a pair are written out, in one join with the
-       documents. Each such line is held against the earliest line of its pairs,
+    1. Word counts (a table of fixed size) order the tokens of a line by rarity.
+    2. Each line's rarest tokens, as many as two alike lines can't both miss, are
+       dealt out by token. Lines equal to one of the same batch are settled before.
+       A row ends there if no other line of its token is of like size; in order of
+       size, one of its neighbours is the likest.
+    3. The texts of lines that share a token are written out, in one join with the
+       documents. Each such line is held against the earliest line of its tokens,
        within the length and positional filters, and verified on its text. This
        settles large groups in as many steps as they have lines.
     4. Lines that are still unsettled are held against all earlier ones.
@@ -184,18 +191,20 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     every = docs.select(F.col(id_col).cast("long").alias("_doc"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     texts = every.filter("_doc is not null")
     shared = docs.sparkSession.sparkContext.broadcast(word_rarity(texts))
-    marked = texts.mapInArrow(_prefixes(shared), "_token long, _doc long, _at long, _n long")
+    marked = texts.mapInArrow(_prefixes(shared, gram), "_token long, _doc long, _at long, _n long")
     group = Window.partitionBy("_token")
     line, place = F.shiftright("_at", 32), F.col("_at").bitwiseAND(F.lit(0xFFFFFFFF))
-    counted = marked.withColumn("_c", F.count("*").over(group)).withColumn("_first", F.min(F.struct("_doc", "_at", "_n")).over(group))
-    rows = settle(counted.filter("_c > 1 or _n = 0").select("_token", "_doc", line.alias("_line"), place.alias("_place"), "_n", F.col("_first._doc").alias("_odoc"), F.shiftright("_first._at", 32).alias("_oline"), F.col("_first._at").bitwiseAND(F.lit(0xFFFFFFFF)).alias("_oplace"), F.col("_first._n").alias("_on")))
+    size = group.orderBy("_n")
+    near = (F.lag("_n").over(size) * DEN >= F.col("_n") * NUM) | (F.col("_n") * DEN >= F.lead("_n").over(size) * NUM)
+    counted = marked.withColumn("_near", F.coalesce(near, F.lit(False))).filter("_near or _n = 0").withColumn("_first", F.min(F.struct("_doc", "_at", "_n")).over(group))
+    rows = settle(counted.select("_token", "_doc", line.alias("_line"), place.alias("_place"), "_n", F.col("_first._doc").alias("_odoc"), F.shiftright("_first._at", 32).alias("_oline"), F.col("_first._at").bitwiseAND(F.lit(0xFFFFFFFF)).alias("_oplace"), F.col("_first._n").alias("_on")))
     removed = rows.filter("_n = 0").select("_doc", "_line")
     live = rows.filter("_n > 0 and _on > 0")
     apart = (F.col("_doc") != F.col("_odoc")) | (F.col("_line") != F.col("_oline"))
     pairs = live.filter(apart & fits(F.col("_n"), F.col("_on"), F.col("_place"), F.col("_oplace"))).select("_doc", "_line", "_odoc", "_oline").distinct()
     needed = live.select("_doc", "_line").union(live.select("_odoc", "_oline")).groupBy("_doc").agg(F.collect_set("_line").alias("_list"))
     stored = Stored(texts.join(needed, "_doc").select("_doc", "_text", "_list").mapInArrow(_lines, "_doc long, _line long, _text binary"))
-    once = settle(alike(stored.df, pairs))
+    once = settle(alike(stored.df, pairs, gram))
     open_rows = live.filter(apart).join(once, ["_doc", "_line"], "left_anti").select("_token", "_doc", "_line", "_place", "_n", "_odoc", "_oline")
     earlier = live.filter(apart).select(F.col("_token").alias("_t"), F.col("_doc").alias("_d"), F.col("_line").alias("_l"), F.col("_place").alias("_p"), F.col("_n").alias("_m"))
     before = (F.col("_d") < F.col("_doc")) | ((F.col("_d") == F.col("_doc")) & (F.col("_l") < F.col("_line")))
@@ -203,7 +212,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     more = settle(more.select("_doc", "_line", F.col("_d").alias("_odoc"), F.col("_l").alias("_oline")).distinct())
     found = removed.union(once)
     if not more.isEmpty():
-        found = found.union(settle(alike(stored.df, more)))
+        found = found.union(settle(alike(stored.df, more, gram)))
     stored.drop()
     by_doc = found.groupBy("_doc").agg(F.array_sort(F.collect_set("_line")).alias("removed"))
     counts = every.select("_doc", (F.length("_text") - F.length(F.replace("_text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"))

@@ -21,7 +21,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.repeated_lines(_table(spark, sf_dir, "documents"))
+    found = line_dedup.repeated_lines(_table(spark, sf_dir, "documents"), gram=line_dedup.WORD)
     return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.sha2(F.array_join("removed", ","), 256).alias("removed_sha256"))
 
 

@@ -7,6 +7,7 @@ import re
 import pytest
 
 from grainline.llm import exact_dedup, line_dedup, near_dedup, substring_dedup
+from grainline.llm.queries import QUERIES
 
 VOCABULARY = [f"w{i}" for i in range(300)]
 
@@ -177,3 +178,26 @@ def test_line_dedup(make):
 
 def test_line_dedup_of_nothing(make):
     assert line_dedup.repeated_lines(make([])).count() == 0
+
+
+def test_line_query_takes_single_words(spark, make, tmp_path):
+    words = [f"k{i}" for i in range(14)]
+    lines = [words, words[:6] + ["other"] + words[7:], words[::-1], words[:12] + ["a", "b"], ["x", "y", "z"], ["x", "y", "q"], ["Z", "y", "x", "x"]]
+    rows = [(1, "\n".join(" ".join(w) for w in lines)), (2, " ".join(words[1:] + ["more"]))]
+    rng = random.Random(6)
+    base = [[rng.choice(VOCABULARY) for _ in range(rng.randint(5, 40))] for _ in range(25)]
+    for i in range(60):
+        own = list(rng.choice(base))
+        own[rng.randrange(len(own))] = rng.choice(VOCABULARY)
+        rows.append((10 + i, " ".join(rng.sample(own, len(own)) if rng.random() < 0.3 else own)))
+    sets, expected = [], {}
+    for i, t in rows:
+        expected[i] = []
+        for n, own in enumerate(set(lower(x).split()) for x in t.split("\n")):
+            if any(100 * len(own & s) >= 85 * len(own | s) for s in sets):
+                expected[i].append(n)
+            sets.append(own)
+    assert (expected[1], expected[2]) == ([1, 2, 6], [0])
+    make(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: (r.n_removed, r.removed_sha256) for r in QUERIES["op2_line_dedup"](spark, str(tmp_path)).collect()}
+    assert found == {i: (len(x), hashlib.sha256(",".join(map(str, x)).encode()).hexdigest()) for i, x in expected.items()}
