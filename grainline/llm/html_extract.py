@@ -36,8 +36,9 @@ FURNITURE_NAMES = frozenset(
     "newsletter subscribe subscription signup login search share sharing social related recommended comment comments disqus replies respond widget toolbar pagination pager skip".split()
 )
 EXPLICIT = ("article", "main")
-#: Longest repeated group, in tokens; share of varying text that a content region holds.
-LONGEST_GROUP, REGION_SHARE = 12, 0.75
+#: Longest repeated group, in tokens; share of varying text that a content region holds;
+#: share of a host's distinct pages on which a constant path is.
+LONGEST_GROUP, REGION_SHARE, NEARLY_ALL = 12, 0.75, 0.9
 
 
 def text_hash(text: str) -> int:
@@ -146,28 +147,26 @@ def wrapper_text(nodes: list[list]) -> str:
 
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(_host, _html) -> per batch one row for each host and path, and for each host and skeleton."""
+    """(_host, _html) -> of each page, once a batch, its skeleton and what its paths hold.
+
+    Pages of a host are one if they have the same text at the same paths. The skeleton
+    comes as a row without path, whose mass says if the page has text.
+    """
     for batch in batches:
-        found: dict[tuple, list] = {}
+        seen: dict[tuple, list] = {}
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             tokens, slots = skeleton(page or "")
-            whole = found.setdefault((host, "", " ".join(tokens)), [0, 0, None, None])
-            whole[0] += 1
             paths: dict[str, list] = {}
             for path, value, size in slots:
                 entry = paths.setdefault(path, [0, 0])
                 entry[0] = (entry[0] * 31 + value) % (1 << 62)
                 entry[1] += size
-            for path, (value, size) in paths.items():
-                entry = found.setdefault((host, path, ""), [0, 0, value, value])
-                entry[0] += 1
-                entry[1] += size
-                entry[2], entry[3] = min(entry[2], value), max(entry[3], value)
-        keys, values = list(found), list(found.values())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k[i] for k in keys], pa.string()) for i in range(3)] + [pa.array([v[i] for v in values], pa.int64()) for i in range(4)],
-            names=["_host", "_path", "_skeleton", "_pages", "_mass", "_lo", "_hi"],
-        )
+            key = (host, text_hash("\n".join(f"{path}\t{value}" for path, (value, _) in paths.items())))
+            rows = [(None, " ".join(tokens), int(bool(slots)), 0)] + [(path, None, size, value) for path, (value, size) in paths.items()]
+            seen[key] = min(seen.get(key, rows), rows, key=lambda x: x[0][1])
+        kind = pa.list_(pa.struct([("path", pa.string()), ("skeleton", pa.string()), ("mass", pa.int64()), ("value", pa.int64())]))
+        rows = [[dict(zip(("path", "skeleton", "mass", "value"), x, strict=True)) for x in v] for v in seen.values()]
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.int64()), pa.array(rows, kind)], names=["_host", "_page", "_rows"])
 
 
 def region_of(paths: list[tuple[str, int, int, bool]]) -> str:
@@ -219,18 +218,20 @@ def wrappers(pages: DataFrame, buckets: int = 16) -> DataFrame:
     of all pages is no more than its different skeletons. Those are aligned in two
     rounds, ``buckets`` a host and then all, iteratively: a mismatch of text is a
     slot, one of tags an optional or a repeated group. ``constant`` lists the paths
-    whose text is the same on all pages (of two or more).
+    that nearly all pages (of two or more) have, with the same text. Pages are
+    counted once, however often the host has them.
     """
-    rows = pages.select(host_of("url").alias("_host"), F.col("html").alias("_html")).mapInArrow(_survey, "_host string, _path string, _skeleton string, _pages long, _mass long, _lo long, _hi long")
-    rows = rows.groupBy("_host", "_path", "_skeleton").agg(F.sum("_pages").alias("_pages"), F.sum("_mass").alias("_mass"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+    rows = pages.select(host_of("url").alias("_host"), F.col("html").alias("_html")).mapInArrow(_survey, "_host string, _page long, _rows array<struct<path:string,skeleton:string,mass:long,value:long>>")
+    rows = rows.groupBy("_host", "_page").agg(F.min("_rows").alias("_rows")).select("_host", F.explode("_rows").alias("_r"))
+    rows = rows.groupBy("_host", F.col("_r.path").alias("_path"), F.col("_r.skeleton").alias("_skeleton")).agg(F.count("*").alias("_pages"), F.sum("_r.mass").alias("_mass"), F.min("_r.value").alias("_lo"), F.max("_r.value").alias("_hi"))
     bucket = F.pmod(F.xxhash64("_path", "_skeleton"), F.lit(buckets)).cast("int")
 
     def first(frame: pd.DataFrame) -> pd.DataFrame:
         state = []
         for r in frame.itertuples(index=False):
             host, path, text, n, mass, lo, hi = r[:7]
-            if text or not path:
-                state.append((host, int(n), json.dumps([[t, False] for t in _split(text)]), "[]"))
+            if path is None:
+                state.append((host, int(mass), json.dumps([[t, False] for t in _split(text)]), "[]"))
             else:
                 state.append((host, 0, "[]", json.dumps([[path, int(n), int(mass), int(lo), int(hi)]])))
         return _merge_paths(pd.DataFrame(state, columns=["_host", "_n", "_wrapper", "_paths"]))
@@ -242,7 +243,7 @@ def wrappers(pages: DataFrame, buckets: int = 16) -> DataFrame:
         for batch in batches:
             out = []
             for host, n, wrapper, paths in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                known = [(p, pages, mass, pages > 1 and lo == hi) for p, pages, mass, lo, hi in json.loads(paths)]
+                known = [(p, pages, mass, n > 1 and lo == hi and pages >= NEARLY_ALL * n) for p, pages, mass, lo, hi in json.loads(paths)]
                 out.append((host, n, wrapper_text(json.loads(wrapper)), region_of(known), [p for p, _, _, same in known if same]))
             kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["host", "pages", "wrapper", "region", "constant"])

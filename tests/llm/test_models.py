@@ -232,3 +232,16 @@ def test_wrappers_fold_repeats_and_align_optionals():
     b, _ = html_extract.skeleton("<ul><li>a</li></ul><h2>y</h2><p>x</p>")
     merged = html_extract.align([[t, False] for t in a], [[t, False] for t in b])
     assert html_extract.wrapper_text(merged) == "<ul> (<li> # </li>)+ </ul> (<h2>)? (#)? (</h2>)? <p> # </p>"
+
+
+def texts_of(spark, pages):
+    rows = [(i, "http://h.example/p", page) for i, page in enumerate(pages)]
+    return [r.text for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+def test_copies_of_a_page_make_none_of_its_text_constant(spark):
+    plain = "<div class=top>Site</div><div class=body><p>{} of this page</p>{}</div><div class=end>Imprint</div>"
+    pages = [plain.format(f"text {i} " * 9, "") for i in range(12)] + [plain.format("copied " * 9, "<blockquote>said once</blockquote>")] * 30
+    found = texts_of(spark, pages)
+    assert found[12:] == [f"{('copied ' * 9).strip()} of this page\n\nsaid once"] * 30
+    assert found[3] == f"{('text 3 ' * 9).strip()} of this page"
