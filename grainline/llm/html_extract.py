@@ -36,9 +36,8 @@ FURNITURE_NAMES = frozenset(
     "newsletter subscribe subscription signup login search share sharing social related recommended comment comments disqus replies respond widget toolbar pagination pager skip".split()
 )
 EXPLICIT = ("article", "main")
-#: Longest repeated group, in tokens; share of varying text that a content region holds;
-#: share of a host's distinct pages on which a constant path is.
-LONGEST_GROUP, REGION_SHARE, NEARLY_ALL = 12, 0.75, 0.9
+#: Longest repeated group, in tokens; share of a host's distinct pages on which a constant path is.
+LONGEST_GROUP, NEARLY_ALL = 12, 0.9
 
 
 def text_hash(text: str) -> int:
@@ -169,25 +168,14 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.int64()), pa.array(rows, kind)], names=["_host", "_page", "_rows"])
 
 
-def region_of(paths: list[tuple[str, int, int, bool]]) -> str:
-    """The content region: ``article`` or ``main`` if text is there, else the deepest
-    path that holds most of the varying text (of all text, where one page is known)."""
-    for name in EXPLICIT:
-        if any(name in [x.split(".")[0] for x in path.split("/")] for path, *_ in paths):
-            return name
-    varying = [(path, mass) for path, _, mass, same in paths if not same] or [(path, mass) for path, _, mass, _ in paths]
-    total, best = sum(m for _, m in varying), ""
-    inside: dict[str, int] = {}
-    for path, mass in varying:
-        parts = path.split("/")
-        for i in range(1, len(parts) + 1):
-            prefix = "/".join(parts[:i])
-            inside[prefix] = inside.get(prefix, 0) + mass
-    for prefix, mass in sorted(inside.items()):
-        if total and mass >= REGION_SHARE * total and prefix.count("/") >= best.count("/") and prefix.startswith(best):
-            last = prefix.rsplit("/", 1)[-1].split(".")[0]
-            best = prefix if last in BLOCKS and last not in ("p", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6") else best
-    return best
+def explicit_of(paths: list[str]) -> str:
+    """The content element that a page names itself: ``article`` or ``main`` if text is there."""
+    names = {x.split(".")[0] for path in paths for x in path.split("/")}
+    return next((name for name in EXPLICIT if name in names), "")
+
+
+def within(path: str, name: str) -> bool:
+    return any(x == name or x.startswith(name + ".") for x in path.split("/"))
 
 
 def _merge_paths(frame: pd.DataFrame) -> pd.DataFrame:
@@ -211,7 +199,7 @@ STATE = "_host string, _n long, _wrapper string, _paths string"
 
 
 def wrappers(pages: DataFrame, buckets: int = 16) -> DataFrame:
-    """``host, pages, wrapper, region, constant`` from ``url, html``.
+    """``host, pages, wrapper, constant`` from ``url, html``.
 
     Pages are cut into tokens, and their repeated groups folded, where they are
     read; equal skeletons of a host then meet in sums, so that a host with a third
@@ -244,11 +232,11 @@ def wrappers(pages: DataFrame, buckets: int = 16) -> DataFrame:
             out = []
             for host, n, wrapper, paths in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 known = [(p, pages, mass, n > 1 and lo == hi and pages >= NEARLY_ALL * n) for p, pages, mass, lo, hi in json.loads(paths)]
-                out.append((host, n, wrapper_text(json.loads(wrapper)), region_of(known), [p for p, _, _, same in known if same]))
-            kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["host", "pages", "wrapper", "region", "constant"])
+                out.append((host, n, wrapper_text(json.loads(wrapper)), [p for p, _, _, same in known if same]))
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["host", "pages", "wrapper", "constant"])
 
-    return twice.mapInArrow(finish, "host string, pages long, wrapper string, region string, constant array<string>")
+    return twice.mapInArrow(finish, "host string, pages long, wrapper string, constant array<string>")
 
 
 def first_round(step):
@@ -274,8 +262,18 @@ def host_of(url: str):
     return F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)", 1)), F.lit(""))
 
 
-def extract_text(page: str, region: str, constant: frozenset[str]) -> str:
-    """The blocks of the content region, joined by blank lines."""
+def extract_text(page: str, constant: frozenset[str]) -> str:
+    """The blocks of a page's content, joined by blank lines.
+
+    A page that has text in ``article`` or ``main`` says itself what its content is.
+    Of others it is all that varies over the host, wherever it stands; where nothing
+    does, as on copies under other addresses, it is all text.
+    """
+    tokens = list(parse(page))
+    own = [path for token, path, text, furniture in tokens if token == "#" and not furniture and not text.isspace()]
+    explicit = explicit_of(own)
+    if not explicit and all(path in constant for path in own):
+        constant = frozenset()
     blocks: list[str] = []
     held: list[str] = []
 
@@ -285,16 +283,9 @@ def extract_text(page: str, region: str, constant: frozenset[str]) -> str:
             blocks.append(text)
         held.clear()
 
-    explicit = region in EXPLICIT
-    for token, path, text, furniture in parse(page):
+    for token, path, text, furniture in tokens:
         if token == "#":
-            if furniture:
-                continue
-            if explicit:
-                kept = any(x == region or x.startswith(region + ".") for x in path.split("/"))
-            else:
-                kept = path not in constant and (path == region or path.startswith(region + "/") or not region)
-            if kept:
+            if not furniture and (within(path, explicit) if explicit else path not in constant):
                 held.append(html.unescape(text))
         else:
             name = token.strip("</>").split(".")[0]
@@ -307,20 +298,13 @@ def extract_text(page: str, region: str, constant: frozenset[str]) -> str:
 
 
 def _extract(rules=None):
-    """(page_id, url, html, host[, region, constant]) -> texts."""
+    """(page_id, url, html, host[, constant]) -> texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pages, hosts = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            own = [rules.value.get(h, ("", ())) for h in hosts] if rules else list(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True))
-            texts = []
-            for page, (region, constant) in zip(pages, own, strict=True):
-                text = extract_text(page or "", region or "", frozenset(constant or ()))
-                if not text and page and region:
-                    # a page unlike its host's wrapper falls back on its own structure
-                    slots = skeleton(page)[1]
-                    text = extract_text(page, region_of([(p, 1, size, False) for p, _, size in slots]), frozenset())
-                texts.append(text)
+            own = [rules.value.get(h, ()) for h in hosts] if rules else batch.column(4).to_pylist()
+            texts = [extract_text(page or "", frozenset(constant or ())) for page, constant in zip(pages, own, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return run
@@ -334,18 +318,18 @@ def main_text(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` for each page, by its host's wrapper.
 
     Null html is empty and gives an empty text, as does a page without content. A
-    null or odd url has the host ''. A page whose structure its host's wrapper
-    doesn't know is read by its own. Rules are broadcast while their summed size,
+    null or odd url has the host ''. A page chooses its template
+    by its own structure. Rules are broadcast while their summed size,
     which is computed first, is below RULE_BYTES; else pages are joined to them by
     host, where AQE splits hot hosts.
     """
-    known = wrappers(pages).select("host", "region", "constant").persist()
-    size = known.select(F.sum(F.length("host") + F.length("region") + F.length(F.concat_ws("", "constant")) + 16)).first()[0] or 0
+    known = wrappers(pages).select("host", "constant").persist()
+    size = known.select(F.sum(F.length("host") + F.length(F.concat_ws("", "constant")) + 16)).first()[0] or 0
     rows = pages.select("page_id", "url", "html", host_of("url").alias("_host"))
     schema = "page_id long, url string, text string, n_chars long"
     if size <= RULE_BYTES:
-        rules = {r["host"]: (r["region"], tuple(r["constant"])) for r in known.toLocalIterator()}
+        rules = {r["host"]: tuple(r["constant"]) for r in known.toLocalIterator()}
         known.unpersist()
         return rows.mapInArrow(_extract(pages.sparkSession.sparkContext.broadcast(rules)), schema)
-    joined = rows.join(known, rows["_host"] == known["host"], "left").select("page_id", "url", "html", "_host", "region", "constant")
+    joined = rows.join(known, rows["_host"] == known["host"], "left").select("page_id", "url", "html", "_host", "constant")
     return joined.mapInArrow(_extract(), schema)

@@ -245,3 +245,15 @@ def test_copies_of_a_page_make_none_of_its_text_constant(spark):
     found = texts_of(spark, pages)
     assert found[12:] == [f"{('copied ' * 9).strip()} of this page\n\nsaid once"] * 30
     assert found[3] == f"{('text 3 ' * 9).strip()} of this page"
+
+
+def test_all_varying_text_is_kept_wherever_it_stands(spark):
+    first = "<div class=top>Site</div><div class=head><h1>Title {0}</h1><p>lead {0}</p></div><div class=body><p>{1}</p></div><div class=end>Imprint</div>"
+    other = "<div class=top>Site</div><div class=body><p>teaser {0}</p></div><div class=story><p>{1}</p></div><div class=end>Imprint</div>"
+    named = "<div class=top>Site</div><article><h1>Title {0}</h1><p>{1}</p></article><div class=end>Imprint</div>"
+    pages = [(named if i == 19 else other if i % 5 == 0 else first).format(i, f"text {i} " * 30) for i in range(20)]
+    found = texts_of(spark, pages)
+    text = lambda i: (f"text {i} " * 30).strip()
+    assert found[1] == f"Title 1\n\nlead 1\n\n{text(1)}"
+    assert found[5] == f"teaser 5\n\n{text(5)}"
+    assert found[19] == f"Title 19\n\n{text(19)}"
