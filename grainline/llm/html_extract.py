@@ -29,13 +29,19 @@ BLOCKS = frozenset(
 )
 SPACED = frozenset("br td th img".split())
 CLOSED_BY = {"p": BLOCKS - {"body", "html", "head", "title", "option", "caption", "tbody", "tr", "thead", "tfoot", "li"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
-FURNITURE = frozenset("head nav menu footer aside form button dialog title label fieldset figcaption".split())
+FURNITURE = frozenset("head nav menu footer aside button dialog title label".split())
+#: Of a class, id or role: words that vote; those that only repeats or constant text confirm, as they
+#: also name parts of articles; and those that say enough if they stand alone, not in a compound.
 FURNITURE_NAMES = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead topbar footer sidebar aside complementary contentinfo "
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal "
     "newsletter subscribe subscription signup login search share sharing social related recommended comment comments disqus replies respond widget toolbar pagination pager skip".split()
 )
+WEAK_NAMES = frozenset("header masthead topbar banner notice notices alert promotion search login share sharing social menu skip".split())
+LABELS = frozenset("ad ads advert adverts advertisement advertising sponsored cookie cookies consent gdpr newsletter comments disqus breadcrumb breadcrumbs navbar pagination".split())
+LABEL_ELEMENTS = frozenset("form fieldset".split())
 EXPLICIT = ("article", "main")
+INLINE = frozenset("p br a abbr b cite code em i mark q s small span strong sub sup time u".split())
 #: Longest repeated group, in tokens; share of a host's distinct pages on which a constant path is.
 LONGEST_GROUP, NEARLY_ALL = 12, 0.9
 
@@ -44,17 +50,21 @@ def text_hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
 
 
-def parse(page: str) -> Iterator[tuple[str, str, str, bool]]:
-    """(token, path, text, furniture): tags with their class marks, and text runs.
+def parse(page: str) -> Iterator[tuple[str, str, str, bool, tuple]]:
+    """(token, path, text, furniture, named): tags with their class marks, and text runs.
 
-    Paths list the open elements. An element is furniture by its name or a word of
-    its class, id or role, and so is all in it; ``header`` is unless inside an article.
+    Paths list the open elements. An element is furniture by its name, and so is all in
+    it; ``header`` is unless inside an article. ``named`` tells the
+    elements around a text whose class, id or role has furniture words: for each its
+    number, path and how much the words say (2, 1 or 0). It starts anew inside
+    ``article`` and ``main``, which no name around them discards.
     """
-    stack: list[tuple[str, str, bool]] = []
+    stack: list[tuple[str, str, bool, tuple]] = []
+    count = 0
     for m in TOKEN.finditer(page):
         text, name = m["text"], m["name"]
         if text is not None:
-            yield "#", "/".join(x[1] for x in stack), text, bool(stack) and stack[-1][2]
+            yield "#", "/".join(x[1] for x in stack), text, bool(stack) and stack[-1][2], stack[-1][3] if stack else ()
         elif name:
             name = name.lower()
             path = "/".join(x[1] for x in stack)
@@ -62,20 +72,27 @@ def parse(page: str) -> Iterator[tuple[str, str, str, bool]]:
                 depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
                 if depth >= 0 and not (name not in BLOCKS and any(x[0] in BLOCKS for x in stack[depth + 1 :])):
                     del stack[depth:]
-                yield f"</{name}>", path, "", False
+                yield f"</{name}>", path, "", False, ()
                 continue
             while stack and stack[-1][0] not in BLOCKS | {"td", "th"} and name in BLOCKS and any(x[0] == "p" for x in stack) and name in CLOSED_BY["p"]:
                 stack.pop()
             while stack and name in CLOSED_BY.get(stack[-1][0], ()):
                 stack.pop()
-            words = {w for found in MARKED.findall(m["rest"] or "") for w in re.split(r"[^a-z0-9]+", (found[0] or found[1] or found[2]).lower()) if w}
+            whole = {w for found in MARKED.findall(m["rest"] or "") for w in (found[0] or found[1] or found[2]).lower().split()}
+            words = {w for x in whole for w in re.split(r"[^a-z0-9]+", x) if w}
             mark = name + "".join(f".{w}" for w in sorted(words)[:4])
-            above = bool(stack) and stack[-1][2]
+            above, named = stack[-1][2:] if stack else (False, ())
             inside = any(x[0] in EXPLICIT for x in stack)
-            own = name in FURNITURE or bool(words & FURNITURE_NAMES and name not in ("html", "body", *EXPLICIT)) or (name == "header" and not inside)
+            own = name in FURNITURE or (name == "header" and not inside)
+            if name in EXPLICIT and not inside:
+                named = ()
+            elif name not in ("html", "body") and (name in LABEL_ELEMENTS or words & FURNITURE_NAMES):
+                count += 1
+                says = 2 if name in LABEL_ELEMENTS or whole & LABELS else int(bool(words & FURNITURE_NAMES - WEAK_NAMES))
+                named = (*named, (count, f"{path}/{mark}" if stack else mark, says))
             if name not in VOID and not (m["rest"] or "").endswith("/"):
-                stack.append((name, mark, above or own))
-            yield f"<{mark}>", path, "", above
+                stack.append((name, mark, above or own, named))
+            yield f"<{mark}>", path, "", above, ()
 
 
 def fold(tokens: list[str]) -> list[str]:
@@ -103,7 +120,7 @@ def fold(tokens: list[str]) -> list[str]:
 def skeleton(page: str) -> tuple[list[str], list[tuple[str, int, int]]]:
     """Folded tokens, and (path, text hash, length) of text that isn't furniture."""
     tokens, slots = [], []
-    for token, path, text, furniture in parse(page):
+    for token, path, text, furniture, _ in parse(page):
         if token != "#":
             tokens.append(token)
         elif not text.isspace():
@@ -262,17 +279,60 @@ def host_of(url: str):
     return F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)", 1)), F.lit(""))
 
 
+def discarded(slots: list[tuple[str, str, tuple]], constant: frozenset[str]) -> set[int]:
+    """Numbers of the named elements that are furniture, of (path, text, named) of a page's content.
+
+    None is that holds half or more of the text that varies. Of others a label is; else
+    the wrapper has to agree: all text in it is constant over the host, or it repeats an
+    element other than paragraphs, or, unless its name is weak, it is outside the
+    container that most of the page's text is in.
+    """
+    if not any(named for *_, named in slots):
+        return set()
+    if all(path in constant for path, *_ in slots):
+        constant = frozenset()
+    mass: dict[str, int] = {}
+    inside: dict[tuple, list[tuple[str, int]]] = {}
+    total = 0
+    for path, text, named in slots:
+        size = 0 if path in constant else len(text.strip())
+        total += size
+        parts = path.split("/")
+        for i in range(1, len(parts) + 1):
+            prefix = "/".join(parts[:i])
+            mass[prefix] = mass.get(prefix, 0) + size
+        for element in named:
+            inside.setdefault(element, []).append((path, size))
+    core = max((p for p, n in mass.items() if 2 * n > total), key=lambda p: p.count("/"), default="")
+    while core and core.rsplit("/", 1)[-1].split(".")[0] in INLINE:
+        core = core.rpartition("/")[0]
+    found = set()
+    for (number, path, says), own in inside.items():
+        if 2 * sum(n for _, n in own) >= total > 0:
+            continue
+        tails = [p[len(path) :].strip("/") for p, _ in own]
+        repeats = any(tails.count(t) > 1 and any(x.split(".")[0] not in INLINE for x in t.split("/") if x) for t in set(tails))
+        foreign = says and not (path == core or path.startswith(core + "/") or core.startswith(path + "/")) and core
+        if says == 2 or repeats or foreign or all(p in constant for p, _ in own):
+            found.add(number)
+    return found
+
+
 def extract_text(page: str, constant: frozenset[str]) -> str:
     """The blocks of a page's content, joined by blank lines.
 
     A page that has text in ``article`` or ``main`` says itself what its content is.
     Of others it is all that varies over the host, wherever it stands; where nothing
-    does, as on copies under other addresses, it is all text.
+    does, as on copies under other addresses, it is all text. Names of classes take
+    away from either what ``discarded`` tells.
     """
     tokens = list(parse(page))
-    own = [path for token, path, text, furniture in tokens if token == "#" and not furniture and not text.isspace()]
-    explicit = explicit_of(own)
-    if not explicit and all(path in constant for path in own):
+    slots = [(path, text, named) for token, path, text, furniture, named in tokens if token == "#" and not furniture and not text.isspace()]
+    explicit = explicit_of([path for path, *_ in slots])
+    if explicit:
+        slots = [x for x in slots if within(x[0], explicit)]
+    gone = discarded(slots, constant)
+    if not explicit and all(path in constant or any(x[0] in gone for x in named) for path, _, named in slots):
         constant = frozenset()
     blocks: list[str] = []
     held: list[str] = []
@@ -283,9 +343,9 @@ def extract_text(page: str, constant: frozenset[str]) -> str:
             blocks.append(text)
         held.clear()
 
-    for token, path, text, furniture in tokens:
+    for token, path, text, furniture, named in tokens:
         if token == "#":
-            if not furniture and (within(path, explicit) if explicit else path not in constant):
+            if not furniture and not any(x[0] in gone for x in named) and (within(path, explicit) if explicit else path not in constant):
                 held.append(html.unescape(text))
         else:
             name = token.strip("</>").split(".")[0]

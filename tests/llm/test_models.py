@@ -257,3 +257,16 @@ def test_all_varying_text_is_kept_wherever_it_stands(spark):
     assert found[1] == f"Title 1\n\nlead 1\n\n{text(1)}"
     assert found[5] == f"teaser 5\n\n{text(5)}"
     assert found[19] == f"Title 19\n\n{text(19)}"
+
+
+@pytest.mark.parametrize("name", ["content-sidebar-wrap", "with-sidebar", "has-header", "no-ads", "related-news", "ads", "comments"])
+def test_names_discard_no_article(spark, name):
+    story = "<h1>Title {0}</h1><figure><img src=x><figcaption>caption {0}</figcaption></figure><p>{1}</p><p class=notice>noticed {0}</p>"
+    extra = "<div class=post-comments><div class=item><p>me {0}</p></div><div class=item><p>too {0}</p></div></div><div class='ad'>buy {0}</div>"
+    around = f'<div class=site-header>Site</div><div class="{name}"><article>{story}{extra}</article></div>'
+    plain = f'<div class=site-header>Site</div><div class="{name}"><h1>Title {{0}}</h1><p>{{1}}</p></div>'
+    text = lambda i: (f"text {i} " * 30).strip()
+    found = texts_of(spark, [around.format(i, text(i)) for i in range(3)])
+    assert found == [f"Title {i}\n\ncaption {i}\n\n{text(i)}\n\nnoticed {i}" for i in range(3)]
+    found = texts_of(spark, [plain.format(i, text(i)) for i in range(3)])
+    assert found == [f"Title {i}\n\n{text(i)}" for i in range(3)]
