@@ -1,4 +1,6 @@
-"""HTML extraction by wrappers: union-free regular expressions inferred from pages of a host."""
+"""HTML extraction by what element paths hold over the pages of a host.
+
+``wrappers`` also infers union-free regular expressions of hosts, to be looked at."""
 
 from __future__ import annotations
 
@@ -42,8 +44,9 @@ LABELS = frozenset("ad ads advert adverts advertisement advertising sponsored co
 LABEL_ELEMENTS = frozenset("form fieldset".split())
 EXPLICIT = ("article", "main")
 INLINE = frozenset("p br a abbr b cite code em i mark q s small span strong sub sup time u".split())
-#: Longest repeated group, in tokens; share of a host's distinct pages on which a constant path is.
-LONGEST_GROUP, NEARLY_ALL = 12, 0.9
+#: Longest repeated group, in tokens; share of a host's distinct pages on which a constant path is;
+#: distinct pages of a host from which constant text is dropped inside article and main too.
+LONGEST_GROUP, NEARLY_ALL, FIRM = 12, 0.9, 5
 
 
 def text_hash(text: str) -> int:
@@ -117,8 +120,18 @@ def fold(tokens: list[str]) -> list[str]:
     return out
 
 
+def slot(path: str, text: str) -> tuple[str, int, int]:
+    plain = " ".join(html.unescape(text).split())
+    return path, text_hash(plain), len(plain)
+
+
+def skeleton_slots(page: str) -> list[tuple[str, int, int]]:
+    """(path, text hash, length) of text that isn't furniture."""
+    return [slot(path, text) for token, path, text, furniture, _ in parse(page) if token == "#" and not furniture and not text.isspace()]
+
+
 def skeleton(page: str) -> tuple[list[str], list[tuple[str, int, int]]]:
-    """Folded tokens, and (path, text hash, length) of text that isn't furniture."""
+    """Folded tokens, and the slots of text that isn't furniture."""
     tokens, slots = [], []
     for token, path, text, furniture, _ in parse(page):
         if token != "#":
@@ -126,8 +139,7 @@ def skeleton(page: str) -> tuple[list[str], list[tuple[str, int, int]]]:
         elif not text.isspace():
             tokens.append("#")
             if not furniture:
-                plain = " ".join(html.unescape(text).split())
-                slots.append((path, text_hash(plain), len(plain)))
+                slots.append(slot(path, text))
     return fold(tokens), slots
 
 
@@ -162,8 +174,8 @@ def wrapper_text(nodes: list[list]) -> str:
     return " ".join(f"({t})?" if optional else t for t, optional in nodes)
 
 
-def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(_host, _html) -> of each page, once a batch, its skeleton and what its paths hold.
+def _survey(batches: Iterator[pa.RecordBatch], folded: bool = True) -> Iterator[pa.RecordBatch]:
+    """(_host, _html) -> of each page, once a batch, its skeleton (if folded) and what its paths hold.
 
     Pages of a host are one if they have the same text at the same paths. The skeleton
     comes as a row without path, whose mass says if the page has text.
@@ -171,7 +183,7 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         seen: dict[tuple, list] = {}
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            tokens, slots = skeleton(page or "")
+            tokens, slots = skeleton(page or "") if folded else ((), skeleton_slots(page or ""))
             paths: dict[str, list] = {}
             for path, value, size in slots:
                 entry = paths.setdefault(path, [0, 0])
@@ -215,6 +227,22 @@ def _merge_paths(frame: pd.DataFrame) -> pd.DataFrame:
 STATE = "_host string, _n long, _wrapper string, _paths string"
 
 
+def path_rows(pages: DataFrame, folded: bool) -> DataFrame:
+    """Of each host and path the distinct pages that have it, and least and greatest hash of its text
+    on one; without path, by skeleton, the host's distinct pages and, as mass, those with text."""
+    rows = pages.select(host_of("url").alias("_host"), F.col("html").alias("_html")).mapInArrow(lambda b: _survey(b, folded), "_host string, _page long, _rows array<struct<path:string,skeleton:string,mass:long,value:long>>")
+    rows = rows.groupBy("_host", "_page").agg(F.min("_rows").alias("_rows")).select("_host", F.explode("_rows").alias("_r"))
+    return rows.groupBy("_host", F.col("_r.path").alias("_path"), F.col("_r.skeleton").alias("_skeleton")).agg(F.count("*").alias("_pages"), F.sum("_r.mass").alias("_mass"), F.min("_r.value").alias("_lo"), F.max("_r.value").alias("_hi"))
+
+
+def rules(pages: DataFrame) -> DataFrame:
+    """``host, pages, constant`` as of ``wrappers``, without inferring those."""
+    same = F.when(F.col("_path").isNotNull() & (F.col("_lo") == F.col("_hi")) & (F.col("_pages") > 1), F.struct("_path", "_pages"))
+    hosts = path_rows(pages, False).groupBy("_host").agg(F.sum(F.when(F.col("_path").isNull(), F.col("_mass"))).alias("pages"), F.collect_list(same).alias("_same"))
+    nearly = F.filter("_same", lambda x: x["_pages"] >= F.col("pages") * NEARLY_ALL)
+    return hosts.select(F.col("_host").alias("host"), "pages", F.transform(nearly, lambda x: x["_path"]).alias("constant"))
+
+
 def wrappers(pages: DataFrame, buckets: int = 16) -> DataFrame:
     """``host, pages, wrapper, constant`` from ``url, html``.
 
@@ -226,9 +254,7 @@ def wrappers(pages: DataFrame, buckets: int = 16) -> DataFrame:
     that nearly all pages (of two or more) have, with the same text. Pages are
     counted once, however often the host has them.
     """
-    rows = pages.select(host_of("url").alias("_host"), F.col("html").alias("_html")).mapInArrow(_survey, "_host string, _page long, _rows array<struct<path:string,skeleton:string,mass:long,value:long>>")
-    rows = rows.groupBy("_host", "_page").agg(F.min("_rows").alias("_rows")).select("_host", F.explode("_rows").alias("_r"))
-    rows = rows.groupBy("_host", F.col("_r.path").alias("_path"), F.col("_r.skeleton").alias("_skeleton")).agg(F.count("*").alias("_pages"), F.sum("_r.mass").alias("_mass"), F.min("_r.value").alias("_lo"), F.max("_r.value").alias("_hi"))
+    rows = path_rows(pages, True)
     bucket = F.pmod(F.xxhash64("_path", "_skeleton"), F.lit(buckets)).cast("int")
 
     def first(frame: pd.DataFrame) -> pd.DataFrame:
@@ -318,13 +344,14 @@ def discarded(slots: list[tuple[str, str, tuple]], constant: frozenset[str]) ->
     return found
 
 
-def extract_text(page: str, constant: frozenset[str]) -> str:
+def extract_text(page: str, constant: frozenset[str], pages: int = 0) -> str:
     """The blocks of a page's content, joined by blank lines.
 
     A page that has text in ``article`` or ``main`` says itself what its content is.
     Of others it is all that varies over the host, wherever it stands; where nothing
-    does, as on copies under other addresses, it is all text. Names of classes take
-    away from either what ``discarded`` tells.
+    does, as on copies under other addresses, it is all text. Where FIRM or more
+    ``pages`` of the host are known, what is constant in an article isn't content
+    either. Names of classes take away from both what ``discarded`` tells.
     """
     tokens = list(parse(page))
     slots = [(path, text, named) for token, path, text, furniture, named in tokens if token == "#" and not furniture and not text.isspace()]
@@ -332,8 +359,9 @@ def extract_text(page: str, constant: frozenset[str]) -> str:
     if explicit:
         slots = [x for x in slots if within(x[0], explicit)]
     gone = discarded(slots, constant)
-    if not explicit and all(path in constant or any(x[0] in gone for x in named) for path, _, named in slots):
-        constant = frozenset()
+    firm = constant if pages >= FIRM or not explicit else frozenset()
+    if all(path in firm or any(x[0] in gone for x in named) for path, _, named in slots):
+        firm = frozenset()
     blocks: list[str] = []
     held: list[str] = []
 
@@ -345,7 +373,7 @@ def extract_text(page: str, constant: frozenset[str]) -> str:
 
     for token, path, text, furniture, named in tokens:
         if token == "#":
-            if not furniture and not any(x[0] in gone for x in named) and (within(path, explicit) if explicit else path not in constant):
+            if not furniture and not any(x[0] in gone for x in named) and path not in firm and (not explicit or within(path, explicit)):
                 held.append(html.unescape(text))
         else:
             name = token.strip("</>").split(".")[0]
@@ -357,25 +385,25 @@ def extract_text(page: str, constant: frozenset[str]) -> str:
     return "\n\n".join(blocks)
 
 
-def _extract(rules=None):
-    """(page_id, url, html, host[, constant]) -> texts."""
+def _extract(known=None):
+    """(page_id, url, html, host[, constant, pages]) -> texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pages, hosts = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            own = [rules.value.get(h, ()) for h in hosts] if rules else batch.column(4).to_pylist()
-            texts = [extract_text(page or "", frozenset(constant or ())) for page, constant in zip(pages, own, strict=True)]
+            own = [known.value.get(h, ((), 0)) for h in hosts] if known else list(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True))
+            texts = [extract_text(page or "", frozenset(constant or ()), n or 0) for page, (constant, n) in zip(pages, own, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return run
 
 
-#: Most bytes of wrappers' rules that are broadcast; beyond, pages are joined by host.
+#: Most bytes of hosts' rules that are broadcast; beyond, pages are joined by host.
 RULE_BYTES = 16_000_000
 
 
 def main_text(pages: DataFrame) -> DataFrame:
-    """``page_id, url, text, n_chars`` for each page, by its host's wrapper.
+    """``page_id, url, text, n_chars`` for each page, by what paths hold on its host.
 
     Null html is empty and gives an empty text, as does a page without content. A
     null or odd url has the host ''. A page chooses its template
@@ -383,13 +411,13 @@ def main_text(pages: DataFrame) -> DataFrame:
     which is computed first, is below RULE_BYTES; else pages are joined to them by
     host, where AQE splits hot hosts.
     """
-    known = wrappers(pages).select("host", "constant").persist()
+    known = rules(pages).persist()
     size = known.select(F.sum(F.length("host") + F.length(F.concat_ws("", "constant")) + 16)).first()[0] or 0
     rows = pages.select("page_id", "url", "html", host_of("url").alias("_host"))
     schema = "page_id long, url string, text string, n_chars long"
     if size <= RULE_BYTES:
-        rules = {r["host"]: tuple(r["constant"]) for r in known.toLocalIterator()}
+        found = {r["host"]: (tuple(r["constant"]), r["pages"]) for r in known.toLocalIterator()}
         known.unpersist()
-        return rows.mapInArrow(_extract(pages.sparkSession.sparkContext.broadcast(rules)), schema)
-    joined = rows.join(known, rows["_host"] == known["host"], "left").select("page_id", "url", "html", "_host", "constant")
+        return rows.mapInArrow(_extract(pages.sparkSession.sparkContext.broadcast(found)), schema)
+    joined = rows.join(known, rows["_host"] == known["host"], "left").select("page_id", "url", "html", "_host", "constant", "pages")
     return joined.mapInArrow(_extract(), schema)

@@ -270,3 +270,13 @@ def test_names_discard_no_article(spark, name):
     assert found == [f"Title {i}\n\ncaption {i}\n\n{text(i)}\n\nnoticed {i}" for i in range(3)]
     found = texts_of(spark, [plain.format(i, text(i)) for i in range(3)])
     assert found == [f"Title {i}\n\n{text(i)}" for i in range(3)]
+
+
+def test_constant_slots_of_articles_are_dropped(spark):
+    page = "<article><h1>Title {0}</h1><p>text {0} of it</p><div class=box><b>Read our magazine</b></div></article>"
+    found = texts_of(spark, [page.format(i) for i in range(6)] + ["<article><div class=box><b>Read our magazine</b></div></article>"])
+    assert found[:6] == [f"Title {i}\n\ntext {i} of it" for i in range(6)]
+    assert texts_of(spark, [page.format(i) for i in range(2)])[1] == "Title 1\n\ntext 1 of it\n\nRead our magazine"
+    pages = spark.createDataFrame([(i, "http://h.example/p", page.format(i)) for i in range(6)], "page_id long, url string, html string")
+    plain = lambda df: [(r.host, r.pages, sorted(r.constant)) for r in df.collect()]
+    assert plain(html_extract.rules(pages)) == plain(html_extract.wrappers(pages)) == [("h.example", 6, ["article/div.box/b"])]
