@@ -44,7 +44,7 @@ LABELS = frozenset("ad ads advert adverts advertisement advertising sponsored co
 LABEL_ELEMENTS = frozenset("form fieldset".split())
 EXPLICIT = ("article", "main")
 INLINE = frozenset("p br a abbr b cite code em i mark q s small span strong sub sup time u".split())
-#: Longest repeated group, in tokens; share of a host's distinct pages on which a constant path is;
+#: Longest repeated group, in tokens, that isn't made of whole elements; share of a host's distinct pages on which a constant path is;
 #: distinct pages of a host from which constant text is dropped inside article and main too.
 LONGEST_GROUP, NEARLY_ALL, FIRM = 12, 0.9, 5
 
@@ -83,7 +83,7 @@ def parse(page: str) -> Iterator[tuple[str, str, str, bool, tuple]]:
                 stack.pop()
             whole = {w for found in MARKED.findall(m["rest"] or "") for w in (found[0] or found[1] or found[2]).lower().split()}
             words = {w for x in whole for w in re.split(r"[^a-z0-9]+", x) if w}
-            mark = name + "".join(f".{w}" for w in sorted(words)[:4])
+            mark = name + "".join(f".{w}" for w in sorted(words))
             above, named = stack[-1][2:] if stack else (False, ())
             inside = any(x[0] in EXPLICIT for x in stack)
             own = name in FURNITURE or (name == "header" and not inside)
@@ -99,24 +99,49 @@ def parse(page: str) -> Iterator[tuple[str, str, str, bool, tuple]]:
 
 
 def fold(tokens: list[str]) -> list[str]:
-    """Squares of a token list as repeated groups: ``x x x`` becomes ``(x)+``."""
+    """Squares of a token list as repeated groups: ``x x x`` becomes ``(x)+``.
+
+    Groups of whole elements have any length.
+    """
     out: list[str] = []
+    # open elements: name, and where in ``out`` they and what is in them begin
+    levels: list[tuple[str, int, list[int]]] = [("", -1, [])]
     for token in tokens:
+        name = token.strip("</>").split(".")[0]
+        if token.startswith("</"):
+            depth = next((i for i in range(len(levels) - 1, 0, -1) if levels[i][0] == name), 0)
+            if depth:
+                del levels[depth:]
+        else:
+            levels[-1][2].append(len(out))
+            if token != "#" and name not in VOID:
+                levels.append((name, len(out), []))
         out.append(token)
         again = True
         while again:
             again = False
-            for n in range(1, min(LONGEST_GROUP, len(out) - 1) + 1):
-                tail = out[-n:]
-                group = "(" + " ".join(tail) + ")+"
-                if out[-n - 1] == group or (tail[-1] == group and n == 1):
+            starts = levels[-1][2]
+            short = range(1, min(LONGEST_GROUP, len(out) - 1) + 1)
+            for n in (*short, *(len(out) - p for p in reversed(starts) if 0 < p < len(out) - LONGEST_GROUP)):
+                tail, before = out[-n:], out[-n - 1]
+                group = "(" + " ".join(tail) + ")+" if before.endswith(")+") or tail[-1].endswith(")+") or n <= LONGEST_GROUP else ""
+                if group and (before == group or (before == tail[-1] and n == 1 and before.endswith(")+"))):
                     del out[-n:]
-                    again = True
-                    break
-                if len(out) >= 2 * n and out[-2 * n : -n] == tail and "#" in group:
-                    out[-2 * n :] = [group]
-                    again = True
-                    break
+                    cut = len(out)
+                elif len(out) >= 2 * n and out[-2 * n : -n] == tail and any("#" in t for t in tail):
+                    cut = len(out) - 2 * n
+                    out[cut:] = ["(" + " ".join(tail) + ")+"]
+                else:
+                    continue
+                while len(levels) > 1 and levels[-1][1] >= cut:
+                    levels.pop()
+                starts = levels[-1][2]
+                while starts and starts[-1] >= cut:
+                    starts.pop()
+                if cut < len(out):
+                    starts.append(cut)
+                again = True
+                break
     return out
 
 
@@ -152,9 +177,7 @@ def align(a: list[list], b: list[list]) -> list[list]:
     for x, y in ((a, b), (b, a)):
         for group, _ in x:
             if group.endswith(")+"):
-                body = group[1:-2].split(" ")
-                if "(" in group[1:]:
-                    continue
+                body = _split(group[1:-2])
                 at = 0
                 while at + len(body) <= len(y):
                     if [t for t, _ in y[at : at + len(body)]] == body:

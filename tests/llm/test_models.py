@@ -280,3 +280,17 @@ def test_constant_slots_of_articles_are_dropped(spark):
     pages = spark.createDataFrame([(i, "http://h.example/p", page.format(i)) for i in range(6)], "page_id long, url string, html string")
     plain = lambda df: [(r.host, r.pages, sorted(r.constant)) for r in df.collect()]
     assert plain(html_extract.rules(pages)) == plain(html_extract.wrappers(pages)) == [("h.example", 6, ["article/div.box/b"])]
+
+
+def test_long_groups_and_nested_groups_are_folded():
+    item = "<li class='a b c d {0}'><h2>x</h2><p>{1}</p><p><i>{1}</i></p><h3>y</h3><a>z</a></li>"
+    folded, slots = html_extract.skeleton("<ul>" + "".join(item.format("e", i) for i in range(4)) + "</ul>")
+    assert len(folded) == 3 and folded[1].startswith("(<li.a.b.c.d.e> <h2> # </h2>") and folded[1].endswith(" </li>)+")
+    assert {p for p, *_ in slots} & {p for p, *_ in html_extract.skeleton(item.format("f", 1))[1]} == set()
+    both, _ = html_extract.skeleton("".join(f"<section>{item.format('e', i)}</section><hr><div>{i}</div>" for i in range(5)))
+    assert len(both) == 1
+    lists = "<ul><li>a</li><li>b</li></ul>"
+    many, _ = html_extract.skeleton(f"{lists}{lists}<p>x</p>")
+    one, _ = html_extract.skeleton(f"{lists}<p>x</p>")
+    merged = html_extract.align([[t, False] for t in many], [[t, False] for t in one])
+    assert html_extract.wrapper_text(merged) == "(<ul> (<li> # </li>)+ </ul>)+ <p> # </p>"
