@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -14,6 +16,10 @@ from .bytetext import NOT_ALNUM, blocks, gram_hashes, span_hashes, word_bounds
 #: Words of a fingerprint, fingerprints of a winnowing window, half width of the
 #: alignment band (a quarter of a shorter template), least share of a template's words that must match.
 GRAM, WINNOW, BAND, COVERAGE = 3, 2, 8, 0.8
+#: Where the narrow band of a short template has no match, a band for words put in; templates of fewer
+#: words than SHORT, where one word can break all fingerprints, are also looked up by single words.
+WIDE, SHORT = 4, 8
+COMMON = frozenset("a all an and by for in is of or the this to under work".split())
 
 # Fixed template texts (public licence notices).
 TEMPLATES = {
@@ -59,6 +65,7 @@ class Index:
     hashes: np.ndarray = field(init=False)
     template: np.ndarray = field(init=False)
     place: np.ndarray = field(init=False)
+    texts: list[str] = field(default_factory=list)
 
     def __post_init__(self) -> None:
         rows = []
@@ -74,13 +81,24 @@ class Index:
         short = np.isin(self.template, [k for k, w in enumerate(self.words) if len(w) < GRAM + WINNOW])
         self.short = np.zeros(1 << 16, bool)
         self.short[(self.hashes[short] & np.uint64(65535)).astype(int)] = True
+        # a match lacks no more words than the anchors of its template are, less one
+        anchors = []
+        for k, text in enumerate(self.texts):
+            size, plain = len(self.words[k]), re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text)
+            if size < SHORT:
+                by_rarity = sorted(range(size), key=lambda i: (plain[i].lower() in COMMON, -len(plain[i]), i))
+                anchors += [(h, k, i) for i in by_rarity[: size - math.ceil(COVERAGE * size) + 1] for h in [int(self.words[k][i])]]
+        self.anchors = sorted(anchors)
+        self.anchor_hashes = np.array([a[0] for a in self.anchors], np.uint64)
+        self.anchor_slots = np.zeros(1 << 16, bool)
+        self.anchor_slots[(self.anchor_hashes & np.uint64(65535)).astype(int)] = True
         self.seen = np.zeros(1 << 16, bool)
         self.seen[(self.hashes & np.uint64(65535)).astype(int)] = True
 
 
 def build_index(templates: dict[str, str]) -> Index:
     kept = {name: words for name, text in sorted(templates.items()) if len(words := words_of(text))}
-    return Index(list(kept), list(kept.values()))
+    return Index(list(kept), list(kept.values()), texts=[templates[name] for name in kept])
 
 
 def banded_alignment(template: np.ndarray, words: np.ndarray, shift: int, band: int = BAND) -> tuple[int, int, int]:
@@ -119,23 +137,33 @@ def scan_words(index: Index, words: np.ndarray, first: np.ndarray) -> list[list[
     places = np.union1d(places[index.seen[slots[places]]], np.flatnonzero(index.short[slots]))
     low, high = np.searchsorted(index.hashes, grams[places], "left"), np.searchsorted(index.hashes, grams[places], "right")
     rows = np.searchsorted(gram_first, places, "right") - 1
-    done: dict[tuple[int, int], list] = {}
+    # (row, template, shift) of what fingerprints and then single words suggest
+    hits = []
     for place, row, a, b in zip(places[high > low].tolist(), rows[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist(), strict=True):
         at = place - int(gram_first[row])
+        hits += [(row, int(index.template[k]), at - int(index.place[k])) for k in range(a, b)]
+    spots = np.flatnonzero(index.anchor_slots[(words & np.uint64(65535)).astype(int)])
+    low, high = np.searchsorted(index.anchor_hashes, words[spots], "left"), np.searchsorted(index.anchor_hashes, words[spots], "right")
+    spots, low, high = spots[high > low], low[high > low], high[high > low]
+    spot_rows = np.searchsorted(first, spots, "right") - 1
+    for place, row, a, b in zip(spots.tolist(), spot_rows.tolist(), low.tolist(), high.tolist(), strict=True):
+        hits += [(row, t, place - int(first[row]) - i) for _, t, i in index.anchors[a:b]]
+    done: dict[tuple[int, int], list] = {}
+    for row, t, shift in hits:
         own = words[first[row] : first[row + 1]]
-        for k in range(a, b):
-            t, shift = int(index.template[k]), at - int(index.place[k])
-            tried = done.setdefault((row, t), [])
-            size = len(index.words[t])
-            band = min(BAND, max(1, size // 4))
-            if any(abs(shift - s) <= band // 2 for s in tried):
-                continue
-            tried.append(shift)
+        tried = done.setdefault((row, t), [])
+        size = len(index.words[t])
+        narrow = min(BAND, max(1, size // 4))
+        if any(abs(shift - s) <= (0 if size < SHORT else narrow // 2) for s in tried):
+            continue
+        tried.append(shift)
+        for band in (narrow, WIDE) if narrow < WIDE else (narrow,):
             begin = max(0, shift - band)
             part = own[begin : shift + size + band + 1]
             matched, start, end = banded_alignment(index.words[t], part, shift - begin, band)
             if matched >= COVERAGE * size:
                 found[row].append((t, begin + start, begin + end, matched))
+                break
     for matches in found:
         # of a template's overlapping matches only the best stays
         matches.sort(key=lambda x: (-x[3], x[2] - x[1], x[1], x[0]))
@@ -155,8 +183,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
 
     A match names a template, the share of its words found in order within the
     band, and the [start, end) words it spans. Documents are winnowed so that any
-    run of GRAM + WINNOW - 1 common words meets the index. A match needs COVERAGE
-    of the template. Null and empty texts have none; rows may repeat. One pass
+    run of GRAM + WINNOW - 1 common words meets the index; a template of under
+    SHORT words is met by so many of its words that no match lacks all. A match
+    needs COVERAGE of the template; up to WIDE words may be put in or left out. Null and empty texts have none; rows may repeat. One pass
     without a shuffle; the templates, a fixed list, go with the code.
     """
     shared = docs.sparkSession.sparkContext.broadcast(build_index(TEMPLATES if templates is None else templates))

@@ -294,3 +294,15 @@ def test_long_groups_and_nested_groups_are_folded():
     one, _ = html_extract.skeleton(f"{lists}<p>x</p>")
     merged = html_extract.align([[t, False] for t in many], [[t, False] for t in one])
     assert html_extract.wrapper_text(merged) == "(<ul> (<li> # </li>)+ </ul>)+ <p> # </p>"
+
+
+def test_short_licences_with_words_left_out_or_put_in(make):
+    texts = {
+        20: "Released under MIT License", 21: "Released under the terms of the MIT License", 22: "all rights are reserved", 23: "x released under the MIT", 24: "under the MIT license",
+        25: "Licensed under the terms of the Apache License, Version 2.0", 26: "All rights reserved. All rights reserved.", 27: "released the license under MIT", 28: "", 29: "rights reserved",
+    }
+    found = {r.doc_id: [(m.template, m.start, m.end) for m in r.matches] for r in licenses.scan(make(list(texts.items()))).collect()}
+    assert found == {
+        20: [("MIT", 0, 4)], 21: [("MIT", 0, 8)], 22: [("all-rights-reserved", 0, 4)], 23: [("MIT", 1, 5)], 24: [("MIT", 0, 4)],
+        25: [("Apache-2.0", 0, 11)], 26: [("all-rights-reserved", 0, 3), ("all-rights-reserved", 3, 6)], 27: [], 28: [], 29: [],
+    }
