@@ -6,40 +6,69 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bytetext import SPACE, blocks, byte_set, gram_hashes, mix64, rows_bytes, span_hashes, word_bounds
-from .common import Stored, settle
+from .bytetext import LOWER, SPACE, blocks, byte_set, gram_hashes, mix64, span_hashes, word_bounds
+from .common import Stored, partitions
 
 #: Lines are sets of words or of word pairs (of their only word, if one), alike from NUM / DEN on.
 NUM, DEN, WORD, PAIR = 85, 100, 1, 2
-#: Slots of the table of word counts: one byte each is broadcast, whatever the input.
-SLOTS = 1 << 22
+#: Sets of fewer tokens are only like equal ones, as one token more or less is below NUM / DEN.
+SMALLEST = -(-NUM // (DEN - NUM))
+#: Slots of the table of word counts: one byte each is broadcast, whatever the input. They are summed in parts.
+SLOTS, PARTS = 1 << 22, 64
+#: Levels (see ``word_rarity``) of words that occur once, and of words that are keys only two by two.
+ONCE, FREQUENT = 8, 80
+#: Bits of the table that tells which lines' texts are needed, whatever the input.
+NEED_BITS = 1 << 26
+#: Likest earlier lines that are tried first, of each line and key; the rest only if all of them fail.
+FIRST_TRIED = 4
+#: Records of a bucket that are looked for, and pairs held before they are cut to FIRST_TRIED.
+BUCKET, HELD = 1_500_000, 4_000_000
 BREAK = byte_set(b"\n")
+LOWER_TABLE = LOWER.tobytes()
 
 
-def line_sets(offsets: np.ndarray, data: np.ndarray, gram: int) -> tuple[np.ndarray, ...]:
-    """Of a block: row, line number and size of each line with words, its tokens, first words, words, its tokens' lines.
+def required(total: np.ndarray) -> np.ndarray:
+    """What two sets must share at least, by the sum of their sizes."""
+    return -(-NUM * total // (NUM + DEN))
 
-    Tokens of a line are distinct and sorted; with each comes the place of its first word.
-    """
+
+def line_words(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of a block: row and line number of each line with words, its first words (n + 1), and all word hashes."""
     starts, ends, _ = word_bounds(offsets, data, SPACE)
     breaks = np.concatenate(([0], np.cumsum(BREAK[data])))
     row = np.searchsorted(offsets, starts, "right") - 1
     line = breaks[starts] - breaks[offsets[row]]
     new = np.concatenate(([True], (row[1:] != row[:-1]) | (line[1:] != line[:-1])))[: len(starts)]
     first = np.concatenate((np.flatnonzero(new), [len(starts)]))
-    words = span_hashes(data, starts, ends)
-    grams, gram_first = gram_hashes(words, first, gram)
+    return row[first[:-1]], line[first[:-1]], first, span_hashes(data, starts, ends)
+
+
+def line_tokens(words: np.ndarray, first: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens, their lines, and the place of the first word of each."""
+    grams, gram_first = gram_hashes(words, first, gram) if gram > 1 else (words, first)
     which = np.repeat(np.arange(len(first) - 1), np.diff(gram_first))
-    at = np.arange(len(grams)) - gram_first[which] + first[which]
-    order = np.lexsort((grams, which))
-    once = np.concatenate(([True], (grams[order][1:] != grams[order][:-1]) | (which[order][1:] != which[order][:-1])))[: len(grams)]
-    kept = order[once]
-    sizes = np.bincount(which[kept], minlength=len(first) - 1)
-    return row[first[:-1]], line[first[:-1]], sizes, grams[kept], at[kept], words, which[kept]
+    return grams, which, np.arange(len(grams)) - gram_first[which] + first[which]
+
+
+def in_order(grams: np.ndarray, which: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """Where the distinct tokens of each line stand, by line, level and hash."""
+    if not len(grams):
+        return np.zeros(0, np.int64)
+    bits = int(which[-1]).bit_length()
+    # one sort of a packed key; where unlike hashes are cut to the same key, a full one
+    key = (which.astype(np.uint64) << np.uint64(63 - bits) << np.uint64(1)) if bits else np.zeros(len(which), np.uint64)
+    key |= (level.astype(np.uint64) << np.uint64(56 - bits)) | (grams >> np.uint64(bits + 8))
+    order = np.argsort(key)
+    same = np.concatenate(([False], key[order][1:] == key[order][:-1]))
+    own = grams[order]
+    if (same[1:] & (own[1:] != own[:-1])).any():
+        order = np.lexsort((grams, level, which))
+        own, line = grams[order], which[order]
+        same = np.concatenate(([False], (own[1:] == own[:-1]) & (line[1:] == line[:-1])))
+    return order[~same]
 
 
 def _slots(words: np.ndarray) -> np.ndarray:
@@ -47,121 +76,335 @@ def _slots(words: np.ndarray) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts, any_words = np.zeros(SLOTS, np.int64), False
     for batch in batches:
-        found = [np.zeros((2, 0), np.int64)]
         for _, _, offsets, data in blocks(batch.column(0)):
             starts, ends, _ = word_bounds(offsets, data, SPACE)
-            found.append(np.stack(np.unique(_slots(span_hashes(data, starts, ends)), return_counts=True)))
-        slots, counts = np.concatenate(found, axis=1)
-        distinct, where = np.unique(slots, return_inverse=True)
-        yield pa.RecordBatch.from_arrays([pa.array(distinct), pa.array(np.bincount(where, counts, len(distinct)).astype(np.int64))], names=["_slot", "_n"])
-
-
-def word_rarity(docs: DataFrame) -> np.ndarray:
-    """Eight times the binary logarithm of the count of each slot's words, in a byte."""
-    counts = docs.select("_text").mapInArrow(_count, "_slot long, _n long").groupBy("_slot").agg(F.sum("_n").alias("_n"))
-    level = F.least(F.round(F.log2(F.col("_n") + 1.0) * 8), F.lit(255.0)).cast("int")
-    found = counts.select("_slot", level.alias("_level")).toArrow()
-    table = np.zeros(SLOTS, np.uint8)
-    table[np.asarray(found.column(0), np.int64)] = np.asarray(found.column(1), np.uint8)
-    return table
+            np.add.at(counts, _slots(span_hashes(data, starts, ends)), 1)
+            any_words = any_words or len(starts) > 0
+    if any_words:
+        parts = counts.reshape(PARTS, -1)
+        blobs = [pack(p[None, :]) for p in parts]
+        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int64()), pa.array(blobs, pa.binary())], names=["_part", "_blob"])
+
+
+def _sum_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the same part, summed; then eight times their binary logarithm in a byte."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            counts = unpack(blob.as_buffer(), 1, SLOTS // PARTS)[0]
+            sums[part] = sums[part] + counts if part in sums else counts
+    if sums:
+        levels = [np.minimum(np.round(np.log2(c + 1.0) * 8), 255).astype(np.uint8).tobytes() for c in sums.values()]
+        totals = [int(c.sum()) for c in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(totals, pa.int64()), pa.array(levels, pa.binary())], names=["_part", "_total", "_levels"])
+
+
+def word_rarity(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """Eight times the binary logarithm of the count of each slot's words, in a byte; and all words.
+
+    Slots are shared by words, so a level is that of a word's count or above.
+    """
+    counts = docs.select("_text").mapInArrow(_count, "_part long, _blob binary")
+    found = counts.repartition(PARTS, "_part").mapInArrow(_sum_parts, "_part long, _total long, _levels binary").toArrow()
+    table = np.zeros((PARTS, SLOTS // PARTS), np.uint8)
+    for part, levels in zip(found.column(0).to_pylist(), found.column(2).to_pylist(), strict=True):
+        table[part] = np.frombuffer(levels, np.uint8)
+    return table.reshape(-1), sum(found.column(1).to_pylist())
+
+
+def pack(columns: np.ndarray) -> bytes:
+    """Columns of 64-bit numbers, byte by byte plane and compressed."""
+    planes = np.ascontiguousarray(columns.astype(np.int64)).view(np.uint8).reshape(*columns.shape, 8).transpose(0, 2, 1)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
-def _prefixes(shared, gram: int):
-    """(_doc, _text) -> the rarest tokens of each line. A line whose set an earlier one of the
-    batch has is settled here: it comes once, with size 0 and a token of its own."""
+def unpack(blob, columns: int, rows: int) -> np.ndarray:
+    raw = pa.decompress(blob, decompressed_size=columns * rows * 8, codec="zstd")
+    planes = np.frombuffer(raw, np.uint8).reshape(columns, 8, rows)
+    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.int64)[:, :, 0]
+
+
+def _line_hash(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    return mix64(mix64(doc.astype(np.uint64)) + line.astype(np.uint64))
+
+
+def _needs(table: np.ndarray, doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    at = (_line_hash(doc, line) & np.uint64(NEED_BITS - 1)).astype(np.int64)
+    return (table[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
+def _records(grams: np.ndarray, which: np.ndarray, level: np.ndarray, sizes: np.ndarray, dig: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, lines and places of what is dealt out of a block's lines: distinct tokens in order.
+
+    A line's keys are the tokens of its prefix that occur more than once; frequent
+    ones are keys two by two, of the prefix that is one longer: alike lines share two
+    tokens of it, and one of those that aren't frequent is in both shorter prefixes,
+    as it comes before the frequent ones.
+    """
+    begin = np.cumsum(sizes) - sizes
+    place = np.arange(len(grams)) - begin[which]
+    long = sizes[which] >= SMALLEST
+    prefix = (sizes - -(-NUM * sizes // DEN) + 1)[which]
+    single = np.flatnonzero(long & (place < prefix) & (level > ONCE) & (level < FREQUENT))
+    found = [(mix64(grams[single]), which[single], place[single])]
+    often = long & (place <= prefix) & (level >= FREQUENT)
+    at, step = np.flatnonzero(often), 1
+    while len(at):
+        at = at[at + step < len(grams)]
+        at = at[often[at + step] & (which[at + step] == which[at])]
+        found.append((mix64(grams[at] * np.uint64(3) + mix64(grams[at + step])), which[at], place[at]))
+        step += 1
+    short = np.flatnonzero(sizes < SMALLEST)
+    found.append((mix64(dig[short]), short, np.zeros(len(short), np.int64)))
+    return tuple(np.concatenate([f[i] for f in found]) for i in range(3))
+
+
+def _deal(shared, gram: int, buckets: int):
+    """(_doc, _text) -> packed records of each bucket of keys: key, parity, digest and line, document,
+    size, place and whether it is the line's first. A line whose set an earlier one of the batch has
+    is settled here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = shared.value
         for batch in batches:
             docs = batch.column(0).to_numpy(zero_copy_only=False)
-            parts = []
+            parts, shift = [], 0
             for first_row, _, offsets, data in blocks(batch.column(1)):
-                row, line, sizes, grams, at, words, which = line_sets(offsets, data, gram)
-                level = rarity[_slots(words)].astype(np.int64)
-                # a pair's order is by both words; a line of one word has no partner, its order only has to be its own
+                row, line, first, words = line_words(offsets, data)
+                if not len(row):
+                    continue
+                grams, which, at = line_tokens(words, first, gram)
+                level = rarity[_slots(words)]
                 if gram == PAIR:
-                    level = level + level[np.minimum(np.arange(1, len(words) + 1), len(words) - 1)]
-                rank = (level[at].astype(np.uint64) << np.uint64(40)) | (mix64(grams) >> np.uint64(24))
-                key = np.stack([np.add.reduceat(mix64(grams ^ np.uint64(s)), np.cumsum(sizes) - sizes) for s in (17, 71)]) if len(sizes) else np.zeros((2, 0), np.uint64)
-                order = np.lexsort((rank, which))
+                    level = np.minimum(level, np.append(level[1:], level[-1:]))
+                level = level[at]
+                order = in_order(grams, which, level)
+                grams, which, level = grams[order], which[order], level[order]
+                sizes = np.bincount(which, minlength=len(row))
                 begin = np.cumsum(sizes) - sizes
-                place = np.arange(len(order)) - begin[which[order]]
-                prefix = sizes - -(-NUM * sizes // DEN) + 1
-                kept = place < prefix[which[order]]
-                parts.append((docs[row + first_row], line, sizes, key, grams[order][kept], place[kept], which[order][kept]))
+                parity = np.bitwise_xor.reduceat(np.uint64(1) << (mix64(grams ^ np.uint64(5)) >> np.uint64(58)), begin)
+                dig = np.add.reduceat(mix64(grams ^ np.uint64(17)), begin)
+                key, owner, place = _records(grams, which, level, sizes, dig)
+                parts.append((docs[row + first_row], line, sizes, dig, parity, key, owner + shift, place))
+                shift += len(row)
             if not parts:
                 continue
-            doc, line, sizes = (np.concatenate([p[i] for p in parts]) for i in range(3))
-            key = np.concatenate([p[3] for p in parts], axis=1)
-            shift = np.cumsum([0, *(len(p[0]) for p in parts)])
-            grams, place = (np.concatenate([p[i] for p in parts]) for i in (4, 5))
-            which = np.concatenate([p[6] + s for p, s in zip(parts, shift, strict=False)])
-            order = np.lexsort((line, doc, key[1], key[0]))
+            doc, line, sizes, dig, parity, key, owner, place = (np.concatenate([p[i] for p in parts]) for i in range(8))
+            order = np.lexsort((line, doc, sizes, parity, dig))
             new = np.ones(len(order), bool)
-            new[1:] = (key[:, order][:, 1:] != key[:, order][:, :-1]).any(axis=0)
+            new[1:] = (dig[order][1:] != dig[order][:-1]) | (parity[order][1:] != parity[order][:-1]) | (sizes[order][1:] != sizes[order][:-1])
             lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-            again = np.zeros(len(order), bool)
-            again[order] = (doc[order] != doc[lead]) | (line[order] != line[lead])
-            live = ~again[which]
-            gone = np.flatnonzero(again)
-            token = np.concatenate((grams[live], mix64(key[0][gone] + gone.astype(np.uint64))))
-            owner = np.concatenate((which[live], gone))
-            size = np.where(np.arange(len(owner)) < live.sum(), sizes[owner], 0)
-            spot = np.concatenate((place[live], np.zeros(len(gone), np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(doc[owner]), pa.array(line[owner] << 32 | spot), pa.array(size)], names=["_token", "_doc", "_at", "_n"])
+            live = np.zeros(len(order), bool)
+            live[order[new]] = True
+            gone = order[(doc[order] != doc[lead]) | (line[order] != line[lead])]
+            kept = live[owner]
+            key, owner, place = key[kept] >> np.uint64(16), owner[kept], place[kept]
+            head = np.zeros(len(owner), np.int64)
+            head[np.unique(owner, return_index=True)[1]] = 1
+            bucket = (key % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            key, owner, place, head = key[order], owner[order], place[order], head[order]
+            table = np.stack([key.view(np.int64), parity[owner].view(np.int64), (dig[owner] >> np.uint64(32) << np.uint64(32)).view(np.int64) | line[owner], doc[owner], sizes[owner] << 32 | place << 1 | head])
+            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            used = np.flatnonzero(np.diff(cuts))
+            rows = [(b, int(cuts[b + 1] - cuts[b]), pack(table[:, cuts[b] : cuts[b + 1]])) for b in used.tolist()]
+            if len(gone):
+                rows.append((int(gone[0]) % buckets, -len(gone), pack(np.stack([doc[gone], line[gone]]))))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["_bucket", "_n", "_blob"])
 
     return run
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(_doc, _text, _list of line numbers) -> those lines."""
+FOUND = "_doc long, _line long, _odoc long, _oline long, _more boolean"
+
+
+def _found(doc=(), line=(), odoc=None, oline=None, more=None) -> pa.RecordBatch:
+    n = len(doc)
+    other = [pa.nulls(n, pa.int64()) if x is None else pa.array(x, pa.int64()) for x in (odoc, oline)]
+    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(line, pa.int64()), *other, pa.array(np.zeros(n, bool) if more is None else more)], names=[c.split()[0] for c in FOUND.split(", ")])
+
+
+def _likest(held: list[tuple[np.ndarray, ...]]) -> list[tuple[np.ndarray, ...]]:
+    """Of pairs (later, earlier, bits apart, key, more) the FIRST_TRIED of each line and key with fewest
+    bits apart; ``more`` of the first of them tells that others were left out."""
+    if not held:
+        return []
+    late, early, apart, key, more = (np.concatenate([h[i] for h in held]) for i in range(5))
+    order = np.lexsort((early, apart, key, late))
+    late, early, apart, key, more = late[order], early[order], apart[order], key[order], more[order]
+    begin = np.flatnonzero(np.concatenate(([True], (late[1:] != late[:-1]) | (key[1:] != key[:-1])))[: len(late)])
+    at = np.arange(len(late)) - np.repeat(begin, np.diff(np.append(begin, len(late))))
+    left_out = np.maximum.reduceat(more | (at >= FIRST_TRIED), begin) if len(begin) else more
+    more = np.zeros(len(late), bool)
+    more[begin] = left_out
+    kept = at < FIRST_TRIED
+    return [(late[kept], early[kept], apart[kept], key[kept], more[kept])]
+
+
+def _once(records: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of records of a key with equal sets the earliest, all in order of key and size; and the lines of the others."""
+    order = np.lexsort((records[2] & 0xFFFFFFFF, records[3], records[2] >> 32, records[1], records[4] >> 32, records[0]))
+    records = records[:, order]
+    same = np.zeros(len(order), bool)
+    same[1:] = ((records[[0, 1], 1:] == records[[0, 1], :-1]).all(axis=0)) & (records[2, 1:] >> 32 == records[2, :-1] >> 32) & (records[4, 1:] >> 32 == records[4, :-1] >> 32)
+    doc, line = records[3], records[2] & 0xFFFFFFFF
+    lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
+    gone = np.flatnonzero(same & (records[4] & 1 == 1) & ((doc != doc[lead]) | (line != line[lead])))
+    return records[:, ~same], doc[gone], line[gone]
+
+
+def _pairs(records: np.ndarray, exact: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """Pairs of a line and an earlier one that may be alike, of a bucket's records as ``_once`` orders them.
+
+    Records of a key are in order of size, so that the length filter ends the search.
+    With the positional filter goes one of parities: each token that only one of two
+    sets has turns one of 64 bits, so more bits than the sets may differ in tell them
+    apart. ``exact`` tells the lines of which all pairs are wanted.
+    """
+    key, parity, doc, line = records[0], records[1].view(np.uint64), records[3], records[2] & 0xFFFFFFFF
+    place, size = (records[4] >> 1) & 0x7FFFFFFF, records[4] >> 32
+    at, step, held, n_held = np.arange(len(key)), 1, [], 0
+    while len(at):
+        at = at[at >= step]
+        other = at - step
+        near = (key[at] == key[other]) & (size[other] * DEN >= size[at] * NUM)
+        at, other = at[near], other[near]
+        total = size[at] + size[other]
+        need = required(total)
+        apart = np.bitwise_count(parity[at] ^ parity[other]).astype(np.int64)
+        fits = (np.minimum(size[at] - place[at], size[other] - place[other]) >= need) & (apart <= total - 2 * need)
+        fits &= (doc[at] != doc[other]) | (line[at] != line[other])
+        a, b, apart = at[fits], other[fits], apart[fits]
+        swap = (doc[a] < doc[b]) | ((doc[a] == doc[b]) & (line[a] < line[b]))
+        late, early = np.where(swap, b, a), np.where(swap, a, b)
+        step += 1
+        if exact is not None:
+            wanted = _needs(exact, doc[late], line[late])
+            late, early = late[wanted], early[wanted]
+            if len(late):
+                yield _found(doc[late], line[late], doc[early], line[early])
+        elif len(late):
+            held.append((late, early, apart, key[late], np.zeros(len(late), bool)))
+            n_held += len(late)
+            if n_held > HELD:
+                held = _likest(held)
+                n_held = len(held[0][0]) if len(held[0][0]) < HELD // 2 else 0
+    for late, early, _, _, more in _likest(held):
+        yield _found(doc[late], line[late], doc[early], line[early], more)
+
+
+def _candidates(exact=None):
+    """Sorted (_bucket, _n, _blob) -> FOUND. Records of equal sets are folded as they come in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = exact.value if exact else None
+        open_bucket, held, n_held = None, [], 0
+
+        def fold() -> tuple[list, list]:
+            records, doc, line = _once(np.concatenate(held, axis=1))
+            return [records], [_found(doc, line)] if len(doc) and table is None else []
+
+        for batch in batches:
+            for bucket, n, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if bucket != open_bucket:
+                    if held:
+                        held, out = fold()
+                        yield from out
+                        yield from _pairs(held[0], table)
+                    open_bucket, held, n_held = bucket, [], 0
+                if n < 0:
+                    if table is None:
+                        yield _found(*unpack(blob.as_buffer(), 2, -n))
+                    continue
+                held.append(unpack(blob.as_buffer(), 5, n))
+                n_held += n
+                if n_held > 2 * BUCKET:
+                    held, out = fold()
+                    yield from out
+                    n_held = min(held[0].shape[1], BUCKET)
+        if held:
+            held, out = fold()
+            yield from out
+            yield from _pairs(held[0], table)
+
+    return run
+
+
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(_doc, _line) -> words of the table of NEED_BITS bits, and their bits."""
     for batch in batches:
-        offsets, data = rows_bytes(batch.column(1))
-        lists = batch.column(2)
-        parents = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
-        numbers = lists.flatten().to_numpy(zero_copy_only=False)
-        texts = []
-        last, cuts, own = -1, None, None
-        for p, n in zip(parents.tolist(), numbers.tolist(), strict=True):
-            if p != last:
-                own = data[offsets[p] : offsets[p + 1]]
-                cuts, last = np.concatenate(([-1], np.flatnonzero(own == 10), [len(own)])), p
-            texts.append(own[cuts[n] + 1 : cuts[n + 1]].tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(parents)), pa.array(numbers), pa.array(texts, pa.binary())], names=["_doc", "_line", "_text"])
-
-
-def _token_sets(texts: pa.Array, gram: int) -> list[np.ndarray]:
-    found = [np.empty(0, np.uint64)] * len(texts)
-    for first, _, offsets, data in blocks(texts):
-        row, _, sizes, grams, *_ = line_sets(offsets, data, gram)
-        for r, a, b in zip(row.tolist(), (np.cumsum(sizes) - sizes).tolist(), np.cumsum(sizes).tolist(), strict=True):
-            found[first + r] = grams[a:b]
-    return found
+        doc, line = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns)
+        at = np.unique((_line_hash(doc, line) & np.uint64(NEED_BITS - 1)).astype(np.int64))
+        word, first = np.unique(at >> 6, return_index=True)
+        bits = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first) if len(at) else np.zeros(0, np.uint64)
+        yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bits.view(np.int64))], names=["_word", "_bits"])
+
+
+def bit_table(lines: DataFrame) -> np.ndarray:
+    """A table of NEED_BITS bits with one set for each (_doc, _line)."""
+    found = lines.mapInArrow(_bits, "_word long, _bits long").groupBy("_word").agg(F.bit_or("_bits").alias("_bits")).toArrow()
+    table = np.zeros(NEED_BITS // 64, np.uint64)
+    table[np.asarray(found.column(0), np.int64)] = np.asarray(found.column(1), np.int64).view(np.uint64)
+    return table
+
+
+def _lines(shared):
+    """(_doc, _text) -> the lines whose bit is set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs = batch.column(0).to_numpy(zero_copy_only=False)
+            for first, end, offsets, data in blocks(batch.column(1)):
+                cuts = np.flatnonzero(data == 10)
+                row = np.concatenate((np.arange(end - first), np.searchsorted(offsets, cuts, "right") - 1))
+                starts = np.concatenate((offsets[:-1], cuts + 1))
+                order = np.lexsort((starts, row))
+                row, starts = row[order], starts[order]
+                new = np.concatenate(([True], row[1:] != row[:-1]))
+                line = np.arange(len(row)) - np.maximum.accumulate(np.where(new, np.arange(len(row)), 0))
+                ends = np.append(starts[1:] - 1, offsets[-1])
+                ends = np.where(np.append(new[1:], True), offsets[row + 1], ends)
+                hit = np.flatnonzero(_needs(shared.value, docs[first + row], line))
+                raw = data.tobytes()
+                texts = [raw[a:b] for a, b in zip(starts[hit].tolist(), ends[hit].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(docs[first + row[hit]], pa.int64()), pa.array(line[hit]), pa.array(texts, pa.binary())], names=["_doc", "_line", "_text"])
+
+    return run
+
+
+def token_set(line: bytes, gram: int) -> frozenset:
+    words = line.translate(LOWER_TABLE).split()
+    return frozenset(zip(words, words[1:], strict=False)) if gram == PAIR and len(words) > 1 else frozenset(words)
 
 
 def _verify(gram: int):
+    """(_doc, _line, _more, _text, _otext) -> the same lines, and if their sets are alike."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(_token_sets(batch.column(2), gram), _token_sets(batch.column(3), gram), strict=True):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(DEN * both >= NUM * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["_doc", "_line"]).filter(pa.array(keep, pa.bool_()))
+            good = []
+            for x, y in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                x, y = token_set(x, gram), token_set(y, gram)
+                both = len(x & y)
+                good.append(DEN * both >= NUM * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(good, pa.bool_())], names=["_doc", "_line", "_more", "_good"])
 
     return run
 
 
 def alike(texts: DataFrame, pairs: DataFrame, gram: int) -> DataFrame:
-    """Of pairs (_doc, _line, _odoc, _oline), the (_doc, _line) whose token sets are alike."""
-    other = texts.select(F.col("_doc").alias("_odoc"), F.col("_line").alias("_oline"), F.col("_text").alias("_otext"))
-    rows = pairs.join(texts, ["_doc", "_line"]).join(other, ["_odoc", "_oline"]).select("_doc", "_line", "_text", "_otext")
-    return rows.mapInArrow(_verify(gram), "_doc long, _line long").distinct()
+    """Lines of the pairs: whether they are like a partner, and if not whether others are left."""
+    lines = texts.mapInArrow(_lines(_share(bit_table(pairs.select("_doc", "_line").union(pairs.select("_odoc", "_oline"))), texts)), "_doc long, _line long, _text binary")
+    other = lines.select(F.col("_doc").alias("_odoc"), F.col("_line").alias("_oline"), F.col("_text").alias("_otext"))
+    rows = pairs.join(lines, ["_doc", "_line"]).join(other, ["_odoc", "_oline"]).select("_doc", "_line", "_more", "_text", "_otext")
+    judged = rows.mapInArrow(_verify(gram), "_doc long, _line long, _more boolean, _good boolean")
+    return judged.groupBy("_doc", "_line").agg(F.max("_good").alias("_good"), F.max("_more").alias("_more"))
 
 
-def fits(n: Column, other: Column, place: Column, other_place: Column) -> Column:
-    """Length and positional filters: what the two sets may still share from this token on."""
-    return F.least(n - place, other - other_place) * (NUM + DEN) >= (n + other) * NUM
+def _share(table: np.ndarray, df: DataFrame):
+    return df.sparkSession.sparkContext.broadcast(table)
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = PAIR) -> DataFrame:
@@ -174,49 +417,46 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lower-cased A-Z.
 
     1. Word counts (a table of fixed size) order the tokens of a line by rarity.
-    2. Each line's rarest tokens, as many as two alike lines can't both miss, are
-       dealt out by token. Lines equal to one of the same batch are settled before.
-       A row ends there if no other line of its token is of like size; in order of
-       size, one of its neighbours is the likest.
-    3. The texts of lines that share a token are written out, in one join with the
-       documents. Each such line is held against the earliest line of its tokens,
-       within the length and positional filters, and verified on its text. This
-       settles large groups in as many steps as they have lines.
-    4. Lines that are still unsettled are held against all earlier ones.
+    2. The keys of a line are the tokens of its prefix: as many of its rarest as two
+       alike lines can't both miss. Tokens that occur once are no keys, frequent ones
+       are keys only two by two. Records of keys are dealt to buckets as packed arrays;
+       lines of equal sets (size, 32 bits of a sum and 64 of parities of hashes, beside
+       the key) are settled there.
+    3. Within a key, length, positional and parity filters leave pairs. Each line's
+       likest earlier ones, FIRST_TRIED of a key, are verified on the words of their
+       texts; only lines that need it are read out of the documents. This spares the
+       pairs of large groups of alike lines.
+    4. Of lines that none of those is like, but that have more, all pairs are verified.
 
     Returns ``doc_id, n_lines, removed`` for each row, the removed line numbers from
     0, sorted. Null text has one empty line. Lines without words stay. Rows without
     id are compared with nothing; rows that repeat an id share its removed lines.
+    Of equal lines all but the earliest go. Texts are cut into lines within their
+    Arrow batch, so the longest text bounds memory. Other columns aren't looked at.
     """
+    spark = docs.sparkSession
     every = docs.select(F.col(id_col).cast("long").alias("_doc"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     texts = every.filter("_doc is not null")
-    shared = docs.sparkSession.sparkContext.broadcast(word_rarity(texts))
-    marked = texts.mapInArrow(_prefixes(shared, gram), "_token long, _doc long, _at long, _n long")
-    group = Window.partitionBy("_token")
-    line, place = F.shiftright("_at", 32), F.col("_at").bitwiseAND(F.lit(0xFFFFFFFF))
-    size = group.orderBy("_n")
-    near = (F.lag("_n").over(size) * DEN >= F.col("_n") * NUM) | (F.col("_n") * DEN >= F.lead("_n").over(size) * NUM)
-    counted = marked.withColumn("_near", F.coalesce(near, F.lit(False))).filter("_near or _n = 0").withColumn("_first", F.min(F.struct("_doc", "_at", "_n")).over(group))
-    rows = settle(counted.select("_token", "_doc", line.alias("_line"), place.alias("_place"), "_n", F.col("_first._doc").alias("_odoc"), F.shiftright("_first._at", 32).alias("_oline"), F.col("_first._at").bitwiseAND(F.lit(0xFFFFFFFF)).alias("_oplace"), F.col("_first._n").alias("_on")))
-    removed = rows.filter("_n = 0").select("_doc", "_line")
-    live = rows.filter("_n > 0 and _on > 0")
-    apart = (F.col("_doc") != F.col("_odoc")) | (F.col("_line") != F.col("_oline"))
-    pairs = live.filter(apart & fits(F.col("_n"), F.col("_on"), F.col("_place"), F.col("_oplace"))).select("_doc", "_line", "_odoc", "_oline").distinct()
-    needed = live.select("_doc", "_line").union(live.select("_odoc", "_oline")).groupBy("_doc").agg(F.collect_set("_line").alias("_list"))
-    stored = Stored(texts.join(needed, "_doc").select("_doc", "_text", "_list").mapInArrow(_lines, "_doc long, _line long, _text binary"))
-    once = settle(alike(stored.df, pairs, gram))
-    open_rows = live.filter(apart).join(once, ["_doc", "_line"], "left_anti").select("_token", "_doc", "_line", "_place", "_n", "_odoc", "_oline")
-    earlier = live.filter(apart).select(F.col("_token").alias("_t"), F.col("_doc").alias("_d"), F.col("_line").alias("_l"), F.col("_place").alias("_p"), F.col("_n").alias("_m"))
-    before = (F.col("_d") < F.col("_doc")) | ((F.col("_d") == F.col("_doc")) & (F.col("_l") < F.col("_line")))
-    more = open_rows.join(earlier, (F.col("_token") == F.col("_t")) & before & fits(F.col("_n"), F.col("_m"), F.col("_place"), F.col("_p")))
-    more = settle(more.select("_doc", "_line", F.col("_d").alias("_odoc"), F.col("_l").alias("_oline")).distinct())
-    found = removed.union(once)
-    if not more.isEmpty():
-        found = found.union(settle(alike(stored.df, more, gram)))
-    stored.drop()
-    by_doc = found.groupBy("_doc").agg(F.array_sort(F.collect_set("_line")).alias("removed"))
+    rarity, n_words = word_rarity(texts)
+    shared = _share(rarity, texts)
+    buckets = max(4 * partitions(spark), n_words // (4 * BUCKET))
+    dealt = texts.mapInArrow(_deal(shared, gram, buckets), "_bucket long, _n long, _blob binary")
+    dealt = dealt.repartition(max(partitions(spark), buckets // 4), "_bucket").sortWithinPartitions("_bucket")
+    found = Stored(dealt.mapInArrow(_candidates(), FOUND))
+    pairs = found.df.filter("_odoc is not null").groupBy("_doc", "_line", "_odoc", "_oline").agg(F.max("_more").alias("_more"))
+    first = Stored(alike(texts, pairs, gram))
+    gone = found.df.filter("_odoc is null").select("_doc", "_line").union(first.df.filter("_good").select("_doc", "_line"))
+    undecided = first.df.filter("_more and not _good").select("_doc", "_line")
+    if not undecided.isEmpty():
+        rest = dealt.mapInArrow(_candidates(_share(bit_table(undecided), texts)), FOUND).distinct()
+        rest = rest.join(undecided, ["_doc", "_line"], "left_semi")
+        gone = gone.union(alike(texts, rest, gram).filter("_good").select("_doc", "_line"))
+    by_doc = gone.groupBy("_doc").agg(F.array_sort(F.collect_set("_line")).alias("removed"))
+    result = Stored(by_doc)
+    found.drop()
+    first.drop()
     counts = every.select("_doc", (F.length("_text") - F.length(F.replace("_text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"))
-    return counts.join(by_doc, "_doc", "left").select(F.col("_doc").alias(id_col), "n_lines", F.coalesce("removed", F.array().cast("array<bigint>")).alias("removed"))
+    return counts.join(result.df, "_doc", "left").select(F.col("_doc").alias(id_col), "n_lines", F.coalesce("removed", F.array().cast("array<bigint>")).alias("removed"))
 
 
 def drop_lines(text: Column, removed: Column) -> Column:

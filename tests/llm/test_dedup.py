@@ -201,3 +201,48 @@ def test_line_query_takes_single_words(spark, make, tmp_path):
     make(rows).write.parquet(f"{tmp_path}/documents.parquet")
     found = {r.doc_id: (r.n_removed, r.removed_sha256) for r in QUERIES["op2_line_dedup"](spark, str(tmp_path)).collect()}
     assert found == {i: (len(x), hashlib.sha256(",".join(map(str, x)).encode()).hexdigest()) for i, x in expected.items()}
+
+
+class Table:
+    def __init__(self, value):
+        self.value = value
+
+
+@pytest.mark.parametrize("frequent, tried, level", [(80, 4, 10), (80, 4, 90), (60, 1, None), (20, 1, None)])
+def test_line_keys_miss_no_like_pair(monkeypatch, frequent, tried, level):
+    """Frequent words, hot keys and few first tries: all like pairs are found in the end, equal lines at once."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(line_dedup, "FREQUENT", frequent)
+    monkeypatch.setattr(line_dedup, "FIRST_TRIED", tried)
+    monkeypatch.setattr(line_dedup, "HELD", 50)
+    monkeypatch.setattr(line_dedup, "BUCKET", 40)
+    rng = random.Random(9)
+    base = [[rng.choice(VOCABULARY[:80]) for _ in range(rng.choice((1, 3, 6, 7, 14, 30, 60)))] for _ in range(20)]
+    lines = []
+    for _ in range(300):
+        own = list(rng.choice(base))
+        for _ in range(rng.choice((0, 0, 1, 1, 2, 4))):
+            own[rng.randrange(len(own))] = rng.choice(VOCABULARY)
+        lines.append(" ".join(own))
+    rarity = np.full(line_dedup.SLOTS, level, np.uint8) if level else np.random.default_rng(3).integers(9, 100, line_dedup.SLOTS).astype(np.uint8)
+    ids = list(range(300))
+    rng.shuffle(ids)
+    batches = [pa.RecordBatch.from_arrays([pa.array(ids[k : k + 60]), pa.array(lines[k : k + 60])], names=["_doc", "_text"]) for k in range(0, 300, 60)]
+    dealt = pa.Table.from_batches(list(line_dedup._deal(Table(rarity), line_dedup.WORD, 3)(iter(batches)))).sort_by("_bucket").combine_chunks().to_batches()
+
+    def run(exact=None):
+        rows = [tuple(r.values()) for b in line_dedup._candidates(exact)(iter(dealt)) for r in b.to_pylist()]
+        return {r[0] for r in rows if r[2] is None}, {(r[0], r[2]) for r in rows if r[2] is not None}, {r[0] for r in rows if r[4]}
+
+    sets = {i: frozenset(t.split()) for i, t in zip(ids, lines, strict=True)}
+    firsts = {s: min(i for i in sets if sets[i] == s) for s in sets.values()}
+    like = {(a, b) for a in sets for b in sets if b < a and firsts[sets[a]] == a and firsts[sets[b]] == b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    gone, pairs, more = run()
+    assert gone == {i for i, s in sets.items() if firsts[s] != i}
+    missed = {p for p in like - pairs if p[0] not in {a for a, _ in like & pairs}}
+    assert {a for a, _ in missed} <= more
+    everything = np.full(line_dedup.NEED_BITS // 64, ~np.uint64(0))
+    assert like <= run(Table(everything))[1]
+    assert len(like) > 100
