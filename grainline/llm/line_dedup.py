@@ -20,11 +20,13 @@ SMALLEST = -(-NUM // (DEN - NUM))
 SLOTS, PARTS = 1 << 22, 64
 #: Levels (see ``word_rarity``) of words that occur once, and of words that are keys only two by two.
 ONCE, FREQUENT = 8, 80
+#: Sets of so many tokens have two more words of parities, and columns of records.
+LONG, COLUMNS = 64, 7
 #: Bits of the table that tells which lines' texts are needed, whatever the input.
 NEED_BITS = 1 << 26
-#: Likest earlier lines that are tried first, of each line and key; the rest only if all of them fail.
-FIRST_TRIED = 4
-#: Records of a bucket that are looked for, and pairs held before they are cut to FIRST_TRIED.
+#: Likest earlier lines of each line and key that are tried first; the rest is looked up only if they fail.
+KEPT = 3
+#: Records of a bucket that are looked for, and pairs held before they are cut to KEPT.
 BUCKET, HELD = 1_500_000, 4_000_000
 BREAK = byte_set(b"\n")
 LOWER_TABLE = LOWER.tobytes()
@@ -161,10 +163,10 @@ def _records(grams: np.ndarray, which: np.ndarray, level: np.ndarray, sizes: np.
     return tuple(np.concatenate([f[i] for f in found]) for i in range(3))
 
 
-def _deal(shared, gram: int, buckets: int):
-    """(_doc, _text) -> packed records of each bucket of keys: key, parity, digest and line, document,
-    size, place and whether it is the line's first. A line whose set an earlier one of the batch has
-    is settled here."""
+def _deal(shared, gram: int, buckets: int, only=None):
+    """(_doc, _text) -> packed records of each bucket of keys: key, three words of parities, digest and
+    line, document, size, place and whether it is the line's first. A line whose set an earlier one of the batch has
+    is settled here. ``only`` tells the keys that are wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = shared.value
@@ -184,50 +186,57 @@ def _deal(shared, gram: int, buckets: int):
                 grams, which, level = grams[order], which[order], level[order]
                 sizes = np.bincount(which, minlength=len(row))
                 begin = np.cumsum(sizes) - sizes
-                parity = np.bitwise_xor.reduceat(np.uint64(1) << (mix64(grams ^ np.uint64(5)) >> np.uint64(58)), begin)
+                hashed = mix64(grams ^ np.uint64(5))
+                parity = np.stack([np.bitwise_xor.reduceat(np.uint64(1) << (hashed << np.uint64(6 * i) >> np.uint64(58)), begin) for i in range(3)])
+                parity[1:, sizes < LONG] = 0
                 dig = np.add.reduceat(mix64(grams ^ np.uint64(17)), begin)
                 key, owner, place = _records(grams, which, level, sizes, dig)
                 parts.append((docs[row + first_row], line, sizes, dig, parity, key, owner + shift, place))
                 shift += len(row)
             if not parts:
                 continue
-            doc, line, sizes, dig, parity, key, owner, place = (np.concatenate([p[i] for p in parts]) for i in range(8))
-            order = np.lexsort((line, doc, sizes, parity, dig))
+            doc, line, sizes, dig, parity, key, owner, place = (np.concatenate([p[i] for p in parts], axis=-1) for i in range(8))
+            order = np.lexsort((line, doc, sizes, parity[0], dig))
             new = np.ones(len(order), bool)
-            new[1:] = (dig[order][1:] != dig[order][:-1]) | (parity[order][1:] != parity[order][:-1]) | (sizes[order][1:] != sizes[order][:-1])
+            new[1:] = (dig[order][1:] != dig[order][:-1]) | (parity[0, order][1:] != parity[0, order][:-1]) | (sizes[order][1:] != sizes[order][:-1])
             lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
             live = np.zeros(len(order), bool)
             live[order[new]] = True
             gone = order[(doc[order] != doc[lead]) | (line[order] != line[lead])]
             kept = live[owner]
             key, owner, place = key[kept] >> np.uint64(16), owner[kept], place[kept]
+            if only:
+                kept = _needs(only.value, key, np.zeros(len(key), np.int64))
+                key, owner, place = key[kept], owner[kept], place[kept]
             head = np.zeros(len(owner), np.int64)
             head[np.unique(owner, return_index=True)[1]] = 1
             bucket = (key % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             key, owner, place, head = key[order], owner[order], place[order], head[order]
-            table = np.stack([key.view(np.int64), parity[owner].view(np.int64), (dig[owner] >> np.uint64(32) << np.uint64(32)).view(np.int64) | line[owner], doc[owner], sizes[owner] << 32 | place << 1 | head])
+            table = np.stack([key.view(np.int64), *parity[:, owner].view(np.int64), (dig[owner] >> np.uint64(32) << np.uint64(32)).view(np.int64) | line[owner], doc[owner], sizes[owner] << 32 | place << 1 | head])
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             used = np.flatnonzero(np.diff(cuts))
             rows = [(b, int(cuts[b + 1] - cuts[b]), pack(table[:, cuts[b] : cuts[b + 1]])) for b in used.tolist()]
-            if len(gone):
+            if len(gone) and not only:
                 rows.append((int(gone[0]) % buckets, -len(gone), pack(np.stack([doc[gone], line[gone]]))))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["_bucket", "_n", "_blob"])
 
     return run
 
 
-FOUND = "_doc long, _line long, _odoc long, _oline long, _more boolean"
+FOUND = "_doc long, _line long, _odoc long, _oline long, _key long"
 
 
-def _found(doc=(), line=(), odoc=None, oline=None, more=None) -> pa.RecordBatch:
+def _found(doc=(), line=(), odoc=None, oline=None, key=None, more=None) -> pa.RecordBatch:
+    """Settled lines, or pairs; ``_key`` names a key with more pairs than are kept."""
     n = len(doc)
     other = [pa.nulls(n, pa.int64()) if x is None else pa.array(x, pa.int64()) for x in (odoc, oline)]
-    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(line, pa.int64()), *other, pa.array(np.zeros(n, bool) if more is None else more)], names=[c.split()[0] for c in FOUND.split(", ")])
+    key = pa.nulls(n, pa.int64()) if key is None else pa.array(key, pa.int64(), mask=~more)
+    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(line, pa.int64()), *other, key], names=[c.split()[0] for c in FOUND.split(", ")])
 
 
 def _likest(held: list[tuple[np.ndarray, ...]]) -> list[tuple[np.ndarray, ...]]:
-    """Of pairs (later, earlier, bits apart, key, more) the FIRST_TRIED of each line and key with fewest
+    """Of pairs (later, earlier, bits apart, key, more) the KEPT of each line and key with fewest
     bits apart; ``more`` of the first of them tells that others were left out."""
     if not held:
         return []
@@ -236,22 +245,24 @@ def _likest(held: list[tuple[np.ndarray, ...]]) -> list[tuple[np.ndarray, ...]]:
     late, early, apart, key, more = late[order], early[order], apart[order], key[order], more[order]
     begin = np.flatnonzero(np.concatenate(([True], (late[1:] != late[:-1]) | (key[1:] != key[:-1])))[: len(late)])
     at = np.arange(len(late)) - np.repeat(begin, np.diff(np.append(begin, len(late))))
-    left_out = np.maximum.reduceat(more | (at >= FIRST_TRIED), begin) if len(begin) else more
+    left_out = np.maximum.reduceat(more | (at >= KEPT), begin) if len(begin) else more
     more = np.zeros(len(late), bool)
     more[begin] = left_out
-    kept = at < FIRST_TRIED
+    kept = at < KEPT
     return [(late[kept], early[kept], apart[kept], key[kept], more[kept])]
 
 
 def _once(records: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of records of a key with equal sets the earliest, all in order of key and size; and the lines of the others."""
-    order = np.lexsort((records[2] & 0xFFFFFFFF, records[3], records[2] >> 32, records[1], records[4] >> 32, records[0]))
+    key, parity, _, _, tail, doc, size = records
+    order = np.lexsort((tail & 0xFFFFFFFF, doc, tail >> 32, parity, size >> 32, key))
     records = records[:, order]
+    key, parity, _, _, tail, doc, size = records
     same = np.zeros(len(order), bool)
-    same[1:] = ((records[[0, 1], 1:] == records[[0, 1], :-1]).all(axis=0)) & (records[2, 1:] >> 32 == records[2, :-1] >> 32) & (records[4, 1:] >> 32 == records[4, :-1] >> 32)
-    doc, line = records[3], records[2] & 0xFFFFFFFF
+    same[1:] = (key[1:] == key[:-1]) & (parity[1:] == parity[:-1]) & (tail[1:] >> 32 == tail[:-1] >> 32) & (size[1:] >> 32 == size[:-1] >> 32)
+    line = tail & 0xFFFFFFFF
     lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-    gone = np.flatnonzero(same & (records[4] & 1 == 1) & ((doc != doc[lead]) | (line != line[lead])))
+    gone = np.flatnonzero(same & (size & 1 == 1) & ((doc != doc[lead]) | (line != line[lead])))
     return records[:, ~same], doc[gone], line[gone]
 
 
@@ -260,11 +271,11 @@ def _pairs(records: np.ndarray, exact: np.ndarray | None) -> Iterator[pa.RecordB
 
     Records of a key are in order of size, so that the length filter ends the search.
     With the positional filter goes one of parities: each token that only one of two
-    sets has turns one of 64 bits, so more bits than the sets may differ in tell them
-    apart. ``exact`` tells the lines of which all pairs are wanted.
+    sets has turns one of 64 bits (of each of three words in LONG sets), so more bits
+    than the sets may differ in tell them apart. ``exact`` tells the lines of which all pairs are wanted.
     """
-    key, parity, doc, line = records[0], records[1].view(np.uint64), records[3], records[2] & 0xFFFFFFFF
-    place, size = (records[4] >> 1) & 0x7FFFFFFF, records[4] >> 32
+    key, parity, doc, line = records[0], records[1:4].view(np.uint64), records[5], records[4] & 0xFFFFFFFF
+    place, size = (records[6] >> 1) & 0x7FFFFFFF, records[6] >> 32
     at, step, held, n_held = np.arange(len(key)), 1, [], 0
     while len(at):
         at = at[at >= step]
@@ -273,10 +284,16 @@ def _pairs(records: np.ndarray, exact: np.ndarray | None) -> Iterator[pa.RecordB
         at, other = at[near], other[near]
         total = size[at] + size[other]
         need = required(total)
-        apart = np.bitwise_count(parity[at] ^ parity[other]).astype(np.int64)
-        fits = (np.minimum(size[at] - place[at], size[other] - place[other]) >= need) & (apart <= total - 2 * need)
+        fits = np.minimum(size[at] - place[at], size[other] - place[other]) >= need
         fits &= (doc[at] != doc[other]) | (line[at] != line[other])
-        a, b, apart = at[fits], other[fits], apart[fits]
+        a, b, limit = at[fits], other[fits], (total - 2 * need)[fits]
+        apart = np.bitwise_count(parity[0, a] ^ parity[0, b]).astype(np.int64)
+        close = apart <= limit
+        a, b, limit, apart = a[close], b[close], limit[close], apart[close]
+        both = np.minimum(size[a], size[b]) >= LONG
+        far = np.where(both, np.bitwise_count(parity[:, a] ^ parity[:, b]).max(axis=0), apart)
+        close = far <= limit
+        a, b, apart = a[close], b[close], apart[close]
         swap = (doc[a] < doc[b]) | ((doc[a] == doc[b]) & (line[a] < line[b]))
         late, early = np.where(swap, b, a), np.where(swap, a, b)
         step += 1
@@ -291,8 +308,8 @@ def _pairs(records: np.ndarray, exact: np.ndarray | None) -> Iterator[pa.RecordB
             if n_held > HELD:
                 held = _likest(held)
                 n_held = len(held[0][0]) if len(held[0][0]) < HELD // 2 else 0
-    for late, early, _, _, more in _likest(held):
-        yield _found(doc[late], line[late], doc[early], line[early], more)
+    for late, early, _, own, more in _likest(held):
+        yield _found(doc[late], line[late], doc[early], line[early], own, more)
 
 
 def _candidates(exact=None):
@@ -318,7 +335,7 @@ def _candidates(exact=None):
                     if table is None:
                         yield _found(*unpack(blob.as_buffer(), 2, -n))
                     continue
-                held.append(unpack(blob.as_buffer(), 5, n))
+                held.append(unpack(blob.as_buffer(), COLUMNS, n))
                 n_held += n
                 if n_held > 2 * BUCKET:
                     held, out = fold()
@@ -380,27 +397,26 @@ def token_set(line: bytes, gram: int) -> frozenset:
 
 
 def _verify(gram: int):
-    """(_doc, _line, _more, _text, _otext) -> the same lines, and if their sets are alike."""
+    """(_doc, _line, _text, _otext) -> the lines whose sets are alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
-            for x, y in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x, y = token_set(x, gram), token_set(y, gram)
                 both = len(x & y)
                 good.append(DEN * both >= NUM * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(good, pa.bool_())], names=["_doc", "_line", "_more", "_good"])
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["_doc", "_line"]).filter(pa.array(good, pa.bool_()))
 
     return run
 
 
 def alike(texts: DataFrame, pairs: DataFrame, gram: int) -> DataFrame:
-    """Lines of the pairs: whether they are like a partner, and if not whether others are left."""
+    """The (_doc, _line) of pairs that are like their partner."""
     lines = texts.mapInArrow(_lines(_share(bit_table(pairs.select("_doc", "_line").union(pairs.select("_odoc", "_oline"))), texts)), "_doc long, _line long, _text binary")
     other = lines.select(F.col("_doc").alias("_odoc"), F.col("_line").alias("_oline"), F.col("_text").alias("_otext"))
-    rows = pairs.join(lines, ["_doc", "_line"]).join(other, ["_odoc", "_oline"]).select("_doc", "_line", "_more", "_text", "_otext")
-    judged = rows.mapInArrow(_verify(gram), "_doc long, _line long, _more boolean, _good boolean")
-    return judged.groupBy("_doc", "_line").agg(F.max("_good").alias("_good"), F.max("_more").alias("_more"))
+    rows = pairs.join(lines, ["_doc", "_line"]).join(other, ["_odoc", "_oline"]).select("_doc", "_line", "_text", "_otext")
+    return rows.mapInArrow(_verify(gram), "_doc long, _line long").distinct()
 
 
 def _share(table: np.ndarray, df: DataFrame):
@@ -423,10 +439,11 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
        lines of equal sets (size, 32 bits of a sum and 64 of parities of hashes, beside
        the key) are settled there.
     3. Within a key, length, positional and parity filters leave pairs. Each line's
-       likest earlier ones, FIRST_TRIED of a key, are verified on the words of their
-       texts; only lines that need it are read out of the documents. This spares the
-       pairs of large groups of alike lines.
-    4. Of lines that none of those is like, but that have more, all pairs are verified.
+       KEPT likest earlier ones of a key are verified on the words of their texts; only
+       lines that need it are read out of the documents. This spares the pairs of large
+       groups of alike lines.
+    4. Where a key had more for a line and none was like it, the key is dealt out once
+       more, and the line is held against all earlier ones.
 
     Returns ``doc_id, n_lines, removed`` for each row, the removed line numbers from
     0, sorted. Null text has one empty line. Lines without words stay. Rows without
@@ -440,21 +457,27 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rarity, n_words = word_rarity(texts)
     shared = _share(rarity, texts)
     buckets = max(4 * partitions(spark), n_words // (4 * BUCKET))
-    dealt = texts.mapInArrow(_deal(shared, gram, buckets), "_bucket long, _n long, _blob binary")
-    dealt = dealt.repartition(max(partitions(spark), buckets // 4), "_bucket").sortWithinPartitions("_bucket")
-    found = Stored(dealt.mapInArrow(_candidates(), FOUND))
-    pairs = found.df.filter("_odoc is not null").groupBy("_doc", "_line", "_odoc", "_oline").agg(F.max("_more").alias("_more"))
-    first = Stored(alike(texts, pairs, gram))
-    gone = found.df.filter("_odoc is null").select("_doc", "_line").union(first.df.filter("_good").select("_doc", "_line"))
-    undecided = first.df.filter("_more and not _good").select("_doc", "_line")
-    if not undecided.isEmpty():
-        rest = dealt.mapInArrow(_candidates(_share(bit_table(undecided), texts)), FOUND).distinct()
-        rest = rest.join(undecided, ["_doc", "_line"], "left_semi")
-        gone = gone.union(alike(texts, rest, gram).filter("_good").select("_doc", "_line"))
+
+    def candidates(keys=None, lines=None) -> DataFrame:
+        dealt = texts.mapInArrow(_deal(shared, gram, buckets, keys), "_bucket long, _n long, _blob binary")
+        dealt = dealt.repartition(max(partitions(spark), buckets // 4), "_bucket").sortWithinPartitions("_bucket")
+        return dealt.mapInArrow(_candidates(lines), FOUND)
+
+    found = Stored(candidates())
+    both = ["_doc", "_line"]
+    steps = [Stored(alike(texts, found.df.filter("_odoc is not null").select(*both, "_odoc", "_oline").distinct(), gram))]
+    gone = found.df.filter("_odoc is null").select(*both).union(steps[0].df)
+    undecided = Stored(found.df.filter("_key is not null").join(gone, both, "left_anti").select(*both, "_key"))
+    steps.append(undecided)
+    if not undecided.df.isEmpty():
+        keys, lines = (_share(bit_table(undecided.df.select(*c)), texts) for c in ((F.col("_key"), F.lit(0)), both))
+        steps.append(Stored(candidates(keys, lines)))
+        steps.append(Stored(alike(texts, steps[-1].df.select(*both, "_odoc", "_oline").distinct(), gram)))
+        gone = gone.union(steps[-1].df)
     by_doc = gone.groupBy("_doc").agg(F.array_sort(F.collect_set("_line")).alias("removed"))
     result = Stored(by_doc)
-    found.drop()
-    first.drop()
+    for step in (found, *steps):
+        step.drop()
     counts = every.select("_doc", (F.length("_text") - F.length(F.replace("_text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"))
     return counts.join(result.df, "_doc", "left").select(F.col("_doc").alias(id_col), "n_lines", F.coalesce("removed", F.array().cast("array<bigint>")).alias("removed"))
 

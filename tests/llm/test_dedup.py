@@ -215,7 +215,7 @@ def test_line_keys_miss_no_like_pair(monkeypatch, frequent, tried, level):
     import pyarrow as pa
 
     monkeypatch.setattr(line_dedup, "FREQUENT", frequent)
-    monkeypatch.setattr(line_dedup, "FIRST_TRIED", tried)
+    monkeypatch.setattr(line_dedup, "KEPT", tried)
     monkeypatch.setattr(line_dedup, "HELD", 50)
     monkeypatch.setattr(line_dedup, "BUCKET", 40)
     rng = random.Random(9)
@@ -234,7 +234,7 @@ def test_line_keys_miss_no_like_pair(monkeypatch, frequent, tried, level):
 
     def run(exact=None):
         rows = [tuple(r.values()) for b in line_dedup._candidates(exact)(iter(dealt)) for r in b.to_pylist()]
-        return {r[0] for r in rows if r[2] is None}, {(r[0], r[2]) for r in rows if r[2] is not None}, {r[0] for r in rows if r[4]}
+        return {r[0] for r in rows if r[2] is None}, {(r[0], r[2]) for r in rows if r[2] is not None}, {r[0] for r in rows if r[4] is not None}
 
     sets = {i: frozenset(t.split()) for i, t in zip(ids, lines, strict=True)}
     firsts = {s: min(i for i in sets if sets[i] == s) for s in sets.values()}
