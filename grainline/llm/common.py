@@ -25,11 +25,15 @@ def lower_ascii(text: Column) -> Column:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``.
 
-    A folder of this process is used only where it is unset, as in tests.
+    A folder of this process is used only where it is unset and all is local, as in
+    tests: other machines would not see it.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="grainline-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="grainline-"))
     return context.getCheckpointDir()
 
 
@@ -53,5 +57,14 @@ class Stored:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def wrapped(docs: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """Rows as one column beside ``keys``, so that no column of theirs clashes with a name of ours."""
+    return docs.select(F.struct("*").alias("_row"), *(c.alias(n) for n, c in keys.items()))
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    return rows.select("_row.*")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
