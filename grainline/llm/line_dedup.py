@@ -163,10 +163,10 @@ def _records(grams: np.ndarray, which: np.ndarray, level: np.ndarray, sizes: np.
     return tuple(np.concatenate([f[i] for f in found]) for i in range(3))
 
 
-def _deal(shared, gram: int, buckets: int, only=None):
+def _deal(shared, gram: int, buckets: int):
     """(_doc, _text) -> packed records of each bucket of keys: key, three words of parities, digest and
     line, document, size, place and whether it is the line's first. A line whose set an earlier one of the batch has
-    is settled here. ``only`` tells the keys that are wanted."""
+    is settled here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = shared.value
@@ -205,9 +205,6 @@ def _deal(shared, gram: int, buckets: int, only=None):
             gone = order[(doc[order] != doc[lead]) | (line[order] != line[lead])]
             kept = live[owner]
             key, owner, place = key[kept] >> np.uint64(16), owner[kept], place[kept]
-            if only:
-                kept = _needs(only.value, key, np.zeros(len(key), np.int64))
-                key, owner, place = key[kept], owner[kept], place[kept]
             head = np.zeros(len(owner), np.int64)
             head[np.unique(owner, return_index=True)[1]] = 1
             bucket = (key % np.uint64(buckets)).astype(np.int64)
@@ -217,22 +214,23 @@ def _deal(shared, gram: int, buckets: int, only=None):
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             used = np.flatnonzero(np.diff(cuts))
             rows = [(b, int(cuts[b + 1] - cuts[b]), pack(table[:, cuts[b] : cuts[b + 1]])) for b in used.tolist()]
-            if len(gone) and not only:
+            if len(gone):
                 rows.append((int(gone[0]) % buckets, -len(gone), pack(np.stack([doc[gone], line[gone]]))))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["_bucket", "_n", "_blob"])
 
     return run
 
 
-FOUND = "_doc long, _line long, _odoc long, _oline long, _key long"
+FOUND = "_doc long, _line long, _odoc long, _oline long, _more boolean, _n long, _blob binary"
 
 
-def _found(doc=(), line=(), odoc=None, oline=None, key=None, more=None) -> pa.RecordBatch:
-    """Settled lines, or pairs; ``_key`` names a key with more pairs than are kept."""
-    n = len(doc)
-    other = [pa.nulls(n, pa.int64()) if x is None else pa.array(x, pa.int64()) for x in (odoc, oline)]
-    key = pa.nulls(n, pa.int64()) if key is None else pa.array(key, pa.int64(), mask=~more)
-    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(line, pa.int64()), *other, key], names=[c.split()[0] for c in FOUND.split(", ")])
+def _found(doc=(), line=(), odoc=None, oline=None, more=None, records=None) -> pa.RecordBatch:
+    """Settled lines, or pairs, with ``_more`` where there are more than are kept; or records of keys with such."""
+    n = len(doc) if records is None else 1
+    longs = [pa.nulls(n, pa.int64()) if x is None else pa.array(x, pa.int64()) for x in ((doc, line, odoc, oline) if records is None else (None,) * 4)]
+    more = pa.array(np.zeros(n, bool) if more is None else more)
+    size, blob = ([None] * n, [None] * n) if records is None else ([records.shape[1]], [pack(records)])
+    return pa.RecordBatch.from_arrays([*longs, more, pa.array(size, pa.int64()), pa.array(blob, pa.binary())], names=[c.split()[0] for c in FOUND.split(", ")])
 
 
 def _likest(held: list[tuple[np.ndarray, ...]]) -> list[tuple[np.ndarray, ...]]:
@@ -309,46 +307,60 @@ def _pairs(records: np.ndarray, exact: np.ndarray | None) -> Iterator[pa.RecordB
                 held = _likest(held)
                 n_held = len(held[0][0]) if len(held[0][0]) < HELD // 2 else 0
     for late, early, _, own, more in _likest(held):
-        yield _found(doc[late], line[late], doc[early], line[early], own, more)
+        yield _found(doc[late], line[late], doc[early], line[early], more)
+        if more.any():
+            yield _found(records=records[:, np.isin(key, own[more])])
 
 
-def _candidates(exact=None):
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted (_bucket, _n, _blob) -> FOUND. Records of equal sets are folded as they come in."""
+    open_bucket, held, n_held = None, [], 0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = exact.value if exact else None
-        open_bucket, held, n_held = None, [], 0
-
-        def fold() -> tuple[list, list]:
-            records, doc, line = _once(np.concatenate(held, axis=1))
-            return [records], [_found(doc, line)] if len(doc) and table is None else []
+    def fold() -> tuple[list, list]:
+        records, doc, line = _once(np.concatenate(held, axis=1))
+        return [records], [_found(doc, line)] if len(doc) else []
 
-        for batch in batches:
-            for bucket, n, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if bucket != open_bucket:
-                    if held:
-                        held, out = fold()
-                        yield from out
-                        yield from _pairs(held[0], table)
-                    open_bucket, held, n_held = bucket, [], 0
-                if n < 0:
-                    if table is None:
-                        yield _found(*unpack(blob.as_buffer(), 2, -n))
-                    continue
-                held.append(unpack(blob.as_buffer(), COLUMNS, n))
-                n_held += n
-                if n_held > 2 * BUCKET:
+    for batch in batches:
+        for bucket, n, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            if bucket != open_bucket:
+                if held:
                     held, out = fold()
                     yield from out
-                    n_held = min(held[0].shape[1], BUCKET)
-        if held:
-            held, out = fold()
-            yield from out
-            yield from _pairs(held[0], table)
+                    yield from _pairs(held[0], None)
+                open_bucket, held, n_held = bucket, [], 0
+            if n < 0:
+                yield _found(*unpack(blob.as_buffer(), 2, -n))
+                continue
+            held.append(unpack(blob.as_buffer(), COLUMNS, n))
+            n_held += n
+            if n_held > 2 * BUCKET:
+                held, out = fold()
+                yield from out
+                n_held = min(held[0].shape[1], BUCKET)
+    if held:
+        held, out = fold()
+        yield from out
+        yield from _pairs(held[0], None)
+
+
+def _all_pairs(exact):
+    """(_n, _blob) of keys with more pairs -> FOUND, all pairs of the lines that ``exact`` tells."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                yield from _pairs(unpack(blob.as_buffer(), COLUMNS, n), exact.value)
 
     return run
 
 
+def _record_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for n, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            records = unpack(blob.as_buffer(), COLUMNS, n)
+            yield pa.RecordBatch.from_arrays([pa.array(records[5]), pa.array(records[4] & 0xFFFFFFFF)], names=["_doc", "_line"])
+
+
 def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(_doc, _line) -> words of the table of NEED_BITS bits, and their bits."""
     for batch in batches:
@@ -411,12 +423,11 @@ def _verify(gram: int):
     return run
 
 
-def alike(texts: DataFrame, pairs: DataFrame, gram: int) -> DataFrame:
-    """The (_doc, _line) of pairs that are like their partner."""
-    lines = texts.mapInArrow(_lines(_share(bit_table(pairs.select("_doc", "_line").union(pairs.select("_odoc", "_oline"))), texts)), "_doc long, _line long, _text binary")
+def alike(lines: DataFrame, pairs: DataFrame, gram: int) -> DataFrame:
+    """The (_doc, _line) of pairs that are like their partner, by the texts of lines."""
     other = lines.select(F.col("_doc").alias("_odoc"), F.col("_line").alias("_oline"), F.col("_text").alias("_otext"))
-    rows = pairs.join(lines, ["_doc", "_line"]).join(other, ["_odoc", "_oline"]).select("_doc", "_line", "_text", "_otext")
-    return rows.mapInArrow(_verify(gram), "_doc long, _line long").distinct()
+    rows = pairs.select("_doc", "_line", "_odoc", "_oline").distinct().join(lines, ["_doc", "_line"]).join(other, ["_odoc", "_oline"])
+    return rows.select("_doc", "_line", "_text", "_otext").mapInArrow(_verify(gram), "_doc long, _line long").distinct()
 
 
 def _share(table: np.ndarray, df: DataFrame):
@@ -442,8 +453,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
        KEPT likest earlier ones of a key are verified on the words of their texts; only
        lines that need it are read out of the documents. This spares the pairs of large
        groups of alike lines.
-    4. Where a key had more for a line and none was like it, the key is dealt out once
-       more, and the line is held against all earlier ones.
+    4. Where a key had more for a line and none was like it, the line is held against
+       all earlier ones of the key; records of such keys were kept aside.
 
     Returns ``doc_id, n_lines, removed`` for each row, the removed line numbers from
     0, sorted. Null text has one empty line. Lines without words stay. Rows without
@@ -458,27 +469,26 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = _share(rarity, texts)
     buckets = max(4 * partitions(spark), n_words // (4 * BUCKET))
 
-    def candidates(keys=None, lines=None) -> DataFrame:
-        dealt = texts.mapInArrow(_deal(shared, gram, buckets, keys), "_bucket long, _n long, _blob binary")
-        dealt = dealt.repartition(max(partitions(spark), buckets // 4), "_bucket").sortWithinPartitions("_bucket")
-        return dealt.mapInArrow(_candidates(lines), FOUND)
-
-    found = Stored(candidates())
+    dealt = texts.mapInArrow(_deal(shared, gram, buckets), "_bucket long, _n long, _blob binary")
+    dealt = dealt.repartition(max(partitions(spark), buckets // 4), "_bucket").sortWithinPartitions("_bucket")
+    found = Stored(dealt.mapInArrow(_candidates, FOUND))
     both = ["_doc", "_line"]
-    steps = [Stored(alike(texts, found.df.filter("_odoc is not null").select(*both, "_odoc", "_oline").distinct(), gram))]
-    gone = found.df.filter("_odoc is null").select(*both).union(steps[0].df)
-    undecided = Stored(found.df.filter("_key is not null").join(gone, both, "left_anti").select(*both, "_key"))
+    pairs, records = found.df.filter("_odoc is not null"), found.df.filter("_n is not null").select("_n", "_blob")
+    needed = pairs.select(*both).union(pairs.select("_odoc", "_oline")).union(records.mapInArrow(_record_lines, "_doc long, _line long"))
+    lines = Stored(texts.mapInArrow(_lines(_share(bit_table(needed), texts)), "_doc long, _line long, _text binary"))
+    steps = [found, lines, Stored(alike(lines.df, pairs, gram))]
+    gone = found.df.filter("_doc is not null and _odoc is null").select(*both).union(steps[-1].df)
+    undecided = Stored(pairs.filter("_more").select(*both).distinct().join(gone, both, "left_anti"))
     steps.append(undecided)
     if not undecided.df.isEmpty():
-        keys, lines = (_share(bit_table(undecided.df.select(*c)), texts) for c in ((F.col("_key"), F.lit(0)), both))
-        steps.append(Stored(candidates(keys, lines)))
-        steps.append(Stored(alike(texts, steps[-1].df.select(*both, "_odoc", "_oline").distinct(), gram)))
+        rest = records.mapInArrow(_all_pairs(_share(bit_table(undecided.df), texts)), FOUND).join(undecided.df, both, "left_semi")
+        steps.append(Stored(alike(lines.df, rest, gram)))
         gone = gone.union(steps[-1].df)
     by_doc = gone.groupBy("_doc").agg(F.array_sort(F.collect_set("_line")).alias("removed"))
     result = Stored(by_doc)
-    for step in (found, *steps):
+    for step in steps:
         step.drop()
-    counts = every.select("_doc", (F.length("_text") - F.length(F.replace("_text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"))
+    counts = every.select("_doc", (F.octet_length("_text") - F.octet_length(F.replace("_text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"))
     return counts.join(result.df, "_doc", "left").select(F.col("_doc").alias(id_col), "n_lines", F.coalesce("removed", F.array().cast("array<bigint>")).alias("removed"))
 
 
