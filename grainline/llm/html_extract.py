@@ -1,27 +1,25 @@
-"""HTML extraction by what element paths hold over the pages of a host.
-
-``wrappers`` also infers union-free regular expressions of hosts, to be looked at."""
+"""HTML extraction by union-free regular expressions, inferred for each host from its pages."""
 
 from __future__ import annotations
 
 import html
-import json
 import re
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import partitions
+
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|textarea|template|noscript|iframe|svg|select|object)\b[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|textarea)\b[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*+>|(?P<text>[^<]++|<)",
     re.S | re.I,
 )
 MARKED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+NOT_MARK = re.compile(r"[^a-z0-9:_-]")
 
 # Fixed element and class names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -31,7 +29,10 @@ BLOCKS = frozenset(
 )
 SPACED = frozenset("br td th img".split())
 CLOSED_BY = {"p": BLOCKS - {"body", "html", "head", "title", "option", "caption", "tbody", "tr", "thead", "tfoot", "li"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
-FURNITURE = frozenset("head nav menu footer aside button dialog title label".split())
+#: Elements with nothing to read in them, those of them that a block element ends, and page furniture.
+EMPTY = frozenset("svg math select object template noscript iframe canvas video audio".split())
+LEFT_BY_BLOCKS, OPTIONS = frozenset("svg math select iframe".split()), frozenset("option title".split())
+FURNITURE = frozenset("head nav menu footer aside button dialog title".split()) | EMPTY
 #: Of a class, id or role: words that vote; those that only repeats or constant text confirm, as they
 #: also name parts of articles; and those that say enough if they stand alone, not in a compound.
 FURNITURE_NAMES = frozenset(
@@ -44,347 +45,481 @@ LABELS = frozenset("ad ads advert adverts advertisement advertising sponsored co
 LABEL_ELEMENTS = frozenset("form fieldset".split())
 EXPLICIT = ("article", "main")
 INLINE = frozenset("p br a abbr b cite code em i mark q s small span strong sub sup time u".split())
-#: Longest repeated group, in tokens, that isn't made of whole elements; share of a host's distinct pages on which a constant path is;
-#: distinct pages of a host from which constant text is dropped inside article and main too.
-LONGEST_GROUP, NEARLY_ALL, FIRM = 12, 0.9, 5
+#: Formatting that is no part of a wrapper unless it has a class, id or role.
+FLAT = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
+#: Elements nested deeper are read as text of the one that holds them.
+DEEPEST = 150
+#: Items of one element from which a wrapper keeps them by mark, without their order.
+ORDERED = 64
+#: Share of a host's distinct pages on which a constant slot is; distinct pages of a host from which constant
+#: text is dropped inside article and main too; wrappers that are aligned in one task, one after another.
+NEARLY_ALL, FIRM, TOGETHER = 0.9, 5, 64
 
 
 def text_hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
 
 
-def parse(page: str) -> Iterator[tuple[str, str, str, bool, tuple]]:
-    """(token, path, text, furniture, named): tags with their class marks, and text runs.
+class Item:
+    """A text slot (mark #), an element, or a group of items that repeats (no mark).
+
+    ``stats`` of a slot: the distinct pages that fill it, and the least and greatest hash of what they fill in.
+    """
+
+    __slots__ = ("mark", "items", "optional", "repeated", "stats", "moved", "above")
+
+    def __init__(self, mark: str):
+        self.mark, self.items, self.optional, self.repeated, self.stats, self.moved, self.above = mark, [], False, False, None, None, None
+
+    def at(self) -> Item:
+        """Where this item went when it was folded or aligned."""
+        found = self
+        while found.moved is not None:
+            found = found.moved
+        return found
+
+    def inner(self) -> set[str]:
+        return {x.mark for x in self.items if x.mark != "#"}
+
+
+class Run:
+    """A run of text: what holds it, and what its surroundings say."""
+
+    __slots__ = ("text", "slot", "chain", "furniture", "named", "explicit")
+
+    def __init__(self, text, slot, chain, furniture, named, explicit):
+        self.text, self.slot, self.chain, self.furniture, self.named, self.explicit = text, slot, chain, furniture, named, explicit
+
+
+def parse(page: str) -> tuple[Item, list]:
+    """The tree of a page's elements and text slots, and its text runs and tag names in order.
 
-    Paths list the open elements. An element is furniture by its name, and so is all in
-    it; ``header`` is unless inside an article. ``named`` tells the
-    elements around a text whose class, id or role has furniture words: for each its
-    number, path and how much the words say (2, 1 or 0). It starts anew inside
-    ``article`` and ``main``, which no name around them discards.
+    An element is furniture by its name, and so is all in it; ``header`` is unless
+    inside an article. ``named`` tells the elements around a text whose class, id or
+    role has furniture words: for each its item and how much the words say (2, 1 or 0).
+    It starts anew inside ``article`` and ``main``, which no name around them discards.
+    ``chain`` lists the items around a text, outermost first.
     """
-    stack: list[tuple[str, str, bool, tuple]] = []
-    count = 0
+    root = Item("")
+    # open elements: name, furniture, named, the explicit element around, and the items that hold their text
+    stack: list[tuple] = []
+    events: list = []
+    chain: tuple = (root,)
     for m in TOKEN.finditer(page):
         text, name = m["text"], m["name"]
         if text is not None:
-            yield "#", "/".join(x[1] for x in stack), text, bool(stack) and stack[-1][2], stack[-1][3] if stack else ()
+            slot = None
+            if not text.isspace() and not (stack and stack[-1][1]):
+                items = chain[-1].items
+                if not items or items[-1].mark != "#":
+                    items.append(Item("#"))
+                slot = items[-1]
+            top = stack[-1] if stack else ("", False, (), "", chain)
+            events.append(Run(text, slot, chain, top[1], top[2], top[3]))
         elif name:
             name = name.lower()
-            path = "/".join(x[1] for x in stack)
             if m["close"]:
                 depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
                 if depth >= 0 and not (name not in BLOCKS and any(x[0] in BLOCKS for x in stack[depth + 1 :])):
                     del stack[depth:]
-                yield f"</{name}>", path, "", False, ()
+                    chain = stack[-1][4] if stack else (root,)
+                events.append(name)
                 continue
-            while stack and stack[-1][0] not in BLOCKS | {"td", "th"} and name in BLOCKS and any(x[0] == "p" for x in stack) and name in CLOSED_BY["p"]:
-                stack.pop()
+            if name in BLOCKS:
+                if name not in OPTIONS:
+                    left = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in LEFT_BY_BLOCKS or stack[i][0] in BLOCKS - OPTIONS), -1)
+                    if left >= 0 and stack[left][0] in LEFT_BY_BLOCKS:
+                        del stack[left:]
+                while stack and stack[-1][0] not in BLOCKS | EMPTY | {"td", "th"} and any(x[0] == "p" for x in stack) and name in CLOSED_BY["p"]:
+                    stack.pop()
             while stack and name in CLOSED_BY.get(stack[-1][0], ()):
                 stack.pop()
-            whole = {w for found in MARKED.findall(m["rest"] or "") for w in (found[0] or found[1] or found[2]).lower().split()}
+            chain = stack[-1][4] if stack else (root,)
+            rest = m["rest"] or ""
+            whole = {w for found in MARKED.findall(rest) for w in (found[0] or found[1] or found[2]).lower().split()} if "=" in rest else ()
             words = {w for x in whole for w in re.split(r"[^a-z0-9]+", x) if w}
-            mark = name + "".join(f".{w}" for w in sorted(words))
-            above, named = stack[-1][2:] if stack else (False, ())
-            inside = any(x[0] in EXPLICIT for x in stack)
-            own = name in FURNITURE or (name == "header" and not inside)
-            if name in EXPLICIT and not inside:
-                named = ()
+            _, above, named, explicit = stack[-1][:4] if stack else ("", False, (), "")
+            own = name in FURNITURE or (name == "header" and not explicit)
+            inner = chain
+            if name not in VOID and not (above or own) and (name not in FLAT or words) and len(chain) < DEEPEST:
+                item = Item(NOT_MARK.sub("_", name) + "".join(f".{w}" for w in sorted(words)))
+                chain[-1].items.append(item)
+                inner = (*chain, item)
+            if name in EXPLICIT and not explicit:
+                named, explicit = (), name
             elif name not in ("html", "body") and (name in LABEL_ELEMENTS or words & FURNITURE_NAMES):
-                count += 1
-                says = 2 if name in LABEL_ELEMENTS or whole & LABELS else int(bool(words & FURNITURE_NAMES - WEAK_NAMES))
-                named = (*named, (count, f"{path}/{mark}" if stack else mark, says))
-            if name not in VOID and not (m["rest"] or "").endswith("/"):
-                stack.append((name, mark, above or own, named))
-            yield f"<{mark}>", path, "", above, ()
+                says = 2 if name in LABEL_ELEMENTS or any(w in LABELS for w in whole) else int(bool(words & FURNITURE_NAMES - WEAK_NAMES))
+                named = (*named, (inner[-1], m.start(), says))
+            events.append(name)
+            if name not in VOID and not rest.endswith("/"):
+                stack.append((name, above or own, named, explicit, inner))
+                chain = inner
+    return root, events
+
+
+def like(a: Item, b: Item) -> float:
+    """How like two items are in what they hold, from 0 to 1; unlike marks are nothing like."""
+    if a.mark != b.mark:
+        return -1.0
+    x, y = a.inner(), b.inner()
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def add_stats(a: list | None, b: list | None) -> list | None:
+    if a is None or b is None:
+        return b if a is None else a
+    return [a[0] + b[0], min(a[1], b[1]), max(a[2], b[2])]
+
+
+def merge(a: Item, b: Item) -> Item:
+    """b goes into a: repeats and optionals of either stay, what they hold is aligned."""
+    a.optional |= b.optional
+    a.repeated |= b.repeated
+    a.stats = add_stats(a.stats, b.stats)
+    a.items = align(a.items, b.items)
+    b.moved = a
+    return a
+
+
+def grouped(items: list[Item], others: list[Item]) -> list[Item]:
+    """Where ``others`` has a group and ``items`` its items once, these become the group."""
+    for group in (x for x in others if not x.mark):
+        marks, at = [x.mark for x in group.items], 0
+        while at + len(marks) <= len(items):
+            if [x.mark for x in items[at : at + len(marks)]] == marks:
+                made = Item("")
+                made.items, made.repeated = items[at : at + len(marks)], True
+                items = [*items[:at], made, *items[at + len(marks) :]]
+            at += 1
+    return items
+
+
+def by_mark(items: list[Item]) -> list[Item]:
+    """One item of each mark, by first occurrence: what is left of many unlike items."""
+    found: dict[str, Item] = {}
+    for x in items:
+        if x.mark in found:
+            merge(found[x.mark], x).repeated = True
+        else:
+            found[x.mark] = x
+            x.optional = True
+    return list(found.values())
 
 
-def fold(tokens: list[str]) -> list[str]:
-    """Squares of a token list as repeated groups: ``x x x`` becomes ``(x)+``.
+def align(a: list[Item], b: list[Item]) -> list[Item]:
+    """The items of both in one order: a mismatch turns optional what only one of them has.
 
-    Groups of whole elements have any length.
+    The alignment has most likeness of what is matched; of equals, the earliest match.
     """
-    out: list[str] = []
-    # open elements: name, and where in ``out`` they and what is in them begin
-    levels: list[tuple[str, int, list[int]]] = [("", -1, [])]
-    for token in tokens:
-        name = token.strip("</>").split(".")[0]
-        if token.startswith("</"):
-            depth = next((i for i in range(len(levels) - 1, 0, -1) if levels[i][0] == name), 0)
-            if depth:
-                del levels[depth:]
+    if len(a) > ORDERED or len(b) > ORDERED:
+        return by_mark([*a, *b])
+    a, b = grouped(a, b), grouped(b, a)
+    if [x.mark for x in a] == [x.mark for x in b] and len({x.mark for x in a}) == len(a):
+        return [merge(x, y) for x, y in zip(a, b, strict=True)]
+    n, m = len(a), len(b)
+    score = [[1.0 + like(x, y) for y in b] for x in a]
+    best = [[0.0] * (m + 1) for _ in range(n + 1)]
+    for i in range(n - 1, -1, -1):
+        row, below, own = best[i], best[i + 1], score[i]
+        for j in range(m - 1, -1, -1):
+            row[j] = max(below[j], row[j + 1], (below[j + 1] + own[j] + 0.5) if own[j] > 0 else 0.0)
+    out: list[Item] = []
+    i = j = 0
+    while i < n and j < m:
+        if score[i][j] > 0 and best[i][j] == best[i + 1][j + 1] + score[i][j] + 0.5:
+            out.append(merge(a[i], b[j]))
+            i, j = i + 1, j + 1
         else:
-            levels[-1][2].append(len(out))
-            if token != "#" and name not in VOID:
-                levels.append((name, len(out), []))
-        out.append(token)
+            lone, i, j = (a[i], i + 1, j) if best[i][j] == best[i + 1][j] else (b[j], i, j + 1)
+            lone.optional = True
+            out.append(lone)
+    for lone in (*a[i:], *b[j:]):
+        lone.optional = True
+        out.append(lone)
+    return out if len(out) <= ORDERED else by_mark(out)
+
+
+def fold(item: Item) -> None:
+    """Repeats among the items of an element, inside out, as one item or group: ``x x x`` becomes ``(x)+``.
+
+    Items repeat if they have the same marks in the same order and hold mostly the same.
+    """
+    for x in item.items:
+        if x.items:
+            fold(x)
+    out: list[Item] = []
+    for x in item.items:
+        out.append(x)
         again = True
         while again:
             again = False
-            starts = levels[-1][2]
-            short = range(1, min(LONGEST_GROUP, len(out) - 1) + 1)
-            for n in (*short, *(len(out) - p for p in reversed(starts) if 0 < p < len(out) - LONGEST_GROUP)):
-                tail, before = out[-n:], out[-n - 1]
-                group = "(" + " ".join(tail) + ")+" if before.endswith(")+") or tail[-1].endswith(")+") or n <= LONGEST_GROUP else ""
-                if group and (before == group or (before == tail[-1] and n == 1 and before.endswith(")+"))):
-                    del out[-n:]
-                    cut = len(out)
-                elif len(out) >= 2 * n and out[-2 * n : -n] == tail and any("#" in t for t in tail):
-                    cut = len(out) - 2 * n
-                    out[cut:] = ["(" + " ".join(tail) + ")+"]
-                else:
-                    continue
-                while len(levels) > 1 and levels[-1][1] >= cut:
-                    levels.pop()
-                starts = levels[-1][2]
-                while starts and starts[-1] >= cut:
-                    starts.pop()
-                if cut < len(out):
-                    starts.append(cut)
+            size = len(out)
+            if size >= 2 and out[-2].mark == out[-1].mark and like(out[-2], out[-1]) > 0.5:
+                merge(out[-2], out.pop()).repeated = True
                 again = True
-                break
-    return out
-
-
-def slot(path: str, text: str) -> tuple[str, int, int]:
-    plain = " ".join(html.unescape(text).split())
-    return path, text_hash(plain), len(plain)
-
+                continue
+            last = out[-1].mark
+            for n in range(2, size):
+                group = out[-n - 1]
+                if not group.mark and [g.mark for g in group.items] == [g.mark for g in out[-n:]]:
+                    for g, y in zip(group.items, out[-n:], strict=True):
+                        merge(g, y)
+                    del out[-n:]
+                    again = True
+                    break
+                if 2 * n <= size and out[-n - 1].mark == last and all(like(p, q) > 0.5 for p, q in zip(out[-2 * n : -n], out[-n:], strict=True)) and any(p.mark != "#" for p in out[-n:]):
+                    made = Item("")
+                    made.items, made.repeated = [merge(p, q) for p, q in zip(out[-2 * n : -n], out[-n:], strict=True)], True
+                    out[-2 * n :] = [made]
+                    again = True
+                    break
+    item.items = out if len(out) <= ORDERED else by_mark(out)
+
+
+def slots_of(item: Item) -> list[Item]:
+    """The slots of a wrapper in order, with what is above each item set."""
+    found: list[Item] = []
+    todo = [item]
+    while todo:
+        x = todo.pop()
+        if x.mark == "#":
+            found.append(x)
+        for y in x.items:
+            y.above = x
+        todo += reversed(x.items)
+    return found
 
-def skeleton_slots(page: str) -> list[tuple[str, int, int]]:
-    """(path, text hash, length) of text that isn't furniture."""
-    return [slot(path, text) for token, path, text, furniture, _ in parse(page) if token == "#" and not furniture and not text.isspace()]
 
+def written(item: Item) -> str:
+    """A wrapper's items as a union-free regular expression: # is a text slot, mark( ) an element."""
+    parts = []
+    for x in item.items:
+        own = "#" if x.mark == "#" else f"{x.mark}({written(x)})"
+        parts.append(own + "+" * x.repeated + "?" * x.optional)
+    return " ".join(parts)
 
-def skeleton(page: str) -> tuple[list[str], list[tuple[str, int, int]]]:
-    """Folded tokens, and the slots of text that isn't furniture."""
-    tokens, slots = [], []
-    for token, path, text, furniture, _ in parse(page):
-        if token != "#":
-            tokens.append(token)
-        elif not text.isspace():
-            tokens.append("#")
-            if not furniture:
-                slots.append(slot(path, text))
-    return fold(tokens), slots
 
+_SYMBOL = re.compile(r"[a-z0-9.:_-]*\(|#|\)|[+?]")
 
-def align(a: list[list], b: list[list]) -> list[list]:
-    """Align two wrappers, lists of [token, optional].
 
-    Where one has a repeated group and the other its body once, the body becomes
-    the group. What only one of them has turns optional.
-    """
-    for x, y in ((a, b), (b, a)):
-        for group, _ in x:
-            if group.endswith(")+"):
-                body = _split(group[1:-2])
-                at = 0
-                while at + len(body) <= len(y):
-                    if [t for t, _ in y[at : at + len(body)]] == body:
-                        y[at : at + len(body)] = [[group, all(o for _, o in y[at : at + len(body)])]]
-                    at += 1
-    merged: list[list] = []
-    for kind, i, j, k, n in SequenceMatcher(None, [t for t, _ in a], [t for t, _ in b], autojunk=False).get_opcodes():
-        if kind == "equal":
-            merged += [[t, o or p] for (t, o), (_, p) in zip(a[i:j], b[k:n], strict=True)]
+def read(text: str) -> Item:
+    root = Item("")
+    open_items, last = [root], root
+    for symbol in _SYMBOL.findall(text):
+        if symbol == "+":
+            last.repeated = True
+        elif symbol == "?":
+            last.optional = True
+        elif symbol == ")":
+            last = open_items.pop()
         else:
-            merged += [[t, True] for t, _ in a[i:j]] + [[t, True] for t, _ in b[k:n]]
-    return merged
+            last = Item(symbol if symbol == "#" else symbol[:-1])
+            open_items[-1].items.append(last)
+            if symbol != "#":
+                open_items.append(last)
+    return root
+
+
+def skeleton(page: str) -> tuple[str, list[tuple[int, int]], Item, list]:
+    """A page's folded expression; (hash, length) of what fills its slots, in order; its tree and events."""
+    root, events = parse(page)
+    fold(root)
+    slots = slots_of(root)
+    number = {id(s): i for i, s in enumerate(slots)}
+    filled: list[list[str]] = [[] for _ in slots]
+    for e in events:
+        if type(e) is Run and e.slot is not None:
+            filled[number[id(e.slot.at())]].append(e.text)
+    texts = [" ".join(html.unescape("".join(parts)).split()) for parts in filled]
+    return written(root), [(text_hash(t), len(t)) for t in texts], root, events
+
+
+def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(_host, _html) -> of each page its skeleton, the hashes that fill it and a hash of all."""
+    for batch in batches:
+        rows = []
+        for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            shape, slots, _, _ = skeleton(page or "")
+            values = [v for v, _ in slots]
+            rows.append((host, text_hash(f"{shape} {values}"), shape, values))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.int64(), pa.string(), pa.list_(pa.int64())))], names=["_host", "_page", "_shape", "_values"])
 
 
-def wrapper_text(nodes: list[list]) -> str:
-    """The wrapper as a union-free regular expression; # is a text slot."""
-    return " ".join(f"({t})?" if optional else t for t, optional in nodes)
+#: A wrapper, with what the pages of a host fill in: pages, least and greatest hash of each slot in order.
+STATE = "_host string, _group long, _n long, _shape string, _stats array<array<long>>"
 
 
-def _survey(batches: Iterator[pa.RecordBatch], folded: bool = True) -> Iterator[pa.RecordBatch]:
-    """(_host, _html) -> of each page, once a batch, its skeleton (if folded) and what its paths hold.
+def load(shape: str, stats: list) -> Item:
+    root = read(shape)
+    for slot, own in zip(slots_of(root), stats, strict=True):
+        slot.stats = own
+    return root
 
-    Pages of a host are one if they have the same text at the same paths. The skeleton
-    comes as a row without path, whose mass says if the page has text.
-    """
-    for batch in batches:
-        seen: dict[tuple, list] = {}
-        for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            tokens, slots = skeleton(page or "") if folded else ((), skeleton_slots(page or ""))
-            paths: dict[str, list] = {}
-            for path, value, size in slots:
-                entry = paths.setdefault(path, [0, 0])
-                entry[0] = (entry[0] * 31 + value) % (1 << 62)
-                entry[1] += size
-            key = (host, text_hash("\n".join(f"{path}\t{value}" for path, (value, _) in paths.items())))
-            rows = [(None, " ".join(tokens), int(bool(slots)), 0)] + [(path, None, size, value) for path, (value, size) in paths.items()]
-            seen[key] = min(seen.get(key, rows), rows, key=lambda x: x[0][1])
-        kind = pa.list_(pa.struct([("path", pa.string()), ("skeleton", pa.string()), ("mass", pa.int64()), ("value", pa.int64())]))
-        rows = [[dict(zip(("path", "skeleton", "mass", "value"), x, strict=True)) for x in v] for v in seen.values()]
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.int64()), pa.array(rows, kind)], names=["_host", "_page", "_rows"])
-
-
-def explicit_of(paths: list[str]) -> str:
-    """The content element that a page names itself: ``article`` or ``main`` if text is there."""
-    names = {x.split(".")[0] for path in paths for x in path.split("/")}
-    return next((name for name in EXPLICIT if name in names), "")
-
-
-def within(path: str, name: str) -> bool:
-    return any(x == name or x.startswith(name + ".") for x in path.split("/"))
-
-
-def _merge_paths(frame: pd.DataFrame) -> pd.DataFrame:
-    """One host's paths and wrappers (of one round's bucket) -> one row."""
-    host = frame["_host"].iloc[0]
-    paths: dict[str, list] = {}
-    wrapper: list[list] = []
-    for row in frame.sort_values(["_n", "_wrapper"], ascending=[False, True]).itertuples(index=False):
-        nodes = json.loads(row[frame.columns.get_loc("_wrapper")])
-        wrapper = align(wrapper, nodes) if wrapper and nodes else wrapper or nodes
-    for text in frame["_paths"]:
-        for path, pages, mass, lo, hi in json.loads(text):
-            entry = paths.setdefault(path, [0, 0, lo, hi])
-            entry[0] += pages
-            entry[1] += mass
-            entry[2], entry[3] = min(entry[2], lo), max(entry[3], hi)
-    return pd.DataFrame({"_host": [host], "_n": [int(frame["_n"].sum())], "_wrapper": [json.dumps(wrapper)], "_paths": [json.dumps([[p, *v] for p, v in sorted(paths.items())])]})
-
-
-STATE = "_host string, _n long, _wrapper string, _paths string"
-
-
-def path_rows(pages: DataFrame, folded: bool) -> DataFrame:
-    """Of each host and path the distinct pages that have it, and least and greatest hash of its text
-    on one; without path, by skeleton, the host's distinct pages and, as mass, those with text."""
-    rows = pages.select(host_of("url").alias("_host"), F.col("html").alias("_html")).mapInArrow(lambda b: _survey(b, folded), "_host string, _page long, _rows array<struct<path:string,skeleton:string,mass:long,value:long>>")
-    rows = rows.groupBy("_host", "_page").agg(F.min("_rows").alias("_rows")).select("_host", F.explode("_rows").alias("_r"))
-    return rows.groupBy("_host", F.col("_r.path").alias("_path"), F.col("_r.skeleton").alias("_skeleton")).agg(F.count("*").alias("_pages"), F.sum("_r.mass").alias("_mass"), F.min("_r.value").alias("_lo"), F.max("_r.value").alias("_hi"))
-
-
-def rules(pages: DataFrame) -> DataFrame:
-    """``host, pages, constant`` as of ``wrappers``, without inferring those."""
-    same = F.when(F.col("_path").isNotNull() & (F.col("_lo") == F.col("_hi")) & (F.col("_pages") > 1), F.struct("_path", "_pages"))
-    hosts = path_rows(pages, False).groupBy("_host").agg(F.sum(F.when(F.col("_path").isNull(), F.col("_mass"))).alias("pages"), F.collect_list(same).alias("_same"))
-    nearly = F.filter("_same", lambda x: x["_pages"] >= F.col("pages") * NEARLY_ALL)
-    return hosts.select(F.col("_host").alias("host"), "pages", F.transform(nearly, lambda x: x["_path"]).alias("constant"))
-
-
-def wrappers(pages: DataFrame, buckets: int = 16) -> DataFrame:
-    """``host, pages, wrapper, constant`` from ``url, html``.
-
-    Pages are cut into tokens, and their repeated groups folded, where they are
-    read; equal skeletons of a host then meet in sums, so that a host with a third
-    of all pages is no more than its different skeletons. Those are aligned in two
-    rounds, ``buckets`` a host and then all, iteratively: a mismatch of text is a
-    slot, one of tags an optional or a repeated group. ``constant`` lists the paths
-    that nearly all pages (of two or more) have, with the same text. Pages are
-    counted once, however often the host has them.
-    """
-    rows = path_rows(pages, True)
-    bucket = F.pmod(F.xxhash64("_path", "_skeleton"), F.lit(buckets)).cast("int")
-
-    def first(frame: pd.DataFrame) -> pd.DataFrame:
-        state = []
-        for r in frame.itertuples(index=False):
-            host, path, text, n, mass, lo, hi = r[:7]
-            if path is None:
-                state.append((host, int(mass), json.dumps([[t, False] for t in _split(text)]), "[]"))
-            else:
-                state.append((host, 0, "[]", json.dumps([[path, int(n), int(mass), int(lo), int(hi)]])))
-        return _merge_paths(pd.DataFrame(state, columns=["_host", "_n", "_wrapper", "_paths"]))
-
-    once = rows.groupBy("_host", bucket.alias("_bucket")).applyInPandas(first_round(first), STATE)
-    twice = once.groupBy("_host").applyInPandas(_merge_paths, STATE)
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for host, n, wrapper, paths in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                known = [(p, pages, mass, n > 1 and lo == hi and pages >= NEARLY_ALL * n) for p, pages, mass, lo, hi in json.loads(paths)]
-                out.append((host, n, wrapper_text(json.loads(wrapper)), [p for p, _, _, same in known if same]))
-            kinds = (pa.string(), pa.int64(), pa.string(), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["host", "pages", "wrapper", "constant"])
 
-    return twice.mapInArrow(finish, "host string, pages long, wrapper string, constant array<string>")
+def _aligned(fan: int):
+    """Rows of STATE in order of host, group and pages -> one row for each group, and the number of its next one."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, wrapper, pages = None, None, 0
 
-def first_round(step):
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        return step(frame[["_host", "_path", "_skeleton", "_pages", "_mass", "_lo", "_hi"]])
+        def done() -> pa.RecordBatch:
+            stats = [s.stats for s in slots_of(wrapper)]
+            columns = [[key[0]], [key[1] // fan], [pages], [written(wrapper)], [stats]]
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int64())))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in STATE.split(", ")])
+
+        for batch in batches:
+            for host, group, n, shape, stats in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = load(shape, stats)
+                if (host, group) == key:
+                    wrapper.items, pages = align(wrapper.items, own.items), pages + n
+                    continue
+                if key is not None:
+                    yield done()
+                key, wrapper, pages = (host, group), own, n
+        if key is not None:
+            yield done()
 
     return run
 
 
-def _split(text: str) -> list[str]:
-    """Tokens of a joined skeleton; blanks inside repeated groups part nothing."""
-    out, depth, current = [], 0, []
-    for part in text.split(" "):
-        depth += part.count("(") - part.count(")")
-        current.append(part)
-        if depth <= 0:
-            out.append(" ".join(current))
-            current, depth = [], 0
-    return [t for t in out if t] + ([" ".join(current)] if current else [])
+def wrappers(pages: DataFrame) -> DataFrame:
+    """``host, pages, wrapper, stats`` from ``url, html``: one union-free expression for each host.
+
+    Pages are cut into elements and text slots, and repeats of them folded, where
+    they are read. A host's pages of equal skeleton and text count once. Of equal
+    skeletons only sums are left, by host, skeleton and slot, so that a host with a
+    third of all pages is no more than its different skeletons. Those are aligned
+    iteratively, the most frequent first, TOGETHER in one task, then what comes of
+    them, until each host has one wrapper: a mismatch of text is a slot, one of
+    elements an optional or a repeated group. A task holds one wrapper, and of it at
+    most ORDERED items of an element in their order.
+    """
+    spark = pages.sparkSession
+    rows = pages.select(host_of("url").alias("_host"), F.col("html").alias("_html")).mapInArrow(_survey, "_host string, _page long, _shape string, _values array<long>")
+    once = rows.groupBy("_host", "_page").agg(F.min(F.struct("_shape", "_values")).alias("_r")).select("_host", "_r.*")
+    # a null stands for the page itself, so that skeletons without a slot count too
+    each = once.select("_host", "_shape", F.posexplode(F.concat(F.array(F.lit(None).cast("long")), "_values")).alias("_at", "_value"))
+    sums = each.groupBy("_host", "_shape", "_at").agg(F.count("*").alias("_n"), F.min("_value").alias("_lo"), F.max("_value").alias("_hi"))
+    whole = sums.groupBy("_host", "_shape").agg(F.array_sort(F.collect_list(F.struct("_at", "_n", "_lo", "_hi"))).alias("_all"))
+    stats = F.transform(F.slice("_all", 2, F.greatest(F.size("_all") - 1, F.lit(0))), lambda x: F.array(x["_n"], x["_lo"], x["_hi"]))
+    level = whole.select("_host", F.col("_all")[0]["_n"].alias("_n"), "_shape", stats.alias("_stats"))
+    counts = level.groupBy("_host").agg(F.ceil(F.count("*") / TOGETHER).alias("_groups")).withColumnRenamed("_host", "_h")
+    level = level.join(counts, F.col("_host") == F.col("_h")).select("_host", F.pmod(F.xxhash64("_shape"), F.col("_groups")).alias("_group"), "_n", "_shape", "_stats")
+    level = level.persist()
+    left = (level.agg(F.max("_group")).first()[0] or 0) + 1
+    first = level
+    while True:
+        dealt = level.repartition(partitions(spark), "_host", "_group").sortWithinPartitions("_host", "_group", F.desc("_n"), "_shape", F.col("_stats").cast("string"))
+        level = dealt.mapInArrow(_aligned(TOGETHER), STATE).persist()
+        if left == 1:
+            break
+        left = -(-left // TOGETHER)
+    level.count()
+    first.unpersist()
+    return level.select(F.col("_host").alias("host"), F.col("_n").alias("pages"), F.col("_shape").alias("wrapper"), F.col("_stats").alias("stats"))
 
 
 def host_of(url: str):
     return F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)", 1)), F.lit(""))
 
 
-def discarded(slots: list[tuple[str, str, tuple]], constant: frozenset[str]) -> set[int]:
-    """Numbers of the named elements that are furniture, of (path, text, named) of a page's content.
+def constant_slots(wrapper: Item, pages: int) -> set[int]:
+    """Of a host's wrapper the slots that nearly all of two or more pages fill with the same text."""
+    return {id(s) for s in slots_of(wrapper) if pages > 1 and s.stats and s.stats[1] == s.stats[2] and s.stats[0] >= NEARLY_ALL * pages}
+
+
+def fixed_slots(shape: str, wrapper: str, stats: list, pages: int) -> frozenset[int]:
+    """Which slots of a skeleton match constant slots of its host's wrapper.
+
+    The skeleton is aligned with the wrapper, and its slots are read off where they went.
+    """
+    host = load(wrapper, stats)
+    constant = constant_slots(host, pages)
+    if not constant:
+        return frozenset()
+    page = read(shape)
+    slots = slots_of(page)
+    host.items = align(host.items, page.items)
+    return frozenset(i for i, s in enumerate(slots) if id(s.at()) in constant)
+
+
+def discarded(runs: list[Run], fixed: set[int]) -> set[tuple]:
+    """The named elements that are furniture, of the runs of a page's content.
 
     None is that holds half or more of the text that varies. Of others a label is; else
-    the wrapper has to agree: all text in it is constant over the host, or it repeats an
-    element other than paragraphs, or, unless its name is weak, it is outside the
-    container that most of the page's text is in.
+    the wrapper has to agree: all text in it is constant over the host, or it holds a
+    repeated group of more than paragraphs, or, unless its name is weak, it is outside
+    the container that most of the page's text is in.
     """
-    if not any(named for *_, named in slots):
+    if not any(r.named for r in runs):
         return set()
-    if all(path in constant for path, *_ in slots):
-        constant = frozenset()
-    mass: dict[str, int] = {}
-    inside: dict[tuple, list[tuple[str, int]]] = {}
-    total = 0
-    for path, text, named in slots:
-        size = 0 if path in constant else len(text.strip())
+    if all(id(r.slot.at()) in fixed for r in runs):
+        fixed = set()
+    mass: dict[int, int] = {}
+    inside: dict[tuple, list[tuple[Run, int]]] = {}
+    total, longest = 0, ()
+    for r in runs:
+        size = 0 if id(r.slot.at()) in fixed else len(r.text.strip())
         total += size
-        parts = path.split("/")
-        for i in range(1, len(parts) + 1):
-            prefix = "/".join(parts[:i])
-            mass[prefix] = mass.get(prefix, 0) + size
-        for element in named:
-            inside.setdefault(element, []).append((path, size))
-    core = max((p for p, n in mass.items() if 2 * n > total), key=lambda p: p.count("/"), default="")
-    while core and core.rsplit("/", 1)[-1].split(".")[0] in INLINE:
-        core = core.rpartition("/")[0]
+        for x in r.chain:
+            mass[id(x)] = mass.get(id(x), 0) + size
+        for element in r.named:
+            inside.setdefault(element, []).append((r, size))
+    for r in runs:
+        core = [x for x in r.chain if 2 * mass[id(x)] > total]
+        if len(core) > len(longest):
+            longest = core
+    while len(longest) > 1 and longest[-1].mark.split(".")[0] in INLINE:
+        longest = longest[:-1]
+    around = {id(x) for x in longest}
     found = set()
-    for (number, path, says), own in inside.items():
+    for element, own in inside.items():
+        item, _, says = element
         if 2 * sum(n for _, n in own) >= total > 0:
             continue
-        tails = [p[len(path) :].strip("/") for p, _ in own]
-        repeats = any(tails.count(t) > 1 and any(x.split(".")[0] not in INLINE for x in t.split("/") if x) for t in set(tails))
-        foreign = says and not (path == core or path.startswith(core + "/") or core.startswith(path + "/")) and core
-        if says == 2 or repeats or foreign or all(p in constant for p, _ in own):
-            found.add(number)
+        repeats = any(_repeats(r.slot.at(), item.at()) for r, _ in own)
+        foreign = says and len(longest) > 1 and id(item) not in around and longest[-1] not in own[0][0].chain[: own[0][0].chain.index(item) + 1]
+        if says == 2 or repeats or foreign or all(id(r.slot.at()) in fixed for r, _ in own):
+            found.add(element)
     return found
 
 
-def extract_text(page: str, constant: frozenset[str], pages: int = 0) -> str:
+def _repeats(slot: Item, element: Item) -> bool:
+    """If there is a repeated item other than paragraphs between a slot and an element around it."""
+    x = slot
+    while x is not None and x is not element:
+        if x.repeated and x.mark != "#" and x.mark.split(".")[0] not in INLINE:
+            return True
+        x = x.above
+    return False
+
+
+def extract_text(page: str, fixed_of=None, pages: int = 0) -> str:
     """The blocks of a page's content, joined by blank lines.
 
-    A page that has text in ``article`` or ``main`` says itself what its content is.
-    Of others it is all that varies over the host, wherever it stands; where nothing
-    does, as on copies under other addresses, it is all text. Where FIRM or more
-    ``pages`` of the host are known, what is constant in an article isn't content
-    either. Names of classes take away from both what ``discarded`` tells.
+    ``fixed_of`` tells the slots of a skeleton that are constant over its host. A page
+    that has text in ``article`` or ``main`` says itself what its content is. Of
+    others it is all text in slots that vary, wherever they stand; where none does, as
+    on copies under other addresses, it is all text. Where FIRM or more ``pages`` of the
+    host are known, constant slots of an article aren't content either. Names of
+    classes take away from both what ``discarded`` tells.
     """
-    tokens = list(parse(page))
-    slots = [(path, text, named) for token, path, text, furniture, named in tokens if token == "#" and not furniture and not text.isspace()]
-    explicit = explicit_of([path for path, *_ in slots])
+    root, events = parse(page)
+    fold(root)
+    slots = slots_of(root)
+    numbers = fixed_of(written(root)) if fixed_of else frozenset()
+    fixed = {id(s) for i, s in enumerate(slots) if i in numbers}
+    runs = [e for e in events if type(e) is Run and e.slot is not None]
+    explicit = next((name for name in EXPLICIT if any(r.explicit == name for r in runs)), "")
     if explicit:
-        slots = [x for x in slots if within(x[0], explicit)]
-    gone = discarded(slots, constant)
-    firm = constant if pages >= FIRM or not explicit else frozenset()
-    if all(path in firm or any(x[0] in gone for x in named) for path, _, named in slots):
-        firm = frozenset()
+        runs = [r for r in runs if r.explicit == explicit]
+    gone = discarded(runs, fixed)
+    firm = fixed if pages >= FIRM or not explicit else set()
+    kept = [r for r in runs if not (gone and any(x in gone for x in r.named))]
+    if all(id(r.slot.at()) in firm for r in kept):
+        firm = set()
+    kept = {id(r) for r in kept if id(r.slot.at()) not in firm}
     blocks: list[str] = []
     held: list[str] = []
 
@@ -394,53 +529,71 @@ def extract_text(page: str, constant: frozenset[str], pages: int = 0) -> str:
             blocks.append(text)
         held.clear()
 
-    for token, path, text, furniture, named in tokens:
-        if token == "#":
-            if not furniture and not any(x[0] in gone for x in named) and path not in firm and (not explicit or within(path, explicit)):
-                held.append(html.unescape(text))
-        else:
-            name = token.strip("</>").split(".")[0]
-            if name in BLOCKS:
-                flush()
-            elif name in SPACED:
+    for e in events:
+        if type(e) is Run:
+            if id(e) in kept:
+                held.append(html.unescape(e.text))
+            elif e.slot is None and not e.furniture and held:
                 held.append(" ")
+        elif e in BLOCKS:
+            flush()
+        elif e in SPACED:
+            held.append(" ")
     flush()
     return "\n\n".join(blocks)
 
 
+#: Skeletons whose constant slots a task remembers.
+REMEMBERED = 20_000
+
+
 def _extract(known=None):
-    """(page_id, url, html, host[, constant, pages]) -> texts."""
+    """(page_id, url, html, host[, pages, wrapper, stats]) -> texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory: dict[tuple, frozenset] = {}
         for batch in batches:
-            pages, hosts = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            own = [known.value.get(h, ((), 0)) for h in hosts] if known else list(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True))
-            texts = [extract_text(page or "", frozenset(constant or ()), n or 0) for page, (constant, n) in zip(pages, own, strict=True)]
+            htmls, hosts = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            rules = None if known else list(zip(*(batch.column(i).to_pylist() for i in (4, 5, 6)), strict=True))
+            texts = []
+            for i, (page, host) in enumerate(zip(htmls, hosts, strict=True)):
+                pages, wrapper, stats = (known.value.get(host) if known else rules[i]) or (0, "", [])
+
+                def fixed_of(shape: str, key=host, rule=(wrapper or "", stats or [], pages or 0)) -> frozenset:
+                    if (key, shape) not in memory:
+                        if len(memory) >= REMEMBERED:
+                            memory.clear()
+                        memory[key, shape] = fixed_slots(shape, *rule)
+                    return memory[key, shape]
+
+                texts.append(extract_text(page or "", fixed_of, pages or 0))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return run
 
 
-#: Most bytes of hosts' rules that are broadcast; beyond, pages are joined by host.
+#: Most bytes of hosts' wrappers that are broadcast; beyond, pages are joined by host.
 RULE_BYTES = 16_000_000
 
 
-def main_text(pages: DataFrame) -> DataFrame:
-    """``page_id, url, text, n_chars`` for each page, by what paths hold on its host.
+def main_text(pages: DataFrame, rule_bytes: int = RULE_BYTES) -> DataFrame:
+    """``page_id, url, text, n_chars`` for each page, by its host's wrapper.
 
-    Null html is empty and gives an empty text, as does a page without content. A
-    null or odd url has the host ''. A page chooses its template
-    by its own structure. Rules are broadcast while their summed size,
-    which is computed first, is below RULE_BYTES; else pages are joined to them by
-    host, where AQE splits hot hosts.
+    Each page's skeleton is aligned with the wrapper that ``wrappers`` infers for its
+    host, and its text is taken from the slots that vary. Null html is empty and gives an
+    empty text, as does a page without content. A null or odd url has the host ''. Pages
+    that repeat count once in a wrapper and have each a row. Tags may be unclosed, and
+    nested to any depth; pages are read whole, one at a time. Columns beside
+    ``page_id, url, html`` aren't looked at. Wrappers are broadcast while their summed
+    size, which is computed first, is below ``rule_bytes``; else pages are joined to
+    them by host, where AQE splits hot hosts. The texts are the same.
     """
-    known = rules(pages).persist()
-    size = known.select(F.sum(F.length("host") + F.length(F.concat_ws("", "constant")) + 16)).first()[0] or 0
+    known = wrappers(pages)
+    size = known.select(F.sum(F.length("host") + F.length("wrapper") + 24 * F.size("stats") + 16)).first()[0] or 0
     rows = pages.select("page_id", "url", "html", host_of("url").alias("_host"))
     schema = "page_id long, url string, text string, n_chars long"
-    if size <= RULE_BYTES:
-        found = {r["host"]: (tuple(r["constant"]), r["pages"]) for r in known.toLocalIterator()}
-        known.unpersist()
+    if size <= rule_bytes:
+        found = {r["host"]: (r["pages"], r["wrapper"], r["stats"]) for r in known.toLocalIterator()}
         return rows.mapInArrow(_extract(pages.sparkSession.sparkContext.broadcast(found)), schema)
-    joined = rows.join(known, rows["_host"] == known["host"], "left").select("page_id", "url", "html", "_host", "constant", "pages")
+    joined = rows.join(known, rows["_host"] == known["host"], "left").select("page_id", "url", "html", "_host", "pages", "wrapper", "stats")
     return joined.mapInArrow(_extract(), schema)

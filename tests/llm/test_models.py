@@ -1,5 +1,6 @@
 """Classifiers, decontamination, mixing, licences and HTML against brute force and held-out rows."""
 
+import html
 import random
 import re
 import zlib
@@ -227,11 +228,22 @@ def test_html_text(spark):
     assert html_extract.main_text(pages.limit(0)).count() == 0
 
 
+def shape(page):
+    return html_extract.skeleton(page)[0]
+
+
+def aligned(*shapes):
+    wrapper = html_extract.read(shapes[0])
+    for s in shapes[1:]:
+        wrapper.items = html_extract.align(wrapper.items, html_extract.read(s).items)
+    return html_extract.written(wrapper)
+
+
 def test_wrappers_fold_repeats_and_align_optionals():
-    a, _ = html_extract.skeleton("<ul><li>a</li><li>b</li><li>c</li></ul><p>x</p>")
-    b, _ = html_extract.skeleton("<ul><li>a</li></ul><h2>y</h2><p>x</p>")
-    merged = html_extract.align([[t, False] for t in a], [[t, False] for t in b])
-    assert html_extract.wrapper_text(merged) == "<ul> (<li> # </li>)+ </ul> (<h2>)? (#)? (</h2>)? <p> # </p>"
+    a, b = shape("<ul><li>a</li><li>b</li><li>c</li></ul><p>x</p>"), shape("<ul><li>a</li></ul><h2>y</h2><p>x</p>")
+    assert (a, b) == ("ul(li(#)+) p(#)", "ul(li(#)) h2(#) p(#)")
+    assert aligned(a, b) == aligned(a, b, a) == "ul(li(#)+) h2(#)? p(#)"
+    assert html_extract.written(html_extract.read(aligned(a, b))) == aligned(a, b)
 
 
 def texts_of(spark, pages):
@@ -278,22 +290,63 @@ def test_constant_slots_of_articles_are_dropped(spark):
     assert found[:6] == [f"Title {i}\n\ntext {i} of it" for i in range(6)]
     assert texts_of(spark, [page.format(i) for i in range(2)])[1] == "Title 1\n\ntext 1 of it\n\nRead our magazine"
     pages = spark.createDataFrame([(i, "http://h.example/p", page.format(i)) for i in range(6)], "page_id long, url string, html string")
-    plain = lambda df: [(r.host, r.pages, sorted(r.constant)) for r in df.collect()]
-    assert plain(html_extract.rules(pages)) == plain(html_extract.wrappers(pages)) == [("h.example", 6, ["article/div.box/b"])]
+    (host,) = html_extract.wrappers(pages.union(pages)).collect()
+    assert (host.host, host.pages, host.wrapper) == ("h.example", 6, "article(h1(#) p(#) div.box(#))")
+    assert [n for n, lo, hi in host.stats if lo == hi] == [6]
 
 
 def test_long_groups_and_nested_groups_are_folded():
     item = "<li class='a b c d {0}'><h2>x</h2><p>{1}</p><p><i>{1}</i></p><h3>y</h3><a>z</a></li>"
-    folded, slots = html_extract.skeleton("<ul>" + "".join(item.format("e", i) for i in range(4)) + "</ul>")
-    assert len(folded) == 3 and folded[1].startswith("(<li.a.b.c.d.e> <h2> # </h2>") and folded[1].endswith(" </li>)+")
-    assert {p for p, *_ in slots} & {p for p, *_ in html_extract.skeleton(item.format("f", 1))[1]} == set()
-    both, _ = html_extract.skeleton("".join(f"<section>{item.format('e', i)}</section><hr><div>{i}</div>" for i in range(5)))
-    assert len(both) == 1
+    assert shape("<ul>" + "".join(item.format("e", i) for i in range(4)) + "</ul>") == "ul(li.a.b.c.d.e(h2(#) p(#)+ h3(#) #)+)"
+    assert shape("".join(f"<section>{i}</section><h6>a</h6><div>{i}</div>" for i in range(5))) == "(section(#) h6(#) div(#))+"
     lists = "<ul><li>a</li><li>b</li></ul>"
-    many, _ = html_extract.skeleton(f"{lists}{lists}<p>x</p>")
-    one, _ = html_extract.skeleton(f"{lists}<p>x</p>")
-    merged = html_extract.align([[t, False] for t in many], [[t, False] for t in one])
-    assert html_extract.wrapper_text(merged) == "(<ul> (<li> # </li>)+ </ul>)+ <p> # </p>"
+    assert aligned(shape(f"{lists}{lists}<p>x</p>"), shape(f"{lists}<p>x</p>")) == "ul(li(#)+)+ p(#)"
+    assert aligned(shape("<h2>a</h2><p>b</p>" * 3 + "<hr>"), shape("<h2>a</h2><p>b</p>")) == "(h2(#) p(#))+"
+    assert shape("<div><ul><li>menu</ul></div><div><h1>t</h1><p>x</div><div>end</div>") == "div(ul(li(#))) div(h1(#) p(#)) div(#)"
+
+
+def test_slots_of_unnamed_elements_are_told_apart_by_what_they_hold(spark):
+    page = "<div><ul><li>home<li>news</ul></div><div><h1>Title {0}</h1><p>text {0} of it</p><p>more {0}</p></div><div>Imprint</div>"
+    assert texts_of(spark, [page.format(i) for i in range(8)])[3] == "Title 3\n\ntext 3 of it\n\nmore 3"
+
+
+def test_odd_markup_loses_no_text(spark):
+    pages = ['<p>Before</p><svg width="1"/><p>After</p>', "<p>Before</p><svg><path d=1><p>After</p>", "<p>a</p><select><option>x</option><p>b</p>", "<div>" * 3000 + "deep" + "</div>" * 2000 + "<p>after", "<p>x<br>y &lt;z&gt;&#233;</p><", "<article></article><p>out of it</p>", "<p>a <b>b</p> c</b> d", "", "<", "<p", "text only"]
+    found = [html_extract.extract_text(p) for p in pages]
+    assert found == ["Before\n\nAfter", "Before\n\nAfter", "a\n\nb", "deep\n\nafter", "x y <z>\u00e9\n\n<", "out of it", "a b\n\nc d", "", "<", "<p", "text only"]
+    many = "<div>" + "".join(f"<h{i % 6 + 1}>t{i}</h{i % 6 + 1}><i class=c{i}>u{i}</i>" for i in range(400)) + "</div>"
+    assert html_extract.extract_text(many).split() == [f"{c}{i}" for i in range(400) for c in "tu"]
+    assert texts_of(spark, [many, many.replace("t5", "v5"), "<p>x</p>"])[2] == "x"
+
+
+def test_joined_wrappers_give_the_same_texts(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    assert sorted(map(tuple, html_extract.main_text(pages, rule_bytes=0).collect())) == sorted(map(tuple, html_extract.main_text(pages).collect()))
+
+
+def test_many_skeletons_of_a_host_are_aligned_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(html_extract, "TOGETHER", 3)
+    rng = random.Random(5)
+    page = "<div class=top>Site</div>{2}<div class=body><h1>Title {0}</h1>{1}</div><div class=end>Imprint</div>"
+    tags = ("p", "h2", "ul", "blockquote", "pre", "table")
+    made = []
+    for i in range(40):
+        body = [(rng.choice(tags), f"{i} part {k}") for k in range(rng.randint(1, 6))]
+        made.append((page.format(i, "".join(f"<{t}>{x}</{t}>" for t, x in body), "<hr>" * (i % 3)), "\n\n".join([f"Title {i}", *(x for _, x in body)])))
+    assert texts_of(spark, [m[0] for m in made]) == [m[1] for m in made]
+
+
+def test_article_pages_against_a_plain_reading(spark):
+    """Brute force for pages whose content is an article: its text with markup taken out by a DOM-free reading."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
+    found = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(rows)).collect()}
+    for r in rows:
+        body = re.search(r"(?s)<article>(.*?)</article>", r.html)[1]
+        body = re.sub(r"(?s)<!--.*?-->|<(script|style|form|aside|nav|footer)\b.*?</\1>|<div class=\"?(?:ad|comments)\b.*?</div>", "", body)
+        body = re.sub(r"<(/?)(?:p|h\d|li|ul|ol|div|section|table|tr|pre|blockquote)\b[^>]*>", "\n\n", body)
+        blocks = [" ".join(html.unescape(re.sub(r"<br\b[^>]*>|</t[dh]>", " ", b) if "<" in b else b).split()) for b in re.split(r"\n\n", body)]
+        plain = "\n\n".join(" ".join(re.sub(r"<[a-zA-Z/][^>]*>", "", b).split()) for b in blocks if re.sub(r"<[a-zA-Z/][^>]*>", "", b).strip())
+        assert found[r.page_id] == plain, r.page_id
 
 
 def test_short_licences_with_words_left_out_or_put_in(make):
