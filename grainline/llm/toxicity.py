@@ -2,121 +2,187 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytetext import NOT_ALNUM, blocks, byte_set, mix64, span_hashes, word_bounds
+from .bytetext import NOT_ALNUM, blocks, byte_set, span_hashes, word_bounds
 from .training import held_out, sample
 
 #: Documents learned from at most, and the longest of them in bytes.
 SAMPLE_ROWS, SAMPLE_BYTES = 12_000, 32_768
+#: Roots of insults: their sizes in bytes, and different longer words that begin with one.
 MIN_ROOT, MAX_ROOT, ROOT_WORDS = 4, 8, 6
 CLAUSE_END = byte_set(b".!?;\n\r")
-QUOTE = byte_set(b'"')
-
-# Fixed word lists of the grammar (English, German, French, Spanish).
-TARGETS = "you your yours yourself he she they them him her du dich dir ihr euch sie er tu toi vous te ton il elle ils usted ustedes tú ti eres él ella ellos"
-NEGATIONS = "not no never neither nor isn aren wasn weren don doesn didn nicht kein keine keiner nie niemals ne pas jamais aucun ni nunca jamás tampoco"
+#: Quotation marks and apostrophes that aren't ASCII, and the control characters that stand for them in a
+#: block of as many bytes: they part words. The plain quotation mark opens and closes in turn.
+PLAIN, OPENS, LOW, CLOSES = b'"\x02\x04\x03'
+CURLY = (("\u201c", OPENS), ("\u201e", LOW), ("\u00ab", OPENS), ("\u201d", CLOSES), ("\u00bb", CLOSES), ("\u2018", 0x27), ("\u2019", 0x27))
+QUOTES = byte_set(bytes((PLAIN, OPENS, LOW, CLOSES)))
+
+# Word lists of the grammar (English, German, French, Spanish), chosen by hand.
+TARGETS = "you your yours yourself u ya he she they him them her du dich dir ihr euch sie er tu toi vous te ton il elle ils usted ustedes tú ti eres él ella ellos"
+SPEAKERS = "i we ill ich wir je j nous on yo nosotros"
+INTENTS = "will ll shall going gonna want wanna must werde werden wollen vais allons va voy vamos quiero"
+NEGATIONS = "not no never neither nor isn aren wasn weren don doesn didn won nicht kein keine keiner nie niemals ne pas jamais aucun ni nunca jamás tampoco"
 REPORTS = "said says say wrote writes quoted quote claimed claims reported according sagte sagt schrieb laut zitierte dit disait écrit selon dijo dice escribió según"
-THREATS = "kill hurt destroy beat shoot stab attack burn töten schlagen verletzen vernichten tuer frapper détruire matar golpear destruir"
-INSULTS = "idiot moron stupid loser scum trash worthless pathetic disgusting clown"
-
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
-#: What the composed grammar writes for a matched word, in order of its weight vector.
-MARKS = ("insult", "aimed_insult", "denied_insult", "reported_insult", "threat", "aimed_threat", "denied_threat", "reported_threat")
+THREATS = "kill hurt destroy beat shoot stab attack burn strangle murder töten schlagen verletzen vernichten erschießen tuer frapper détruire tuerai matar golpear destruir mataré"
+STRENGTHENERS = "such total complete utter absolute fucking damn bloody real so very total völliger absoluter vrai sale total completo maldito"
+#: What is known of insults before any label is seen: common ones of each language.
+INSULTS = (
+    "idiot idiots moron imbecile fool jerk bastard bitch asshole dumbass stupid dumb loser scum scumbag trash garbage worthless pathetic disgusting vermin filth "
+    "trottel dummkopf arschloch blödmann abschaum wichser schlampe connard connasse imbécile salaud crétin ordure débile idiota imbécil estúpido estúpida cabrón pendejo basura escoria"
+)
+
+# Symbols that words are read as; others pass through all stages.
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, SPEAKER, INTENT, STRONG, QUOTE_IN, QUOTE_OUT = range(11)
+SYMBOLS = ("other", "insult", "threat", "target", "negation", "report", "speaker", "intent", "strong", "quote_in", "quote_out")
+CORE = ("insult", "threat")
+#: Weights of arcs, in units of a word's log odds, set by hand: labels hold hardly a negated, reported or
+#: aimed case to learn them from. A denied or reported insult has to weigh less than nothing.
+AIMED, STRENGTHENED, WITHOUT_INTENT, DENIED, REPORTED = 1.5, 0.5, -1.5, -6.0, -6.0
+#: Log odds of a word of the lists above, as of a word that toxic documents have twenty times as often.
+KNOWN, LEAST, MOST = 3.0, 0.3, 4.0
 
 
-@dataclass
 class Transducer:
-    """Deterministic: (state, symbol) -> (state, output). What has no arc passes through
-    along the state's ``default``, if any, and else stays in the state."""
-
-    arcs: dict = field(default_factory=dict)
-    default: dict = field(default_factory=dict)
-
-    def step(self, state: int, symbol: str) -> tuple[int, str]:
-        if (state, symbol) in self.arcs:
-            return self.arcs[state, symbol]
-        return self.default.get(state, state), symbol
-
-
-def compose(stages: list[Transducer]) -> Transducer:
-    """One transducer whose output of each stage is read by the next: built by reaching
-    all product states from the start over the symbols that occur."""
-    symbols = {"other", "insult", "threat", "target", "negation", "report"}
-    for stage in stages:
-        symbols |= {out for _, out in stage.arcs.values()}
-    made, open_states = Transducer(), [(0,) * len(stages)]
-    number = {open_states[0]: 0}
-    while open_states:
-        state = open_states.pop()
-        for symbol in symbols:
-            out, after = symbol, []
-            for stage, s in zip(stages, state, strict=True):
-                s, out = stage.step(s, out)
-                after.append(s)
-            after = tuple(after)
-            if after not in number:
-                number[after] = len(number)
-                open_states.append(after)
-            made.arcs[number[state], symbol] = number[after], out
-    return made
-
-
-def grammar() -> Transducer:
-    """Reported speech, then negation, then targets, each rewriting what it governs.
-
-    A report marks the rest of its clause. A negation reaches three words on. A
-    target reaches five words on, whether it stands before or after is not told
-    apart by the forward pass, so clauses are read in both directions.
+    """Weighted and nondeterministic: ``arcs(state, symbol)`` gives (next state, output, weight).
+
+    A symbol without an arc passes unchanged along ``rest(state)``. States in
+    ``open_states`` end no path.
     """
-    report, negate, aim = Transducer(), Transducer(), Transducer()
-    for kind in ("insult", "threat"):
-        report.arcs[1, kind] = 1, f"reported_{kind}"
-        for s in (1, 2, 3):
-            negate.arcs[s, kind] = s - 1, f"denied_{kind}"
-        for s in range(1, 6):
-            aim.arcs[s, kind] = s - 1, f"aimed_{kind}"
-    report.arcs[0, "report"] = 1, "report"
-    for s in range(4):
-        negate.arcs[s, "negation"] = 3, "negation"
-    negate.default = {3: 2, 2: 1, 1: 0}
-    for s in range(6):
-        aim.arcs[s, "target"] = 5, "target"
-    aim.default = {s: s - 1 for s in range(1, 6)}
-    return compose([report, negate, aim])
-
-
-NAMES = ("other", "insult", "threat", "target", "negation", "report")
-
-
-def read_clause(machine: Transducer, places: list[int], kinds: list[int]) -> list[str]:
-    """The marks of a clause's words. ``places`` are word numbers; words between count as other."""
-
-    def one_way(order: list[int], sign: int) -> dict[int, str]:
-        state, last, marks = 0, None, {}
-        for i in order:
-            gap = 0 if last is None else min(sign * (places[i] - last) - 1, 5)
-            for _ in range(gap):
-                state, _ = machine.step(state, "other")
-            state, out = machine.step(state, NAMES[kinds[i]])
-            marks[i], last = out, places[i]
-        return marks
-
-    forward = one_way(list(range(len(places))), 1)
-    backward = one_way(list(range(len(places) - 1, -1, -1)), -1)
-    found = []
-    for i, kind in enumerate(kinds):
-        if kind in (INSULT, THREAT):
-            mark, other = forward[i], backward[i]
-            found.append(other if mark in ("insult", "threat") and other.startswith("aimed_") else mark)
-    return found
+
+    def __init__(self, arcs: dict, rest=None, open_states=frozenset()):
+        self.table, self.rest, self.open_states = arcs, rest or {}, open_states
+
+    def arcs(self, state, symbol: str) -> list[tuple]:
+        return self.table.get((state, symbol)) or [(self.rest.get(state, state), symbol, 0.0)]
+
+
+def insults() -> Transducer:
+    """An insult, stronger after a strengthener; or it is none at all."""
+    arcs = {(0, "strong"): [(1, "other", 0.0)], (1, "strong"): [(1, "other", 0.0)]}
+    for state, more in ((0, 0.0), (1, STRENGTHENED)):
+        arcs[state, "insult"] = [(0, "insult", more), (0, "other", 0.0)]
+    return Transducer(arcs, {1: 0})
+
+
+def threats() -> Transducer:
+    """A verb of violence up to four words after a speaker or an intent; weak without."""
+    arcs = {(s, k): [(4, "other", 0.0)] for s in range(5) for k in ("speaker", "intent")}
+    for s in range(5):
+        arcs[s, "threat"] = [(max(s - 1, 0), "threat", 0.0 if s else WITHOUT_INTENT), (max(s - 1, 0), "other", 0.0)]
+    return Transducer(arcs, {s: s - 1 for s in range(1, 5)})
+
+
+def targets() -> Transducer:
+    """Aims insults and threats at a target up to five words before, or guesses one that
+    has to come up to five words after. States are (words since a target, words left to come)."""
+    arcs, rest = {}, {}
+    states = [(b, e) for b in range(6) for e in range(6)]
+    for b, e in states:
+        # a path that waited for a target and got none ends in (0, -1), which nothing leaves
+        after = (max(b - 1, 0), e - 1) if e != 1 else (0, -1)
+        after = (after[0], 0) if e == 0 else after
+        rest[b, e] = after
+        arcs[(b, e), "target"] = [((5, 0), "other", 0.0)]
+        for kind in CORE:
+            plain = [(after, kind, 0.0)]
+            if b:
+                plain.append((after, f"aimed_{kind}", AIMED))
+            elif e == 0:
+                plain.append(((0, 5), f"aimed_{kind}", AIMED))
+            elif e > 1:
+                plain.append((after, f"aimed_{kind}", AIMED))
+            arcs[(b, e), kind] = plain
+    rest[0, -1] = (0, -1)
+    for kind in (*CORE, "target"):
+        arcs[(0, -1), kind] = [((0, -1), "other", 0.0)]
+    return Transducer(arcs, rest, frozenset({(0, -1), *((b, e) for b, e in states if e)}))
+
+
+def negations() -> Transducer:
+    """Denies insults and threats up to three words after a negation."""
+    arcs = {(s, "negation"): [(3, "other", 0.0)] for s in range(4)}
+    for s in (1, 2, 3):
+        for kind in CORE:
+            for aim in ("", "aimed_"):
+                arcs[s, aim + kind] = [(s - 1, f"denied_{kind}", DENIED)]
+    return Transducer(arcs, {s: s - 1 for s in range(1, 4)})
+
+
+def reports() -> Transducer:
+    """What follows a verb of saying in its clause, or is in quotation marks, is reported."""
+    arcs = {}
+    for said in (0, 1):
+        for quoted in (0, 1):
+            state = (said, quoted)
+            arcs[state, "report"] = [((1, quoted), "other", 0.0)]
+            arcs[state, "quote_in"] = [((said, 1), "other", 0.0)]
+            arcs[state, "quote_out"] = [((said, 0), "other", 0.0)]
+            if said or quoted:
+                for kind in CORE:
+                    for aim in ("", "aimed_", "denied_"):
+                        arcs[state, aim + kind] = [(state, f"reported_{kind}", REPORTED)]
+    return Transducer(arcs)
+
+
+class Composed:
+    """Transducers, each reading what the one before writes; product states are made as they are reached."""
+
+    def __init__(self, stages: list[Transducer], starts: list):
+        self.stages, self.start, self.known = stages, tuple(starts), {}
+
+    def arcs(self, state: tuple, symbol: str) -> list[tuple]:
+        if (state, symbol) not in self.known:
+            paths = [((), symbol, 0.0)]
+            for stage, s in zip(self.stages, state, strict=True):
+                paths = [((*done, after), wrote, weight + w) for done, out, weight in paths for after, wrote, w in stage.arcs(s, out)]
+            self.known[state, symbol] = paths
+        return self.known[state, symbol]
+
+    def final(self, state: tuple) -> bool:
+        return not any(s in stage.open_states for stage, s in zip(self.stages, state, strict=True))
+
+
+def grammar() -> Composed:
+    """Insults, threats, targets, negation and reported speech, composed."""
+    return Composed([insults(), threats(), targets(), negations(), reports()], [0, 0, (0, 0), 0, (0, 0)])
+
+
+#: No countdown of the grammar is longer.
+LONGEST_GAP = 6
+
+
+def best_path(machine: Composed, places: list[int], kinds: list[int], odds: list[float]) -> tuple[float, list[str]]:
+    """The weight and the marks of the heaviest path through a clause.
+
+    ``places`` are word numbers; words between count as other. A core word adds its
+    log odds where the path writes a mark for it.
+    """
+    beam: dict[tuple, tuple[float, tuple]] = {machine.start: (0.0, ())}
+    last = None
+    for place, kind, own in zip(places, kinds, odds, strict=True):
+        gap = 0 if last is None else min(max(place - last - 1, 0), LONGEST_GAP)
+        for symbol in ["other"] * gap + [SYMBOLS[kind]]:
+            after: dict[tuple, tuple[float, tuple]] = {}
+            for state, (weight, marks) in beam.items():
+                for into, out, w in machine.arcs(state, symbol):
+                    scored = symbol in CORE and out != "other"
+                    total = weight + w + (own if scored else 0.0)
+                    if into not in after or total > after[into][0]:
+                        after[into] = total, (*marks, out) if scored else marks
+            beam = after
+        last = place
+    for _ in range(LONGEST_GAP):
+        if not any(machine.final(s) for s in beam):
+            break
+        beam = {s: v for s, v in beam.items() if machine.final(s)}
+    return max(beam.values(), key=lambda v: v[0]) if beam else (0.0, ())
 
 
 def _hashes(words: list[str]) -> np.ndarray:
@@ -126,65 +192,112 @@ def _hashes(words: list[str]) -> np.ndarray:
     return span_hashes(array, starts, ends)
 
 
+LISTS = ((INSULT, INSULTS), (THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (SPEAKER, SPEAKERS), (INTENT, INTENTS), (STRONG, STRENGTHENERS))
+
+
 class Lexicon:
-    """Word hashes -> kinds; roots are hashes of leading bytes of insult words."""
-
-    def __init__(self, insults: np.ndarray, roots: np.ndarray):
-        kinds: dict[int, int] = dict.fromkeys(insults.tolist(), INSULT)
-        for kind, words in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)):
-            kinds |= dict.fromkeys(_hashes(words.split()).tolist(), kind)
-        self.keys = np.array(sorted(kinds), np.uint64)
-        self.kinds = np.array([kinds[k] for k in self.keys.tolist()], np.int8)
-        self.roots = np.unique(roots)
-        self.bloom = np.zeros(1 << 16, bool)
+    """Word hashes -> kinds and log odds; roots are hashes of leading bytes of insult words."""
+
+    def __init__(self, insults: dict[int, float] | None = None, roots: dict[int, tuple[float, float]] | None = None):
+        """``insults``: log odds by word hash; ``roots``: evidence and log odds by hash of the root."""
+        found: dict[int, tuple[int, float]] = {}
+        for kind, words in LISTS:
+            for h in _hashes(words.split()).tolist():
+                found.setdefault(h, (kind, KNOWN))
+        for h, own in (insults or {}).items():
+            if found.get(h, (INSULT,))[0] == INSULT:
+                found[h] = INSULT, max(own, found.get(h, (0, 0.0))[1])
+        self.keys = np.array(sorted(found), np.uint64)
+        self.kinds = np.array([found[k][0] for k in self.keys.tolist()], np.int8)
+        self.odds = np.array([found[k][1] for k in self.keys.tolist()])
+        roots = roots or {}
+        self.roots = np.array(sorted(roots), np.uint64)
+        self.evidence, self.root_odds = (np.array([roots[k][i] for k in self.roots.tolist()]) for i in (0, 1))
+        self.bloom, self.root_bloom = np.zeros(1 << 16, bool), np.zeros(1 << 16, bool)
         self.bloom[(self.keys & np.uint64(65535)).astype(int)] = True
-        self.root_bloom = np.zeros(1 << 16, bool)
         self.root_bloom[(self.roots & np.uint64(65535)).astype(int)] = True
 
-    def classify(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def classify(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Kind and log odds of each word; of roots that a word begins with, the one of most evidence tells."""
         words = span_hashes(data, starts, ends)
-        kinds = np.zeros(len(words), np.int8)
+        kinds, odds = np.zeros(len(words), np.int8), np.zeros(len(words))
         maybe = np.flatnonzero(self.bloom[(words & np.uint64(65535)).astype(int)])
         at = np.minimum(np.searchsorted(self.keys, words[maybe]), len(self.keys) - 1)
-        kinds[maybe] = np.where(self.keys[at] == words[maybe], self.kinds[at], OTHER)
-        if len(self.roots):
-            for size in range(MIN_ROOT, MAX_ROOT + 1):
-                long = np.flatnonzero(ends - starts >= size)
-                heads = span_hashes(data, starts[long], starts[long] + size)
-                close = self.root_bloom[(heads & np.uint64(65535)).astype(int)]
-                long, heads = long[close], heads[close]
-                at = np.minimum(np.searchsorted(self.roots, heads), len(self.roots) - 1)
-                hit = long[self.roots[at] == heads]
-                kinds[hit] = np.where(kinds[hit] == OTHER, INSULT, kinds[hit])
-        return kinds
-
-
-def count_marks(machine: Transducer, lexicon: Lexicon, texts: pa.Array) -> np.ndarray:
-    """Marks of all matched clauses of each row, by kind of mark."""
-    found = []
-    for first_row, end_row, offsets, data in blocks(texts):
-        counts = np.zeros((end_row - first_row, len(MARKS)))
+        hit = self.keys[at] == words[maybe]
+        kinds[maybe[hit]], odds[maybe[hit]] = self.kinds[at[hit]], self.odds[at[hit]]
+        evidence = np.zeros(len(words))
+        for size in range(MIN_ROOT, MAX_ROOT + 1) if len(self.roots) else ():
+            long = np.flatnonzero(ends - starts > size)
+            heads = span_hashes(data, starts[long], starts[long] + size)
+            close = self.root_bloom[(heads & np.uint64(65535)).astype(int)]
+            long, heads = long[close], heads[close]
+            at = np.minimum(np.searchsorted(self.roots, heads), len(self.roots) - 1)
+            hit = (self.roots[at] == heads) & ((kinds[long] == OTHER) | (evidence[long] > 0)) & (self.evidence[at] > evidence[long])
+            long, at = long[hit], at[hit]
+            kinds[long], odds[long], evidence[long] = INSULT, self.root_odds[at], self.evidence[at]
+        return kinds, odds
+
+
+def prepared(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Blocks of rows with CURLY marks made ASCII."""
+    for first, end, offsets, data in blocks(texts):
+        raw = data.tobytes()
+        for mark, byte in CURLY:
+            own = mark.encode()
+            if own in raw:
+                raw = raw.replace(own, bytes([byte]).ljust(len(own)))
+        yield first, end, offsets, np.frombuffer(raw, np.uint8)
+
+
+def _quotes(row: np.ndarray, begin: int) -> list[tuple[int, int]]:
+    """Where in a row quoted speech begins and ends: (byte place, symbol)."""
+    found, inside = [], 0
+    for at in np.flatnonzero(QUOTES[row]).tolist():
+        mark = row[at]
+        # the mark that opens English speech closes what the low one opened
+        closes = mark == CLOSES or (mark == PLAIN and inside == PLAIN) or (mark == OPENS and inside == LOW)
+        inside = 0 if closes else mark
+        found.append((begin + at, QUOTE_OUT if closes else QUOTE_IN))
+    return found
+
+
+def read_clauses(machine: Composed, lexicon: Lexicon, texts: pa.Array) -> Iterator[tuple[int, int, list]]:
+    """Of each row its number, its words, and (weight, marks) of its clauses with core words."""
+    for first_row, end_row, offsets, data in prepared(texts):
         starts, ends, first = word_bounds(offsets, data, NOT_ALNUM)
-        kinds = lexicon.classify(data, starts, ends)
+        kinds, odds = lexicon.classify(data, starts, ends)
         row = np.repeat(np.arange(len(first) - 1), np.diff(first))
         stops = np.concatenate(([0], np.cumsum(CLAUSE_END[data])))
-        quotes = np.concatenate(([0], np.cumsum(QUOTE[data])))
         clause = stops[starts] + row if len(starts) else np.zeros(0, np.int64)
-        core = np.flatnonzero((kinds == INSULT) | (kinds == THREAT))
-        for c in np.unique(clause[core]):
-            low, high = np.searchsorted(clause, c), np.searchsorted(clause, c, "right")
-            # words with a kind of their own; the rest only counts as distance
+        cores = np.flatnonzero((kinds == INSULT) | (kinds == THREAT))
+        found: dict[int, list] = {}
+        quotes: dict[int, list] = {}
+        for c in np.unique(clause[cores]).tolist():
+            low, high = (int(np.searchsorted(clause, c, side)) for side in ("left", "right"))
+            r = int(row[low])
+            if r not in quotes:
+                quotes[r] = _quotes(data[offsets[r] : offsets[r + 1]], int(offsets[r]))
+            # words with a kind of their own, and marks of speech between them; the rest only counts as distance
             inside = low + np.flatnonzero(kinds[low:high])
-            r = row[low]
-            quoted = ((quotes[starts[inside]] - quotes[offsets[r]]) % 2 == 1).tolist()
-            marks = read_clause(machine, inside.tolist(), kinds[inside].tolist())
-            own = [q for q, k in zip(quoted, kinds[inside].tolist(), strict=True) if k in (INSULT, THREAT)]
-            for mark, q in zip(marks, own, strict=True):
-                if q and mark in ("insult", "threat"):
-                    mark = f"reported_{mark}"
-                counts[r, MARKS.index(mark)] += 1
-        found.append(counts)
-    return np.concatenate(found) if found else np.zeros((0, len(MARKS)))
+            marked = [(int(starts[i]), int(i), int(kinds[i]), float(odds[i])) for i in inside.tolist()]
+            before = [k for p, k in quotes[r] if p < starts[low]]
+            if before and before[-1] == QUOTE_IN:
+                marked.append((int(starts[low]) - 1, low, QUOTE_IN, 0.0))
+            marked += [(p, low + int(np.searchsorted(starts[low:high], p)), k, 0.0) for p, k in quotes[r] if starts[low] < p < starts[high - 1] + 1]
+            marked.sort()
+            _, places, symbols, own = zip(*marked, strict=True)
+            found.setdefault(r, []).append(best_path(machine, list(places), list(symbols), list(own)))
+        for r in range(end_row - first_row):
+            yield first_row + r, int(first[r + 1] - first[r]), found.get(r, [])
+
+
+def features(machine: Composed, lexicon: Lexicon, texts: pa.Array) -> np.ndarray:
+    """Of each row: the weight of its clauses, that weight per 100 words, and the greatest of one clause."""
+    table = np.zeros((len(texts), 3))
+    for r, n_words, clauses in read_clauses(machine, lexicon, texts):
+        total = sum(w for w, _ in clauses)
+        table[r] = total, 100 * total / max(n_words, 100), max((w for w, _ in clauses), default=0.0)
+    return table
 
 
 @dataclass
@@ -194,96 +307,123 @@ class Model:
     bias: float
 
     def scores(self, texts: pa.Array) -> np.ndarray:
-        counts = np.log1p(count_marks(_machine(), self.lexicon, texts))
-        return 1 / (1 + np.exp(-np.clip(counts @ self.weights + self.bias, -50, 50)))
+        return 1 / (1 + np.exp(-np.clip(scaled(features(_machine(), self.lexicon, texts)) @ self.weights + self.bias, -50, 50)))
+
 
+def scaled(table: np.ndarray) -> np.ndarray:
+    return np.log1p(np.maximum(table, 0.0))
 
-_made: list[Transducer] = []
 
+_made: list[Composed] = []
 
-def _machine() -> Transducer:
+
+def _machine() -> Composed:
     if not _made:
         _made.append(grammar())
     return _made[0]
 
 
-def _support(texts: pa.Array, size: int = 0) -> Counter:
-    """Words (or roots of ``size`` bytes) -> number of distinct words before (or of distinct words)."""
-    seen = []
-    for _, _, offsets, data in blocks(texts):
+def strength(n: np.ndarray, other: np.ndarray, rate: float) -> np.ndarray:
+    """How much ``n`` of ``n + other`` speaks against a share of ``rate``, as a log likelihood ratio."""
+    share = n / np.maximum(n + other, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        bits = n * np.log(share / rate) + np.where(other > 0, other * np.log((1 - share) / (1 - rate)), 0.0)
+    return np.where(share > rate, bits, 0.0)
+
+
+def _seen(texts: pa.Array, size: int = 0) -> tuple[np.ndarray, ...]:
+    """Distinct (word, word before, 0) or, of roots of ``size`` bytes, (root, word, document); and all words."""
+    seen, words_all = [], 0
+    for first_row, _, offsets, data in prepared(texts):
         starts, ends, first = word_bounds(offsets, data, NOT_ALNUM)
         words = span_hashes(data, starts, ends)
+        words_all += len(words)
         if size:
             long = ends - starts > size
-            seen.append(np.stack([span_hashes(data, starts[long], starts[long] + size), words[long]], 1))
+            doc = (np.repeat(np.arange(len(first) - 1), np.diff(first)) + first_row).astype(np.uint64)
+            rows = np.stack([span_hashes(data, starts[long], starts[long] + size), words[long], doc[long]], 1)
         else:
             before = np.concatenate((np.zeros(1, np.uint64), words))[: len(words)]
-            seen.append(np.stack([words, before], 1))
-        seen = [np.unique(np.concatenate(seen), axis=0)] if len(seen) > 8 else seen
-    pairs = np.unique(np.concatenate(seen), axis=0) if seen else np.zeros((0, 2), np.uint64)
-    keys, counts = np.unique(pairs[:, 0], return_counts=True)
-    return Counter(dict(zip(keys.tolist(), counts.tolist(), strict=True)))
-
-
-def _present(texts: pa.Array, wanted: np.ndarray, size: int = 0) -> Counter:
-    """How many words (or roots) of ``wanted`` the texts hold."""
-    total: Counter = Counter()
-    for _, _, offsets, data in blocks(texts):
-        starts, ends, _ = word_bounds(offsets, data, NOT_ALNUM)
-        if size:
-            long = ends - starts >= size
-            words = span_hashes(data, starts[long], starts[long] + size)
-        else:
-            words = span_hashes(data, starts, ends)
-        at = np.minimum(np.searchsorted(wanted, words), max(len(wanted) - 1, 0))
-        keys, counts = np.unique(words[wanted[at] == words] if len(wanted) else words[:0], return_counts=True)
-        total.update(dict(zip(keys.tolist(), counts.tolist(), strict=True)))
-    return total
+            rows = np.stack([words, before, np.zeros(len(words), np.uint64)], 1)
+        order = np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))
+        rows = rows[order]
+        seen.append(rows[np.concatenate(([True], (rows[1:] != rows[:-1]).any(axis=1)))[: len(rows)]])
+    rows = np.concatenate(seen) if seen else np.zeros((0, 3), np.uint64)
+    order = np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))
+    rows = rows[order]
+    return rows[np.concatenate(([True], (rows[1:] != rows[:-1]).any(axis=1)))[: len(rows)]], words_all
+
+
+def _tally(keys: np.ndarray) -> dict[int, int]:
+    found, counts = np.unique(keys, return_counts=True)
+    return dict(zip(found.tolist(), counts.tolist(), strict=True))
 
 
 def learn_lexicon(toxic: pa.Array, clean: pa.Array) -> Lexicon:
-    """Insult words: those whose separate contexts in toxic documents are too many for chance.
+    """Insult words and roots: what toxic documents have too often for chance, with its log odds.
 
-    Contexts are distinct preceding words, so copies of one document count once.
-    Of a word's contexts, toxic ones would be a share like that of toxic
-    documents by chance; the bar is the logarithm of the number of words tried
-    plus 3. A root (4 to 8 leading bytes) counts when ROOT_WORDS different longer
-    words of toxic documents begin with it and no word of a clean one does.
+    Of a word, its contexts (distinct words before it, so that copies of a document
+    count once) are counted; of a root, the 4 to 8 bytes that different longer words
+    begin with, the documents that have two such words or more, as single ones
+    come about by chance. The bar is the logarithm of the number tried plus 3. Log odds
+    compare how often both kinds of documents have it, by their words.
     """
-    rate = max(len(toxic), 1) / max(len(toxic) + len(clean), 2)
-    support = _support(toxic)
-    wanted = np.array(sorted(w for w, n in support.items() if n >= 4), np.uint64)
-    in_clean = _present(clean, wanted)
-    bar = np.log(max(len(support), 2)) + 3
-
-    def strength(n: int, other: int) -> float:
-        share = n / (n + other)
-        return (n + other) * (share * np.log(share / rate) + (1 - share) * np.log(max(1 - share, 1e-12) / (1 - rate)) * (other > 0)) if share > rate else 0.0
-
-    insults = [w for w in wanted.tolist() if support[w] > 20 * in_clean[w] and strength(support[w], in_clean[w]) > bar]
-    roots = []
+    (t, t_words), (c, c_words) = _seen(toxic), _seen(clean)
+    support, against = _tally(t[:, 0]), _tally(c[:, 0])
+    rate = max(t_words, 1) / max(t_words + c_words, 2)
+
+    def odds(n: float, other: float) -> float:
+        return float(np.clip(np.log((n + 0.5) / max(t_words, 1) * max(c_words, 1) / (other + 0.5)), LEAST, MOST))
+
+    tried = [w for w, n in support.items() if n >= 4]
+    n, other = np.array([support[w] for w in tried], float), np.array([against.get(w, 0) for w in tried], float)
+    found = strength(n, other, rate) if tried else np.zeros(0)
+    # words that clean documents have too may be of either kind
+    insults = {w: odds(a, b) for w, a, b, s in zip(tried, n, other, found, strict=True) if s > np.log(max(len(support), 2)) + 3 and a > 20 * b}
+    roots: dict[int, tuple[float, float]] = {}
+    share = max(len(toxic), 1) / max(len(toxic) + len(clean), 2)
     for size in range(MIN_ROOT, MAX_ROOT + 1):
-        spread = _support(toxic, size)
-        tried = np.array(sorted(w for w, n in spread.items() if n >= ROOT_WORDS), np.uint64)
-        clean_roots = _present(clean, tried, size)
-        roots += [w for w in tried.tolist() if not clean_roots[w]]
-    seeds = _hashes(INSULTS.split())
-    return Lexicon(np.unique(np.concatenate([np.array(insults, np.uint64), seeds])), np.array(roots, np.uint64))
+        (t, _), (c, _) = _seen(toxic, size), _seen(clean, size)
+        spread = _tally(np.unique(t[:, :2], axis=0)[:, 0]) if len(t) else {}
+        docs, other_docs = (_tally(_twice(x)) for x in (t, c))
+        n_roots, other_roots = _tally(t[:, 0]), _tally(c[:, 0])
+        tried = [r for r, n in docs.items() if n >= 4 and spread[r] >= ROOT_WORDS]
+        if not tried:
+            continue
+        found = strength(np.array([docs[r] for r in tried], float), np.array([other_docs.get(r, 0) for r in tried], float), share)
+        bar = np.log(max(len(n_roots), 2)) + 3
+        for r, s in zip(tried, found.tolist(), strict=True):
+            if s > bar:
+                roots[r] = s, odds(n_roots[r], other_roots.get(r, 0))
+    return Lexicon(insults, roots)
+
+
+def _twice(rows: np.ndarray) -> np.ndarray:
+    """Roots of (root, word, document), once for each document that has two words of it or more."""
+    if not len(rows):
+        return np.zeros(0, np.uint64)
+    order = np.lexsort((rows[:, 2], rows[:, 0]))
+    root, doc = rows[order, 0], rows[order, 2]
+    again = (root[1:] == root[:-1]) & (doc[1:] == doc[:-1])
+    third = np.concatenate(([False], again[:-1])) & again
+    return root[1:][again & ~third]
+
+
+#: What the weights of total, density and greatest clause are near where labels say little, and the bias.
+PRIOR, PRIOR_BIAS = np.array([1.0, 1.0, 3.0]), -5.5
 
 
 def fit(texts: pa.Array, labels: np.ndarray) -> Model:
-    """Lexicon from the labelled sample, then the weights of marks by penalised logistic regression."""
+    """Lexicon from the labelled sample, then the weights of clauses' scores by penalised logistic regression."""
     toxic, clean = texts.filter(pa.array(labels == 1)), texts.filter(pa.array(labels != 1))
     lexicon = learn_lexicon(toxic, clean)
-    counts = np.log1p(count_marks(_machine(), lexicon, texts))
-    # where labels say little about a mark, its weight stays near these
-    prior = np.array([3.0, 4.0, 0.5, 0.5, 2.0, 4.0, 0.5, 0.5])
-    weights, bias = prior.copy(), -2.0
+    table = scaled(features(_machine(), lexicon, texts))
+    weights, bias = PRIOR.copy(), PRIOR_BIAS
     y = (labels == 1).astype(np.float64)
-    for _ in range(400 if len(y) else 0):
-        error = 1 / (1 + np.exp(-np.clip(counts @ weights + bias, -50, 50))) - y
-        weights -= 0.3 * (counts.T @ error / len(y) + 0.001 * (weights - prior))
-        bias -= 0.3 * (error.mean() + 0.001 * (bias + 2.0))
+    for _ in range(600 if len(y) else 0):
+        error = 1 / (1 + np.exp(-np.clip(table @ weights + bias, -50, 50))) - y
+        weights -= 0.3 * (table.T @ error / len(y) + 0.003 * (weights - PRIOR))
+        bias -= 0.3 * (error.mean() + 0.003 * (bias - PRIOR_BIAS))
     return Model(lexicon, weights, float(bias))
 
 

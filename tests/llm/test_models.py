@@ -158,21 +158,53 @@ def test_toxicity_on_held_out_rows():
     scores = model.scores(pa.array(held.text))
     truth = held.toxic.to_numpy() == 1
     assert not (scores[~truth] >= 0.5).any()
-    assert (scores[truth] >= 0.5).mean() > 0.75
+    assert (scores[truth] >= 0.5).mean() > 0.9
+    texts = {
+        "You are an idiot.": True, "I will kill you.": True, "We are going to hurt them": True, "Idiots like you": True, "such a total idiot": True,
+        "You are not an idiot.": False, "He said you are an idiot.": False, 'The sign read "you idiot" here': False, "\u201cyou idiot\u201d, it read": False, "\u201eyou idiot\u201c it read": False,
+        "\u00ab you idiot \u00bb, it read": False, "I will not kill you.": False, "They reported that he will kill you": False, "kill the process": False, "a fine day": False, "": False,
+    }
+    found = model.scores(pa.array(list(texts)))
+    assert {t: bool(s >= 0.5) for t, s in zip(texts, found, strict=True)} == texts
 
 
-def test_grammar_reads_negation_report_and_target():
-    machine, lexicon = toxicity.grammar(), toxicity.Lexicon(toxicity._hashes(toxicity.INSULTS.split()), np.empty(0, np.uint64))
+def test_grammar_marks_what_a_clause_does():
+    machine, lexicon = toxicity.grammar(), toxicity.Lexicon()
     marks = {}
-    for text in ("what an idiot", "you are an idiot", "that is not an idiot", "he said they met an idiot", 'a sign: "idiot"', "we kill you", "no idea. a fine day", ""):
-        counts = toxicity.count_marks(machine, lexicon, pa.array([text]))[0]
-        marks[text] = [m for m, n in zip(toxicity.MARKS, counts, strict=True) if n]
+    for text in ("what an idiot", "you are an idiot", "an idiot like you", "that is not an idiot", "he said they met an idiot", 'a sign: "idiot"', "a sign: \u201cidiot\u201d, idiot", "we kill you", "kill", "no idea. a fine day", ""):
+        (_, _, clauses), = toxicity.read_clauses(machine, lexicon, pa.array([text]))
+        marks[text] = [m for _, own in clauses for m in own]
     assert marks == {
-        "what an idiot": ["insult"], "you are an idiot": ["aimed_insult"], "that is not an idiot": ["denied_insult"], "he said they met an idiot": ["reported_insult"],
-        'a sign: "idiot"': ["reported_insult"], "we kill you": ["aimed_threat"], "no idea. a fine day": [], "": [],
+        "what an idiot": ["insult"], "you are an idiot": ["aimed_insult"], "an idiot like you": ["aimed_insult"], "that is not an idiot": [], "he said they met an idiot": [], 'a sign: "idiot"': [],
+        "a sign: \u201cidiot\u201d, idiot": ["insult"], "we kill you": ["aimed_threat"], "kill": ["threat"], "no idea. a fine day": [], "": [],
     }
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(range(len(toxicity.SYMBOLS))), st.sampled_from([0.5, 3.0, 7.5])), max_size=7))
+def test_best_path_against_all_paths(word_list):
+    machine = toxicity.grammar()
+    symbols = [k for k, _ in word_list]
+
+    def all_paths(stage_words):
+        """Every way through the stages one after another, each reading the whole clause the one before wrote."""
+        outs = [([toxicity.SYMBOLS[k] for k in symbols] + ["other"] * toxicity.LONGEST_GAP, 0.0)]
+        for stage, start in zip(machine.stages, machine.start, strict=True):
+            after = []
+            for line, weight in outs:
+                paths = [(start, [], weight)]
+                for symbol in line:
+                    paths = [(into, [*wrote, out], w + own) for s, wrote, w in paths for into, out, own in stage.arcs(s, symbol)]
+                after += [(wrote, w) for s, wrote, w in paths if s not in stage.open_states]
+            outs = after
+        return outs
+
+    best = max(w + sum(o for (k, o), out in zip(word_list, line, strict=False) if toxicity.SYMBOLS[k] in toxicity.CORE and out != "other") for line, w in all_paths(symbols))
+    kept = [i for i, k in enumerate(symbols) if k]
+    found, _ = toxicity.best_path(machine, kept, [symbols[i] for i in kept], [word_list[i][1] for i in kept])
+    assert found == pytest.approx(best)
+
+
 def test_classifiers_take_odd_rows(spark, make):
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     one = spark.createDataFrame([(3, 1, 0), (None, 0, 1), (4, None, None)], "doc_id long, quality int, toxic int")
