@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine
 from . import evidence, search
 
 #: Version of the cached payload's fields.
@@ -73,17 +72,19 @@ def expand(seeds: DataFrame, chunks: DataFrame, radius: int = 1, limit: int = 50
 
 
 def cache_lookup(requests: DataFrame, entries: DataFrame, threshold: float, now: Column) -> DataFrame:
-    """The nearest admissible entry of each request.
+    """The nearest admissible entry of each request: ``request_id, entry_id, similarity``.
 
-    The same tenant, user, model, question, epoch and profile are equi-join keys,
-    so only entries that could answer meet a request; then cosine, time to live,
-    schema version and the number of results decide.
+    An entry answers a request of the same tenant, user, model, question, epoch,
+    profile and number of results. Those that have expired, or are of another schema,
+    don't take part; the nearest of the rest has to reach ``threshold``. Entries and
+    requests meet as ``search.nearest`` has them meet, so that a question that all ask
+    is no task of its own.
     """
-    keys = ["tenant", "user", "model", "question", "epoch", "profile", "top_k"]
-    rows = requests.join(entries.withColumnRenamed("vector", "_v"), keys).withColumn("similarity", cosine(F.col("qvec"), F.col("_v")))
-    rows = rows.filter((F.col("similarity") >= threshold) & (F.col("expires_at") > now) & (F.col("schema_version") == CACHE_SCHEMA))
-    order = Window.partitionBy("request_id").orderBy(F.col("similarity").desc(), "entry_id")
-    return rows.withColumn("_n", F.row_number().over(order)).filter("_n = 1").select("request_id", "entry_id", "similarity")
+    key = F.xxhash64("tenant", "user", "model", "question", "epoch", "profile", "top_k")
+    open_now = entries.filter((F.col("expires_at") > now) & (F.col("schema_version") == CACHE_SCHEMA))
+    same = lambda tile, block: block.column(2).to_numpy()[:, None] == tile.column(2).to_numpy()[None, :]
+    found = search.nearest(open_now.select(F.col("entry_id").alias("chunk_id"), "vector", key), requests.select(F.col("request_id").alias("query_id"), "qvec", key), 1, same)
+    return found.filter(F.col("score") >= threshold).select(F.col("query_id").alias("request_id"), F.col("chunk_id").alias("entry_id"), F.col("score").alias("similarity"))
 
 
 def falls_back(allowed: Column, status: Column, scope: Column, changed: Column) -> Column:

@@ -7,80 +7,111 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
+from .access import can_view
 
 RRF_K, BM25_K1, BM25_B = 60, 1.5, 0.75
-#: Queries of one block: bounds what is broadcast, however many queries there are.
-QUERY_BLOCK = 4096
+#: Queries of one block.
+QUERY_BLOCK = 1024
 
 
 def pool_size(k: int) -> int:
     return max(k, 4 * k, 50)
 
 
+#: Vectors of one tile; what a task multiplies with a block of queries at once.
+TILE = 4096
+
+
 def _numbers(column: pa.Array, n: int) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(n, -1) if n else flat.reshape(0, 0)
+    found = flat.reshape(n, -1) if n else flat.reshape(0, 0)
+    return found / np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-300)
 
 
-def dense_topk(corpus: DataFrame, queries: DataFrame, k: int, access: bool = True) -> DataFrame:
+def _packed(rows: DataFrame, size: int, name: str) -> DataFrame:
+    """Rows of each Arrow batch as tables of at most ``size`` rows in one binary value."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                part, sink = batch.slice(at, size), pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema) as writer:
+                    writer.write_batch(part)
+                yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=[name])
+
+    return rows.mapInArrow(run, f"{name} binary")
+
+
+def _read(blob: pa.Scalar) -> pa.RecordBatch:
+    return pa.ipc.open_stream(blob.as_buffer()).read_all().combine_chunks().to_batches()[0]
+
+
+def nearest(corpus: DataFrame, queries: DataFrame, k: int, may) -> DataFrame:
     """Exact cosine top-k: ``query_id, chunk_id, score, dense_rank``, ties by chunk id.
 
+    ``corpus`` begins with chunk_id and vector, ``queries`` with query_id and qvec; what
+    follows them is for ``may(tile, block)``, which tells which of a block's queries may
+    see which of a tile's vectors (True for all). Queries in blocks meet vectors in tiles,
+    as one value each, in a planned join: Spark broadcasts the blocks below its size
+    limit, else deals out both sides. Of a tile only the best k of each query, after
+    what it may not see is masked, are shuffled.
+    """
+    tiles = _packed(corpus, TILE, "_tile")
+    # blocks are filled from all partitions; their number is that of full ones
+    blocks = _packed(queries.repartition(max(1, corpus.sparkSession.sparkContext.defaultParallelism // 8)), QUERY_BLOCK, "_block")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for left, right in zip(batch.column(0), batch.column(1), strict=True):
+                tile, block = _read(left), _read(right)
+                chunk, asked = (t.column(0).to_numpy(zero_copy_only=False) for t in (tile, block))
+                scores = _numbers(block.column(1), len(asked)) @ _numbers(tile.column(1), len(chunk)).T
+                allowed = may(tile, block)
+                if allowed is not True:
+                    scores[~allowed] = -np.inf
+                if len(chunk) > k:
+                    # what is as near as the k-th, as far as 12 digits tell, stays for the tie by chunk
+                    least = np.partition(scores, len(chunk) - k, axis=1)[:, len(chunk) - k]
+                    row, at = np.nonzero((scores >= least[:, None] - 1e-11) & np.isfinite(scores))
+                else:
+                    row, at = np.nonzero(np.isfinite(scores))
+                yield pa.RecordBatch.from_arrays([pa.array(asked[row]), pa.array(chunk[at]), pa.array(scores[row, at])], names=["query_id", "chunk_id", "score"])
+
+    found = tiles.crossJoin(blocks).mapInArrow(run, "query_id long, chunk_id long, score double")
+    return top(found.withColumn("score", F.round("score", 12)), "score", k, "dense_rank")
+
+
+def may_read(tile: pa.RecordBatch, block: pa.RecordBatch) -> np.ndarray:
+    """Permissions of (tenant, owner, visibility, scope, acl) for (tenant, user, role), once for each kind of reader."""
+    tenant, owner, visibility, scope = (tile.column(i).to_numpy(zero_copy_only=False) for i in range(2, 6))
+    acl = tile.column(6)
+    rows, members = pc.list_parent_indices(acl).to_numpy(zero_copy_only=False), acl.flatten().to_numpy(zero_copy_only=False)
+    everyone, open_here, shared = scope == "global", visibility == "tenant", visibility == "shared"
+    kinds: dict[tuple, list[int]] = {}
+    for j, reader in enumerate(zip(*(block.column(i).to_pylist() for i in range(2, 5)), strict=True)):
+        kinds.setdefault(reader, []).append(j)
+    allowed = np.empty((block.num_rows, tile.num_rows), bool)
+    for (t, user, role), own in kinds.items():
+        listed = np.zeros(tile.num_rows, bool)
+        listed[rows[members == user]] = True
+        allowed[own] = everyone | ((tenant == t) & (True if role == "admin" else (owner == user) | open_here | (shared & listed)))
+    return allowed
+
+
+def dense_topk(corpus: DataFrame, queries: DataFrame, k: int, access: bool = True) -> DataFrame:
+    """``nearest`` of vectors that each query's reader may see.
+
     ``corpus``: chunk_id, vector and, with ``access``, tenant, owner, visibility,
-    scope, acl. ``queries``: query_id, qvec and tenant, user, role. Queries go out
-    in blocks of QUERY_BLOCK; every Arrow batch of vectors is multiplied with a
-    block, what a query may not see is masked before its best k of the batch are
-    kept, and only those are shuffled, by query.
+    scope, acl. ``queries``: query_id, qvec and q_tenant, q_user, q_role.
     """
-    fields = ["query_id", "qvec", *(["q_tenant", "q_user", "q_role"] if access else [])]
     own = ["chunk_id", "vector", *(["tenant", "owner", "visibility", "scope", "acl"] if access else [])]
-    context, found, block = corpus.sparkSession.sparkContext, None, []
-
-    def ask(rows: list) -> DataFrame:
-        ids = np.array([r[0] for r in rows])
-        matrix = np.array([r[1] for r in rows], np.float64)
-        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-        shared = context.broadcast((ids, matrix, [r[2:] for r in rows]))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            qids, q, who = shared.value
-            for batch in batches:
-                n = batch.num_rows
-                if not n:
-                    continue
-                vectors = _numbers(batch.column(1), n)
-                vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
-                chunk = batch.column(0).to_numpy(zero_copy_only=False)
-                scores = vectors @ q.T
-                if access:
-                    tenant, owner, visibility, scope = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2, 6))
-                    acl = batch.column(6)
-                    owners = pc.list_parent_indices(acl).to_numpy(zero_copy_only=False)
-                    members = acl.flatten().to_numpy(zero_copy_only=False)
-                    everyone, shared_with = scope == "global", visibility == "shared"
-                    for j, (t, u, role) in enumerate(who):
-                        listed = np.zeros(n, bool)
-                        listed[owners[members == u]] = True
-                        seen = everyone | ((tenant == t) & ((role == "admin") | (owner == u) | (visibility == "tenant") | (shared_with & listed)))
-                        scores[~seen, j] = -np.inf
-                order = np.argsort(chunk, kind="stable")
-                best = order[np.argsort(-scores[order], axis=0, kind="stable")[:k]]
-                score = np.take_along_axis(scores, best, axis=0)
-                ok = np.isfinite(score)
-                yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(qids, best.shape)[ok]), pa.array(chunk[best[ok]]), pa.array(score[ok])], names=["query_id", "chunk_id", "score"])
-
-        return corpus.select(*own).mapInArrow(run, "query_id long, chunk_id long, score double")
-
-    for row in queries.select(*fields).toLocalIterator():
-        block.append(tuple(row))
-        if len(block) == QUERY_BLOCK:
-            found, block = (ask(block) if found is None else found.union(ask(block))), []
-    if block or found is None:
-        found = (ask(block) if found is None else found.union(ask(block))) if block else corpus.sparkSession.createDataFrame([], "query_id long, chunk_id long, score double")
-    return top(found.withColumn("score", F.round("score", 12)), "score", k, "dense_rank")
+    fields = ["query_id", "qvec", *(["q_tenant", "q_user", "q_role"] if access else [])]
+    return nearest(corpus.select(*own), queries.select(*fields), k, may_read if access else lambda tile, block: True)
 
 
 def top(rows: DataFrame, score: str, k: int, rank: str) -> DataFrame:
@@ -88,38 +119,48 @@ def top(rows: DataFrame, score: str, k: int, rank: str) -> DataFrame:
     return rows.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) <= k)
 
 
-def postings(corpus: DataFrame, text: str = "text") -> DataFrame:
-    """``chunk_id, term, tf, dl``: counted before the shuffle by chunk and term."""
-    tokens = corpus.select("chunk_id", tokenize(F.col(text)).alias("_t")).select("chunk_id", F.size("_t").alias("dl"), F.explode("_t").alias("term"))
-    return tokens.groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
+def idf(df: Column, n: Column) -> Column:
+    return F.log(1.0 + (n - df + 0.5) / (df + 0.5))
 
 
-def corpus_stats(corpus: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(term, df) and one row of (n_docs, avgdl)."""
-    tokens = corpus.select(tokenize(F.col(text)).alias("_t"))
-    df = tokens.select(F.explode(F.array_distinct("_t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    return df, tokens.agg(F.count("*").alias("n_docs"), F.avg(F.size("_t")).alias("avgdl"))
+#: Stands for a document among its terms; no token is empty.
+WHOLE = ""
 
 
-def idf(df: Column, n: Column) -> Column:
-    return F.log(1.0 + (n - df + 0.5) / (df + 0.5))
+def postings(corpus: DataFrame, terms: DataFrame) -> DataFrame:
+    """``chunk_id, term, tf, dl`` of the given terms, and one row of each chunk for WHOLE, by one scan.
+
+    Only terms that are asked for leave the scan: tokens meet them (broadcast by size,
+    as AQE sees it) before they are counted.
+    """
+    tokens = corpus.select("chunk_id", tokenize(F.col("text")).alias("_t"))
+    each = tokens.select("chunk_id", F.size("_t").alias("dl"), F.explode(F.array_append("_t", WHOLE)).alias("term"))
+    asked = terms.select("term").union(terms.sparkSession.createDataFrame([(WHOLE,)], "term string")).distinct()
+    return each.join(asked, "term", "left_semi").groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def bm25(corpus: DataFrame, queries: DataFrame, k: int, access: bool = False) -> DataFrame:
     """``query_id, chunk_id, lex_score, lex_rank`` with corpus-wide statistics.
 
-    Only query terms leave the scan: tokens are joined with the distinct terms of
-    the queries (broadcast by size, as AQE sees it) before they are counted.
+    One stored table of postings feeds counts of documents, of terms and the scores.
+    With ``access``, pairs that a query's reader may not see are no part of the sums.
     """
-    terms = queries.select("query_id", F.explode(F.array_distinct(tokenize(F.col("qtext")))).alias("term"))
-    tokens = corpus.select("chunk_id", tokenize(F.col("text")).alias("_t")).withColumn("dl", F.size("_t"))
-    totals = tokens.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    tf = tokens.select("chunk_id", "dl", F.explode("_t").alias("term")).join(terms.select("term").distinct(), "term", "left_semi").groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
+    asked = ["q_tenant", "q_user", "q_role"] if access else []
+    terms = queries.select("query_id", *asked, F.explode(F.array_distinct(tokenize(F.col("qtext")))).alias("term"))
+    stored = postings(corpus, terms).persist(StorageLevel.MEMORY_AND_DISK)
+    totals = stored.filter(F.col("term") == WHOLE).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    tf = stored.filter(F.col("term") != WHOLE)
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     weight = tf.join(df, "term").crossJoin(F.broadcast(totals))  # totals: exactly one row
     part = idf(F.col("df"), F.col("n")) * (F.col("tf") * (BM25_K1 + 1)) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avgdl")))
     weight = weight.select("chunk_id", "term", part.alias("_w"))
-    scores = weight.join(terms, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum("_w"), 9).alias("lex_score")).filter("lex_score > 0")
+    if access:
+        facts = ["tenant", "owner", "visibility", "scope", "acl"]
+        weight = weight.join(corpus.select("chunk_id", *facts), "chunk_id")
+        pairs = weight.join(terms, "term").filter(can_view(F.col("q_tenant"), F.col("q_user"), F.col("q_role")))
+    else:
+        pairs = weight.join(terms, "term")
+    scores = pairs.groupBy("query_id", "chunk_id").agg(F.round(F.sum("_w"), 9).alias("lex_score")).filter("lex_score > 0")
     return top(scores, "lex_score", k, "lex_rank")
 
 

@@ -80,11 +80,27 @@ def references(documents: DataFrame, versions: DataFrame) -> DataFrame:
     return documents.select("sha").unionAll(versions.select("sha")).groupBy("sha").agg(F.count("*").alias("refs"))
 
 
-def epochs(changes: DataFrame) -> DataFrame:
-    """Revision of each scope: the number of rows whose permissions differ from the row before."""
+def epochs(changes: DataFrame, state: str = "acl_state") -> DataFrame:
+    """Revision of each scope: the updates of a document that change its permissions.
+
+    Columns: doc_id, tenant, scope, at, seq and ``state``. A document's first row is
+    no update. A change to or from the global scope counts for ``global``, any other
+    for the tenant.
+    """
     order = Window.partitionBy("doc_id").orderBy("at", "seq")
-    bumped = changes.withColumn("_b", ~F.col("acl_state").eqNullSafe(F.lag("acl_state").over(order)))
-    return bumped.groupBy("scope_key").agg(F.count_if("_b").alias("epoch"))
+    now, old = F.struct(state, "scope"), F.lag(F.struct(state, "scope")).over(order)
+    rows = changes.withColumns({"_old": old, "_first": F.row_number().over(order) == 1})
+    rows = rows.filter(~F.col("_first") & ~F.col("_old").eqNullSafe(now))
+    key = F.when((F.col("scope") == "global") | (F.col("_old.scope") == "global"), "global").otherwise(F.col("tenant").cast("string"))
+    return rows.groupBy(key.alias("scope_key")).agg(F.count("*").alias("epoch"))
+
+
+def epoch_strings(tenants: DataFrame, revisions: DataFrame) -> DataFrame:
+    """``tenant`` -> its revision and the global one as ``t:g``, 0 where there is none."""
+    everywhere = revisions.filter("scope_key = 'global'").agg(F.coalesce(F.max("epoch"), F.lit(0)).alias("_g"))
+    own = revisions.select(F.col("scope_key").alias("_k"), F.col("epoch").alias("_t"))
+    rows = tenants.join(own, F.col("tenant").cast("string") == F.col("_k"), "left").crossJoin(F.broadcast(everywhere))  # one row
+    return rows.select("tenant", F.concat_ws(":", F.coalesce("_t", F.lit(0)), "_g").alias("epoch"))
 
 
 def fingerprint(df: DataFrame, by: list[str], key: str, columns: list[str]) -> DataFrame:
@@ -106,3 +122,15 @@ def usage(calls: DataFrame, by: str) -> DataFrame:
         F.round(F.when(F.bool_or(F.col("cost").isNull()), None).otherwise(F.sum("cost")), 6).alias("total_cost"),
         F.count("*").alias("calls"),
     )
+
+
+def route_summary(elements: DataFrame) -> DataFrame:
+    """``doc_id, modality, extractor, reason`` of elements -> counts of each as maps, omissions and a status.
+
+    A document without anything but omissions is empty, one with some is partial.
+    """
+    counted = elements.groupBy("doc_id", "modality", "extractor", "reason").agg(F.count("*").alias("_n"))
+    kinds = counted.groupBy("doc_id").agg(*[F.collect_list(F.struct(c, "_n")).alias(c) for c in ("modality", "extractor", "reason")], F.sum(F.when(F.col("modality") == "omission", F.col("_n")).otherwise(0)).alias("n_omitted"), F.sum("_n").alias("_all"))
+    total = lambda c: F.aggregate(c, F.create_map().cast("map<string,bigint>"), lambda m, x: F.map_concat(F.map_filter(m, lambda k, _: k != x[c]), F.map_from_arrays(F.array(x[c]), F.array(F.coalesce(F.try_element_at(m, x[c]), F.lit(0)) + x["_n"]))))
+    status = F.when(F.col("n_omitted") == F.col("_all"), "empty").when(F.col("n_omitted") > 0, "partial").otherwise("complete")
+    return kinds.select("doc_id", *[total(c).alias(c) for c in ("modality", "extractor", "reason")], "n_omitted", status.alias("status"))

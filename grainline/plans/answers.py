@@ -51,18 +51,28 @@ def best_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.best_window(scored).join(counts, "chunk_id").select(F.col("chunk_id").alias("doc_id"), "n_windows", F.greatest(F.lit(1).cast("long"), F.col("rerank_score")).alias("best"))
 
 
-@query("SELECT o_custkey, o_custkey % 10 <> 0 AS ready FROM (SELECT DISTINCT o_custkey FROM orders)")
+@query("""WITH a AS (SELECT o_custkey, list({'k': o_orderkey, 's': o_orderstatus} ORDER BY o_orderkey) AS r FROM orders GROUP BY 1),
+    b AS (SELECT o_custkey, list({'k': o_orderkey, 's': CASE WHEN o_orderkey % 31 = 0 THEN '?' ELSE o_orderstatus END} ORDER BY o_orderkey) AS r FROM orders WHERE o_orderkey % 37 <> 0 GROUP BY 1)
+    SELECT o_custkey, a.r IS NOT DISTINCT FROM b.r AS ready FROM a LEFT JOIN b USING (o_custkey)""")
 def reembedding_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A copy with one customer in ten changed."""
+    """A copy with some orders lost and the state of some changed."""
     rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
-    copy = rows.withColumn("o_orderstatus", F.when(F.col("o_custkey") % 10 == 0, "?").otherwise(F.col("o_orderstatus")))
+    copy = rows.filter("o_orderkey % 37 <> 0").withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 31 == 0, "?").otherwise(F.col("o_orderstatus")))
     marks = [versions.fingerprint(x, ["o_custkey"], "o_orderkey", ["o_orderkey", "o_orderstatus"]) for x in (rows, copy)]
     return answers.swap_ready(*marks, "o_custkey")
 
 
-@query("""SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'A ' || item_id END AS author, CASE WHEN item_id % 2 = 0 THEN 2 ELSE 0 END::BIGINT AS n_topics FROM benchmark""")
+META_SQL = r"""w AS (SELECT doc_id, list_filter(regexp_extract_all(text[1:200], '[a-zA-Z]+'), lambda x: true)[1:3] AS w FROM documents)"""
+
+
+@query(f"""WITH {META_SQL} SELECT doc_id, CASE WHEN doc_id % 3 <> 0 AND len(w) > 0 THEN w[1] END AS author, CASE WHEN doc_id % 3 = 1 AND len(w) > 1 THEN w[2] END AS date,
+    CASE WHEN doc_id % 3 <> 0 THEN array_to_string(w, ',') ELSE '' END AS topics FROM w""")
 def metadata_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = F.col("item_id").cast("string")
-    raw = F.when(F.col("item_id") % 2 == 0, F.concat(F.lit('```json\n{"author":"A '), i, F.lit('","date":" ","topics":["x","y"]}\n```'))).otherwise("sorry")
-    rows = table(spark, sf_dir, "benchmark").select("item_id", answers.parse_metadata(raw).alias("m"))
-    return rows.select("item_id", "m.author", F.size("m.topics").cast("long").alias("n_topics"))
+    """A model's answer with a document's first words; every third isn't JSON, and dates may be blank."""
+    d = F.col("doc_id")
+    w = F.slice(F.regexp_extract_all(F.substring("text", 1, 200), F.lit("[a-zA-Z]+"), F.lit(0)), 1, 3)
+    author, date = F.coalesce(F.get(w, F.lit(0)), F.lit(" ")), F.when(d % 3 == 1, F.coalesce(F.get(w, F.lit(1)), F.lit(""))).otherwise(" ")
+    body = F.to_json(F.struct(author.alias("author"), date.alias("date"), w.alias("topics")))
+    raw = F.when(d % 3 == 0, F.concat(F.lit("Sorry: "), body)).when(d % 3 == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(body)
+    rows = table(spark, sf_dir, "documents").select("doc_id", answers.parse_metadata(raw).alias("m"))
+    return rows.select("doc_id", "m.author", "m.date", F.array_join("m.topics", ",").alias("topics"))

@@ -46,10 +46,11 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH q AS ({QUERY_SQL}), d AS ({ACL_SQL}) SELECT query_id, count(*) AS n_visible, sum(CASE WHEN scope = 'global' THEN 1 ELSE 0 END)::BIGINT AS n_global
     FROM q, d WHERE {VISIBLE_SQL} GROUP BY query_id""")
 def acl_visible_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Readers are a stated query set and broadcast in blocks by size; documents are counted per permission first."""
-    groups = docs_acl(spark, sf_dir).groupBy("tenant", "owner", "visibility", "scope", "acl").agg(F.count("*").alias("_n"))
-    readers = vector_queries(spark, sf_dir).drop("qvec", "qlabel")
-    seen = groups.join(readers, access.can_view(F.col("q_tenant"), F.col("q_user"), F.col("q_role")))
+    """Documents are counted by the one permission key that shows them, readers hold such keys: an equi join."""
+    docs = docs_acl(spark, sf_dir)
+    counts = docs.select(F.explode(access.document_keys()).alias("key"), "scope").groupBy("key", "scope").agg(F.count("*").alias("_n"))
+    readers = vector_queries(spark, sf_dir).select("query_id", F.explode(access.reader_keys(F.col("q_tenant"), F.col("q_user"), F.col("q_role"))).alias("key"))
+    seen = counts.join(readers, "key")
     return seen.groupBy("query_id").agg(F.sum("_n").alias("n_visible"), F.sum(F.when(F.col("scope") == "global", F.col("_n")).otherwise(0)).alias("n_global"))
 
 
@@ -69,14 +70,12 @@ HYBRID_SQL = f"""WITH {DENSE_SQL},
 
 
 def _visible_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lexical hits of the vector queries' own texts, filtered by permission before the limit."""
+    """Lexical hits of the vector queries' own texts; only what a reader may see is scored for them."""
     docs = docs_acl(spark, sf_dir)
     readers = vector_queries(spark, sf_dir).drop("qvec", "qlabel")
     texts = readers.join(docs.select(F.col("doc_id").alias("query_id"), F.col("text").alias("qtext")), "query_id")
-    hits = search.bm25(docs.select(F.col("doc_id").alias("chunk_id"), "text"), texts, 1_000_000_000).drop("lex_rank")
-    facts = docs.select(F.col("doc_id").alias("chunk_id"), "tenant", "owner", "visibility", "scope", "acl")
-    seen = hits.join(facts, "chunk_id").join(readers, "query_id").filter(access.can_view(F.col("q_tenant"), F.col("q_user"), F.col("q_role")))
-    return search.top(seen.select("query_id", "chunk_id", "lex_score"), "lex_score", POOL, "lex_rank")
+    chunks = docs.select(F.col("doc_id").alias("chunk_id"), "text", "tenant", "owner", "visibility", "scope", "acl")
+    return search.bm25(chunks, texts, POOL, access=True)
 
 
 def _hybrid(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
@@ -100,10 +99,16 @@ QRELS_SQL = "rel AS (SELECT query_id, chunk_id FROM q JOIN v ON v.label = q.qlab
 DCG = "sum(CASE WHEN r.rank <= 10 THEN ln(2.0) / ln(r.rank + 1.0) ELSE 0 END)"
 
 
-def _qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = doc_vectors(spark, sf_dir).select("chunk_id", "label")
+def _judged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Dense hits with ``relevant`` (of the query's label, but not itself), and ``query_id, n_rel`` by counts of labels."""
+    labels = doc_vectors(spark, sf_dir).select("chunk_id", "label")
     asked = vector_queries(spark, sf_dir).select("query_id", "qlabel")
-    return chunks.join(asked, (chunks["label"] == asked["qlabel"]) & (F.col("chunk_id") != F.col("query_id"))).select("query_id", "chunk_id")
+    hits = _dense(spark, sf_dir).select("query_id", "chunk_id", F.col("dense_rank").alias("rank")).join(labels, "chunk_id").join(asked, "query_id")
+    hits = hits.select("query_id", "chunk_id", "rank", ((F.col("label") == F.col("qlabel")) & (F.col("chunk_id") != F.col("query_id"))).alias("relevant"))
+    sizes = labels.groupBy(F.col("label").alias("qlabel")).agg(F.count("*").alias("_n"))
+    own = labels.select(F.col("chunk_id").alias("query_id"), F.col("label").alias("_own"))
+    totals = asked.join(sizes, "qlabel").join(own, "query_id", "left")
+    return hits, totals.select("query_id", (F.col("_n") - F.coalesce((F.col("_own") == F.col("qlabel")).cast("int"), F.lit(0))).alias("n_rel")).filter("n_rel > 0")
 
 
 @query(f"""WITH {DENSE_SQL}, {QRELS_SQL}, r AS (SELECT query_id, chunk_id, dense_rank AS rank FROM dense),
@@ -114,17 +119,15 @@ def _qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
       round(coalesce(dcg, 0) / list_sum([ln(2.0) / ln(i + 1.0) for i in range(1, least(n_rel, 10) + 1)]), 9) AS ndcg, coalesce(rr, 0)::DOUBLE AS rr
     FROM (SELECT DISTINCT query_id FROM r) LEFT JOIN n USING (query_id) LEFT JOIN h USING (query_id)""")
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = _dense(spark, sf_dir).select("query_id", "chunk_id", F.col("dense_rank").alias("rank"))
-    return metrics.per_query(ranked, _qrels(spark, sf_dir), 10)
+    return metrics.of_judged(*_judged(spark, sf_dir), 10)
 
 
 @query(f"""WITH {DENSE_SQL}, {QRELS_SQL}, b AS (SELECT query_id, min(dense_rank) AS best FROM dense JOIN rel USING (query_id, chunk_id) GROUP BY query_id)
     SELECT query_id, coalesce(best, {POOL + 1})::BIGINT AS best_rank FROM (SELECT DISTINCT query_id FROM dense) LEFT JOIN b USING (query_id)""")
 def oracle_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best rank of a relevant chunk; one past the pool where there is none."""
-    hits = _dense(spark, sf_dir).select("query_id", "chunk_id", "dense_rank")
-    best = hits.join(_qrels(spark, sf_dir), ["query_id", "chunk_id"]).groupBy("query_id").agg(F.min("dense_rank").alias("_b"))
-    return hits.select("query_id").distinct().join(best, "query_id", "left").select("query_id", F.coalesce("_b", F.lit(POOL + 1)).cast("long").alias("best_rank"))
+    best = _judged(spark, sf_dir)[0].groupBy("query_id").agg(F.min(F.when(F.col("relevant"), F.col("rank"))).alias("_b"))
+    return best.select("query_id", F.coalesce("_b", F.lit(POOL + 1)).cast("long").alias("best_rank"))
 
 
 ASPECT_SQL = f"""WITH {DENSE_SQL}, h AS (SELECT query_id - query_id % 100 AS query_id, query_id % 100 AS aspect, chunk_id, dense_rank AS rank FROM dense WHERE dense_rank <= 20)"""
@@ -199,11 +202,18 @@ def percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").groupBy("label").agg(*[F.percentile(x, p).alias(n) for n, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))])
 
 
-@query("""SELECT vec_id, round(sqrt(list_sum([x * x for x in embedding::DOUBLE[]])), 5) AS norm, CASE WHEN len(embedding) <> 64 THEN 'width' END AS fault,
-    round(list_sum([x * x for x in embedding::DOUBLE[]][1:1]), 6) AS head FROM embeddings""")
+FAULTY_SQL = """f AS (SELECT vec_id, CASE vec_id % 6 WHEN 1 THEN NULL WHEN 2 THEN embedding[1:63]::DOUBLE[] WHEN 3 THEN list_transform(embedding::DOUBLE[], lambda x: 0.0::DOUBLE)
+    WHEN 4 THEN list_concat(embedding[1:63]::DOUBLE[], ['nan'::DOUBLE]) WHEN 5 THEN list_concat(embedding[1:63]::DOUBLE[], [1e39::DOUBLE]) ELSE embedding::DOUBLE[] END AS e FROM embeddings)"""
+
+
+@query(f"""WITH {FAULTY_SQL} SELECT vec_id, CASE WHEN e IS NULL THEN 'null' WHEN len(e) <> 64 THEN 'width' WHEN len(list_filter(e, lambda x: isnan(x) OR abs(x) > 3.4028234663852886e38)) > 0 THEN 'not finite'
+    WHEN list_sum([x * x for x in e]) = 0 THEN 'zero' END AS fault FROM f""")
 def vector_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = F.col("embedding")
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(V.norm(e), 5).alias("norm"), V.vector_fault(e, 64).alias("fault"), F.round(e[0].cast("double") * e[0].cast("double"), 6).alias("head"))
+    """Vectors as they are and with each fault."""
+    e, n = F.col("embedding").cast("array<double>"), F.col("vec_id") % 6
+    with_last = lambda x: F.concat(F.slice(e, 1, 63), F.array(F.lit(x)))
+    made = F.when(n == 2, F.slice(e, 1, 63)).when(n == 3, F.transform(e, lambda x: F.lit(0.0))).when(n == 4, with_last(float("nan"))).when(n == 5, with_last(1e39)).when(n == 0, e)
+    return table(spark, sf_dir, "embeddings").select("vec_id", V.vector_fault(made, 64).alias("fault"))
 
 
 @query(f"""WITH {DENSE_SQL}, s AS (SELECT query_id, chunk_id, dense_rank FROM dense) SELECT query_id, count(*) = count(DISTINCT chunk_id) AND bool_and(chunk_id IN (SELECT doc_id FROM documents)) AS valid FROM s GROUP BY query_id""")

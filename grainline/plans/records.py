@@ -67,13 +67,30 @@ def row_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return versions.fingerprint(table(spark, sf_dir, "orders"), ["o_custkey"], "o_orderkey", ["o_orderkey", "o_orderstatus"])
 
 
-@query("""WITH c AS (SELECT user_id % 4 AS scope_key, user_id, ts, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)
-    SELECT scope_key, count(*) FILTER (event_type IS DISTINCT FROM before) AS epoch FROM c GROUP BY scope_key""")
-def corpus_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 4).alias("scope_key"), F.col("user_id").alias("doc_id"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), F.col("event_type").alias("acl_state"))
+EPOCH_SQL = """c AS (SELECT user_id, user_id % 4 AS tenant, ts, event_id, event_type, CASE WHEN event_id % 17 = 0 THEN 'global' ELSE 'tenant' END AS scope FROM events),
+    t AS (SELECT *, lag(event_type) OVER w AS old_type, lag(scope) OVER w AS old_scope, row_number() OVER w AS n FROM c WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    b AS (SELECT CASE WHEN old_scope = 'global' OR scope = 'global' THEN 'global' ELSE tenant::VARCHAR END AS scope_key, count(*) AS epoch FROM t
+          WHERE n > 1 AND (old_type, old_scope) IS DISTINCT FROM (event_type, scope) GROUP BY 1)"""
+
+
+def _epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scope = F.when(F.col("event_id") % 17 == 0, "global").otherwise("tenant")
+    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 4).alias("tenant"), F.col("user_id").alias("doc_id"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), scope.alias("scope"), F.col("event_type").alias("acl_state"))
     return versions.epochs(rows)
 
 
+@query(f"WITH {EPOCH_SQL} SELECT scope_key, epoch FROM b")
+def corpus_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users stand for documents, their events for updates of permissions."""
+    return _epochs(spark, sf_dir)
+
+
+@query(f"WITH {EPOCH_SQL} SELECT tenant, coalesce((SELECT epoch FROM b WHERE scope_key = tenant::VARCHAR), 0) || ':' || coalesce((SELECT epoch FROM b WHERE scope_key = 'global'), 0) AS epoch FROM (SELECT DISTINCT tenant FROM c UNION SELECT 99)")
+def epoch_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tenants = table(spark, sf_dir, "events").select((F.col("user_id") % 4).alias("tenant")).union(spark.range(99, 100).toDF("tenant")).distinct()
+    return versions.epoch_strings(tenants, _epochs(spark, sf_dir))
+
+
 @query(f"WITH d AS ({ACL_SQL}) SELECT doc_id, CASE WHEN owner = 3 THEN 'shared' ELSE visibility END AS visibility FROM d")
 def set_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return access.set_visibility(docs_acl(spark, sf_dir), F.col("owner") == 3, "shared").select("doc_id", "visibility")
@@ -112,9 +129,7 @@ def smallest_container(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, d = F.col("l_quantity"), F.col("l_discount") * 100
     regions = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("region_id"), q.alias("x0"), (q + 10).alias("x1"), d.alias("y0"), (d + F.col("l_tax") * 100).alias("y1"))
     points = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("page"), F.col("s_suppkey").alias("point_id"), F.lit(25.5).alias("x"), F.lit(5.25).alias("y"))
-    inside = points.join(regions, "page").filter("x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1")
-    area = F.round((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")), 6)
-    return inside.groupBy("page", "point_id").agg(F.min_by("region_id", F.struct(area, F.col("region_id"))).alias("region_id"))
+    return geometry.smallest_container(points, regions, "page")
 
 
 @query("SELECT o_custkey AS doc_id, o_orderkey AS start, greatest(o_orderkey, coalesce(lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1, 100000000)) AS \"end\" FROM orders")

@@ -24,18 +24,31 @@ def document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.groupBy("term").agg(F.count("*").alias("df"))
 
 
-@query(r"SELECT item_id, array_to_string(regexp_extract_all(text, '[\p{L}\p{N}_]+(?:[-./][\p{L}\p{N}_]+)*'), ' OR ') AS lexical FROM benchmark WHERE NOT regexp_matches(text, '\"|(^|\s)-[\p{L}\p{N}_]|\b(OR|or|Or|oR)\b')")
+ASKED_SQL = """q AS (SELECT item_id, CASE item_id % 4 WHEN 1 THEN '"' || text || '"' WHEN 2 THEN 'not -' || text WHEN 3 THEN text || ' or else' ELSE text END AS text FROM benchmark)"""
+
+
+@query(rf"""WITH {ASKED_SQL} SELECT item_id, CASE WHEN regexp_matches(text, '\"|(^|\s)-[\p{{L}}\p{{N}}_]|\b(OR|or|Or|oR)\b') THEN text
+    ELSE array_to_string(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+(?:[-./][\p{{L}}\p{{N}}_]+)*'), ' OR ') END AS lexical FROM q""")
 def lexical_or_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "benchmark").select("item_id", "text", T.or_query(F.col("text")).alias("lexical"))
-    explicit = F.col("text").rlike(r'"|(^|\s)-[\p{L}\p{N}_]|\b(OR|or|Or|oR)\b')
-    return rows.filter(~explicit).select("item_id", "lexical")
+    """Items as they are, quoted, with a word denied, and with an OR of their own."""
+    n, t = F.col("item_id") % 4, F.col("text")
+    asked = F.when(n == 1, F.concat(F.lit('"'), t, F.lit('"'))).when(n == 2, F.concat(F.lit("not -"), t)).when(n == 3, F.concat(t, F.lit(" or else"))).otherwise(t)
+    return table(spark, sf_dir, "benchmark").select("item_id", T.or_query(asked).alias("lexical"))
+
 
+LAYER_SQL = """l AS (SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN regexp_replace(text[1:12], '(.)', '\\1 ', 'g') WHEN 2 THEN repeat(chr(1), 4) || text[1:30] WHEN 3 THEN text || '(cid:3) (cid:14)' WHEN 4 THEN text[1:25] ELSE text END AS text FROM documents)"""
 
-@query(r"""SELECT doc_id, greatest(1, (length(text) + 3) // 4)::BIGINT AS tokens, octet_length(encode(text)) AS bytes,
-    CASE WHEN length(trim(text)) < 20 THEN 'sparse' ELSE 'usable' END AS status FROM documents""")
+
+@query(rf"""WITH {LAYER_SQL}, s AS (SELECT doc_id, text, len(regexp_extract_all(text, '[^\s\x1c-\x1f\x85\p{{Z}}]')) AS visible, len(regexp_extract_all(text, '[\x00-\x08\x0e-\x1b\x7f\x{{FFFD}}]')) AS broken, len(regexp_extract_all(text, '\(cid:\d+\)')) AS glyphs FROM l)
+    SELECT doc_id, greatest(1, (length(text) + 3) // 4)::BIGINT AS tokens, octet_length(encode(text)) AS bytes,
+    CASE WHEN broken >= greatest(2, ceil(visible * 0.1)) OR glyphs >= 2 THEN 'corrupt' WHEN visible < 20 THEN 'sparse' ELSE 'usable' END AS status FROM s""")
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", T.approximate_tokens(t).alias("tokens"), F.octet_length(t).cast("long").alias("bytes"), T.native_text_status(t).alias("status"))
+    """Documents as text layers: whole, short, spaced out, with control characters, with glyph ids."""
+    n, t = F.col("doc_id") % 5, F.col("text")
+    layer = F.when(n == 1, F.regexp_replace(F.substring(t, 1, 12), "(.)", "$1 ")).when(n == 2, F.concat(F.lit("\u0001" * 4), F.substring(t, 1, 30)))
+    layer = layer.when(n == 3, F.concat(t, F.lit("(cid:3) (cid:14)"))).when(n == 4, F.substring(t, 1, 25)).otherwise(t)
+    rows = table(spark, sf_dir, "documents").select("doc_id", layer.alias("text"))
+    return rows.select("doc_id", T.approximate_tokens(F.col("text")).alias("tokens"), F.octet_length("text").cast("long").alias("bytes"), T.native_text_status(F.col("text")).alias("status"))
 
 
 @query(r"SELECT item_id, sha256('m|' || trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS key FROM benchmark")
@@ -58,10 +71,24 @@ def markdown_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("n_regionkey", T.rows_to_markdown(cells).alias("markdown"))
 
 
-@query("""SELECT o_orderpriority AS question, count(*) AS n FROM orders GROUP BY 1""")
+ELEMENTS_SQL = """e AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t FROM documents),
+    k AS (SELECT doc_id, CASE WHEN trim(t) = '' THEN 'omission' WHEN contains(t, '|') THEN 'table' ELSE 'text' END AS modality, CASE WHEN trim(t) = '' THEN 'blank_line' WHEN contains(t, '|') THEN 'pipe_row' ELSE 'prose' END AS reason FROM e)"""
+
+
+def _elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents as elements: tables where they have a pipe, omissions where they are blank."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("t"))
+    blank, pipe = F.trim("t") == "", F.col("t").contains("|")
+    kinds = [F.when(blank, a).when(pipe, b).otherwise(c) for a, b, c in (("omission", "table", "text"), ("blank_line", "pipe_row", "prose"))]
+    return rows.select("doc_id", kinds[0].alias("modality"), F.lit("lines").alias("extractor"), kinds[1].alias("reason"))
+
+
+@query(f"""WITH {ELEMENTS_SQL} SELECT doc_id, count(*) FILTER (modality = 'text') AS n_text, count(*) FILTER (modality = 'table') AS n_table, count(*) FILTER (modality = 'omission') AS n_omitted, count(*) FILTER (reason = 'pipe_row') AS n_pipe_row,
+    CASE WHEN count(*) FILTER (modality <> 'omission') = 0 THEN 'empty' WHEN count(*) FILTER (modality = 'omission') > 0 THEN 'partial' ELSE 'complete' END AS status FROM k GROUP BY doc_id""")
 def route_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts by a route's reason; order priorities stand for reasons."""
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("question")).agg(F.count("*").alias("n"))
+    found = versions.route_summary(_elements(spark, sf_dir))
+    count = lambda m, k: F.coalesce(F.try_element_at(F.col(m), F.lit(k)), F.lit(0)).cast("long")
+    return found.select("doc_id", count("modality", "text").alias("n_text"), count("modality", "table").alias("n_table"), "n_omitted", count("reason", "pipe_row").alias("n_pipe_row"), "status")
 
 
 CHUNK_SQL = "SELECT doc_id, i - 1 AS ordinal, trim(l) AS text, count(*) OVER (PARTITION BY doc_id) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)"
@@ -136,12 +163,21 @@ def quote_occurs_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", evidence.quote_occurs_once(F.col("text"), F.col("quote")).alias("once"))
 
 
-@query("""SELECT item_id, CASE WHEN item_id % 4 = 0 THEN 'invalid_json' WHEN item_id % 4 = 1 THEN 'references' END AS failure, CASE WHEN item_id % 4 = 2 THEN 'yes [1]' WHEN item_id % 4 = 3 THEN 'yes [1] [2]' END AS final_answer FROM benchmark""")
+ANSWERS_SQL = """a AS (SELECT doc_id, doc_id % 9 AS a, doc_id % 6 AS b, doc_id % 5 AS kind, regexp_replace(text[1:40], '["\\\\\\[\\]\\s\\x00-\\x1f]', ' ', 'g') AS words FROM documents)"""
+
+
+@query(rf"""WITH {ANSWERS_SQL} SELECT doc_id, CASE WHEN kind = 0 THEN 'invalid_json' WHEN kind = 1 THEN 'abstained' WHEN a > 4 OR b > 4 THEN 'references' WHEN kind = 2 AND a <> b THEN 'references' END AS failure,
+    CASE WHEN kind IN (0, 1) OR a > 4 OR b > 4 OR (kind = 2 AND a <> b) THEN NULL WHEN kind = 2 THEN 'w' || words || '[' || a || ']' WHEN a = b THEN 'w' || rtrim(words, ' ') || ' [' || a || ']' ELSE 'w' || rtrim(words, ' ') || ' [' || a || '] [' || b || ']' END AS final_answer FROM a""")
 def validate_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("item_id") % 4
-    raw = F.when(n == 0, "not json").when(n == 1, '{"status":"answered","answer":"yes [9]","source_ids":["9"]}').when(n == 2, '```json\n{"status":"answered","answer":"yes [1]","source_ids":["1"]}\n```').otherwise('{"status":"answered","answer":"yes","source_ids":["1","2"]}')
-    rows = table(spark, sf_dir, "benchmark").select("item_id", raw.alias("raw"), F.array(F.lit("1"), F.lit("2"), F.lit("3")).alias("available"))
-    return evidence.validate_answers(rows).select("item_id", "failure", "final_answer")
+    """Answers in documents' words: broken ones, abstentions, with and without inline ids, of which 0 to 4 exist."""
+    d = F.col("doc_id")
+    a, b, kind = ((d % n).cast("string") for n in (9, 6, 5))
+    words = F.concat(F.lit("w"), F.regexp_replace(F.substring("text", 1, 40), r'["\\\[\]\s\x00-\x1f]', " "))
+    text = F.when(kind == "2", F.concat(words, F.lit("["), a, F.lit("]"))).otherwise(words)
+    raw = F.concat(F.lit('{"status":"'), F.when(kind == "1", "insufficient").otherwise("answered"), F.lit('","answer":"'), text, F.lit('","source_ids":["'), a, F.lit('","'), b, F.lit('"]}'))
+    raw = F.when(kind == "0", words).when(kind == "3", F.concat(F.lit("```json\n"), raw, F.lit("\n```"))).otherwise(raw)
+    rows = table(spark, sf_dir, "documents").select("doc_id", raw.alias("raw"), F.array(*[F.lit(str(i)) for i in range(5)]).alias("available"))
+    return evidence.validate_answers(rows).select("doc_id", "failure", "final_answer")
 
 
 @query("""WITH a AS (SELECT doc_id, lower(text) AS answer FROM documents) SELECT doc_id, contains(answer, 'the') AND contains(answer, 'and') AND NOT contains(answer, 'idiot') AS accepted FROM a""")
