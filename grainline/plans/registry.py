@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return keep
 
 
-from . import answers, ranking, records, state, texts  # noqa: E402, F401
+from . import answers, composites, ranking, records, state, stored, texts  # noqa: E402, F401

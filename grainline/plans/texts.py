@@ -155,9 +155,8 @@ def pack_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.pack(turns, 600)
 
 
-@query("""WITH d AS (SELECT doc_id, text, trim(text[11:50]) AS quote FROM documents),
-    f AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS hay, trim(regexp_replace(quote, '\\s+', ' ', 'g')) AS needle FROM d)
-    SELECT doc_id, length(needle) > 0 AND length(hay) - length(replace(hay, needle, '')) = length(needle) AS once FROM f""")
+@query("""WITH d AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS hay, trim(regexp_replace(text[11:50], '\\s+', ' ', 'g')) AS needle FROM documents)
+    SELECT doc_id, length(needle) > 0 AND len(list_filter(range(1, length(hay) + 1), lambda i: hay[i:i + length(needle) - 1] = needle)) = 1 AS once FROM d""")
 def quote_occurs_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.trim(F.substring("text", 11, 40)).alias("quote"))
     return docs.select("doc_id", evidence.quote_occurs_once(F.col("text"), F.col("quote")).alias("once"))

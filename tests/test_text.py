@@ -60,10 +60,10 @@ def test_vectors(spark):
     assert (row.n, row.p, row.f) == (5.0, [2.0, 3.0], "width")
 
 
-def test_quotes_must_be_unique():
-    assert evidence.source_quote("a  b\nc", "b c") == (3, 6)
-    assert evidence.source_quote("b c b c", "b c") is None
-    assert evidence.source_quote("abc", " ") is None
+def test_quotes_must_be_unique(spark):
+    cases = [("a  b\nc", "b c", "b\nc"), ("b c b c", "b c", None), ("abc", " ", None), ("aaa", "aa", None), ("x \\E(y) z", "\\E(y)", "\\E(y)"), ("caf\u00e9\u00a0 noir", "caf\u00e9 noir", "caf\u00e9\u00a0 noir")]
+    df = spark.createDataFrame([(s, q) for s, q, _ in cases], "source string, quote string")
+    assert [r.matched for r in evidence.locate_quotes(df).collect()] == [m for *_, m in cases]
 
 
 def test_packing_skips_what_does_not_fit(spark):
