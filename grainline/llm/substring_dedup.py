@@ -18,8 +18,10 @@ from .cover_sort import buckets, packed, same_prefix
 #: Strings of LENGTH bytes are compared. Each has WINDOW grams of LENGTH - WINDOW + 1 bytes.
 LENGTH, WINDOW = 100, 64
 GRAM = LENGTH - WINDOW + 1
-#: Flags in the lowest bits of a place: the slice repeats itself, or is settled.
-REPEATS, SETTLED = 1, 2
+#: Flags in the lowest bits of a place: the slice repeats itself, is settled, or (both) is one string of a hot hash.
+REPEATS, SETTLED, STRING = 1, 2, 3
+#: Slices of one hash from which they are dealt out string by string, by their leading bytes.
+HOT_SLICES = 2048
 #: Bytes of slices that one suffix sort takes (or one group of slices of one key).
 SORT_BYTES = 1 << 21
 
@@ -80,6 +82,12 @@ def _winnow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         earliest = order[np.maximum.accumulate(np.where(new, np.arange(len(row)), 0))]
         again = np.zeros(len(row), bool)
         again[order] = (own[order] != own[earliest]) | (start[order] != start[earliest])
+        # hashes found them; bytes decide
+        offsets, data = rows_bytes(batch.column(1))
+        lead = np.empty(len(row), np.int64)
+        lead[order] = earliest
+        which = np.flatnonzero(again)
+        again[which] = same_bytes(data, offsets[row[which]] + start[which], offsets[row[lead[which]]] + start[lead[which]], size[which] + LENGTH - 1)
         ids = pa.array(own)
         place = start << 32 | size << 2 | np.where(again, SETTLED, repeats)
         value = np.where(again, mix64(value + np.arange(len(value), dtype=np.uint64)), value)
@@ -89,16 +97,52 @@ def _winnow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, at_once: int = 1 << 13) -> np.ndarray:
+    """Whether the ``size`` bytes from each of ``a`` are those from each of ``b``."""
+    equal = np.zeros(len(a), bool)
+    for low in range(0, len(a), at_once):
+        part = slice(low, low + at_once)
+        ends = np.cumsum(size[part])
+        inner = np.arange(ends[-1]) - np.repeat(ends - size[part], size[part])
+        equal[part] = np.logical_and.reduceat(data[inner + np.repeat(a[part], size[part])] == data[inner + np.repeat(b[part], size[part])], ends - size[part])
+    return equal
+
+
+def _strings(hashes: np.ndarray, ids: pa.Array, begin: np.ndarray, start: np.ndarray, count: np.ndarray, data: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The strings of slices of hot hashes, one by one, each under its hash and leading bytes."""
+    for low in range(0, len(begin), 512):
+        part = slice(low, low + 512)
+        ends = np.cumsum(count[part])
+        inner = np.arange(ends[-1]) - np.repeat(ends - count[part], count[part])
+        slice_of = np.repeat(np.arange(len(ends)), count[part]) + low
+        for at in range(0, len(inner), 1 << 14):
+            own, k = slice_of[at : at + (1 << 14)], inner[at : at + (1 << 14)]
+            found = data[(begin[own] + k)[:, None] + np.arange(LENGTH)]
+            lead = np.ascontiguousarray(found[:, :8]).view(np.uint64)[:, 0]
+            key = mix64(hashes[own].view(np.uint64) ^ mix64(lead))
+            place = (start[own] + k) << 32 | 1 << 2 | STRING
+            out = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer((np.arange(len(own) + 1) * LENGTH).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(found))])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), ids.take(pa.array(own)), pa.array(place), out], names=["_hash", "_id", "_at", "_slice"])
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(_id, _text, _list of hash and place) -> one row for each slice, with its bytes."""
+    """(_id, _text, _list of hash, place and if hot) -> one row for each slice, or string of a hot one, with its bytes."""
     for batch in batches:
         ids, lists = batch.column(0), batch.column(2)
         offsets, data = rows_bytes(batch.column(1))
         parents = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
         flat = lists.flatten()
         hashes, places = flat.field(0), flat.field(1).to_numpy(zero_copy_only=False)
+        hot = np.flatnonzero(flat.field(2).to_numpy(zero_copy_only=False) & (places & 3 != SETTLED))
+        if len(hot):
+            count = (places[hot] >> 2) & 0x3FFFFFFF
+            yield from _strings(hashes.to_numpy(zero_copy_only=False)[hot], ids.take(pa.array(parents[hot])), offsets[parents[hot]] + (places[hot] >> 32), places[hot] >> 32, count, data)
+            cold = np.ones(len(parents), bool)
+            cold[hot] = False
+            cold = np.flatnonzero(cold)
+            hashes, places, parents = hashes.take(pa.array(cold)), places[cold], parents[cold]
         begin = offsets[parents] + (places >> 32)
-        size = np.where(places & SETTLED, 0, ((places >> 2) & 0x3FFFFFFF) + LENGTH - 1)
+        size = np.where(places & 3 == SETTLED, 0, ((places >> 2) & 0x3FFFFFFF) + LENGTH - 1)
         for low in range(0, len(parents), 1 << 14):
             b, s = begin[low : low + (1 << 14)], size[low : low + (1 << 14)]
             ends = np.cumsum(s)
@@ -168,19 +212,17 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, ids, places = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
         slices = batch.column(3)
         offsets, data = rows_bytes(slices)
-        content = np.concatenate([span_hashes(d, o[:-1], o[1:], EXACT) for _, _, o, d in blocks(slices)])
-        size = np.diff(offsets)
         new = np.ones(len(ids), bool)
-        new[1:] = (hashes[1:] != hashes[:-1]) | (content[1:] != content[:-1]) | (size[1:] != size[:-1])
-        new[0] = last[:3] != (hashes[0], content[0], size[0])
+        new[1:] = (hashes[1:] != hashes[:-1]) | ~pc.equal(slices.slice(1), slices.slice(0, len(ids) - 1)).to_numpy(zero_copy_only=False)
+        new[0] = last[0] != hashes[0] or last[1] != slices[0].as_py()
         lead = np.maximum.accumulate(np.where(new, np.arange(len(ids)), -1))
         lead_id, lead_at = np.where(lead < 0, last[3], ids[lead]), np.where(lead < 0, last[4], places[lead])
         again = (ids != lead_id) | (places != lead_at)
-        last = (hashes[-1], content[-1], size[-1], lead_id[-1], lead_at[-1])
-        again |= places & SETTLED > 0
+        last = (hashes[-1], slices[-1].as_py(), None, lead_id[-1], lead_at[-1])
+        again |= places & 3 == SETTLED
         start, whole = places >> 32, ((places >> 2) & 0x3FFFFFFF) + LENGTH - 1
         yield pa.RecordBatch.from_arrays([pa.array(ids[again]), pa.array(start[again]), pa.array(start[again] + whole[again])], names=names)
-        kept = np.flatnonzero(~again)
+        kept = np.flatnonzero(~again & (places & 3 != STRING))
         if not len(kept):
             continue
         # of the hashes that end within this batch, those with one plain slice need no sorting
@@ -236,7 +278,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(digests, pa.string())], names=["_id", "n_bytes", "spans", "kept_sha256"])
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_slices: int = HOT_SLICES) -> DataFrame:
     """For each document, the bytes covered by 100-byte strings that also start earlier.
 
     Texts are dealt out by id once; three steps read that exchange. Byte-identical
@@ -248,13 +290,17 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
        after a sort, and all but the first are settled. Different slices of one
        hash form a small text whose suffixes are sorted by difference-cover
        blockwise construction, bucket by bucket; neighbours that agree in 100
-       bytes form a class, and all but its earliest string are removed.
+       bytes form a class, and all but its earliest string are removed. Slices of a
+       hash that has very many are dealt out string by string, in buckets of their
+       leading bytes, and sorted there by Spark, which spills; equal ones are neighbours.
     3. Spans are merged by document and cut out.
 
     Returns ``doc_id, n_bytes, spans, kept_sha256``; spans are maximal removed byte
     runs. Null text is empty. Rows without id are compared with nothing and kept
-    whole. Rows that repeat id and text get one verdict each. Sorting in step 2
-    holds SORT_BYTES of slices, or the different slices of one hash.
+    whole. Rows that repeat id and text get one verdict each. Hashes only bring together
+    what may be equal; bytes decide. Sorting in step 2 holds SORT_BYTES of slices, or
+    ``hot_slices`` of one hash, and a task one Arrow batch of texts, each read whole.
+    Other columns aren't looked at; an empty table gives an empty result.
     """
     n = partitions(docs.sparkSession)
     every = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text"))
@@ -263,7 +309,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marked = texts.join(firsts, "_id").select("_id", "_text").mapInArrow(_winnow, "_hash long, _id long, _at long")
     counted = marked.withColumn("_n", F.count("*").over(Window.partitionBy("_hash")))
     counted = counted.filter((F.col("_n") > 1) | (F.col("_at").bitwiseAND(F.lit(REPEATS | SETTLED)) > 0))
-    by_doc = counted.groupBy("_id").agg(F.collect_list(F.struct("_hash", "_at")).alias("_list"))
+    by_doc = counted.groupBy("_id").agg(F.collect_list(F.struct("_hash", "_at", (F.col("_n") > hot_slices).alias("_hot"))).alias("_list"))
     slices = texts.join(by_doc, "_id").select("_id", "_text", "_list").mapInArrow(_cut, "_hash long, _id long, _at long, _slice binary")
     ordered = slices.repartition(n, "_hash").sortWithinPartitions("_hash", "_slice", "_id", "_at")
     found = ordered.mapInArrow(_resolve, "_id long, _from long, _to long")

@@ -5,8 +5,9 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from grainline.llm import exact_dedup, line_dedup, near_dedup, substring_dedup
+from grainline.llm import decontaminate, exact_dedup, line_dedup, near_dedup, substring_dedup
 from grainline.llm.queries import QUERIES
 
 VOCABULARY = [f"w{i}" for i in range(300)]
@@ -246,3 +247,50 @@ def test_line_keys_miss_no_like_pair(monkeypatch, frequent, tried, level):
     assert {a for a, _ in missed} <= more
     assert like <= pairs | rest
     assert len(like) > 100
+
+
+def test_substring_dedup_of_hot_hashes(make):
+    """String by string instead of slice by slice: the same result."""
+    rng = random.Random(8)
+    passage = " ".join(rng.choice(VOCABULARY) for _ in range(40))
+    rows = [(i, f"{' '.join(rng.choice(VOCABULARY) for _ in range(rng.randint(0, 9)))} {passage} {rng.random()}") for i in range(40)] + [(100, "x" * 900), (101, "x" * 900 + "y"), (102, passage * 3)]
+    keep = lambda df: sorted((r.doc_id, r.n_bytes, tuple(map(tuple, r.spans)), r.kept_sha256) for r in df.collect())
+    plain, hot = (keep(substring_dedup.repeated_spans(make(rows), hot_slices=n)) for n in (10**9, 0))
+    assert plain == hot
+    expected = removed_bytes(rows)
+    for doc, n, spans, _ in hot:
+        mine = bytearray(n)
+        for a, b in spans:
+            mine[a:b] = b"\1" * (b - a)
+        assert bytes(mine) == bytes(expected[doc][1]), doc
+
+
+LONG = " ".join(f"word{i % 977} {i}" for i in range(150_000))
+
+
+def test_very_long_texts_ties_and_repeated_rows(make):
+    """Texts beyond the blocks that numpy works on, as rows that repeat and tie."""
+    rows = [(5, LONG), (5, LONG), (3, LONG.upper()), (9, LONG + " tail"), (1, "short"), (None, LONG)]
+    assert len(LONG) > 1 << 21
+    exact = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(make(rows), keep="max").collect()}
+    assert exact == {(5, 5, 4, True), (3, 5, 4, False), (None, 5, 4, False), (9, 9, 1, True), (1, 1, 1, True)}
+    assert sorted(r.doc_id for r in exact_dedup.drop_copies(make(rows)).collect()) == [1, 5, 9]
+    near = {(r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(make(rows)).collect()}
+    assert near == {(5, 3, False), (3, 3, True), (9, 3, False), (1, 1, True), (None, 3, False)}
+    lines = {r.doc_id: r.removed for r in line_dedup.repeated_lines(make(rows), gram=line_dedup.WORD).collect()}
+    assert lines == {5: [0], 3: [], 9: [0], 1: [], None: []}
+    spans = {r.doc_id: [tuple(s) for s in r.spans] for r in substring_dedup.repeated_spans(make([r for r in rows if r[0] != 3])).collect()}
+    assert spans == {5: [], 9: [(0, len(LONG))], 1: [], None: []}
+
+
+def test_clashing_columns_pass_through(spark, make):
+    """Columns of the names that operators use inside come out as they went in."""
+    names = ("_row", "_no", "_key", "_dig", "_nth", "_own", "_kept", "_clean", "_vsha_own", "_vid", "_rid", "_sha", "_best", "_run", "_part")
+    rows = make(near_copies(n=4)[:12] + ODD).withColumns({c: F.lit(c) for c in names})
+    bench = spark.createDataFrame([(1, "two words")], "item_id long, text string")
+    pipeline = pytest.importorskip("corpus_pipeline")
+    for kept in (exact_dedup.drop_copies(rows), decontaminate.drop_contaminated(rows, bench), pipeline.drop_near_copies(spark, rows, "")):
+        assert kept.columns == rows.columns and kept.schema == rows.schema
+        assert all(r[c] == c for r in kept.collect() for c in names)
+    for found in (line_dedup.repeated_lines(rows), near_dedup.near_duplicates(rows), substring_dedup.repeated_spans(rows), exact_dedup.exact_dedup(rows)):
+        assert found.count() == rows.count()

@@ -99,6 +99,8 @@ def test_decontamination(spark, make):
     ours = [(r.doc_id, r.n_words, [k for s in r.spans for k in range(s.start, s.end)], r.items) for r in found]
     assert sorted(map(repr, ours)) == sorted(map(repr, expected))
     assert any(r.spans for r in found) and any(not r.spans for r in found)
+    in_blocks = decontaminate.contamination(make(rows), bench, block_words=20).collect()
+    assert sorted(map(repr, in_blocks)) == sorted(map(repr, found))
     clean = decontaminate.drop_contaminated(make(rows), bench)
     assert clean.columns == make(rows).columns and clean.count() == sum(not e[2] for e in expected)
     assert decontaminate.contamination(make([]), bench).count() == 0
