@@ -20,7 +20,7 @@ LENGTH, WINDOW = 100, 64
 GRAM = LENGTH - WINDOW + 1
 #: Flags in the lowest bits of a place: the slice repeats itself, is settled, or (both) is one string of a hot hash.
 REPEATS, SETTLED, STRING = 1, 2, 3
-#: Slices of one hash from which they are dealt out string by string, by their leading bytes.
+#: Slices of one hash from which they are dealt out string by string, by a hash of all their bytes.
 HOT_SLICES = 2048
 #: Bytes of slices that one suffix sort takes (or one group of slices of one key).
 SORT_BYTES = 1 << 21
@@ -108,21 +108,43 @@ def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray,
     return equal
 
 
-def _strings(hashes: np.ndarray, ids: pa.Array, begin: np.ndarray, start: np.ndarray, count: np.ndarray, data: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The strings of slices of hot hashes, one by one, each under its hash and leading bytes."""
-    for low in range(0, len(begin), 512):
-        part = slice(low, low + 512)
-        ends = np.cumsum(count[part])
-        inner = np.arange(ends[-1]) - np.repeat(ends - count[part], count[part])
-        slice_of = np.repeat(np.arange(len(ends)), count[part]) + low
-        for at in range(0, len(inner), 1 << 14):
-            own, k = slice_of[at : at + (1 << 14)], inner[at : at + (1 << 14)]
-            found = data[(begin[own] + k)[:, None] + np.arange(LENGTH)]
-            lead = np.ascontiguousarray(found[:, :8]).view(np.uint64)[:, 0]
-            key = mix64(hashes[own].view(np.uint64) ^ mix64(lead))
-            place = (start[own] + k) << 32 | 1 << 2 | STRING
-            out = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer((np.arange(len(own) + 1) * LENGTH).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(found))])
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), ids.take(pa.array(own)), pa.array(place), out], names=["_hash", "_id", "_at", "_slice"])
+_PLACES = mix64(np.arange(LENGTH, dtype=np.uint64) + np.uint64(1 << 40)) | np.uint64(1)
+
+
+def _strings(hashes: np.ndarray, ids: np.ndarray, begin: np.ndarray, start: np.ndarray, count: np.ndarray, data: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The strings of slices of hot hashes, one by one, each under a hash of its bytes.
+
+    Those that the same batch has before are settled here, as runs.
+    """
+    names = ["_hash", "_id", "_at", "_slice"]
+    slice_of = np.repeat(np.arange(len(begin)), count)
+    inner = np.arange(len(slice_of)) - np.repeat(np.cumsum(count) - count, count)
+    at, own, first = begin[slice_of] + inner, ids[slice_of], start[slice_of] + inner
+    content = np.empty(len(at), np.uint64)
+    for low in range(0, len(at), 1 << 14):
+        part = slice(low, low + (1 << 14))
+        found = data[at[part, None] + np.arange(LENGTH)]
+        content[part] = mix64((EXACT[found] * _PLACES).sum(axis=1, dtype=np.uint64))
+    order = np.lexsort((first, own, content))
+    new = np.concatenate(([True], content[order][1:] != content[order][:-1]))
+    earliest = np.empty(len(at), np.int64)
+    earliest[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    later = (own != own[earliest]) | (first != first[earliest])
+    which = np.flatnonzero(later)
+    later[which] = same_bytes(data, at[which], at[earliest[which]], np.full(len(which), LENGTH))
+    # runs of later strings of one slice
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], later.astype(np.int8), [0]))))
+    low, high = edge[::2], edge[1::2]
+    cuts = np.flatnonzero(slice_of[1:] != slice_of[:-1]) + 1
+    cuts = cuts[later[cuts] & later[cuts - 1]]
+    low, high = np.sort(np.concatenate((low, cuts))), np.sort(np.concatenate((high, cuts)))
+    key = mix64(hashes[slice_of[low]].view(np.uint64) + low.astype(np.uint64))
+    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(own[low]), pa.array(first[low] << 32 | (high - low) << 2 | SETTLED), pa.array([b""] * len(low), pa.binary())], names=names)
+    kept = np.flatnonzero(~later)
+    for k in (kept[a : a + (1 << 14)] for a in range(0, len(kept), 1 << 14)):
+        found = np.ascontiguousarray(data[at[k, None] + np.arange(LENGTH)])
+        out = pa.Array.from_buffers(pa.binary(), len(k), [None, pa.py_buffer((np.arange(len(k) + 1) * LENGTH).astype(np.int32)), pa.py_buffer(found)])
+        yield pa.RecordBatch.from_arrays([pa.array(content[k].view(np.int64)), pa.array(own[k]), pa.array(first[k] << 32 | 1 << 2 | STRING), out], names=names)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +158,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = np.flatnonzero(flat.field(2).to_numpy(zero_copy_only=False) & (places & 3 != SETTLED))
         if len(hot):
             count = (places[hot] >> 2) & 0x3FFFFFFF
-            yield from _strings(hashes.to_numpy(zero_copy_only=False)[hot], ids.take(pa.array(parents[hot])), offsets[parents[hot]] + (places[hot] >> 32), places[hot] >> 32, count, data)
+            yield from _strings(hashes.to_numpy(zero_copy_only=False)[hot], ids.to_numpy(zero_copy_only=False)[parents[hot]], offsets[parents[hot]] + (places[hot] >> 32), places[hot] >> 32, count, data)
             cold = np.ones(len(parents), bool)
             cold[hot] = False
             cold = np.flatnonzero(cold)
@@ -291,8 +313,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
        hash form a small text whose suffixes are sorted by difference-cover
        blockwise construction, bucket by bucket; neighbours that agree in 100
        bytes form a class, and all but its earliest string are removed. Slices of a
-       hash that has very many are dealt out string by string, in buckets of their
-       leading bytes, and sorted there by Spark, which spills; equal ones are neighbours.
+       hash that has very many are dealt out string by string and sorted by Spark, which
+       spills; equal ones are neighbours there.
     3. Spans are merged by document and cut out.
 
     Returns ``doc_id, n_bytes, spans, kept_sha256``; spans are maximal removed byte
