@@ -15,6 +15,10 @@ LOCATORS = (
     "page pages frame sheet cell_range row column row_start row_end source_line source_line_start source_line_end body_index paragraph_index table_index "
     "section section_path relationship_id"
 ).split()
+PAYLOAD = (
+    "_id content filename source_type location section_path source_ordinal modality extractor route_reason token_count page pages sheet "
+    "generation_id version scope visibility provenance score"
+).split()
 #: Most characters and blocks of a preview; most regions of a citation.
 PREVIEW_CHARS, PREVIEW_BLOCKS, REGIONS = 2_000_000, 2_000, 4_096
 
@@ -130,6 +134,11 @@ def locator(meta: Column, keys: list[str] = LOCATORS) -> Column:
     return F.map_filter(meta, lambda k, v: k.isin(*keys) & v.isNotNull())
 
 
+def shown(rows: DataFrame, fields: list[str] = PAYLOAD) -> DataFrame:
+    """Of a search's rows the columns that may leave the store; the scan reads no others."""
+    return rows.select(*[c for c in rows.columns if c in fields])
+
+
 def embeddable(text: Column, tokens: Column, limit: int) -> Column:
     """Whether a text can be embedded: not blank, and within the model's limit."""
     return F.coalesce((F.regexp_replace(text, r"(?U)\s+", "") != "") & (tokens <= limit), F.lit(False))

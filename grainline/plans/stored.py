@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import access, answers, evidence, geometry, publication, versions
+from ..operators import access, answers, evidence, geometry, layout, publication, versions
 from ..session import table
 from ..streaming import queue
 from .fixtures import ACL_SQL, docs_acl
@@ -267,3 +267,37 @@ def roster_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.when(n == 1, "| Part | Price |").otherwise("| Suppliers | City |"), body)
     question = F.when(n == 2, "who is it").when(n == 3, "How many suppliers are there").otherwise("list all suppliers")
     return table(spark, sf_dir, "documents").select("doc_id", evidence.roster_match(question, text).alias("roster"))
+
+
+@query("SELECT l_suppkey AS page, quantile_cont(round(l_tax * 100, 0) + l_quantity, 0.5) AS height, count(*) AS n FROM lineitem GROUP BY 1")
+def line_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = F.col("l_quantity")
+    return layout.line_heights(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("page"), top.alias("top"), (top + F.round(F.col("l_tax") * 100, 0) + top).alias("bottom")), "page")
+
+
+@query("""WITH RECURSIVE w AS (SELECT o_custkey AS page, o_orderkey AS word_id, o_orderkey * 37 % 500 AS x0, o_orderkey * 37 % 500 + 20 AS x1, o_orderkey % 40 AS top, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 40, o_orderkey * 37 % 500, o_orderkey) AS n FROM orders),
+    f AS (SELECT page, n, word_id, x0, x1, top AS first, 0::BIGINT AS line FROM w WHERE n = 1
+      UNION ALL SELECT w.page, w.n, w.word_id, w.x0, w.x1, CASE WHEN w.top - f.first > 3 THEN w.top ELSE f.first END, CASE WHEN w.top - f.first > 3 THEN f.line + 1 ELSE f.line END FROM f JOIN w ON w.page = f.page AND w.n = f.n + 1),
+    g AS (SELECT *, x0 - lag(x1) OVER (PARTITION BY page, line ORDER BY x0, word_id) > 36 AS cut FROM f)
+    SELECT page, word_id, line, coalesce(sum(cut::INTEGER) OVER (PARTITION BY page, line ORDER BY x0, word_id ROWS UNBOUNDED PRECEDING), 0)::BIGINT AS segment FROM g""")
+def word_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders stand for the words of customers' pages."""
+    k = F.col("o_orderkey")
+    words = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("page"), k.alias("word_id"), (k * 37 % 500).cast("double").alias("x0"), (k * 37 % 500 + 20).cast("double").alias("x1"), (k % 40).cast("double").alias("top"))
+    return layout.word_lines(words)
+
+
+@query()
+def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders stand for the elements of customers' pages; tests hold the order of small pages."""
+    k = F.col("o_orderkey")
+    x, y = (k * 37 % 500).cast("double"), (k % 600).cast("double")
+    wide = F.when(k % 7 == 0, 400.0).otherwise(60.0)
+    return layout.reading_order(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("page"), k.alias("element_id"), x.alias("x0"), y.alias("top"), (x + wide).alias("x1"), (y + 10).alias("bottom"), (k % 20).alias("n_words"), F.lit(600.0).alias("page_width")))
+
+
+@query("SELECT doc_id AS _id, text AS content, lang AS section_path FROM documents")
+def shown_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Owners and secrets aren't shown."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("_id"), F.col("text").alias("content"), F.col("lang").alias("section_path"), F.col("source").alias("secret"), F.col("n_chars").alias("owner"))
+    return publication.shown(rows)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +24,18 @@ def local_session(cpus: int | None = None, memory: str = "12g") -> SparkSession:
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Where streams keep state and results: what the cluster names in ``spark.checkpoint.dir``.
+
+    Only a local session may do without; other machines would not see its temporary folder.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not named and not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named or tempfile.mkdtemp(prefix="grainline-")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables of a data folder, by any path Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

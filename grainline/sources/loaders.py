@@ -60,6 +60,14 @@ def load_csv(data: bytes) -> list[Element]:
     return [Element(markdown_table(rows), "table", "csv", "csv_table")] if rows else []
 
 
+def spanned(value: str | None) -> int:
+    """Rows or columns of a cell; a table that asks for more than MAX_SPAN is refused."""
+    size = int(value) if (value or "").strip().isdigit() else 1
+    if size > MAX_SPAN:
+        raise Unsafe("a table's cell spans too much")
+    return max(size, 1)
+
+
 class _Walk(HTMLParser):
     """Headings stack up, paragraphs and items are text, tables expand their spans."""
 
@@ -97,8 +105,7 @@ class _Walk(HTMLParser):
                 self.rows.append([])
             elif tag in ("td", "th") and self.rows:
                 found = dict(attrs)
-                span = lambda k: min(max(int(found[k]), 1), MAX_SPAN) if str(found.get(k) or "").isdigit() else 1
-                self.cell = [[], span("rowspan"), span("colspan")]
+                self.cell = [[], spanned(found.get("rowspan")), spanned(found.get("colspan"))]
                 self.rows[-1].append(self.cell)
         elif tag in self.LEAVES or re.fullmatch("h[1-6]", tag):
             self.flush()
@@ -190,10 +197,17 @@ def load_xlsx(data: bytes) -> list[Element]:
     shared = []
     if "xl/sharedStrings.xml" in names:
         shared = ["".join(t.text or "" for t in si.iter() if _local(t.tag) == "t") for si in ElementTree.fromstring(archive.read("xl/sharedStrings.xml"))]
-    titles = [x.attrib.get("name", "") for x in ElementTree.fromstring(archive.read("xl/workbook.xml")).iter() if _local(x.tag) == "sheet"]
+    sheets = [x.attrib for x in ElementTree.fromstring(archive.read("xl/workbook.xml")).iter() if _local(x.tag) == "sheet"]
+    targets = {}
+    if "xl/_rels/workbook.xml.rels" in names:
+        targets = {x.attrib["Id"]: x.attrib["Target"] for x in ElementTree.fromstring(archive.read("xl/_rels/workbook.xml.rels")).iter() if _local(x.tag) == "Relationship"}
     out = []
-    for number, title in enumerate(titles, 1):
-        path = f"xl/worksheets/sheet{number}.xml"
+    for number, attributes in enumerate(sheets, 1):
+        title = attributes.get("name", "")
+        link = next((v for k, v in attributes.items() if _local(k) == "id"), "")
+        # by its relationship, as sheets may have been moved or deleted; by number only where there is none
+        target = targets.get(link, f"worksheets/sheet{number}.xml")
+        path = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
         if path not in names:
             continue
         grid: dict[tuple[int, int], str] = {}

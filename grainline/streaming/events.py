@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 
 def utc(df: DataFrame) -> DataFrame:
     """The table's time has no zone; watermarks need one."""
@@ -35,8 +36,7 @@ def streamed(spark: SparkSession, sf_dir: str, width: str, watermark: str = "10
     each batch, so that a batch that is run again replaces itself. The last version
     of a window counts. The folder is below ``spark.checkpoint.dir`` where that is set.
     """
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="grainline-")
-    base = f"{top}/windows-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/windows-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     source = utc(spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*"))
     counts = tumbling(source.withWatermark("ts", watermark), width)

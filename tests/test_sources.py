@@ -78,6 +78,47 @@ def test_docx_and_xlsx():
     assert [(e.section, e.text) for e in loaders.load("x.xlsx", archive(book))] == [("S", "| k | 2 |\n| --- | --- |")]
 
 
+def test_sheets_are_found_by_their_relationships():
+    sheet = '<worksheet><sheetData><row><c r="A1"><v>{}</v></c></row></sheetData></worksheet>'
+    r = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    book = {
+        "xl/workbook.xml": f'<workbook {r}><sheets><sheet name="B" r:id="rId7"/><sheet name="A" r:id="rId3"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="rId3" Target="worksheets/sheet1.xml"/><Relationship Id="rId7" Target="/xl/worksheets/sheet4.xml"/></Relationships>',
+        "xl/worksheets/sheet1.xml": sheet.format(1),
+        "xl/worksheets/sheet4.xml": sheet.format(4),
+    }
+    assert [(e.section, e.text.split("\n")[0]) for e in loaders.load("x.xlsx", archive(book))] == [("B", "| 4 |"), ("A", "| 1 |")]
+
+
+def test_too_wide_cells_are_refused():
+    page = b"<table><tr><td colspan=%d>x</td></tr></table>"
+    assert [loaders.load("x.html", page % n)[0].reason for n in (1000, 1001)] == ["html_table", "unsafe_content"]
+
+
+def test_wide_tables_name_their_cells():
+    table = "cap\n| key | " + "long name " * 15 + "|\n| --- | --- |\n| k1 | " + "v " * 90 + "|\n| k2 |  |"
+    spec = chunker.Spec(60, 5, 160, 4)
+    found = chunker.table_parts(table, spec, len)
+    assert all(len(x) <= 160 for x in found) and all(x.startswith("Table ") for x in found)
+    assert any(x.endswith("Row 2; column 2: (empty)") for x in found) and any("column 2 header: long name" in x for x in found)
+    named = chunker.wide_records("| a | b |", ["| 1 | x |"], "", spec, len)
+    assert named == ["Row 1; column 1 (a); key 1: 1", "Row 1; column 2 (b); key 1: x"]
+    with pytest.raises(ValueError):
+        chunker.wide_records("| a | b |", ["| 1 |"], "", spec, len)
+
+
+def test_prose_of_one_context_is_joined(spark):
+    rows = [(1, 0, "text", "text", "prose", "# A", "one", 1, 1), (1, 1, "text", "text", "prose", "# A", "two", 3, 4), (1, 2, "text", "text", "code_block", "# A", "x = 1", 5, 6), (1, 3, "text", "text", "prose", "# A", "three", 7, 7), (1, 4, "text", "text", "prose", "# B", "four", 8, 8), (2, 0, "text", "text", "prose", "# B", "five", 1, 1)]
+    found = chunker.join_prose(spark.createDataFrame(rows, loaders.SCHEMA)).orderBy("doc_id", "n").collect()
+    assert [(r.doc_id, r.n, r.text) for r in found] == [(1, 0, "one\n\ntwo"), (1, 2, "x = 1"), (1, 3, "three"), (1, 4, "four"), (2, 0, "five")]
+    assert [(s.element, s.start, s.end, s.element_end, s.line_end) for s in found[0].sources] == [(0, 0, 3, 3, 1), (1, 5, 8, 3, 4)]
+    small, large = (chunker.chunk(spark.createDataFrame(rows, loaders.SCHEMA), spec, len).orderBy("doc_id", "element", "part").collect() for spec in (chunker.Spec(8, 1, 16, 1), chunker.Spec(30, 1, 40, 1)))
+    told = lambda chunks: [(c.text.removeprefix(c.section + "\n\n"), [s.element for s in c.sources]) for c in chunks]
+    assert told(small)[:4] == [("one", [0]), ("two", [1]), ("x = 1", [2]), ("three", [3])]
+    assert told(large)[:3] == [("one\n\ntwo", [0, 1]), ("x = 1", [2]), ("three", [3])]
+    assert chunker.source_range("a  b\nc d", "b c") == (3, 6) and chunker.source_range("abc", "x") is None and chunker.source_range("abc", " ") is None
+
+
 def test_unsafe_broken_and_unknown_files_are_reported():
     bomb = archive({"a": "0" * 10_000_000})
     assert [loaders.load(n, d)[0].reason for n, d in (("x.docx", bomb), ("x.docx", b"zz"), ("x.zzz", b""), ("x.pdf", b""))] == ["unsafe_content", "unreadable", "unknown_extension", "loader_missing"]
