@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
-from .access import can_view
 
 RRF_K, BM25_K1, BM25_B = 60, 1.5, 0.75
 #: Queries of one block.
@@ -23,6 +22,10 @@ def pool_size(k: int) -> int:
     return max(k, 4 * k, 50)
 
 
+#: Difference of scores that rounding may turn into a tie.
+NEAR = 1e-8
+#: Queries by text of one block, and chunks whose terms are laid out at once.
+TEXT_BLOCK, LAID_OUT = 256, 256
 #: Vectors of one tile; what a task multiplies with a block of queries at once.
 TILE = 4096
 
@@ -51,38 +54,50 @@ def _read(blob: pa.Scalar) -> pa.RecordBatch:
     return pa.ipc.open_stream(blob.as_buffer()).read_all().combine_chunks().to_batches()[0]
 
 
-def nearest(corpus: DataFrame, queries: DataFrame, k: int, may) -> DataFrame:
-    """Exact cosine top-k: ``query_id, chunk_id, score, dense_rank``, ties by chunk id.
+def _best(corpus: DataFrame, queries: DataFrame, k: int, score, may, block: int) -> DataFrame:
+    """``query_id, chunk_id, score`` of the best k of each tile and query, by ``score(tile, block)``, a
+    matrix of queries and rows with -inf for what doesn't match.
 
-    ``corpus`` begins with chunk_id and vector, ``queries`` with query_id and qvec; what
-    follows them is for ``may(tile, block)``, which tells which of a block's queries may
-    see which of a tile's vectors (True for all). Queries in blocks meet vectors in tiles,
-    as one value each, in a planned join: Spark broadcasts the blocks below its size
-    limit, else deals out both sides. Of a tile only the best k of each query, after
-    what it may not see is masked, are shuffled.
+    ``corpus`` begins with chunk_id, ``queries`` with query_id. Queries in blocks meet rows in
+    tiles, as one value each, in a planned join: Spark broadcasts the blocks below its size
+    limit, else deals out both sides. ``may(tile, block)`` tells what each query may see
+    (True for all) before the best are chosen, and only those are shuffled.
     """
     tiles = _packed(corpus, TILE, "_tile")
-    # blocks are filled from all partitions; their number is that of full ones
-    blocks = _packed(queries.repartition(max(1, corpus.sparkSession.sparkContext.defaultParallelism // 8)), QUERY_BLOCK, "_block")
+    # blocks are filled from few partitions, so that there are no more of them than there have to be
+    blocks = _packed(queries.repartition(max(1, corpus.sparkSession.sparkContext.defaultParallelism // 8)), block, "_block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for left, right in zip(batch.column(0), batch.column(1), strict=True):
-                tile, block = _read(left), _read(right)
-                chunk, asked = (t.column(0).to_numpy(zero_copy_only=False) for t in (tile, block))
-                scores = _numbers(block.column(1), len(asked)) @ _numbers(tile.column(1), len(chunk)).T
-                allowed = may(tile, block)
+                tile, asked = _read(left), _read(right)
+                chunk, query = (t.column(0).to_numpy(zero_copy_only=False) for t in (tile, asked))
+                scores = score(tile, asked)
+                allowed = may(tile, asked)
                 if allowed is not True:
                     scores[~allowed] = -np.inf
                 if len(chunk) > k:
-                    # what is as near as the k-th, as far as 12 digits tell, stays for the tie by chunk
+                    # what is as good as the k-th, as far as rounding tells, stays for the tie by chunk
                     least = np.partition(scores, len(chunk) - k, axis=1)[:, len(chunk) - k]
-                    row, at = np.nonzero((scores >= least[:, None] - 1e-11) & np.isfinite(scores))
+                    row, at = np.nonzero((scores >= least[:, None] - NEAR) & np.isfinite(scores))
                 else:
                     row, at = np.nonzero(np.isfinite(scores))
-                yield pa.RecordBatch.from_arrays([pa.array(asked[row]), pa.array(chunk[at]), pa.array(scores[row, at])], names=["query_id", "chunk_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(query[row]), pa.array(chunk[at]), pa.array(scores[row, at])], names=["query_id", "chunk_id", "score"])
+
+    return tiles.crossJoin(blocks).mapInArrow(run, "query_id long, chunk_id long, score double")
+
+
+def nearest(corpus: DataFrame, queries: DataFrame, k: int, may) -> DataFrame:
+    """Exact cosine top-k: ``query_id, chunk_id, score, dense_rank``, ties by chunk id.
+
+    ``corpus`` begins with chunk_id and vector, ``queries`` with query_id and qvec; what
+    follows them is for ``may``, as in ``_best``.
+    """
+
+    def cosines(tile: pa.RecordBatch, block: pa.RecordBatch) -> np.ndarray:
+        return _numbers(block.column(1), block.num_rows) @ _numbers(tile.column(1), tile.num_rows).T
 
-    found = tiles.crossJoin(blocks).mapInArrow(run, "query_id long, chunk_id long, score double")
+    found = _best(corpus, queries, k, cosines, may, QUERY_BLOCK)
     return top(found.withColumn("score", F.round("score", 12)), "score", k, "dense_rank")
 
 
@@ -142,8 +157,10 @@ def postings(corpus: DataFrame, terms: DataFrame) -> DataFrame:
 def bm25(corpus: DataFrame, queries: DataFrame, k: int, access: bool = False) -> DataFrame:
     """``query_id, chunk_id, lex_score, lex_rank`` with corpus-wide statistics.
 
-    One stored table of postings feeds counts of documents, of terms and the scores.
-    With ``access``, pairs that a query's reader may not see are no part of the sums.
+    One stored table of postings feeds counts of documents, of terms and the weights.
+    Chunks' weighted terms and queries' terms meet as tiles and blocks (``_best``), so no
+    pair of a chunk and a query is a row before its best k are chosen; with ``access``, of
+    those that a query's reader may see. Terms are told by 64-bit hashes there.
     """
     asked = ["q_tenant", "q_user", "q_role"] if access else []
     terms = queries.select("query_id", *asked, F.explode(F.array_distinct(tokenize(F.col("qtext")))).alias("term"))
@@ -153,15 +170,36 @@ def bm25(corpus: DataFrame, queries: DataFrame, k: int, access: bool = False) ->
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     weight = tf.join(df, "term").crossJoin(F.broadcast(totals))  # totals: exactly one row
     part = idf(F.col("df"), F.col("n")) * (F.col("tf") * (BM25_K1 + 1)) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avgdl")))
-    weight = weight.select("chunk_id", "term", part.alias("_w"))
+    term = F.struct(F.xxhash64("term").alias("t"), part.alias("w"))
+    rows = weight.groupBy("chunk_id").agg(F.collect_list(term).alias("_terms"))
     if access:
-        facts = ["tenant", "owner", "visibility", "scope", "acl"]
-        weight = weight.join(corpus.select("chunk_id", *facts), "chunk_id")
-        pairs = weight.join(terms, "term").filter(can_view(F.col("q_tenant"), F.col("q_user"), F.col("q_role")))
-    else:
-        pairs = weight.join(terms, "term")
-    scores = pairs.groupBy("query_id", "chunk_id").agg(F.round(F.sum("_w"), 9).alias("lex_score")).filter("lex_score > 0")
-    return top(scores, "lex_score", k, "lex_rank")
+        rows = rows.join(corpus.select("chunk_id", "tenant", "owner", "visibility", "scope", "acl"), "chunk_id")
+    texts = queries.select("query_id", F.transform(F.array_distinct(tokenize(F.col("qtext"))), lambda t: F.xxhash64(t)).alias("_asked"), *asked)
+    found = _best(rows, texts, k, _lexical, may_read if access else lambda tile, block: True, TEXT_BLOCK)
+    return top(found.select("query_id", "chunk_id", F.round("score", 9).alias("lex_score")).filter("lex_score > 0"), "lex_score", k, "lex_rank")
+
+
+def _lexical(tile: pa.RecordBatch, block: pa.RecordBatch) -> np.ndarray:
+    """Sums of the weights of the terms that a chunk and a query share; -inf where they share none."""
+    asked = block.column(1)
+    terms, which = np.unique(asked.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+    wants = np.zeros((block.num_rows, len(terms)))
+    wants[pc.list_parent_indices(asked).to_numpy(zero_copy_only=False), which] = 1.0
+    lists = tile.column(1)
+    flat, chunk = lists.flatten(), pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+    own, weight = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+    at = np.minimum(np.searchsorted(terms, own), max(len(terms) - 1, 0))
+    known = np.flatnonzero(terms[at] == own) if len(terms) else np.zeros(0, np.int64)
+    chunk, at, weight = chunk[known], at[known], weight[known]
+    scores = np.empty((block.num_rows, tile.num_rows))
+    for low in range(0, tile.num_rows, LAID_OUT):
+        high = min(low + LAID_OUT, tile.num_rows)
+        part = slice(*np.searchsorted(chunk, (low, high)))
+        has = np.zeros((high - low, len(terms)))
+        has[chunk[part] - low, at[part]] = weight[part]
+        scores[:, low:high] = wants @ has.T
+    scores[scores <= 0] = -np.inf
+    return scores
 
 
 def fuse(dense: DataFrame, lexical: DataFrame, k: int, w_dense: Column | float = 1.0, w_lex: Column | float = 1.0) -> DataFrame:
