@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +59,28 @@ class Stored:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _give_back() -> None:
+    """What batches have left allocated goes back to the system: idle workers are kept beside busy ones."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def frugal(step):
+    """A step over Arrow batches that gives memory back after each of them and at its end."""
+
+    def run(batches):
+        try:
+            for out in step(batches):
+                yield out
+                _give_back()
+        finally:
+            _give_back()
+
+    return run
+
+
 def wrapped(docs: DataFrame, keys: dict[str, Column]) -> DataFrame:
     """Rows as one column beside ``keys``, so that no column of theirs clashes with a name of ours."""
     return docs.select(F.struct("*").alias("_row"), *(c.alias(n) for n, c in keys.items()))

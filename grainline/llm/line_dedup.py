@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import LOWER, SPACE, blocks, byte_set, gram_hashes, mix64, span_hashes, word_bounds
-from .common import Stored, partitions
+from .common import Stored, frugal, partitions
 
 #: Lines are sets of words or of word pairs (of their only word, if one), alike from NUM / DEN on.
 NUM, DEN, WORD, PAIR = 85, 100, 1, 2
@@ -108,7 +108,7 @@ def word_rarity(docs: DataFrame) -> tuple[np.ndarray, int]:
 
     Slots are shared by words, so a level is that of a word's count or above.
     """
-    counts = docs.select("_text").mapInArrow(_count, "_part long, _blob binary")
+    counts = docs.select("_text").mapInArrow(frugal(_count), "_part long, _blob binary")
     found = counts.repartition(PARTS, "_part").mapInArrow(_sum_parts, "_part long, _total long, _levels binary").toArrow()
     table = np.zeros((PARTS, SLOTS // PARTS), np.uint8)
     for part, levels in zip(found.column(0).to_pylist(), found.column(2).to_pylist(), strict=True):
@@ -427,7 +427,7 @@ def alike(lines: DataFrame, pairs: DataFrame, gram: int) -> DataFrame:
     """The (_doc, _line) of pairs that are like their partner, by the texts of lines."""
     other = lines.select(F.col("_doc").alias("_odoc"), F.col("_line").alias("_oline"), F.col("_text").alias("_otext"))
     rows = pairs.select("_doc", "_line", "_odoc", "_oline").distinct().join(lines, ["_doc", "_line"]).join(other, ["_odoc", "_oline"])
-    return rows.select("_doc", "_line", "_text", "_otext").mapInArrow(_verify(gram), "_doc long, _line long").distinct()
+    return rows.select("_doc", "_line", "_text", "_otext").mapInArrow(frugal(_verify(gram)), "_doc long, _line long").distinct()
 
 
 def _share(table: np.ndarray, df: DataFrame):
@@ -469,13 +469,13 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = _share(rarity, texts)
     buckets = max(4 * partitions(spark), n_words // (4 * BUCKET))
 
-    dealt = texts.mapInArrow(_deal(shared, gram, buckets), "_bucket long, _n long, _blob binary")
+    dealt = texts.mapInArrow(frugal(_deal(shared, gram, buckets)), "_bucket long, _n long, _blob binary")
     dealt = dealt.repartition(max(partitions(spark), buckets // 4), "_bucket").sortWithinPartitions("_bucket")
-    found = Stored(dealt.mapInArrow(_candidates, FOUND))
+    found = Stored(dealt.mapInArrow(frugal(_candidates), FOUND))
     both = ["_doc", "_line"]
     pairs, records = found.df.filter("_odoc is not null"), found.df.filter("_n is not null").select("_n", "_blob")
     needed = pairs.select(*both).union(pairs.select("_odoc", "_oline")).union(records.mapInArrow(_record_lines, "_doc long, _line long"))
-    lines = Stored(texts.mapInArrow(_lines(_share(bit_table(needed), texts)), "_doc long, _line long, _text binary"))
+    lines = Stored(texts.mapInArrow(frugal(_lines(_share(bit_table(needed), texts))), "_doc long, _line long, _text binary"))
     steps = [found, lines, Stored(alike(lines.df, pairs, gram))]
     gone = found.df.filter("_doc is not null and _odoc is null").select(*both).union(steps[-1].df)
     undecided = Stored(pairs.filter("_more").select(*both).distinct().join(gone, both, "left_anti"))
