@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import SPACE, blocks, gram_hashes, mix64, span_hashes, word_bounds
-from .common import Stored, settle
+from .common import Stored, frugal, settle
 from .components import components
 
 #: A signature is SYMBOLS minima of BITS bits each, cut into CHUNKS chunks. Within
@@ -161,7 +161,7 @@ def confirm(texts: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame
     left = texts.select(F.col("_id").alias("a"), F.col("_text").alias("_ta"))
     right = texts.select(F.col("_id").alias("b"), F.col("_text").alias("_tb"))
     rows = pairs.join(left, "a").join(right, "b").select("a", "b", "_ta", "_tb")
-    return rows.mapInArrow(_confirm(num, den), "a long, b long")
+    return rows.mapInArrow(frugal(_confirm(num, den)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 75, den: int = 100) -> DataFrame:
@@ -192,7 +192,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     none, and fewer of nearer ones. Equal sets are told by size and two 64-bit sums.
     """
     source = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    signed = settle(source.mapInArrow(_sign, SIGNED))
+    signed = settle(source.mapInArrow(frugal(_sign), SIGNED))
     same = ["_n", "_s1", "_s2"]
     sets = settle(signed.filter("_n > 0").groupBy(*same).agg(F.min("_id").alias("_rep")))
     reps = signed.join(sets.filter("_rep is not null").withColumnRenamed("_rep", "_id"), [*same, "_id"], "left_semi")
