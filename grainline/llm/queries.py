@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_extract, licenses, line_dedup, mixing, near_dedup, quality, substring_dedup, toxicity
+from . import decontaminate, exact_dedup, html_extract, lexical_search, licenses, line_dedup, mixing, near_dedup, quality, substring_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_line_dedup": op2_line_dedup,
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mixing": op9_mixing,
     "op10_html_extraction": op10_html_extraction,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -123,4 +128,14 @@ ORACLE_SQL: dict[str, str] = {
                  OR (cum - m <= target - times * u.source_size AND m <= 2 * (target - times * u.source_size - (cum - m)))) THEN 1 ELSE 0 END))::BIGINT AS taken
         FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source
         JOIN c ON c.source IS NOT DISTINCT FROM d.source AND c.h = d.h""",
+    "op13_lexical_search": rf"""
+        WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        s AS (SELECT count(*) FILTER (len(w) > 0) AS n, sum(len(w))::BIGINT AS l FROM d),
+        p AS (SELECT doc_id, len, t, count(*) AS tf FROM (SELECT doc_id, len(w)::BIGINT AS len, unnest(w) AS t FROM d) GROUP BY ALL),
+        q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+        w AS (SELECT t, floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM (SELECT t, count(*) AS df FROM p GROUP BY t), s),
+        r AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * len * n) // l))))::BIGINT AS score
+              FROM q JOIN w USING (t) JOIN p USING (t), s GROUP BY item_id, doc_id HAVING score > 0)
+        SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+        FROM r QUALIFY rank <= 10""",
 }

@@ -24,6 +24,7 @@ COLUMNS = {
     "op8_exact_dedup": ["doc_id", "keep_id", "group_size", "kept", "text_sha256"],
     "op9_mixing": ["doc_id", "size", "source_size", "target", "taken"],
     "op10_html_extraction": ["page_id", "url", "text", "n_chars"],
+    "op13_lexical_search": ["item_id", "rank", "doc_id", "score"],
 }
 
 
@@ -31,12 +32,17 @@ def test_every_operator_has_a_query():
     assert set(QUERIES) == set(COLUMNS)
 
 
+#: Queries whose rows aren't those of a table.
+OTHER_ROWS = {"op11_spelling_variants", "op13_lexical_search"}
+
+
 @pytest.mark.parametrize("name", sorted(COLUMNS))
 def test_query_returns_its_columns_for_every_row(spark, name):
     found = QUERIES[name](spark, SF)
     table = "pages" if name.startswith("op10") else "documents"
     assert found.columns == COLUMNS[name]
-    assert found.count() == spark.read.parquet(f"{SF}/{table}.parquet").count()
+    if name not in OTHER_ROWS:
+        assert found.count() == spark.read.parquet(f"{SF}/{table}.parquet").count()
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
