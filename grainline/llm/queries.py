@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, html_extract, lexical_search, licenses, line_dedup, mixing, near_dedup, quality, substring_dedup, toxicity
+from . import bpe, decontaminate, exact_dedup, html_extract, lexical_search, licenses, line_dedup, mixing, near_dedup, quality, spelling, substring_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mixing": op9_mixing,
     "op10_html_extraction": op10_html_extraction,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_bpe": op12_bpe,
     "op13_lexical_search": op13_lexical_search,
 }
@@ -137,6 +142,28 @@ ORACLE_SQL: dict[str, str] = {
                  OR (cum - m <= target - times * u.source_size AND m <= 2 * (target - times * u.source_size - (cum - m)))) THEN 1 ELSE 0 END))::BIGINT AS taken
         FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source
         JOIN c ON c.source IS NOT DISTINCT FROM d.source AND c.h = d.h""",
+    "op11_spelling_variants": rf"""
+        WITH RECURSIVE bits AS (
+          SELECT i, i AS c, 0 AS k FROM range(256) t(i)
+          UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+        crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+        g AS (SELECT id, r, count(*) AS c, hex(encode(id || ':' || r)) AS x
+              FROM (SELECT coalesce(doc_id::VARCHAR, 'null') AS id, unnest(regexp_extract_all({_LOWER}, '[A-Za-zÀ-ÿ]+')) AS r FROM documents)
+              WHERE length(r) >= 7 GROUP BY ALL),
+        h AS (SELECT r, c, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(x) // 2), lambda i: ('0x' || x[2 * i + 1:2 * i + 2])::BIGINT)),
+                     lambda a, b: xor(a >> 8, t[xor(a & 255, b) + 1]))) AS h FROM g, crc),
+        v AS (SELECT CASE WHEN h % 31 = 0 THEN substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS word, sum(c)::BIGINT AS n
+              FROM h GROUP BY 1 HAVING length(word) >= 7 AND n >= 2),
+        cut AS (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS k FROM v, unnest(range(length(word))) AS t(i)),
+        near AS (SELECT a.word AS a, b.word AS b FROM cut a JOIN cut b ON a.k = b.k AND a.i = b.i AND a.word <> b.word
+                 UNION SELECT cut.word, v.word FROM cut JOIN v ON cut.k = v.word
+                 UNION SELECT v.word, cut.word FROM cut JOIN v ON cut.k = v.word),
+        f AS (SELECT a AS word, count(*) AS n_near, first(b ORDER BY n DESC, b) AS b, max(n) AS m FROM near JOIN v ON v.word = b GROUP BY a),
+        o AS (SELECT v.word, CASE WHEN m >= 10 * n THEN b END AS form, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN m >= 10 * n THEN m END AS form_n
+              FROM v LEFT JOIN f ON f.word = v.word),
+        way AS (SELECT word, word AS root, form AS further FROM o
+                UNION ALL SELECT way.word, o.word, o.form FROM way JOIN o ON o.word = way.further)
+        SELECT word, form, root, n, n_near, form_n FROM o JOIN way USING (word) WHERE further IS NULL""",
     "op13_lexical_search": rf"""
         WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
         s AS (SELECT count(*) FILTER (len(w) > 0) AS n, sum(len(w))::BIGINT AS l FROM d),

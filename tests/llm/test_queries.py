@@ -24,6 +24,7 @@ COLUMNS = {
     "op8_exact_dedup": ["doc_id", "keep_id", "group_size", "kept", "text_sha256"],
     "op9_mixing": ["doc_id", "size", "source_size", "target", "taken"],
     "op10_html_extraction": ["page_id", "url", "text", "n_chars"],
+    "op11_spelling_variants": ["word", "form", "root", "n", "n_near", "form_n"],
     "op12_bpe": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
     "op13_lexical_search": ["item_id", "rank", "doc_id", "score"],
 }
