@@ -20,6 +20,7 @@ def local_session(cpus: int | None = None, memory: str = "12g") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
@@ -36,6 +37,18 @@ def shared_folder(spark: SparkSession) -> str:
     return named or tempfile.mkdtemp(prefix="grainline-")
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """A result that is read several times, computed once: a reliable checkpoint in the shared folder.
+
+    It survives lost executors; Spark removes it with the last reference to it, where
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables of a data folder, by any path Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
