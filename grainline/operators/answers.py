@@ -1,11 +1,13 @@
-"""Locators, collections, expansion, the answer cache, fallback and re-embedding."""
+"""Locators, the answer cache, fallback and re-embedding."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import evidence, search
+from . import search
 
 #: Version of the cached payload's fields.
 CACHE_SCHEMA = 15
@@ -56,37 +58,29 @@ def parse_metadata(raw: Column) -> Column:
     return F.struct(word("author").alias("author"), word("date").alias("date"), many("topics").alias("topics"), many("entities").alias("entities"))
 
 
-def collection_candidates(tables: DataFrame, queries: DataFrame, pool: int = 200, k: int = 20) -> DataFrame:
-    """Tables whose schema names what a question collects: lexical pool first, then the match, then k."""
-    hits = search.bm25(tables, queries, pool)
-    rows = hits.join(tables.select("chunk_id", "text"), "chunk_id").join(queries.select("query_id", "qtext"), "query_id")
-    rows = rows.filter(evidence.roster_match(F.col("qtext"), F.col("text")))
-    return search.top(rows.select("query_id", "chunk_id", "lex_score"), "lex_score", k, "roster_rank")
-
-
-def expand(seeds: DataFrame, chunks: DataFrame, radius: int = 1, limit: int = 50) -> DataFrame:
-    """Seeds (query_id, chunk_id, doc_id, generation, ordinal) and their neighbours in source order."""
-    near = search.surrounding(seeds, chunks, radius, limit).select("query_id", "chunk_id", "doc_id", "ordinal")
-    every = seeds.select("query_id", "chunk_id", "doc_id", "ordinal").unionByName(near)
-    return search.source_order(every.dropDuplicates(["query_id", "chunk_id"]))
-
-
 def cache_lookup(requests: DataFrame, entries: DataFrame, threshold: float, now: Column) -> DataFrame:
     """The nearest admissible entry of each request: ``request_id, entry_id, similarity``.
 
     An entry answers a request of the same tenant, user, model, question, epoch,
-    profile and number of results. Those that have expired, or are of another schema,
-    don't take part; the nearest of the rest has to reach ``threshold``. Entries and
-    requests meet as ``search.nearest`` has them meet, so that a question that all ask
-    is no task of its own.
+    profile and number of results: these are compared as they are, hashes only route.
+    Those that have expired, or are of another schema, don't take part; the nearest of
+    the rest has to reach ``threshold``. Entries and requests of one such key meet in
+    tiles and blocks, so that a question that all ask is no task of its own.
     """
-    key = F.xxhash64("tenant", "user", "model", "question", "epoch", "profile", "top_k")
+    whole = F.to_json(F.struct("tenant", "user", "model", "question", "epoch", "profile", "top_k"), {"ignoreNullFields": "false"})
     open_now = entries.filter((F.col("expires_at") > now) & (F.col("schema_version") == CACHE_SCHEMA))
-    same = lambda tile, block: block.column(2).to_numpy()[:, None] == tile.column(2).to_numpy()[None, :]
-    found = search.nearest(open_now.select(F.col("entry_id").alias("chunk_id"), "vector", key), requests.select(F.col("request_id").alias("query_id"), "qvec", key), 1, same)
+    found = search.nearest(
+        open_now.select(F.col("entry_id").alias("chunk_id"), "vector", whole.alias("_same")), requests.select(F.col("request_id").alias("query_id"), "qvec", whole.alias("_same")), 1, _same, F.xxhash64("_same"), F.array(F.xxhash64("_same"))
+    )
     return found.filter(F.col("score") >= threshold).select(F.col("query_id").alias("request_id"), F.col("chunk_id").alias("entry_id"), F.col("score").alias("similarity"))
 
 
+def _same(tile: pa.RecordBatch, block: pa.RecordBatch) -> np.ndarray:
+    """Which entries have a request's key, by the whole of it."""
+    _, codes = np.unique(np.concatenate([t.column(2).to_numpy(zero_copy_only=False) for t in (tile, block)]).astype(str), return_inverse=True)
+    return codes[tile.num_rows :, None] == codes[None, : tile.num_rows]
+
+
 def falls_back(allowed: Column, status: Column, scope: Column, changed: Column) -> Column:
     """A general answer is given only if allowed, evidence is lacking, no documents were chosen
     and nothing changed meanwhile."""

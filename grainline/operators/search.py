@@ -19,7 +19,8 @@ QUERY_BLOCK = 1024
 
 
 def pool_size(k: int) -> int:
-    return max(k, 4 * k, 50)
+    """How deep each channel is read for the best ``k`` of a fusion."""
+    return max(4 * k, 50)
 
 
 #: Difference of scores that rounding may turn into a tie.
@@ -37,35 +38,43 @@ def _numbers(column: pa.Array, n: int) -> np.ndarray:
 
 
 def _packed(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """Rows of each Arrow batch as tables of at most ``size`` rows in one binary value."""
+    """``_key`` and rows of that key of an Arrow batch as tables of at most ``size`` rows in one binary value."""
+    fields = [c for c in rows.columns if c != "_key"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, size):
-                part, sink = batch.slice(at, size), pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, part.schema) as writer:
-                    writer.write_batch(part)
-                yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=[name])
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            for low, high in zip(edges[:-1], edges[1:], strict=True):
+                for at in range(low, high, size):
+                    part, sink = batch.slice(at, min(size, high - at)).select(fields), pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, part.schema) as writer:
+                        writer.write_batch(part)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 1], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["_key", name])
 
-    return rows.mapInArrow(run, f"{name} binary")
+    return rows.select("_key", *fields).sortWithinPartitions("_key").mapInArrow(run, f"_key long, {name} binary")
 
 
 def _read(blob: pa.Scalar) -> pa.RecordBatch:
     return pa.ipc.open_stream(blob.as_buffer()).read_all().combine_chunks().to_batches()[0]
 
 
-def _best(corpus: DataFrame, queries: DataFrame, k: int, score, may, block: int) -> DataFrame:
+def _best(corpus: DataFrame, queries: DataFrame, k: int, score, may, block: int, key: Column | None = None, keys: Column | None = None) -> DataFrame:
     """``query_id, chunk_id, score`` of the best k of each tile and query, by ``score(tile, block)``, a
     matrix of queries and rows with -inf for what doesn't match.
 
-    ``corpus`` begins with chunk_id, ``queries`` with query_id. Queries in blocks meet rows in
-    tiles, as one value each, in a planned join: Spark broadcasts the blocks below its size
-    limit, else deals out both sides. ``may(tile, block)`` tells what each query may see
-    (True for all) before the best are chosen, and only those are shuffled.
+    ``corpus`` begins with chunk_id, ``queries`` with query_id. Rows in tiles of one ``key`` meet
+    queries in blocks that have it among their ``keys`` (arrays of hashes), as one value each, in
+    an equi join; without keys every block meets every tile. Spark broadcasts the blocks below
+    its size limit, else deals out both sides. ``may(tile, block)`` tells what each query may
+    see (True for all) before the best are chosen, and only those are shuffled. A key only routes:
+    what may be seen is for ``may`` to tell.
     """
-    tiles = _packed(corpus, TILE, "_tile")
+    tiles = _packed(corpus.withColumn("_key", F.lit(0).cast("long") if key is None else key), TILE, "_tile")
+    asked = queries.withColumn("_key", F.lit(0).cast("long") if keys is None else F.explode(F.array_distinct(keys)))
     # blocks are filled from few partitions, so that there are no more of them than there have to be
-    blocks = _packed(queries.repartition(max(1, corpus.sparkSession.sparkContext.defaultParallelism // 8)), block, "_block")
+    blocks = _packed(asked.repartition(max(1, corpus.sparkSession.sparkContext.defaultParallelism // 8), "_key"), block, "_block")
+    met = tiles.drop("_key").crossJoin(blocks.drop("_key")) if key is None else tiles.join(blocks, "_key").drop("_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,20 +93,21 @@ def _best(corpus: DataFrame, queries: DataFrame, k: int, score, may, block: int)
                     row, at = np.nonzero(np.isfinite(scores))
                 yield pa.RecordBatch.from_arrays([pa.array(query[row]), pa.array(chunk[at]), pa.array(scores[row, at])], names=["query_id", "chunk_id", "score"])
 
-    return tiles.crossJoin(blocks).mapInArrow(run, "query_id long, chunk_id long, score double")
+    return met.mapInArrow(run, "query_id long, chunk_id long, score double")
 
 
-def nearest(corpus: DataFrame, queries: DataFrame, k: int, may) -> DataFrame:
+def cosines(tile: pa.RecordBatch, block: pa.RecordBatch) -> np.ndarray:
+    return _numbers(block.column(1), block.num_rows) @ _numbers(tile.column(1), tile.num_rows).T
+
+
+def nearest(corpus: DataFrame, queries: DataFrame, k: int, may, key: Column | None = None, keys: Column | None = None) -> DataFrame:
     """Exact cosine top-k: ``query_id, chunk_id, score, dense_rank``, ties by chunk id.
 
     ``corpus`` begins with chunk_id and vector, ``queries`` with query_id and qvec; what
-    follows them is for ``may``, as in ``_best``.
+    follows them is for ``may``; ``key`` and ``keys`` as in ``_best``.
     """
 
-    def cosines(tile: pa.RecordBatch, block: pa.RecordBatch) -> np.ndarray:
-        return _numbers(block.column(1), block.num_rows) @ _numbers(tile.column(1), tile.num_rows).T
-
-    found = _best(corpus, queries, k, cosines, may, QUERY_BLOCK)
+    found = _best(corpus, queries, k, cosines, may, QUERY_BLOCK, key, keys)
     return top(found.withColumn("score", F.round("score", 12)), "score", k, "dense_rank")
 
 
@@ -118,6 +128,15 @@ def may_read(tile: pa.RecordBatch, block: pa.RecordBatch) -> np.ndarray:
     return allowed
 
 
+def tenant_key() -> Column:
+    """Routes a row to its tenant's readers, a global one to all; equal hashes of tenants only cost work."""
+    return F.when(F.col("scope") == "global", F.xxhash64(F.lit(True))).otherwise(F.xxhash64(F.col("tenant").cast("string")))
+
+
+def tenant_keys() -> Column:
+    return F.array(F.xxhash64(F.lit(True)), F.xxhash64(F.col("q_tenant").cast("string")))
+
+
 def dense_topk(corpus: DataFrame, queries: DataFrame, k: int, access: bool = True) -> DataFrame:
     """``nearest`` of vectors that each query's reader may see.
 
@@ -126,7 +145,9 @@ def dense_topk(corpus: DataFrame, queries: DataFrame, k: int, access: bool = Tru
     """
     own = ["chunk_id", "vector", *(["tenant", "owner", "visibility", "scope", "acl"] if access else [])]
     fields = ["query_id", "qvec", *(["q_tenant", "q_user", "q_role"] if access else [])]
-    return nearest(corpus.select(*own), queries.select(*fields), k, may_read if access else lambda tile, block: True)
+    if access:
+        return nearest(corpus.select(*own), queries.select(*fields), k, may_read, tenant_key(), tenant_keys())
+    return nearest(corpus.select(*own), queries.select(*fields), k, lambda tile, block: True)
 
 
 def top(rows: DataFrame, score: str, k: int, rank: str) -> DataFrame:
@@ -175,7 +196,8 @@ def bm25(corpus: DataFrame, queries: DataFrame, k: int, access: bool = False) ->
     if access:
         rows = rows.join(corpus.select("chunk_id", "tenant", "owner", "visibility", "scope", "acl"), "chunk_id")
     texts = queries.select("query_id", F.transform(F.array_distinct(tokenize(F.col("qtext"))), lambda t: F.xxhash64(t)).alias("_asked"), *asked)
-    found = _best(rows, texts, k, _lexical, may_read if access else lambda tile, block: True, TEXT_BLOCK)
+    routes = (tenant_key(), tenant_keys()) if access else ()
+    found = _best(rows, texts, k, _lexical, may_read if access else lambda tile, block: True, TEXT_BLOCK, *routes)
     return top(found.select("query_id", "chunk_id", F.round("score", 9).alias("lex_score")).filter("lex_score > 0"), "lex_score", k, "lex_rank")
 
 

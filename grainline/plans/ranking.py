@@ -12,7 +12,8 @@ from ..session import table
 from .fixtures import ACL_SQL, QUERY_SQL, TOKENS, VISIBLE_SQL, doc_vectors, docs_acl, text_chunks, text_queries, vector_queries
 from .registry import query
 
-K, POOL = 10, 50
+K = 10
+POOL = search.pool_size(K)
 COS = "round(list_cosine_similarity(vector::DOUBLE[], qvec::DOUBLE[]), 12)"
 DENSE_SQL = f"""q AS ({QUERY_SQL}), d AS ({ACL_SQL}),
     v AS (SELECT d.*, e.embedding AS vector, e.label, d.doc_id AS chunk_id FROM d JOIN embeddings e ON d.doc_id = e.vec_id),
