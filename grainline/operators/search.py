@@ -37,7 +37,7 @@ def _numbers(column: pa.Array, n: int) -> np.ndarray:
     return found / np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-300)
 
 
-def _packed(rows: DataFrame, size: int, name: str) -> DataFrame:
+def packed(rows: DataFrame, size: int, name: str) -> DataFrame:
     """``_key`` and rows of that key of an Arrow batch as tables of at most ``size`` rows in one binary value."""
     fields = [c for c in rows.columns if c != "_key"]
 
@@ -55,10 +55,19 @@ def _packed(rows: DataFrame, size: int, name: str) -> DataFrame:
     return rows.select("_key", *fields).sortWithinPartitions("_key").mapInArrow(run, f"_key long, {name} binary")
 
 
-def _read(blob: pa.Scalar) -> pa.RecordBatch:
+def opened(blob: pa.Scalar) -> pa.RecordBatch:
     return pa.ipc.open_stream(blob.as_buffer()).read_all().combine_chunks().to_batches()[0]
 
 
+def best_places(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of each row's best k, and of what is as good as the k-th as far as rounding tells."""
+    n = scores.shape[1]
+    if n <= k:
+        return np.nonzero(np.isfinite(scores))
+    least = np.partition(scores, n - k, axis=1)[:, n - k]
+    return np.nonzero((scores >= least[:, None] - NEAR) & np.isfinite(scores))
+
+
 def _best(corpus: DataFrame, queries: DataFrame, k: int, score, may, block: int, key: Column | None = None, keys: Column | None = None) -> DataFrame:
     """``query_id, chunk_id, score`` of the best k of each tile and query, by ``score(tile, block)``, a
     matrix of queries and rows with -inf for what doesn't match.
@@ -70,27 +79,22 @@ def _best(corpus: DataFrame, queries: DataFrame, k: int, score, may, block: int,
     see (True for all) before the best are chosen, and only those are shuffled. A key only routes:
     what may be seen is for ``may`` to tell.
     """
-    tiles = _packed(corpus.withColumn("_key", F.lit(0).cast("long") if key is None else key), TILE, "_tile")
+    tiles = packed(corpus.withColumn("_key", F.lit(0).cast("long") if key is None else key), TILE, "_tile")
     asked = queries.withColumn("_key", F.lit(0).cast("long") if keys is None else F.explode(F.array_distinct(keys)))
     # blocks are filled from few partitions, so that there are no more of them than there have to be
-    blocks = _packed(asked.repartition(max(1, corpus.sparkSession.sparkContext.defaultParallelism // 8), "_key"), block, "_block")
+    blocks = packed(asked.repartition(max(1, corpus.sparkSession.sparkContext.defaultParallelism // 8), "_key"), block, "_block")
     met = tiles.drop("_key").crossJoin(blocks.drop("_key")) if key is None else tiles.join(blocks, "_key").drop("_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for left, right in zip(batch.column(0), batch.column(1), strict=True):
-                tile, asked = _read(left), _read(right)
+                tile, asked = opened(left), opened(right)
                 chunk, query = (t.column(0).to_numpy(zero_copy_only=False) for t in (tile, asked))
                 scores = score(tile, asked)
                 allowed = may(tile, asked)
                 if allowed is not True:
                     scores[~allowed] = -np.inf
-                if len(chunk) > k:
-                    # what is as good as the k-th, as far as rounding tells, stays for the tie by chunk
-                    least = np.partition(scores, len(chunk) - k, axis=1)[:, len(chunk) - k]
-                    row, at = np.nonzero((scores >= least[:, None] - NEAR) & np.isfinite(scores))
-                else:
-                    row, at = np.nonzero(np.isfinite(scores))
+                row, at = best_places(scores, k)
                 yield pa.RecordBatch.from_arrays([pa.array(query[row]), pa.array(chunk[at]), pa.array(scores[row, at])], names=["query_id", "chunk_id", "score"])
 
     return met.mapInArrow(run, "query_id long, chunk_id long, score double")
