@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from statistics import median
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words of a line begin at most so far below its first word; a wider gap between words parts a line.
@@ -100,3 +100,95 @@ def reading_order(elements: DataFrame) -> DataFrame:
         return pd.DataFrame({"page": [x["page"] for x in found], "element_id": [x["element_id"] for x in found], "place": range(len(found))})
 
     return elements.groupBy("page").applyInPandas(order, "page long, element_id long, place long")
+
+
+# Words of a heading and of body text, sizes of headings beside body text (plain and bold), shares
+# of the page's width where headings and labels begin, the gap that parts heading lines, letters of a major heading.
+HEADING_WORDS, BODY_WORDS, LARGER, LARGER_BOLD = 18, 10, 1.08, 1.05
+HEADING_LEFT, MAJOR_LEFT, GAP, GAP_LINES, MAJOR_LETTERS = 0.65, 0.25, 8.0, 0.75, 4
+SECTION = "order_no long, block_type string, section_path string, section_source string"
+
+
+def _may_head() -> Column:
+    """Whether an element looks like a heading: short, without marks of a sentence or list, larger than body text, not far right."""
+    text, words = F.trim("text"), F.size(F.filter(F.split(F.trim("text"), r"\s+"), lambda w: w != ""))
+    short = words.between(1, HEADING_WORDS) & ~text.rlike(r"^[●•▪*-]\s") & (F.regexp_count(text, F.lit(",")) < 2) & ~text.contains(":")
+    styled = F.coalesce(F.col("layout_label") == "title", F.lit(False)) | ((F.col("body") > 0) & (F.coalesce("font_size", F.lit(0.0)) >= F.col("body") * F.when(F.col("font_bold"), LARGER_BOLD).otherwise(LARGER)))
+    return F.coalesce((F.col("extractor") == "pdf_text") & short & styled & ~text.rlike(r"[.:;!?]$") & (F.col("x0") < F.col("page_width") * HEADING_LEFT), F.lit(False))
+
+
+def visible_sections(elements: DataFrame) -> DataFrame:
+    """``doc_id`` and SECTION: which elements are headings, and the section each element stands in.
+
+    ``elements``: doc_id, order_no, text, page, x0, y0, x1, y1, page_width, font_size,
+    font_bold, extractor, layout_label, section_path (of an outline, or null), omission.
+    Body size is the median of a document's longer text elements. Heading lines close
+    together form one heading, with labels at their right; it holds for what follows, over
+    pages too, until the next one or another outline section. A heading in capitals that is
+    set in stands above those after it. What heads an element is known from the elements
+    before it alone, so they are folded in order; a task holds one heading.
+    """
+    body = elements.filter((F.col("extractor") == "pdf_text") & (F.col("font_size") > 0) & (F.size(F.filter(F.split(F.trim("text"), r"\s+"), lambda w: w != "")) >= BODY_WORDS))
+    body = body.groupBy("doc_id").agg(F.percentile("font_size", 0.5).alias("body"))
+    shown = elements.filter(~F.coalesce("omission", F.lit(False))).join(body, "doc_id", "left").withColumn("body", F.coalesce("body", F.lit(0.0)))
+    letters = F.regexp_replace(F.element_at(F.split(F.trim("text"), r"\(", 2), 1), r"[^\p{L}]", "")
+    capital = (letters == F.upper(letters)) & (letters != F.lower(letters)) & (F.length(letters) >= MAJOR_LETTERS) & (F.col("x0") > F.col("page_width") * MAJOR_LEFT)
+    rows = shown.select("doc_id", "order_no", F.trim("text").alias("text"), "page", "x0", "y0", "y1", F.coalesce(F.col("x0") > F.col("page_width") * HEADING_LEFT, F.lit(False)).alias("right"), "section_path", _may_head().alias("heads"), F.coalesce(capital, F.lit(False)).alias("major"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fold = _Sections()
+        for frame in batches:
+            for e in frame.itertuples(index=False):
+                fold.take(e)
+            yield pd.DataFrame(fold.given(), columns=["doc_id", "order_no", "block_type", "section_path", "section_source"])
+        fold.close()
+        yield pd.DataFrame(fold.given(), columns=["doc_id", "order_no", "block_type", "section_path", "section_source"])
+
+    return rows.repartition("doc_id").sortWithinPartitions("doc_id", "order_no").mapInPandas(run, f"doc_id long, {SECTION}")
+
+
+class _Sections:
+    """The open heading with the elements that wait for it, and the section it will give way to."""
+
+    def __init__(self):
+        self.where, self.above, self.section = None, "", ""
+        self.lines: list[str] = []
+        self.waiting: list = []
+        self.out: list[tuple] = []
+
+    def given(self) -> list[tuple]:
+        out, self.out = self.out, []
+        return out
+
+    def _tell(self, e, heads: bool) -> None:
+        outline = e.section_path if isinstance(e.section_path, str) else ""
+        path = " > ".join(p for p in (outline, self.section) if p) or None
+        self.out.append((e.doc_id, e.order_no, "heading" if heads else None, path, "pdf_visible_heading" if self.section else None))
+
+    def close(self) -> None:
+        if self.lines:
+            self.section = " > ".join(dict.fromkeys(p for p in (self.above, *self.lines) if p))
+        for e in self.waiting:
+            self._tell(e, e.heads)
+        self.lines, self.waiting = [], []
+
+    def take(self, e) -> None:
+        place = (e.doc_id, e.section_path if isinstance(e.section_path, str) else None)
+        if place != self.where:
+            self.close()
+            self.where, self.above, self.section = place, "", ""
+        last = self.waiting[-1] if self.waiting else None
+        near = last is not None and last.page == e.page
+        if e.heads:
+            if near and e.y0 - last.y1 > max(GAP, (e.y1 - e.y0) * GAP_LINES):
+                self.close()
+            if e.major:
+                self.close()
+                self.above, self.section = e.text, ""
+            self.lines.append(e.text)
+            self.waiting.append(e)
+        elif near and e.right and e.y0 <= last.y1:
+            self.waiting.append(e)
+        else:
+            self.close()
+            self._tell(e, False)

@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return keep
 
 
-from . import answers, composites, nearest, pages, ranking, records, state, stored, texts  # noqa: E402, F401
+from . import answers, composites, geometry, nearest, pages, ranking, records, state, stored, texts  # noqa: E402, F401
