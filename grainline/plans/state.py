@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..session import table
 from ..streaming import events as E
-from ..streaming import jobs
+from ..streaming import expiring, jobs
 from .registry import query
 
 
@@ -80,3 +80,20 @@ def cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def deduplicated_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = E.read(spark, sf_dir).dropDuplicates(["user_id", "event_type", "ts"])
     return rows.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+
+
+@query("""WITH e AS (SELECT user_id AS tenant, event_id AS seq, epoch_us(ts) / 1000.0 AS t, event_type AS entry, value * 3600000 AS ttl,
+      CASE WHEN event_id % 50 = 0 THEN 'invalidate' WHEN event_id % 7 IN (0, 3) THEN 'put' ELSE 'get' END AS command FROM events),
+    n AS (SELECT *, row_number() OVER (PARTITION BY tenant ORDER BY t, seq) AS n FROM e),
+    l AS (SELECT *, max(CASE WHEN command = 'invalidate' THEN n END) OVER w AS cut, max(CASE WHEN command = 'put' THEN n END) OVER k AS put
+          FROM n WINDOW w AS (PARTITION BY tenant ORDER BY n ROWS UNBOUNDED PRECEDING), k AS (PARTITION BY tenant, entry ORDER BY n ROWS UNBOUNDED PRECEDING)),
+    h AS (SELECT l.*, p.seq AS from_seq, l.command = 'get' AND p.n IS NOT NULL AND p.t + p.ttl > l.t AND coalesce(l.cut, 0) < p.n AS hit FROM l LEFT JOIN n p ON p.tenant = l.tenant AND p.n = l.put)
+    SELECT tenant, seq, CASE WHEN hit THEN 'hit' WHEN command = 'get' THEN 'miss' WHEN command = 'put' THEN 'stored' ELSE 'invalidated' END AS outcome, CASE WHEN hit THEN from_seq::VARCHAR END AS value FROM h""")
+def cached_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' events as puts, look-ups and invalidations of cached answers that live as long as the event's value says."""
+    n = F.col("event_id")
+    command = F.when(n % 50 == 0, "invalidate").when((n % 7).isin(0, 3), "put").otherwise("get")
+    rows = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("tenant"), n.alias("seq"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1000).alias("at"), command.alias("command"), F.col("event_type").alias("entry"), n.cast("string").alias("value"), (F.col("value") * 3600000).alias("ttl")
+    )
+    return expiring.folded(rows)

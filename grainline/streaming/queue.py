@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 LEASE_SECONDS, MAX_ATTEMPTS, MAX_DELAY = 300.0, 3, 60.0
 #: Admission: leases end after LEASE_MS at the latest, requests count for WINDOW_MS.
 LEASE_MS, WINDOW_MS = 120_000, 60_000
+#: How long a finished job's state is kept for commands that come late.
+RETAIN_MS = 24 * 3600 * 1000
 
 
 @dataclass
@@ -89,22 +91,33 @@ def replay(commands: DataFrame) -> DataFrame:
     return rows.repartition("job_id").sortWithinPartitions("job_id", "at", "seq").mapInPandas(run, OUT)
 
 
-def streamed(commands: DataFrame) -> DataFrame:
-    """The same over a stream: a job's state is kept by its key from batch to batch."""
+def streamed(commands: DataFrame, retain_ms: int = RETAIN_MS, late: str = "1 day") -> DataFrame:
+    """The same over a stream: a job's state is kept by its key from batch to batch.
+
+    A job that is done or dead is forgotten once the watermark, ``late`` behind the newest
+    command, is ``retain_ms`` beyond its last one, so that state grows with the open jobs
+    only; a command after that meets a new job.
+    """
 
     def step(key, frames, state):
-        job = Job(*state.get) if state.exists else Job()
+        if state.hasTimedOut:
+            state.remove()
+            return
+        job, last = Job(*state.get) if state.exists else Job(), 0
         for frame in frames:
-            rows = []
+            rows, last = [], max(last, int(frame["at"].max() * 1000))
             for r in frame.sort_values(["at", "seq"]).itertuples(index=False):
                 job, outcome = apply(job, r.at, r.command, r.token or "", r.note or "")
                 rows.append((r.job_id, r.seq, outcome, job.status, job.stage, job.attempts))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")])
         state.update((job.status, job.stage, job.attempts, job.available_at, job.token, job.lease_until))
+        if job.status in ("done", "dead"):
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + retain_ms)
 
     kept = "status string, stage string, attempts int, available_at double, token string, lease_until double"
     rows = commands.select("job_id", "seq", F.col("at").cast("double").alias("at"), "command", "token", "note")
-    return rows.groupBy("job_id").applyInPandasWithState(step, OUT, kept, "append", "NoTimeout")
+    timed = rows.withColumn("_time", F.timestamp_millis((F.col("at") * 1000).cast("long") + 1)).withWatermark("_time", late)
+    return timed.groupBy("job_id").applyInPandasWithState(step, OUT, kept, "append", "EventTimeTimeout")
 
 
 @dataclass

@@ -69,3 +69,19 @@ def test_admission_at_two_levels(spark):
     assert [gate.acquire(0, "a", ("u",), ("u",)), gate.acquire(5, "b", ("u",), ("u",)), gate.renew(100, "a", ("u",)), gate.renew(100, "b", ("u",))] == [True, False, True, False]
     gate.release("a", ("u",))
     assert gate.acquire(101, "c", ("u",), ("u",))
+
+
+def test_finished_jobs_are_forgotten(spark, tmp_path):
+    schema = "job_id long, seq long, at double, command string, token string, note string"
+    parts = [
+        [(1, 1, 0.0, "enqueue", "", ""), (1, 2, 1.0, "claim", "a", ""), (1, 3, 2.0, "complete", "a", ""), (2, 4, 3.0, "enqueue", "", "")],
+        [(3, 5, 500.0, "enqueue", "", "")], [(3, 6, 900.0, "claim", "b", "")], [(1, 7, 901.0, "complete", "a", ""), (2, 8, 902.0, "claim", "c", "")],
+    ]
+    for rows in parts:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        source = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        run = queue.streamed(source, retain_ms=60_000, late="10 seconds").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+        run.awaitTermination()
+    found = {r.seq: (r.outcome, r.status) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    # job 1 was done and is forgotten; job 2 was still open
+    assert found[3] == ("done", "done") and found[7] == ("stale", "new") and found[8] == ("done", "running")
