@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,6 +21,10 @@ TOKEN = re.compile(
 )
 MARKED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 NOT_MARK = re.compile(r"[^a-z0-9:_-]")
+#: The same in parts, for pages with tags that don't end: what ends at the next bracket, a tag's head, what decides where it ends.
+RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|textarea)\b[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*+>", re.S | re.I)
+HEAD = re.compile(r"<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)")
+DECIDES = re.compile(r"[>\"']")
 
 # Fixed element and class names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -43,6 +48,13 @@ FURNITURE_NAMES = frozenset(
 WEAK_NAMES = frozenset("header masthead topbar banner notice notices alert promotion search login share sharing social menu skip".split())
 LABELS = frozenset("ad ads advert adverts advertisement advertising sponsored cookie cookies consent gdpr newsletter comments disqus breadcrumb breadcrumbs navbar pagination".split())
 LABEL_ELEMENTS = frozenset("form fieldset".split())
+#: Names of what is never content beside some; words that may go with them, and words that turn them into a state of the page.
+SURE = frozenset("comments disqus replies respond ads advert adverts advertisement advertising sponsored newsletter cookie cookies consent".split())
+SURE_WITH = frozenset(
+    "reader readers user users visitor visitors post page article story blog facebook list section area thread wrapper container box block banner slot unit form signup subscribe notice bar popup google text top bottom left right inner outer body the and our ad comment comments".split()
+)
+SURE_PAIRS = frozenset([("comment", "list"), ("comment", "section"), ("comment", "thread"), ("comment", "form"), ("user", "comment"), ("reader", "comment"), ("related", "posts"), ("related", "articles"), ("related", "stories"), ("related", "work"), ("share", "buttons"), ("ad", "slot"), ("ad", "banner"), ("ad", "unit"), ("ad", "container")])
+SURE_ALONE = frozenset("ad share related".split())
 EXPLICIT = ("article", "main")
 INLINE = frozenset("p br a abbr b cite code em i mark q s small span strong sub sup time u".split())
 #: Formatting that is no part of a wrapper unless it has a class, id or role.
@@ -51,15 +63,56 @@ FLAT = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font
 DEEPEST = 150
 #: Items of one element from which a wrapper keeps them by mark, without their order.
 ORDERED = 64
-#: Share of a host's distinct pages on which a constant slot is; distinct pages of a host from which constant
-#: text is dropped inside article and main too; wrappers that are aligned in one task, one after another.
-NEARLY_ALL, FIRM, TOGETHER = 0.9, 5, 64
+#: Share of a host's distinct pages on which a constant slot is; wrappers that are aligned in one task, one after another.
+NEARLY_ALL, TOGETHER = 0.9, 64
 
 
 def text_hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
 
 
+def tokens(page: str) -> Iterator[tuple[int, str | None, str, str | None, str]]:
+    """``start, text, close, name, rest`` of a page's texts and tags; comments and scripts give none of both."""
+    for m in TOKEN.finditer(page):
+        if m["text"] == "<" and (HEAD.match(page, m.start()) or page[m.end() : m.end() + 1] in ("!", "?")):
+            # a tag that doesn't end: to look for the ends of all that follow it would take the square of their number
+            yield from _unended(page, m.start())
+            return
+        yield m.start(), m["text"], m["close"], m["name"], m["rest"] or ""
+
+
+def _unended(page: str, at: int) -> Iterator[tuple[int, str | None, str, str | None, str]]:
+    """As ``tokens`` from a place on, where the end of every tag is known from one pass from right to left."""
+    places = [m.start() for m in DECIDES.finditer(page, at)]
+    ends, same = [-1] * (len(places) + 1), {'"': -1, "'": -1}
+    for i in range(len(places) - 1, -1, -1):
+        c = page[places[i]]
+        if c == ">":
+            ends[i] = places[i]
+        else:  # a quoted value: the tag goes on behind the next quote of its kind
+            ends[i] = ends[same[c] + 1] if same[c] >= 0 else -1
+            same[c] = i
+    last = page.rfind(">")
+    while at < len(page):
+        if page[at] != "<" or at > last:
+            end = page.find("<", at) if page[at] != "<" else len(page)
+            end = end if end >= 0 else len(page)
+            yield at, page[at:end], "", None, ""
+            at = end
+        elif m := RAW.match(page, at):
+            yield at, None, "", None, ""
+            at = m.end()
+        else:
+            m = HEAD.match(page, at)
+            end = ends[bisect_left(places, m.end())] if m else -1
+            if end < 0:
+                yield at, "<", "", None, ""
+                at += 1
+            else:
+                yield at, None, m["close"], m["name"], page[m.end() : end]
+                at = end + 1
+
+
 class Item:
     """A text slot (mark #), an element, or a group of items that repeats (no mark).
 
@@ -91,12 +144,18 @@ class Run:
         self.text, self.slot, self.chain, self.furniture, self.named, self.explicit = text, slot, chain, furniture, named, explicit
 
 
+def sure(name: str) -> bool:
+    """Whether a class, id or role names comments, adverts, forms and the like: by its words, all of which say so or may go with it."""
+    words = [w for w in re.split(r"[^a-z0-9]+", name) if w and not w.isdigit()]
+    return tuple(words) in SURE_PAIRS or (len(words) == 1 and words[0] in SURE_ALONE) or (any(w in SURE for w in words) and all(w in SURE or w in SURE_WITH for w in words))
+
+
 def parse(page: str) -> tuple[Item, list]:
     """The tree of a page's elements and text slots, and its text runs and tag names in order.
 
     An element is furniture by its name, and so is all in it; ``header`` is unless
     inside an article. ``named`` tells the elements around a text whose class, id or
-    role has furniture words: for each its item and how much the words say (2, 1 or 0).
+    role has furniture words: for each its item and how much the words say (3 to 0).
     It starts anew inside ``article`` and ``main``, which no name around them discards.
     ``chain`` lists the items around a text, outermost first.
     """
@@ -105,8 +164,7 @@ def parse(page: str) -> tuple[Item, list]:
     stack: list[tuple] = []
     events: list = []
     chain: tuple = (root,)
-    for m in TOKEN.finditer(page):
-        text, name = m["text"], m["name"]
+    for start, text, close, name, rest in tokens(page):
         if text is not None:
             slot = None
             if not text.isspace() and not (stack and stack[-1][1]):
@@ -118,7 +176,7 @@ def parse(page: str) -> tuple[Item, list]:
             events.append(Run(text, slot, chain, top[1], top[2], top[3]))
         elif name:
             name = name.lower()
-            if m["close"]:
+            if close:
                 depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
                 if depth >= 0 and not (name not in BLOCKS and any(x[0] in BLOCKS for x in stack[depth + 1 :])):
                     del stack[depth:]
@@ -135,7 +193,6 @@ def parse(page: str) -> tuple[Item, list]:
             while stack and name in CLOSED_BY.get(stack[-1][0], ()):
                 stack.pop()
             chain = stack[-1][4] if stack else (root,)
-            rest = m["rest"] or ""
             whole = {w for found in MARKED.findall(rest) for w in (found[0] or found[1] or found[2]).lower().split()} if "=" in rest else ()
             words = {w for x in whole for w in re.split(r"[^a-z0-9]+", x) if w}
             _, above, named, explicit = stack[-1][:4] if stack else ("", False, (), "")
@@ -148,8 +205,8 @@ def parse(page: str) -> tuple[Item, list]:
             if name in EXPLICIT and not explicit:
                 named, explicit = (), name
             elif name not in ("html", "body") and (name in LABEL_ELEMENTS or words & FURNITURE_NAMES):
-                says = 2 if name in LABEL_ELEMENTS or any(w in LABELS for w in whole) else int(bool(words & FURNITURE_NAMES - WEAK_NAMES))
-                named = (*named, (inner[-1], m.start(), says))
+                says = 3 if name == "form" or any(map(sure, whole)) else 2 if name in LABEL_ELEMENTS or any(w in LABELS for w in whole) else int(bool(words & FURNITURE_NAMES - WEAK_NAMES))
+                named = (*named, (inner[-1], start, says))
             events.append(name)
             if name not in VOID and not rest.endswith("/"):
                 stack.append((name, above or own, named, explicit, inner))
@@ -447,8 +504,9 @@ def fixed_slots(shape: str, wrapper: str, stats: list, pages: int) -> frozenset[
 def discarded(runs: list[Run], fixed: set[int]) -> set[tuple]:
     """The named elements that are furniture, of the runs of a page's content.
 
-    None is that holds half or more of the text that varies. Of others a label is; else
-    the wrapper has to agree: all text in it is constant over the host, or it holds a
+    Comments, adverts, forms and the like are, whatever share of the text they hold, if
+    there is text of the page outside all named elements. Of others, none is that holds half
+    or more of the text that varies. Of the rest a label is; else the wrapper has to agree: all text in it is constant over the host, or it holds a
     repeated group of more than paragraphs, or, unless its name is weak, it is outside
     the container that most of the page's text is in.
     """
@@ -474,13 +532,17 @@ def discarded(runs: list[Run], fixed: set[int]) -> set[tuple]:
         longest = longest[:-1]
     around = {id(x) for x in longest}
     found = set()
+    beside = any(not r.named and id(r.slot.at()) not in fixed for r in runs)
     for element, own in inside.items():
         item, _, says = element
+        if says == 3 and beside:
+            found.add(element)
+            continue
         if 2 * sum(n for _, n in own) >= total > 0:
             continue
         repeats = any(_repeats(r.slot.at(), item.at()) for r, _ in own)
         foreign = says and len(longest) > 1 and id(item) not in around and longest[-1] not in own[0][0].chain[: own[0][0].chain.index(item) + 1]
-        if says == 2 or repeats or foreign or all(id(r.slot.at()) in fixed for r, _ in own):
+        if says >= 2 or repeats or foreign or all(id(r.slot.at()) in fixed for r, _ in own):
             found.add(element)
     return found
 
@@ -495,15 +557,15 @@ def _repeats(slot: Item, element: Item) -> bool:
     return False
 
 
-def extract_text(page: str, fixed_of=None, pages: int = 0) -> str:
+def extract_text(page: str, fixed_of=None) -> str:
     """The blocks of a page's content, joined by blank lines.
 
     ``fixed_of`` tells the slots of a skeleton that are constant over its host. A page
     that has text in ``article`` or ``main`` says itself what its content is. Of
     others it is all text in slots that vary, wherever they stand; where none does, as
-    on copies under other addresses, it is all text. Where FIRM or more ``pages`` of the
-    host are known, constant slots of an article aren't content either. Names of
-    classes take away from both what ``discarded`` tells.
+    on copies under other addresses, it is all text. Text
+    of an article stays though every page of the host has it. Names of classes take
+    away from both what ``discarded`` tells.
     """
     root, events = parse(page)
     fold(root)
@@ -515,7 +577,7 @@ def extract_text(page: str, fixed_of=None, pages: int = 0) -> str:
     if explicit:
         runs = [r for r in runs if r.explicit == explicit]
     gone = discarded(runs, fixed)
-    firm = fixed if pages >= FIRM or not explicit else set()
+    firm = set() if explicit else fixed
     kept = [r for r in runs if not (gone and any(x in gone for x in r.named))]
     if all(id(r.slot.at()) in firm for r in kept):
         firm = set()
@@ -566,7 +628,7 @@ def _extract(known=None):
                         memory[key, shape] = fixed_slots(shape, *rule)
                     return memory[key, shape]
 
-                texts.append(extract_text(page or "", fixed_of, pages or 0))
+                texts.append(extract_text(page or "", fixed_of))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return run

@@ -318,15 +318,65 @@ def test_names_discard_no_article(spark, name):
     assert found == [f"Title {i}\n\n{text(i)}" for i in range(3)]
 
 
-def test_constant_slots_of_articles_are_dropped(spark):
-    page = "<article><h1>Title {0}</h1><p>text {0} of it</p><div class=box><b>Read our magazine</b></div></article>"
-    found = texts_of(spark, [page.format(i) for i in range(6)] + ["<article><div class=box><b>Read our magazine</b></div></article>"])
-    assert found[:6] == [f"Title {i}\n\ntext {i} of it" for i in range(6)]
-    assert texts_of(spark, [page.format(i) for i in range(2)])[1] == "Title 1\n\ntext 1 of it\n\nRead our magazine"
+def test_constant_text_of_articles_stays(spark):
+    page = "<article><h1>Title {0}</h1><h2>Ingredients</h2><p>text {0} of it</p><div class=promo><b>Read our magazine</b></div></article>"
+    for n in (2, 6, 8):
+        assert texts_of(spark, [page.format(i) for i in range(n)]) == [f"Title {i}\n\nIngredients\n\ntext {i} of it" for i in range(n)]
     pages = spark.createDataFrame([(i, "http://h.example/p", page.format(i)) for i in range(6)], "page_id long, url string, html string")
     (host,) = html_extract.wrappers(pages.union(pages)).collect()
-    assert (host.host, host.pages, host.wrapper) == ("h.example", 6, "article(h1(#) p(#) div.box(#))")
-    assert [n for n, lo, hi in host.stats if lo == hi] == [6]
+    assert (host.host, host.pages, host.wrapper) == ("h.example", 6, "article(h1(#) h2(#) p(#) div.promo(#))")
+    assert [n for n, lo, hi in host.stats if lo == hi] == [6, 6]
+
+
+@pytest.mark.parametrize("name", ['class="comments"', 'id="comments"', 'class="reader-comments"', 'class="user-comment"', 'class="article-comments-list"', 'class="related-work"', 'class="share"', 'id="disqus_thread"', 'class="ad"', 'class="newsletter-signup"'])
+@pytest.mark.parametrize("n", [1, 8])
+def test_comments_and_adverts_go_whatever_they_weigh(spark, name, n):
+    said = "".join(f"<div class=item><p>{{0}} said {k} {'at length ' * 20}</p></div>" for k in range(4))
+    inside = "<article><h1>Title {0}</h1><p>short text {0}</p><section " + name + ">" + said + "</section></article>"
+    beside = "<div class=body><h1>Title {0}</h1><p>short text {0}</p></div><div " + name + ">" + said + "</div>"
+    for page in (inside, beside):
+        assert texts_of(spark, [page.format(i) for i in range(n)]) == [f"Title {i}\n\nshort text {i}" for i in range(n)]
+
+
+@pytest.mark.parametrize("name", ["no-comments", "has-ads", "comments-open", "with-newsletter", "commented", "shared-memory", "relatedness"])
+def test_states_of_a_page_are_no_comments(spark, name):
+    page = f'<div class="top">Site</div><div class="{name}"><h1>Title {{0}}</h1><p>text {{0}} of it</p></div>'
+    assert texts_of(spark, [page.format(i) for i in range(4)]) == [f"Title {i}\n\ntext {i} of it" for i in range(4)]
+
+
+def test_tags_that_never_end_take_linear_time():
+    import time
+
+    texts = ['<a "' * 500_000, "<a '" * 300_000 + '"', "<script " * 200_000, "<!" * 500_000, "<a \"'" * 300_000 + ">", "<p>x</p>" + "<b" * 500_000]
+    for text in texts:
+        began = time.perf_counter()
+        n = sum(1 for _ in html_extract.tokens(text))
+        assert n and time.perf_counter() - began < 6, text[:20]
+
+
+def test_unended_tags_are_read_like_ended_ones():
+    draw = random.Random(5)
+    for _ in range(3000):
+        page = "".join(draw.choices(["<a ", "<b>", "</b>", "<p class='x'>", '"', "'", ">", "x y", "<!", "<!-- c -->", "<", " b=c"], k=draw.randint(1, 14)))
+        plain = [(m.start(), m["text"], m["close"] or "", m["name"], m["rest"] or "") for m in html_extract.TOKEN.finditer(page)]
+        join = lambda found: [x if x[1] is None else ("text",) for x in found if x[1] is None]
+        want, got = join(plain), join([(a, t, c or "", n, r) for a, t, c, n, r in html_extract.tokens(page)])
+        assert got == want, page
+        assert "".join(t for _, t, *_ in html_extract.tokens(page) if t) == "".join(m[1] for m in plain if m[1]), page
+
+
+@pytest.mark.parametrize("shape", ["<div id=main-{1}>{0}</div>", "<table><tr><td>{0}</td></tr></table>", "<section class=story><div>{0}</div></section>"])
+def test_hosts_without_articles_against_a_plain_reading(spark, shape):
+    draw = random.Random(len(shape))
+    pages, want = [], []
+    for i in range(12):
+        blocks = [" ".join(draw.choices(["alpha", "beta", "gamma &amp; delta", "<b>bold</b>", "1 &lt; 2"], k=draw.randint(3, 9))) + f" {i}" for _ in range(draw.randint(1, 5))]
+        want.append("\n\n".join(html.unescape(re.sub("<[^>]*>", "", b)) for b in blocks))
+        menu = "<div class=topnav><a href=/a>Home</a> <a href=/b>News</a></div>"
+        foot = "<div class=bottom>All rights reserved</div>"
+        comments = f"<div class=comments><p>first! {i}</p><p>{'so long a comment ' * 30}{i}</p></div>" if i % 2 else ""
+        pages.append(f"<html><body>{menu}{shape.format(''.join(f'<p>{b}</p>' for b in blocks), 1)}{comments}{foot}</body></html>")
+    assert texts_of(spark, pages) == want
 
 
 def test_long_groups_and_nested_groups_are_folded():
