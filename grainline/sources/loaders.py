@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import Element, markdown_table, split_blocks
+from .formats import Styles, cell_text
 
 SCHEMA = "doc_id long, n long, modality string, extractor string, reason string, section string, text string, line_start long, line_end long"
 #: Archives beyond these are refused: entries, expanded bytes, expanded to packed ratio.
@@ -191,13 +192,16 @@ def load_docx(data: bytes) -> list[Element]:
 
 
 def load_xlsx(data: bytes) -> list[Element]:
-    """Each sheet's cached values as a table."""
+    """Each sheet's cached values as a table, numbers and dates as their formats show them."""
     archive = safe_archive(data)
     names = set(archive.namelist())
+    styles = Styles(archive.read("xl/styles.xml") if "xl/styles.xml" in names else None)
     shared = []
     if "xl/sharedStrings.xml" in names:
         shared = ["".join(t.text or "" for t in si.iter() if _local(t.tag) == "t") for si in ElementTree.fromstring(archive.read("xl/sharedStrings.xml"))]
-    sheets = [x.attrib for x in ElementTree.fromstring(archive.read("xl/workbook.xml")).iter() if _local(x.tag) == "sheet"]
+    workbook = ElementTree.fromstring(archive.read("xl/workbook.xml"))
+    sheets = [x.attrib for x in workbook.iter() if _local(x.tag) == "sheet"]
+    since_1904 = any(x.attrib.get("date1904") in ("1", "true") for x in workbook.iter() if _local(x.tag) == "workbookPr")
     targets = {}
     if "xl/_rels/workbook.xml.rels" in names:
         targets = {x.attrib["Id"]: x.attrib["Target"] for x in ElementTree.fromstring(archive.read("xl/_rels/workbook.xml.rels")).iter() if _local(x.tag) == "Relationship"}
@@ -223,6 +227,9 @@ def load_xlsx(data: bytes) -> list[Element]:
                 value = shared[int(value)]
             elif cell.attrib.get("t") == "inlineStr":
                 value = "".join(t.text or "" for t in cell.iter() if _local(t.tag) == "t")
+            else:
+                formula = next((f.text or "" for f in cell if _local(f.tag) == "f"), None)
+                value = cell_text(cell.attrib.get("t", "n"), value, formula, styles.code(cell.attrib.get("s")), since_1904)
             if value is not None:
                 grid[int(row), column] = value
         if grid:
