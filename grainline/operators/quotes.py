@@ -92,11 +92,13 @@ def occurrences(index: DataFrame, quotes: DataFrame) -> DataFrame:
     ``quotes``: quote_id, doc_id, quote. A quote is looked up by its rarest atom in
     its document; from each place of that, the other atoms are joined at the places
     where they have to stand. Frequent atoms, such as commas, are never candidates of
-    a quote that has a rarer one.
+    a quote that has a rarer one. Of the index, only atoms that a document's quotes have
+    are kept for the joins.
     """
     asked = _read_atoms(quotes.filter("quote IS NOT NULL").select(F.col("quote_id").alias("_key"), F.array("quote").alias("_texts")))
     asked = asked.select(F.col("_key").alias("quote_id"), F.col("place").alias("k"), "n", "atom", F.when(F.col("place") > 0, F.col("spaced")).alias("spaced"))
-    asked = asked.join(quotes.select("quote_id", "doc_id"), "quote_id")
+    asked = settle(asked.join(quotes.select("quote_id", "doc_id"), "quote_id"))
+    index = settle(index.join(asked.select("doc_id", "atom").distinct(), ["doc_id", "atom"], "left_semi"))
     known = asked.join(index.filter("nth = 0").select("doc_id", "atom", "tf"), ["doc_id", "atom"])
     rarest = known.groupBy("quote_id", "doc_id", "n").agg(F.min_by(F.struct("k", "atom"), F.struct("tf", "k")).alias("_r"), F.count("*").alias("_known"))
     anchors = rarest.filter(F.col("_known") == F.col("n")).select("quote_id", "doc_id", F.col("_r.k").alias("_k"), F.col("_r.atom").alias("atom"))
@@ -120,7 +122,7 @@ def quote_regions(regions: DataFrame, quotes: DataFrame) -> DataFrame:
     and has no regions; a null or empty one is 'missing_quote'. Of more than 256 regions
     the first are listed.
     """
-    found = occurrences(settle(page_index(regions)), quotes)
+    found = occurrences(page_index(regions), quotes)
     once = found.groupBy("quote_id", "doc_id", "n").agg(F.min("start").alias("_s"), F.max("start").alias("_t"), F.min_by(F.struct("first", "last"), "start").alias("_at"))
     once = once.filter(F.col("_t") < F.col("_s") + F.col("n"))
     reach = once.select("quote_id", "doc_id", F.explode(F.sequence("_at.first", "_at.last")).alias("region_no"))

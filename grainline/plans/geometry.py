@@ -87,10 +87,12 @@ LONG, SHORT, STACK, PART = 12, 4, 10, 3
 def visible_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections by headings as they look, within the sections of an outline, over elements made of documents' words."""
     docs = table(spark, sf_dir, "documents").select("doc_id", tokens(F.col("text")).alias("w"))
-    each = docs.filter(F.size("w") > 0).select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / LONG).cast("int"))).alias("i"))
-    i = F.col("i")
-    big, cap, lab = (i % 5 == 2) | (i % 15).isin(3, 13), i % 20 == 7, i % 30 == 4
-    raw = F.array_join(F.slice("w", i * LONG + 1, F.when(big, SHORT).otherwise(LONG)), " ")
+    big_at = lambda i: (i % 5 == 2) | (i % 15).isin(3, 13)
+    element = lambda i: F.struct(i.alias("i"), F.array_join(F.slice("w", i * LONG + 1, F.when(big_at(i), SHORT).otherwise(LONG)), " ").alias("raw"))
+    made = F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / LONG).cast("int")), element)
+    each = docs.filter(F.size("w") > 0).select("doc_id", F.explode(made).alias("_e")).select("doc_id", "_e.*")
+    i, raw = F.col("i"), F.col("raw")
+    big, cap, lab = big_at(i), i % 20 == 7, i % 30 == 4
     y0 = F.when(i % 15 == 3, i % STACK * 20 - 6).when(lab, 60).otherwise(i % STACK * 20).cast("double")
     elements = each.select(
         "doc_id", i.cast("long").alias("order_no"), F.when(cap, F.upper(F.replace(raw, F.lit("ß"), F.lit("ss")))).otherwise(raw).alias("text"), F.floor(i / STACK).cast("int").alias("page"), F.when(cap, 200.0).when(lab, 400.0).otherwise(20.0).alias("x0"),
