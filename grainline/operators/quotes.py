@@ -53,11 +53,13 @@ def atoms(texts: list[str]) -> dict[str, list]:
     left = np.concatenate(([False], near[:-1] & is_word[:-1]))[: len(words)]
     right = near & np.concatenate((is_word[1:], [False]))[: len(words)]
     spaced = np.concatenate(([True], low[1:] != high[:-1]))[: len(words)]
-    _, kind, counts = np.unique(np.array(words, object), return_inverse=True, return_counts=True) if words else ([], low, low)
+    numbers: dict[str, int] = {}
+    kind = np.array([numbers.setdefault(w, len(numbers)) for w in words], np.int64)
+    counts = np.bincount(kind)
     order = np.argsort(kind, kind="stable")
     nth = np.empty(len(words), np.int64)
     nth[order] = np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts)
-    size = {"n": np.full(len(words), len(words)), "tf": counts[kind] if words else low, "nth": nth}
+    size = {"n": np.full(len(words), len(words)), "tf": counts[kind], "nth": nth}
     return {"atom": words, "word": is_word, "spaced": spaced, "joined_left": left, "joined_right": right, "first": owner(low), "last": owner(high - 1)} | size
 
 
