@@ -46,12 +46,16 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 class Stored:
-    """A table written to the shared folder as Parquet, smaller than a checkpoint, until dropped."""
+    """A table written to the shared folder as Parquet, smaller than a checkpoint, until dropped.
 
-    def __init__(self, df: DataFrame):
+    ``most`` rows make a file at most: a writer holds a file's rows and a reader up to 4096 of a
+    file at once, so rows of megabytes need files of their own.
+    """
+
+    def __init__(self, df: DataFrame, most: int = 0):
         self.spark = df.sparkSession
         self.path = f"{shared_folder(self.spark)}/grainline-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        df.write.option("maxRecordsPerFile", most).parquet(self.path)
         self.df = self.spark.read.parquet(self.path)
 
     def drop(self) -> None:

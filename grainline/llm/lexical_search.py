@@ -40,6 +40,12 @@ def _ints(packed: bytes) -> np.ndarray:
     return np.frombuffer(packed, np.int32).astype(np.int64)
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Shards of a batch one at a time; of their lists only the terms are copied out of it."""
+    for i in range(batch.num_rows):
+        yield {name: value.as_buffer() if pa.types.is_binary(value.type) and name != "terms" else value.as_py() for name, value in ((n, batch.column(n)[i]) for n in batch.schema.names)}
+
+
 def shard_index(ids: list, texts: list[bytes]) -> dict:
     """The inverted index of one shard as a row of ``SHARD``.
 
@@ -131,9 +137,9 @@ def _count(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(shared.value.names), np.int64)
         for batch in batches:
-            for terms, dfs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                here, number = shared.value.found(terms)
-                total[number] += _ints(dfs)[here]
+            for row in _rows(batch):
+                here, number = shared.value.found(row["terms"])
+                total[number] += _ints(row["dfs"])[here]
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["term", "df"])
 
@@ -218,7 +224,7 @@ def _search(shared, k: int, kind: pa.DataType):
         block: Block = shared.value
         kept: list[list[tuple]] = [[] for _ in block.ids]
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 shard = Shard(row, block)
                 for q, terms in enumerate(block.terms):
                     least = kept[q][-1][0] if len(kept[q]) == k else 1
@@ -249,7 +255,7 @@ def search(index: DataFrame, items: DataFrame, k: int = TOP, id_col: str = "item
     best, parts = Window.partitionBy("_query").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last()), []
     for block in query_blocks(items, id_col, text_col, block_terms) if n else ():
         shared = spark.sparkContext.broadcast(block)
-        counted = index.select("terms", "dfs").mapInArrow(_count(shared), "term long, df long").groupBy("term").agg(F.sum("df")).collect()
+        counted = index.select("terms", "dfs").mapInArrow(frugal(_count(shared)), "term long, df long").groupBy("term").agg(F.sum("df")).collect()
         shared.unpersist()
         block.weigh(dict(map(tuple, counted)), n, total)
         weighed = spark.sparkContext.broadcast(block)
@@ -278,7 +284,7 @@ def ranked(docs: DataFrame, items: DataFrame, k: int = TOP) -> DataFrame:
     ranked once for each of its rows. Empty tables give no rows; other columns, of any
     name, aren't looked at.
     """
-    stored = Stored(build_index(docs))
+    stored = Stored(build_index(docs), most=1)
     found = search(stored.df, items, k)
     stored.drop()
     return found

@@ -83,3 +83,15 @@ def test_columns_of_any_name_and_text_ids(spark, make):
     items = spark.createDataFrame([("x", "alpha", 1)], "item_id string, text string, score int")
     found = S.ranked(make([(1, "alpha beta"), (2, "beta")]), items)
     assert [tuple(r)[:3] for r in found.collect()] == [("x", 1, 1)]
+
+
+def test_a_stored_shard_is_a_file_of_its_own(spark, make):
+    import glob
+
+    docs = make([(i, f"word{i} " * 30) for i in range(40)]).coalesce(1)
+    stored = S.Stored(S.build_index(docs, shard_bytes=500), most=1)
+    shards = stored.df.count()
+    assert shards > 5 and len(glob.glob(stored.path.removeprefix("file:") + "/part-*.parquet")) == shards
+    items = spark.createDataFrame([(1, "word7")], "item_id long, text string")
+    assert [r.doc_id for r in S.search(stored.df, items).collect()] == [7]
+    stored.drop()
