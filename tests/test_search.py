@@ -1,5 +1,7 @@
 """Tiles and blocks: how they are dealt out, sums over shared terms, and what is kept from tile to tile."""
 
+import inspect
+
 import numpy as np
 import pytest
 
@@ -68,3 +70,18 @@ def test_bare_alternatives_need_no_places(spark, monkeypatch):
     rows = [tuple(r) for r in cover_density.cover_density(corpus, queries, 3).orderBy("query_id", "lex_rank").collect()]
     assert sorted(asked[0]) == ["blue", "green"]
     assert rows == [(1, 4, 0.5, 1), (1, 9, 0.5, 2), (1, 14, 0.5, 3), (2, 0, 0.1, 1), (2, 1, 0.1, 2), (2, 2, 0.1, 3)]
+
+
+def test_tables_of_a_query_do_not_grow_with_the_chunks(spark):
+    from grainline.plans.registry import QUERIES
+
+    composites = inspect.getmodule(inspect.unwrap(QUERIES["retrieve_chunks"]))
+
+    asked = spark.range(0, 1200, 60).select(search.F.col("id").alias("query_id"), (search.F.col("id") % 100).alias("_class"))
+    found = composites._lists(asked, spark.range(8000).select(search.F.col("id").alias("chunk_id"))).collect()
+    most = composites.POOL + composites.K
+    for q in range(0, 1200, 60):
+        own = [r.chunk_id for r in sorted((r for r in found if r.query_id == q), key=lambda r: r.position)]
+        every = list(range(0, 8000, 20))
+        best = sorted(every, key=lambda c: (-((c * 7919 + q) % 100), c))
+        assert own == sorted({*every[:most], *best[:most]}) and len(own) <= 2 * most
