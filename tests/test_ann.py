@@ -70,3 +70,24 @@ def test_cached_answers_compare_whole_keys(same):
     block = lambda names: pa.RecordBatch.from_arrays([pa.array(range(len(names))), pa.array(range(len(names))), pa.array(names)], names=["a", "b", "c"])
     found = _same(block(["x", "y"]), block(["y", "z"] if same else ["q"]))
     assert found.tolist() == ([[False, True], [False, False]] if same else [[False, False]])
+
+
+def test_a_query_goes_to_a_part_once_and_keeps_its_best_there(spark):
+    draw = np.random.default_rng(5)
+    vectors = spark.createDataFrame([(i, draw.normal(size=6).tolist(), 0, i % 2, "private", "tenant", []) for i in range(3000)], VECTORS)
+    index = ann.build(vectors, lists=200)
+    some = search.F.array(*[search.F.lit(i) for i in range(200) if i % 5])
+    asked = spark.createDataFrame([(i, draw.normal(size=6).tolist(), 0, i % 2, "member") for i in range(30)], ASKED).withColumn("_now", some)
+    rows = ann._met(index.table.select("chunk_id", "vector", *ann.PERMISSIONS, "list_no"), asked, 10, 3000).collect()
+    probed = [r for r in index.table.filter("list_no % 5 <> 0").select("chunk_id", "owner").collect()]
+    hits, counts = [r for r in rows if r.chunk_id is not None], [r for r in rows if r.chunk_id is None]
+    parts = 4 * spark.sparkContext.defaultParallelism
+    # ten of each part, not of each list
+    assert len(hits) <= 30 * parts * 10 < 30 * 160 * 10 and len(counts) <= 30 * parts
+    for q in range(30):
+        assert sum(r.scored for r in counts if r.query_id == q) == len(probed)
+        assert sum(r.readable for r in counts if r.query_id == q) == sum(r.owner == q % 2 for r in probed)
+    truth = search.dense_topk(vectors.join(index.table.select("chunk_id", "list_no"), "chunk_id").filter("list_no % 5 <> 0"), asked, 10)
+    found = search.top(spark.createDataFrame(hits).withColumn("score", search.F.round("score", 12)), "score", 10, "dense_rank")
+    keep = ["query_id", "chunk_id", "score", "dense_rank"]
+    assert sorted(map(tuple, found.select(*keep).collect())) == sorted(map(tuple, truth.select(*keep).collect()))
