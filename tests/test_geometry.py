@@ -54,3 +54,16 @@ def test_headings_hold_over_pages_until_the_next(spark):
         (1, 0): ("heading", first), (1, 1): ("heading", first), (1, 2): (None, first), (1, 3): (None, first), (1, 4): (None, first), (1, 5): ("heading", costs), (1, 6): (None, costs), (1, 7): ("heading", two), (1, 8): ("heading", two),
         (1, 9): (None, two), (1, 10): (None, two), (1, 11): (None, two), (1, 12): ("heading", later), (1, 13): (None, later), (1, 100): (None, "Next"), (2, 0): (None, None),
     }
+
+
+def test_words_of_whole_pages_need_no_join(spark, sf):
+    from grainline.plans.registry import QUERIES
+
+    boxes = [(64.0, 0.0, 128.0, 64.0), (300.0, 300.0, 200.0, 200.0), (-10.0, -10.0, -5.0, -5.0)]
+    at = [(64.0, 64.0), (63.9, 10.0), (128.0, 0.0), (250.0, 250.0), (200.0, 300.0), (301.0, 250.0), (-5.0, -10.0), (-5.0, -4.0)]
+    kinds = "array<struct<x0:double,y0:double,x1:double,y1:double>>"
+    rows = spark.createDataFrame([([(x - 1, y - 1, x + 1, y + 1) for x, y in at], boxes), ([(0.0, 0.0, 2.0, 2.0)], []), ([(0.0, 0.0, 2.0, 2.0)], None)], f"words {kinds}, boxes {kinds}")
+    free = [[(w.x0 + 1, w.y0 + 1) for w in r.f] for r in rows.select(G.free_of(rows.words, rows.boxes).alias("f")).collect()]
+    assert free == [[at[1], at[5], at[7]], [(1.0, 1.0)], [(1.0, 1.0)]]
+    plan = QUERIES["words_outside_tables"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
