@@ -130,3 +130,23 @@ def test_csv_keeps_text():
 
 def test_refused_requests_leave_no_trace():
     assert jobs.admit([0, 1, 2, 59, 60.5, 61.5], 2, 60.0)[0] == [True, True, False, False, True, True]
+
+
+def test_elements_leave_a_task_piece_by_piece(spark):
+    import pyarrow as pa
+
+    from grainline.sources import loaders
+
+    class Frame:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    page = b"<p>a</p>" * 400 + b"<p>" + b"x" * 1000 + b"</p>"
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array(["p.html"] * 100), pa.array([page] * 100, pa.binary())], names=["doc_id", "filename", "content"])
+    found = list(loaders.extract(Frame())(iter([batch])))
+    # as many as are held and those of one file, not those of the whole batch
+    assert sum(b.num_rows for b in found) == 40_100 and max(b.num_rows for b in found) <= loaders.HELD_ROWS + 401
+    assert [b.column(1)[0].as_py() for b in found if b.num_rows] == [0] * len([b for b in found if b.num_rows])
