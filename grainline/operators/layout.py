@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from statistics import median
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,13 +94,35 @@ def read_page(items: list[dict], width: float) -> list[dict]:
 
 
 def reading_order(elements: DataFrame) -> DataFrame:
-    """``page, element_id, x0, top, x1, bottom, n_words, page_width`` -> each element's place on its page; a task holds a page."""
+    """``page, element_id, x0, top, x1, bottom, n_words, page_width`` -> each element's place on its page; a task holds a page
+    and a batch, not a frame for each page."""
+    names = ["page", "element_id", "x0", "top", "x1", "bottom", "n_words", "page_width"]
 
-    def order(frame: pd.DataFrame) -> pd.DataFrame:
-        found = read_page(frame.to_dict("records"), float(frame["page_width"].iloc[0]))
-        return pd.DataFrame({"page": [x["page"] for x in found], "element_id": [x["element_id"] for x in found], "place": range(len(found))})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, held = None, []
 
-    return elements.groupBy("page").applyInPandas(order, "page long, element_id long, place long")
+        def done() -> list[tuple]:
+            return [(page, x["element_id"], place) for place, x in enumerate(read_page(held, held[0]["page_width"]))] if held else []
+
+        def told(rows: list[tuple]) -> pa.RecordBatch:
+            columns = zip(*rows, strict=True) if rows else [[]] * 3
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["page", "element_id", "place"])
+
+        for batch in batches:
+            rows = []
+            ids = [batch.column(i).to_pylist() for i in range(2)]
+            # absent numbers are NaN, which no comparison holds for
+            numbers = [batch.column(i).to_numpy(zero_copy_only=False).astype(float).tolist() for i in range(2, len(names))]
+            for own in zip(*ids, *numbers, strict=True):
+                if own[0] != page:
+                    rows += done()
+                    page, held = own[0], []
+                held.append(dict(zip(names, own, strict=True)))
+            yield told(rows)
+        yield told(done())
+
+    rows = elements.select(*[F.col(c).cast("long") for c in names[:2]], *[F.col(c).cast("double") for c in names[2:]])
+    return rows.repartition("page").sortWithinPartitions("page", "element_id").mapInArrow(run, "page long, element_id long, place long")
 
 
 # Words of a heading and of body text, sizes of headings beside body text (plain and bold), shares
