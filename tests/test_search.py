@@ -85,3 +85,19 @@ def test_tables_of_a_query_do_not_grow_with_the_chunks(spark):
         every = list(range(0, 8000, 20))
         best = sorted(every, key=lambda c: (-((c * 7919 + q) % 100), c))
         assert own == sorted({*every[:most], *best[:most]}) and len(own) <= 2 * most
+
+
+def test_a_first_tile_is_cut_before_it_is_laid_out():
+    import tracemalloc
+
+    import numpy as np
+
+    from grainline.operators import search
+
+    scores = np.random.default_rng(1).normal(size=(200, 2000)).round(2)
+    bar, want = search.Bar(200, 3), search.best_places(scores, 3)
+    tracemalloc.start()
+    row, at = bar.places(scores)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(zip(row, at, strict=True)) == sorted(zip(*want, strict=True)) and peak < 4 * scores.nbytes
