@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bytetext import LOWER, SPACE, blocks, byte_set, gram_hashes, mix64, span_hashes, word_bounds
+from .bytetext import LOWER, SPACE, blocks, gram_hashes, mix64, span_hashes, word_bounds
 from .common import Stored, frugal, partitions
 
 #: Lines are sets of words or of word pairs (of their only word, if one), alike from NUM / DEN on.
@@ -28,7 +28,8 @@ NEED_BITS = 1 << 26
 KEPT = 3
 #: Records of a bucket that are looked for, and pairs held before they are cut to KEPT.
 BUCKET, HELD = 1_500_000, 4_000_000
-BREAK = byte_set(b"\n")
+#: Pairs of lines in doubt that leave a task at once.
+TOLD = 100_000
 LOWER_TABLE = LOWER.tobytes()
 
 
@@ -37,15 +38,24 @@ def required(total: np.ndarray) -> np.ndarray:
     return -(-NUM * total // (NUM + DEN))
 
 
+def line_cuts(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, number and first byte of each line of a block."""
+    breaks = np.flatnonzero(data == 10)
+    row = np.concatenate((np.arange(len(offsets) - 1), np.searchsorted(offsets, breaks, "right") - 1))
+    starts = np.concatenate((offsets[:-1], breaks + 1))
+    order = np.lexsort((starts, row))
+    row, starts = row[order], starts[order]
+    new = np.concatenate(([True], row[1:] != row[:-1]))
+    return row, np.arange(len(row)) - np.maximum.accumulate(np.where(new, np.arange(len(row)), 0)), starts
+
+
 def line_words(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, ...]:
     """Of a block: row and line number of each line with words, its first words (n + 1), and all word hashes."""
     starts, ends, _ = word_bounds(offsets, data, SPACE)
-    breaks = np.concatenate(([0], np.cumsum(BREAK[data])))
-    row = np.searchsorted(offsets, starts, "right") - 1
-    line = breaks[starts] - breaks[offsets[row]]
-    new = np.concatenate(([True], (row[1:] != row[:-1]) | (line[1:] != line[:-1])))[: len(starts)]
-    first = np.concatenate((np.flatnonzero(new), [len(starts)]))
-    return row[first[:-1]], line[first[:-1]], first, span_hashes(data, starts, ends)
+    row, line, cuts = line_cuts(offsets, data)
+    first = np.append(np.searchsorted(starts, cuts), len(starts))
+    held = np.flatnonzero(np.diff(first))
+    return row[held], line[held], np.append(first[held], len(starts)), span_hashes(data, starts, ends)
 
 
 def line_tokens(words: np.ndarray, first: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -187,8 +197,13 @@ def _deal(shared, gram: int, buckets: int):
                 sizes = np.bincount(which, minlength=len(row))
                 begin = np.cumsum(sizes) - sizes
                 hashed = mix64(grams ^ np.uint64(5))
-                parity = np.stack([np.bitwise_xor.reduceat(np.uint64(1) << (hashed << np.uint64(6 * i) >> np.uint64(58)), begin) for i in range(3)])
-                parity[1:, sizes < LONG] = 0
+                parity = np.zeros((3, len(sizes)), np.uint64)
+                parity[0] = np.bitwise_xor.reduceat(np.uint64(1) << (hashed >> np.uint64(58)), begin)
+                long = sizes >= LONG
+                if long.any():
+                    hashed, starts = hashed[long[which]], np.cumsum(sizes[long]) - sizes[long]
+                    for i in (1, 2):
+                        parity[i, long] = np.bitwise_xor.reduceat(np.uint64(1) << (hashed << np.uint64(6 * i) >> np.uint64(58)), starts)
                 dig = np.add.reduceat(mix64(grams ^ np.uint64(17)), begin)
                 key, owner, place = _records(grams, which, level, sizes, dig)
                 parts.append((docs[row + first_row], line, sizes, dig, parity, key, owner + shift, place))
@@ -253,7 +268,13 @@ def _likest(held: list[tuple[np.ndarray, ...]]) -> list[tuple[np.ndarray, ...]]:
 def _once(records: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of records of a key with equal sets the earliest, all in order of key and size; and the lines of the others."""
     key, parity, _, _, tail, doc, size = records
-    order = np.lexsort((tail & 0xFFFFFFFF, doc, tail >> 32, parity, size >> 32, key))
+    # one sort by key and size; only where these are the same, one by all the rest
+    both = (key << 16) + np.minimum(size >> 32, 0xFFFF)
+    order = np.argsort(both)
+    same = both[order][1:] == both[order][:-1]
+    tied = np.flatnonzero(np.append(same, False) | np.append(False, same))
+    own = order[tied]
+    order[tied] = own[np.lexsort((tail[own] & 0xFFFFFFFF, doc[own], tail[own] >> 32, parity[own], size[own] >> 32, both[own]))]
     records = records[:, order]
     key, parity, _, _, tail, doc, size = records
     same = np.zeros(len(order), bool)
@@ -264,43 +285,45 @@ def _once(records: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return records[:, ~same], doc[gone], line[gone]
 
 
-def _pairs(records: np.ndarray, exact: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """Pairs of a line and an earlier one that may be alike, of a bucket's records as ``_once`` orders them.
+def _close(records: np.ndarray, at: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Those of pairs of records that may be alike, and how many bits they are apart.
 
-    Records of a key are in order of size, so that the length filter ends the search.
     With the positional filter goes one of parities: each token that only one of two
     sets has turns one of 64 bits (of each of three words in LONG sets), so more bits
-    than the sets may differ in tell them apart. ``exact`` tells the lines of which all pairs are wanted.
+    than the sets may differ in tell them apart.
+    """
+    parity, doc, line = records[1:4].view(np.uint64), records[5], records[4] & 0xFFFFFFFF
+    left, right = records[6, at], records[6, other]
+    total = (left >> 32) + (right >> 32)
+    need = required(total)
+    fits = np.minimum((left >> 32) - ((left >> 1) & 0x7FFFFFFF), (right >> 32) - ((right >> 1) & 0x7FFFFFFF)) >= need
+    a, b, limit = at[fits], other[fits], (total - 2 * need)[fits]
+    apart = np.bitwise_count(parity[0, a] ^ parity[0, b]).astype(np.int64)
+    close = apart <= limit
+    a, b, limit, apart = a[close], b[close], limit[close], apart[close]
+    long = np.flatnonzero(np.minimum(records[6, a], records[6, b]) >> 32 >= LONG)
+    far = apart.copy()
+    far[long] = np.bitwise_count(parity[:, a[long]] ^ parity[:, b[long]]).max(axis=0)
+    close = (far <= limit) & ((doc[a] != doc[b]) | (line[a] != line[b]))
+    return a[close], b[close], apart[close]
+
+
+def _pairs(records: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Pairs of a line and an earlier one that may be alike, of a bucket's records as ``_once`` orders them.
+
+    Records of a key are in order of size, so that the length filter ends the search.
     """
-    key, parity, doc, line = records[0], records[1:4].view(np.uint64), records[5], records[4] & 0xFFFFFFFF
-    place, size = (records[6] >> 1) & 0x7FFFFFFF, records[6] >> 32
+    key, doc, line, size = records[0], records[5], records[4] & 0xFFFFFFFF, records[6] >> 32
     at, step, held, n_held = np.arange(len(key)), 1, [], 0
     while len(at):
         at = at[at >= step]
-        other = at - step
-        near = (key[at] == key[other]) & (size[other] * DEN >= size[at] * NUM)
-        at, other = at[near], other[near]
-        total = size[at] + size[other]
-        need = required(total)
-        fits = np.minimum(size[at] - place[at], size[other] - place[other]) >= need
-        fits &= (doc[at] != doc[other]) | (line[at] != line[other])
-        a, b, limit = at[fits], other[fits], (total - 2 * need)[fits]
-        apart = np.bitwise_count(parity[0, a] ^ parity[0, b]).astype(np.int64)
-        close = apart <= limit
-        a, b, limit, apart = a[close], b[close], limit[close], apart[close]
-        both = np.minimum(size[a], size[b]) >= LONG
-        far = np.where(both, np.bitwise_count(parity[:, a] ^ parity[:, b]).max(axis=0), apart)
-        close = far <= limit
-        a, b, apart = a[close], b[close], apart[close]
+        near = (key[at] == key[at - step]) & (size[at - step] * DEN >= size[at] * NUM)
+        at = at[near]
+        a, b, apart = _close(records, at, at - step)
         swap = (doc[a] < doc[b]) | ((doc[a] == doc[b]) & (line[a] < line[b]))
         late, early = np.where(swap, b, a), np.where(swap, a, b)
         step += 1
-        if exact is not None:
-            wanted = _needs(exact, doc[late], line[late])
-            late, early = late[wanted], early[wanted]
-            if len(late):
-                yield _found(doc[late], line[late], doc[early], line[early])
-        elif len(late):
+        if len(late):
             held.append((late, early, apart, key[late], np.zeros(len(late), bool)))
             n_held += len(late)
             if n_held > HELD:
@@ -326,7 +349,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if held:
                     held, out = fold()
                     yield from out
-                    yield from _pairs(held[0], None)
+                    yield from _pairs(held[0])
                 open_bucket, held, n_held = bucket, [], 0
             if n < 0:
                 yield _found(*unpack(blob.as_buffer(), 2, -n))
@@ -340,16 +363,44 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if held:
         held, out = fold()
         yield from out
-        yield from _pairs(held[0], None)
+        yield from _pairs(held[0])
+
+
+def _pairs_of(records: np.ndarray, asking: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of the ``asking`` records with earlier lines: only these look about in their keys, either way from their size."""
+    key, doc, line, size = records[0], records[5], records[4] & 0xFFFFFFFF, records[6] >> 32
+    for way in (-1, 1):
+        at, step = asking, 1
+        while len(at):
+            at = at[(at + way * step >= 0) & (at + way * step < len(key))]
+            other = at + way * step
+            small, large = (other, at) if way < 0 else (at, other)
+            near = (key[at] == key[other]) & (size[small] * DEN >= size[large] * NUM)
+            at, other = at[near], other[near]
+            step += 1
+            earlier = (doc[other] < doc[at]) | ((doc[other] == doc[at]) & (line[other] < line[at]))
+            late, early, _ = _close(records, at[earlier], other[earlier])
+            if len(late):
+                yield late, early
 
 
 def _all_pairs(exact):
     """(_n, _blob) of keys with more pairs -> FOUND, all pairs of the lines that ``exact`` tells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n_held = [], 0
         for batch in batches:
             for n, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                yield from _pairs(unpack(blob.as_buffer(), COLUMNS, n), exact.value)
+                records = unpack(blob.as_buffer(), COLUMNS, n)
+                doc, line = records[5], records[4] & 0xFFFFFFFF
+                for late, early in _pairs_of(records, np.flatnonzero(_needs(exact.value, doc, line))):
+                    held.append((doc[late], line[late], doc[early], line[early]))
+                    n_held += len(late)
+                    if n_held >= TOLD:
+                        yield _found(*map(np.concatenate, zip(*held, strict=True)))
+                        held, n_held = [], 0
+        if held:
+            yield _found(*map(np.concatenate, zip(*held, strict=True)))
 
     return run
 
@@ -385,16 +436,10 @@ def _lines(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs = batch.column(0).to_numpy(zero_copy_only=False)
-            for first, end, offsets, data in blocks(batch.column(1)):
-                cuts = np.flatnonzero(data == 10)
-                row = np.concatenate((np.arange(end - first), np.searchsorted(offsets, cuts, "right") - 1))
-                starts = np.concatenate((offsets[:-1], cuts + 1))
-                order = np.lexsort((starts, row))
-                row, starts = row[order], starts[order]
-                new = np.concatenate(([True], row[1:] != row[:-1]))
-                line = np.arange(len(row)) - np.maximum.accumulate(np.where(new, np.arange(len(row)), 0))
+            for first, _, offsets, data in blocks(batch.column(1)):
+                row, line, starts = line_cuts(offsets, data)
                 ends = np.append(starts[1:] - 1, offsets[-1])
-                ends = np.where(np.append(new[1:], True), offsets[row + 1], ends)
+                ends = np.where(np.append(row[1:] != row[:-1], True), offsets[row + 1], ends)
                 hit = np.flatnonzero(_needs(shared.value, docs[first + row], line))
                 raw = data.tobytes()
                 texts = [raw[a:b] for a, b in zip(starts[hit].tolist(), ends[hit].tolist(), strict=True)]

@@ -249,6 +249,28 @@ def test_line_keys_miss_no_like_pair(monkeypatch, frequent, tried, level):
     assert len(like) > 100
 
 
+def test_only_lines_in_doubt_look_about_in_a_hot_key(monkeypatch):
+    """Of a key that 400 lines share, the two in doubt meet the others: 400 pairs each are weighed, not 400 * 399 / 2."""
+    import numpy as np
+    import pyarrow as pa
+
+    n, size, weighed = 400, 20, []
+    doc, line, zero = np.arange(n)[::-1], np.zeros(n, np.int64), np.zeros(n, np.int64)
+    records = np.stack([zero + 7, zero, zero, zero, (doc << 32) | line, doc, zero + (size << 32)])
+    table = np.zeros(line_dedup.NEED_BITS // 64, np.uint64)
+    for d in (399, 200):
+        at = int(line_dedup._line_hash(np.array([d]), np.array([0]))[0] & np.uint64(line_dedup.NEED_BITS - 1))
+        table[at >> 6] |= np.uint64(1) << np.uint64(at & 63)
+    required = line_dedup.required
+    monkeypatch.setattr(line_dedup, "required", lambda total: weighed.append(len(total)) or required(total))
+    aside = pa.RecordBatch.from_arrays([pa.array([n]), pa.array([line_dedup.pack(records)])], names=["_n", "_blob"])
+    found = list(line_dedup._all_pairs(Table(table))(iter([aside])))
+    pairs = [(r["_doc"], r["_odoc"]) for b in found for r in b.to_pylist()]
+    assert sorted(pairs) == sorted((late, early) for late in (399, 200) for early in range(late))
+    assert sum(weighed) <= 2 * n
+    assert len(found) == 1
+
+
 def test_substring_dedup_of_hot_hashes(make):
     """String by string instead of slice by slice: the same result."""
     rng = random.Random(8)
