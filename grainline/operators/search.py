@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,8 @@ NEAR = 1e-8
 TEXT_BLOCK, LAID_OUT = 512, 256
 #: Scores beyond a bar, for each of its places, from which on they aren't looked at one by one.
 MANY = 4
-#: Vectors of one tile; what a task multiplies with a block of queries at once.
-TILE = 4096
+#: Rows of one tile, which meets a block of queries; scores of vectors that a task holds at once.
+TILE, SCORES = 4096, 1 << 19
 
 
 def numbers(column: pa.Array, n: int) -> np.ndarray:
@@ -98,8 +99,32 @@ class Bar:
         return row[kept], at[kept]
 
 
-def _best(corpus: DataFrame, queries: DataFrame, k: int, score, may, block: int, key: Column | None = None, keys: Column | None = None) -> DataFrame:
-    """``query_id, chunk_id, score`` of what may be among a query's best k, by ``score(tile, block)``, a
+def _meeting(k: int, score, may, at_once: int | None):
+    """(_tile, _block) -> what may be among the best k, as ``_best`` says; a batch goes before the next is read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bars: dict[bytes, Bar] = {}
+
+        def meet(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            for left, right in zip(batch.column(0), batch.column(1), strict=True):
+                tile, block = opened(left), opened(right)
+                chunk, allowed, scored = tile.column(0).to_numpy(zero_copy_only=False), may(tile, block), score(tile)
+                step = block.num_rows if at_once is None else max(1, at_once // TILE)
+                for low in range(0, block.num_rows, step):
+                    asked = block.slice(low, step)
+                    query, scores = asked.column(0).to_numpy(zero_copy_only=False), scored(asked)
+                    if allowed is not True:
+                        scores[~allowed[low : low + step]] = -np.inf
+                    row, at = bars.setdefault(query.tobytes(), Bar(len(query), k)).places(scores)
+                    yield pa.RecordBatch.from_arrays([pa.array(query[row]), pa.array(chunk[at]), pa.array(scores[row, at])], names=["query_id", "chunk_id", "score"])
+
+        return chain.from_iterable(map(meet, batches))
+
+    return run
+
+
+def _best(corpus: DataFrame, queries: DataFrame, k: int, score, may, block: int, key: Column | None = None, keys: Column | None = None, at_once: int | None = None) -> DataFrame:
+    """``query_id, chunk_id, score`` of what may be among a query's best k, by ``score(tile)(block)``, a
     matrix of queries and rows with -inf for what doesn't match.
 
     ``corpus`` begins with chunk_id, ``queries`` with query_id. Rows in tiles of one ``key`` meet
@@ -108,7 +133,7 @@ def _best(corpus: DataFrame, queries: DataFrame, k: int, score, may, block: int,
     parts, each with all blocks of the key, so that few keys don't mean few tasks. ``may(tile,
     block)`` tells what each query may see (True for all) before the best are chosen, and only
     those are shuffled; a task keeps a query's bar from tile to tile. A key only routes: what may be
-    seen is for ``may`` to tell.
+    seen is for ``may`` to tell. With ``at_once``, a block is taken by as many queries as have so many scores with a tile.
     """
     cores = corpus.sparkSession.sparkContext.defaultParallelism
     dealt = lambda rows, part: rows.withColumn("_part", part).repartition(4 * cores, "_key", "_part")
@@ -120,24 +145,12 @@ def _best(corpus: DataFrame, queries: DataFrame, k: int, score, may, block: int,
     tiles = dealt(tiles, F.pmod(F.xxhash64("_tile"), F.lit(parts)).cast("int"))
     met = tiles.join(dealt(blocks, F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))), ["_key", "_part"]).select("_tile", "_block")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bars: dict[bytes, Bar] = {}
-        for batch in batches:
-            for left, right in zip(batch.column(0), batch.column(1), strict=True):
-                tile, asked = opened(left), opened(right)
-                chunk, query = (t.column(0).to_numpy(zero_copy_only=False) for t in (tile, asked))
-                scores = score(tile, asked)
-                allowed = may(tile, asked)
-                if allowed is not True:
-                    scores[~allowed] = -np.inf
-                row, at = bars.setdefault(query.tobytes(), Bar(len(query), k)).places(scores)
-                yield pa.RecordBatch.from_arrays([pa.array(query[row]), pa.array(chunk[at]), pa.array(scores[row, at])], names=["query_id", "chunk_id", "score"])
-
-    return met.mapInArrow(run, "query_id long, chunk_id long, score double")
+    return met.mapInArrow(_meeting(k, score, may, at_once), "query_id long, chunk_id long, score double")
 
 
-def cosines(tile: pa.RecordBatch, block: pa.RecordBatch) -> np.ndarray:
-    return numbers(block.column(1), block.num_rows) @ numbers(tile.column(1), tile.num_rows).T
+def cosines(tile: pa.RecordBatch) -> Callable[[pa.RecordBatch], np.ndarray]:
+    rows = numbers(tile.column(1), tile.num_rows).T
+    return lambda block: numbers(block.column(1), block.num_rows) @ rows
 
 
 def nearest(corpus: DataFrame, queries: DataFrame, k: int, may, key: Column | None = None, keys: Column | None = None) -> DataFrame:
@@ -147,7 +160,7 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int, may, key: Column | No
     follows them is for ``may``; ``key`` and ``keys`` as in ``_best``.
     """
 
-    found = _best(corpus, queries, k, cosines, may, QUERY_BLOCK, key, keys)
+    found = _best(corpus, queries, k, cosines, may, QUERY_BLOCK, key, keys, SCORES)
     return top(found.withColumn("score", F.round("score", 12)), "score", k, "dense_rank")
 
 
@@ -237,7 +250,7 @@ def by_terms(corpus: DataFrame, queries: DataFrame, k: int, access: bool) -> Dat
     """
     own, asked = (["tenant", "owner", "visibility", "scope", "acl"], ["q_tenant", "q_user", "q_role"]) if access else ([], [])
     routes = (tenant_key(), tenant_keys()) if access else ()
-    return _best(corpus.select("chunk_id", "terms", *own), queries.select("query_id", "terms", *asked), k, _lexical, may_read if access else lambda tile, block: True, TEXT_BLOCK, *routes)
+    return _best(corpus.select("chunk_id", "terms", *own), queries.select("query_id", "terms", *asked), k, lambda tile: lambda block: _lexical(tile, block), may_read if access else lambda tile, block: True, TEXT_BLOCK, *routes)
 
 
 def bm25(corpus: DataFrame, queries: DataFrame, k: int, access: bool = False) -> DataFrame:

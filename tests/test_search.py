@@ -101,3 +101,46 @@ def test_a_first_tile_is_cut_before_it_is_laid_out():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert sorted(zip(row, at, strict=True)) == sorted(zip(*want, strict=True)) and peak < 4 * scores.nbytes
+
+
+def test_a_block_meets_a_tile_by_parts_and_a_batch_goes_before_the_next():
+    import weakref
+
+    import numpy as np
+    import pyarrow as pa
+
+    from grainline.operators import search
+
+    rng = np.random.default_rng(2)
+    vectors, asked = rng.normal(size=(300, 8)), rng.normal(size=(100, 8))
+
+    def blob(ids, rows):
+        sink = pa.BufferOutputStream()
+        batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(rows.tolist(), pa.list_(pa.float64()))], names=["id", "v"])
+        with pa.ipc.new_stream(sink, batch.schema) as writer:
+            writer.write_batch(batch)
+        return sink.getvalue().to_pybytes()
+
+    sizes, earlier, kept = [], [], []
+
+    def score(tile):
+        scored = search.cosines(tile)
+        return lambda block: sizes.append(block.num_rows) or scored(block)
+
+    def batches():
+        for low in range(0, 300, 100):
+            kept.extend(w for w in earlier if w() is not None)
+            batch = pa.RecordBatch.from_arrays([pa.array([blob(np.arange(low, low + 100), vectors[low : low + 100])]), pa.array([blob(np.arange(100), asked)])], names=["_tile", "_block"])
+            earlier.append(weakref.ref(batch))
+            yield batch
+            del batch
+
+    may = lambda tile, block: np.add.outer(np.arange(block.num_rows), tile.column(0).to_numpy()) % 3 > 0
+    rows = [r for b in search._meeting(3, score, may, 16 * search.TILE)(batches()) for r in b.to_pylist()]
+    assert max(sizes) == 16 and sum(sizes) == 300 and not kept
+    exact = search.numbers(pa.array(asked.tolist()), 100) @ search.numbers(pa.array(vectors.tolist()), 300).T
+    for q in range(100):
+        seen = [c for c in range(300) if (q + c) % 3 > 0]
+        best = sorted(seen, key=lambda c: -exact[q, c])[:3]
+        own = sorted((r for r in rows if r["query_id"] == q), key=lambda r: -r["score"])[:3]
+        assert [r["chunk_id"] for r in own] == best
