@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 from statistics import median
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words of a line begin at most so far below its first word; a wider gap between words parts a line.
@@ -130,14 +132,9 @@ def reading_order(elements: DataFrame) -> DataFrame:
 HEADING_WORDS, BODY_WORDS, LARGER, LARGER_BOLD = 18, 10, 1.08, 1.05
 HEADING_LEFT, MAJOR_LEFT, GAP, GAP_LINES, MAJOR_LETTERS = 0.65, 0.25, 8.0, 0.75, 4
 SECTION = "order_no long, block_type string, section_path string, section_source string"
-
-
-def _may_head() -> Column:
-    """Whether an element looks like a heading: short, without marks of a sentence or list, larger than body text, not far right."""
-    text, words = F.trim("text"), F.size(F.filter(F.split(F.trim("text"), r"\s+"), lambda w: w != ""))
-    short = words.between(1, HEADING_WORDS) & ~text.rlike(r"^[●•▪*-]\s") & (F.regexp_count(text, F.lit(",")) < 2) & ~text.contains(":")
-    styled = F.coalesce(F.col("layout_label") == "title", F.lit(False)) | ((F.col("body") > 0) & (F.coalesce("font_size", F.lit(0.0)) >= F.col("body") * F.when(F.col("font_bold"), LARGER_BOLD).otherwise(LARGER)))
-    return F.coalesce((F.col("extractor") == "pdf_text") & short & styled & ~text.rlike(r"[.:;!?]$") & (F.col("x0") < F.col("page_width") * HEADING_LEFT), F.lit(False))
+# Texts of so many words; of those shaped like headings none has a mark of a list, two commas, a colon or the end of a sentence.
+LONG_TEXT = rf"^\s*+(?:\S++\s++){{{BODY_WORDS - 1}}}\S"
+SHORT_TEXT = rf"^(?=\s*+\S++(?:\s++\S++){{0,{HEADING_WORDS - 1}}}+\s*+\z)(?![●•▪*-]\s)[^:,]*+(?:,[^:,]*+)?+(?<![.;!?](?:\r\n|[\n\r\x85\u2028\u2029])?)\z"
 
 
 def visible_sections(elements: DataFrame) -> DataFrame:
@@ -149,69 +146,138 @@ def visible_sections(elements: DataFrame) -> DataFrame:
     together form one heading, with labels at their right; it holds for what follows, over
     pages too, until the next one or another outline section. A heading in capitals that is
     set in stands above those after it. What heads an element is known from the elements
-    before it alone, so they are folded in order; a task holds one heading.
+    before it alone, so they are folded in order; a task holds one heading and a batch.
+
+    Elements are read and shuffled once: those of body text also send their sizes, as rows of
+    their own that sort before the elements of their document.
     """
-    body = elements.filter((F.col("extractor") == "pdf_text") & (F.col("font_size") > 0) & (F.size(F.filter(F.split(F.trim("text"), r"\s+"), lambda w: w != "")) >= BODY_WORDS))
-    body = body.groupBy("doc_id").agg(F.percentile("font_size", 0.5).alias("body"))
-    shown = elements.filter(~F.coalesce("omission", F.lit(False))).join(body, "doc_id", "left").withColumn("body", F.coalesce("body", F.lit(0.0)))
-    letters = F.regexp_replace(F.element_at(F.split(F.trim("text"), r"\(", 2), 1), r"[^\p{L}]", "")
-    capital = (letters == F.upper(letters)) & (letters != F.lower(letters)) & (F.length(letters) >= MAJOR_LETTERS) & (F.col("x0") > F.col("page_width") * MAJOR_LEFT)
-    rows = shown.select("doc_id", "order_no", F.trim("text").alias("text"), "page", "x0", "y0", "y1", F.coalesce(F.col("x0") > F.col("page_width") * HEADING_LEFT, F.lit(False)).alias("right"), "section_path", _may_head().alias("heads"), F.coalesce(capital, F.lit(False)).alias("major"))
+    c = F.col
+    at = elements.select(
+        c("doc_id").cast("long"), c("order_no").cast("long"), F.trim("text").alias("text"), "page", c("y0").cast("double"), c("y1").cast("double"), "section_path",
+        F.nanvl(c("font_size").cast("double"), F.lit(None)).alias("size"), F.coalesce(c("omission"), F.lit(False)).alias("omission"), (c("extractor") == "pdf_text").alias("printed"),
+        F.when(F.coalesce(c("layout_label") == "title", F.lit(False)), 0.0).when(c("font_bold"), LARGER_BOLD).otherwise(LARGER).alias("larger"),
+        (c("x0") < c("page_width") * HEADING_LEFT).alias("left"), F.coalesce(c("x0") > c("page_width") * HEADING_LEFT, F.lit(False)).alias("right"), (c("x0") > c("page_width") * MAJOR_LEFT).alias("inset"),
+    )
+    # shaped like a heading: short, without marks of a sentence or list, not far right; its size is judged when that of body text is known
+    shaped = F.coalesce(c("printed") & c("left") & c("text").rlike(SHORT_TEXT), F.lit(False))
+    sized = F.coalesce(c("doc_id").isNotNull() & c("printed") & (c("size") > 0) & c("text").rlike(LONG_TEXT), F.lit(False))
+    at = at.withColumn("shaped", shaped).withColumn("letters", F.when(c("shaped") & c("inset"), F.regexp_replace(F.substring_index("text", "(", 1), r"[^\p{L}]", "")))
+    major = F.coalesce((F.length("letters") >= MAJOR_LETTERS) & (c("letters") == F.upper("letters")) & (c("letters") != F.lower("letters")), F.lit(False))
+    own = {
+        "order_no": c("order_no"), "page": c("page"), "y0": c("y0"), "y1": c("y1"), "right": c("right"), "section_path": c("section_path"), "text": F.when(c("shaped"), c("text")),
+        "larger": F.when(c("shaped"), c("larger")), "size": F.coalesce("size", F.lit(0.0)), "major": major,
+    }
+    nothing = F.lit(None)
+    element = F.struct(F.lit(1).alias("kind"), *[v.alias(k) for k, v in own.items()])
+    size = F.struct(F.lit(0).alias("kind"), *[(c("size") if k == "size" else nothing.cast(at.select(v).schema[0].dataType)).alias(k) for k, v in own.items()])
+    both = F.when(c("omission") & sized, F.array(size)).when(c("omission"), nothing).when(sized, F.array(size, element)).otherwise(F.array(element))
+    # outer, as Spark would otherwise work out the rows of an element a second time, to see whether there are any
+    rows = at.select("doc_id", F.inline_outer(both)).filter(c("kind").isNotNull())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fold = _Sections()
-        for frame in batches:
-            for e in frame.itertuples(index=False):
-                fold.take(e)
-            yield pd.DataFrame(fold.given(), columns=["doc_id", "order_no", "block_type", "section_path", "section_source"])
-        fold.close()
-        yield pd.DataFrame(fold.given(), columns=["doc_id", "order_no", "block_type", "section_path", "section_source"])
+        for batch in batches:
+            yield fold.take(batch)
+        yield fold.close()
 
-    return rows.repartition("doc_id").sortWithinPartitions("doc_id", "order_no").mapInPandas(run, f"doc_id long, {SECTION}")
+    return rows.repartition("doc_id").sortWithinPartitions("doc_id", "kind", "order_no").mapInArrow(run, f"doc_id long, {SECTION}")
 
 
 class _Sections:
-    """The open heading with the elements that wait for it, and the section it will give way to."""
+    """The fold over sorted batches: sizes of the document at hand, the section at hand, and the rows of a heading that may go on."""
 
     def __init__(self):
+        self.doc, self.sizes, self.counts = None, np.empty(0), np.empty(0, np.int64)
         self.where, self.above, self.section = None, "", ""
-        self.lines: list[str] = []
-        self.waiting: list = []
-        self.out: list[tuple] = []
-
-    def given(self) -> list[tuple]:
-        out, self.out = self.out, []
-        return out
-
-    def _tell(self, e, heads: bool) -> None:
-        outline = e.section_path if isinstance(e.section_path, str) else ""
-        path = " > ".join(p for p in (outline, self.section) if p) or None
-        self.out.append((e.doc_id, e.order_no, "heading" if heads else None, path, "pdf_visible_heading" if self.section else None))
-
-    def close(self) -> None:
-        if self.lines:
-            self.section = " > ".join(dict.fromkeys(p for p in (self.above, *self.lines) if p))
-        for e in self.waiting:
-            self._tell(e, e.heads)
-        self.lines, self.waiting = [], []
-
-    def take(self, e) -> None:
-        place = (e.doc_id, e.section_path if isinstance(e.section_path, str) else None)
-        if place != self.where:
-            self.close()
-            self.where, self.above, self.section = place, "", ""
-        last = self.waiting[-1] if self.waiting else None
-        near = last is not None and last.page == e.page
-        if e.heads:
-            if near and e.y0 - last.y1 > max(GAP, (e.y1 - e.y0) * GAP_LINES):
-                self.close()
-            if e.major:
-                self.close()
-                self.above, self.section = e.text, ""
-            self.lines.append(e.text)
-            self.waiting.append(e)
-        elif near and e.right and e.y0 <= last.y1:
-            self.waiting.append(e)
-        else:
-            self.close()
-            self._tell(e, False)
+        self.rest: pa.Table | None = None
+        self.due = 0
+
+    def _bodies(self, batch: pa.RecordBatch, doc: np.ndarray) -> np.ndarray:
+        """The body size of each document of a batch, 0 without one; ``doc`` numbers them by row, from 0."""
+        size_row = batch["kind"].to_numpy() == 0
+        at, sizes = doc[size_row], batch["size"].to_numpy(zero_copy_only=False)[size_row]
+        counts = np.ones(len(at), np.int64)
+        if self.doc is not None and batch["doc_id"][0].as_py() == self.doc:
+            at, sizes, counts = np.concatenate((np.zeros(len(self.sizes), np.int64), at)), np.concatenate((self.sizes, sizes)), np.concatenate((self.counts, counts))
+        order = np.lexsort((sizes, at))
+        at, sizes, upto = at[order], sizes[order], np.cumsum(counts[order])
+        self.doc = batch["doc_id"][-1].as_py()
+        last = at == doc[-1]
+        self.sizes, back = np.unique(sizes[last], return_inverse=True)
+        self.counts = np.bincount(back, counts[order][last], len(self.sizes)).astype(np.int64)
+        body = np.zeros(doc[-1] + 1)
+        if len(at):
+            first = np.flatnonzero(np.diff(at, prepend=-1))
+            before, total = upto[first] - counts[order][first], np.add.reduceat(counts[order], first)
+            low, high = (sizes[np.searchsorted(upto, before + middle, "right")] for middle in ((total - 1) // 2, total // 2))
+            body[at[first]] = np.where(low == high, low, 0.5 * low + 0.5 * high)
+        return body
+
+    def take(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        if batch.num_rows:
+            doc = np.cumsum(np.concatenate(([0], ~_equal(batch["doc_id"]))))
+            body = self._bodies(batch, doc)[doc]
+            larger, size = batch["larger"].to_numpy(zero_copy_only=False).astype(float), batch["size"].to_numpy(zero_copy_only=False)
+            heads = (larger == 0) | ((body > 0) & (size >= body * larger))
+            rows = pa.Table.from_batches([batch]).append_column("heads", pa.array(heads)).filter(pc.equal(batch["kind"], 1))
+            self.rest = rows if self.rest is None else pa.concat_tables([self.rest, rows])
+        # a heading that goes on over many batches is gone through again only when its rows have doubled
+        return self._told(False) if self.rest is not None and self.rest.num_rows >= self.due else _sections([], [], [], [], [])
+
+    def close(self) -> pa.RecordBatch:
+        return self._told(True)
+
+    def _told(self, last: bool) -> pa.RecordBatch:
+        """Rows whose section is known: all but those of a heading that may go on in the next batch."""
+        if self.rest is None or not self.rest.num_rows:
+            return _sections([], [], [], [], [])
+        rows = self.rest.combine_chunks()
+        column = lambda name: rows[name].combine_chunks() if isinstance(rows[name], pa.ChunkedArray) else rows[name]
+        flag = lambda name: column(name).to_numpy(zero_copy_only=False).astype(bool)
+        number = lambda name: column(name).to_numpy(zero_copy_only=False).astype(float)
+        ids, outlines = column("doc_id"), column("section_path").dictionary_encode()
+        outline = outlines.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        names = [*outlines.dictionary.to_pylist(), None]
+        place = lambda i: (ids[i].as_py(), names[outline[i]])
+        heads, major, right, y0, y1 = flag("heads"), flag("major"), flag("right"), number("y0"), number("y1")
+        begins = np.concatenate(([ids[0].as_py() is None or place(0) != self.where], ~_equal(ids) | (outline[1:] != outline[:-1])))
+        near = np.concatenate(([False], _equal(column("page")))) & ~begins
+        above = np.concatenate(([np.nan], y1[:-1]))
+        # labels at the right of a heading line or of such a label wait with it
+        fresh = heads | ~(near & right & (y0 <= above))
+        waits = heads[np.maximum.accumulate(np.where(fresh, np.arange(len(heads)), 0))]
+        goes_on = np.concatenate(([False], waits[:-1])) & ~begins
+        opens = heads & (~goes_on | (near & (y0 - above > np.fmax(GAP, (y1 - y0) * GAP_LINES))) | major)
+        firsts = np.flatnonzero(begins | opens | (np.arange(len(heads)) == 0))
+        told = len(heads) if last or not waits[-1] else int(firsts[-1])
+        lines, bounds = column("text").filter(pa.array(heads)).to_pylist(), np.concatenate(([0], np.cumsum(heads)))
+        paths, found = [], []
+        for first, end in zip(firsts.tolist(), [*firsts[1:].tolist(), len(heads)], strict=True):
+            if first >= told:
+                break
+            if begins[first]:
+                self.above = self.section = ""
+            if opens[first]:
+                own = lines[bounds[first] : bounds[end]]
+                if major[first]:
+                    self.above = own[0]
+                self.section = " > ".join(dict.fromkeys(p for p in (self.above, *own) if p))
+            paths.append(" > ".join(p for p in (names[outline[first]], self.section) if p) or None)
+            found.append("pdf_visible_heading" if self.section else None)
+        if told:
+            self.where = place(told - 1)
+        self.rest = rows.slice(told)
+        self.due = 2 * self.rest.num_rows
+        part = pa.array(np.cumsum(np.isin(np.arange(told), firsts)) - 1)
+        return _sections(ids[:told], column("order_no")[:told], heads[:told], pa.array(paths, pa.string()).take(part), pa.array(found, pa.string()).take(part))
+
+
+def _equal(column: pa.Array) -> np.ndarray:
+    """Whether each row but the first has the value of the one before; null is like nothing."""
+    return pc.fill_null(pc.equal(column[1:], column[:-1]), False).to_numpy(zero_copy_only=False)
+
+
+def _sections(doc_id, order_no, heads, path, source) -> pa.RecordBatch:
+    block = pc.if_else(pa.array(heads, pa.bool_()), pa.scalar("heading"), pa.scalar(None, pa.string()))
+    kinds = {"doc_id": pa.int64(), "order_no": pa.int64(), "block_type": pa.string(), "section_path": pa.string(), "section_source": pa.string()}
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip((doc_id, order_no, block, path, source), kinds.values(), strict=True)], names=list(kinds))

@@ -56,6 +56,81 @@ def test_headings_hold_over_pages_until_the_next(spark):
     }
 
 
+def plain_sections(elements, bodies):
+    """Sections of sorted rows of ELEMENT, one row after the other; every text with letters in capitals or a large size is a heading here."""
+    found, where, above, section, lines, waiting = {}, None, "", "", [], []
+
+    def tell(e, heads):
+        found[(e[0], e[1])] = ("heading" if heads else None, " > ".join(p for p in (e[13], section) if p) or None, "pdf_visible_heading" if section else None)
+
+    def close():
+        nonlocal section
+        if lines:
+            section = " > ".join(dict.fromkeys(p for p in (above, *lines) if p))
+        for e, heads in waiting:
+            tell(e, heads)
+        lines.clear(), waiting.clear()
+
+    for e in elements:
+        doc, _, text, page, x0, y0, _, y1, width, size, bold, _, label, outline, _ = e
+        if (doc, outline) != where:
+            close()
+            where, above, section = (doc, outline), "", ""
+        body = bodies.get(doc, 0.0)
+        heads = len(text.split()) <= 18 and x0 < 0.65 * width and (label == "title" or 0 < body and (size or 0.0) >= body * (1.05 if bold else 1.08))
+        last = waiting[-1][0] if waiting else None
+        near = last is not None and page is not None and last[3] == page
+        if heads:
+            if near and y0 - last[7] > max(8.0, (y1 - y0) * 0.75):
+                close()
+            if text.isupper() and len(text) >= 4 and x0 > 0.25 * width:
+                close()
+                above, section = text, ""
+            lines.append(text)
+            waiting.append((e, True))
+        elif near and x0 > 0.65 * width and y0 <= last[7]:
+            waiting.append((e, False))
+        else:
+            close()
+            tell(e, False)
+    close()
+    return found
+
+
+def test_sections_over_batches_are_folded_in_one_shuffle(spark, sf):
+    from statistics import median
+
+    from grainline.plans.registry import QUERIES
+
+    draw = random.Random(7)
+    body, rows = "plain words of body text that go on for more than ten words here", []
+    for doc in range(40):
+        outline, y = None, 0.0
+        for n in range(draw.choice([1, 30, 60])):
+            if draw.random() < 0.1:
+                outline = draw.choice([None, "Book", "Part"])
+            y = draw.choice([y + 12, y + 12, y, 0.0, y + 40])
+            text = draw.choice([body, f"Costs {n}", f"Gains {n % 5}", "MAJOR", "Some more words", body + " and on until it is too long a text"])
+            rows.append((doc, n, text, draw.choice([n // 9] * 9 + [None]), draw.choice([20.0, 20.0, 150.0, 400.0]), y, 470.0, y + 10, 480.0, draw.choice([10.0, 10.0, 10.5, 10.6, 12.0, None]), draw.random() < 0.2, "pdf_text", draw.choice([None] * 9 + ["title"]), outline, draw.random() < 0.1))
+    sizes: dict[int, list[float]] = {}
+    for e in rows:
+        if len(e[2].split()) >= 10 and e[9]:
+            sizes.setdefault(e[0], []).append(e[9])
+    want = plain_sections([e for e in rows if not e[14]], {d: median(s) for d, s in sizes.items()})
+    assert len({p for _, p, _ in want.values()}) > 50 and len(sizes) > 20
+    draw.shuffle(rows)
+    table = spark.createDataFrame(rows, ELEMENT)
+    for most in ("3", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+        try:
+            found = layout.visible_sections(table).collect()
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert len(found) == len(want) and {(r.doc_id, r.order_no): (r.block_type, r.section_path, r.section_source) for r in found} == want
+    plan = QUERIES["visible_sections"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan and plan.count("RepartitionByExpression") == plan.count("parquet") == plan.count("regexp_extract_all") == 1
+
+
 def test_words_of_whole_pages_need_no_join(spark, sf):
     from grainline.plans.registry import QUERIES
 
