@@ -144,3 +144,38 @@ def test_a_block_meets_a_tile_by_parts_and_a_batch_goes_before_the_next():
         best = sorted(seen, key=lambda c: -exact[q, c])[:3]
         own = sorted((r for r in rows if r["query_id"] == q), key=lambda r: -r["score"])[:3]
         assert [r["chunk_id"] for r in own] == best
+
+
+def test_queries_of_a_key_come_in_groups_and_rows_go_to_each(unbroadcast, monkeypatch):
+    monkeypatch.setattr(search, "HELD", 7)
+    monkeypatch.setattr(search, "TILE", 16)
+    draw = np.random.default_rng(4)
+    vectors = draw.normal(size=(300, 4))
+    corpus = unbroadcast.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(vectors)], "chunk_id long, vector array<double>, kind long")
+    queries = unbroadcast.createDataFrame([(i, vectors[i].tolist()) for i in range(40)], "query_id long, qvec array<double>")
+    key = search.F.col("kind")
+    rows = search.nearest(corpus, queries, 5, lambda tile, block: True, key, search.F.array(*[search.F.lit(i).cast("long") for i in (0, 2)])).collect()
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    seen = np.flatnonzero(np.arange(300) % 3 != 1)
+    best = seen[np.argsort(-(unit[:40] @ unit[seen].T), axis=1)[:, :5]]
+    assert sorted((r.query_id, r.dense_rank, r.chunk_id) for r in rows) == [(q, r + 1, int(c)) for q in range(40) for r, c in enumerate(best[q])]
+
+
+def test_no_pair_of_a_tile_and_a_block_is_a_value(spark, sf):
+    from grainline.plans.registry import QUERIES
+
+    for name in ("hybrid_search", "channel_overlap", "hybrid_cover_density"):
+        plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert "_block" in plan and "_tile" not in plan
+
+
+def test_terms_are_counted_before_they_are_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(search, "WORDS", 5)
+    texts = ["red red blue", None, "", "blue green " * 4, "red"]
+    corpus = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string").coalesce(1)
+    hashes = {w: spark.range(1).select(search.F.xxhash64(search.F.lit(w))).first()[0] for w in ("red", "blue", "green")}
+    own = search.frequencies(corpus)
+    assert {r.t: (r.df, r.tf) for r in own.collect()} == {hashes["red"]: (2, 3), hashes["blue"]: (2, 5), hashes["green"]: (1, 4), search.WHOLE: (5, 12)}
+    assert "Generate" not in own._jdf.queryExecution().optimizedPlan().toString()
+    rows = {r.chunk_id: np.frombuffer(r.terms, search.TERM).tolist() for r in search.counted(corpus).collect()}
+    assert rows == {i: sorted((hashes[w], (t or "").split().count(w)) for w in {*(t or "").split()}) for i, t in enumerate(texts)}
